@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from speechprep.plans import table_queries, text_queries
+
+QUERIES = text_queries.QUERIES | table_queries.QUERIES
+ORACLES: dict[str, str] = text_queries.ORACLES | table_queries.ORACLES
