@@ -1,0 +1,284 @@
+"""BPE, language ID, fingerprints, URL rules, LM scoring, sharding and license scans."""
+
+import hashlib
+import math
+import re
+import struct
+import zlib
+from collections import Counter, defaultdict
+
+import public_tokenizers
+import pytest
+import tiktoken
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from oracle import connect, differences
+
+from speechprep.llm import bpe, fingerprint, kneser_ney, langid, licenses, queries, shards, urls
+
+SCHEMA = "doc_id long, text string"
+PATH, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+RANKS = bpe.read_ranks(PATH)
+LIBRARY = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=RANKS, special_tokens={})
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text() | st.lists(st.sampled_from(sorted(RANKS)).map(lambda b: b.decode("utf-8", "ignore")), max_size=8).map("".join))
+def test_bpe_equals_library(text):
+    text = text.encode("utf-8", "ignore").decode()
+    encoder, decoder = bpe.ready(PATH, PATTERN)
+    data = encoder.encode(text)
+    ids = list(struct.unpack(f"<{len(data) // 4}I", data))
+    assert ids == LIBRARY.encode_ordinary(text)
+    assert decoder.feed(ids) + decoder.finish() == text
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 50255), max_size=12))
+def test_stream_decoder_replaces_what_is_no_utf8(ids):
+    _, decoder = bpe.ready(PATH, PATTERN)
+    got = "".join(decoder.feed([t]) for t in ids) + decoder.finish()
+    raw = b"".join(decoder.bytes_of[t] for t in ids)
+    want = raw.decode("utf-8", "replace")
+    assert got.replace("�", "") == want.replace("�", "")
+    if "�" not in want:
+        assert got == want
+
+
+def test_bpe_rows(spark):
+    rows = [(1, "Hello  world's été 😀"), (2, None), (3, ""), (4, "x" * 50_000), (4, "x" * 50_000), (None, "a\n\n b")]
+    got = bpe.encode(spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, ids int"), PATH, PATTERN).collect()
+    assert len(got) == len(rows)
+    by = {(r.doc_id): r for r in got}
+    for i, t in rows:
+        ids = LIBRARY.encode_ordinary(t or "")
+        assert list(by[i].ids) == ids and by[i].n_tokens == len(ids)
+        assert by[i].ids_sha256 == hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest()
+        assert by[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
+    assert bpe.encode(spark.createDataFrame([], SCHEMA), PATH, PATTERN).count() == 0
+
+
+def test_language_held_out_accuracy(spark, sf):
+    got = queries.op4_language_id(spark, "/root/testdata/sf0.01").alias("p").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
+    held = [r for r in got if r.held_out]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
+    assert sum(r.lang == r.lang_pred for r in held) / len(held) > 0.97
+
+
+def test_language_edge_cases(spark):
+    rows = spark.createDataFrame([(1, "the cat and the dog", "en"), (2, "der hund und die katze", "de"), (3, None, "en"), (4, "x", None)], "doc_id long, text string, lang string")
+    langs, matrix = langid.train(rows)
+    assert langs == ["de", "en"]
+    ask = spark.createDataFrame([(1, None, "en"), (2, "", "en"), (3, "123 !?", "en"), (4, "THE DOG", "de"), (5, "die katze", None)], "doc_id long, text string, lang string")
+    got = {r.doc_id: (r["#pred"], r["#score"]) for r in langid.predict(ask, langs, matrix, *[ask[c] for c in ask.columns]).collect()}
+    assert got[1] == got[2] == got[3] == ("und", 0.0)
+    assert got[4][0] == "en" and got[5][0] == "de" and 0.5 < got[5][1] <= 1
+    langs, matrix = langid.train(rows.limit(0))
+    assert {r["#pred"] for r in langid.predict(ask, langs, matrix, ask.doc_id).collect()} == {"und"}
+
+
+def test_fingerprint_rows(spark):
+    rows = [(3, "a. b. c.\nd."), (9, "x y z. Été 😀!\nsecond"), (1, None), (7, "d.\na. b. c."), (5, "q" * 1000), (5, "q" * 1000)]
+    got = fingerprint.edited(spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, id int")).collect()
+    order = sorted(((i, t or "") for i, t in rows), key=lambda r: -r[0])
+    following = {order[k]: order[(k + 1) % len(order)][1] for k in range(len(order))}
+    following[5, "q" * 1000] = {"q" * 1000, "a. b. c.\nd."}
+    prints = {}
+    for r in got:
+        text = next(t or "" for i, t in rows if i == r.doc_id)
+        n = len(text)
+        assert r.n_chars == n
+        nexts = following[r.doc_id, text]
+        want = {hashlib.sha256((text[: n - n // 3] + x[: n // 3]).encode()).hexdigest() for x in ([nexts] if isinstance(nexts, str) else nexts)}
+        assert r.edited_sha256 in want
+        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
+        prints[r.doc_id] = r.fingerprint
+    assert prints[3] == prints[7] and len(set(prints.values())) == 4
+    assert fingerprint.edited(spark.createDataFrame([], SCHEMA)).count() == 0
+    one = fingerprint.edited(spark.createDataFrame([(1, "abc")], SCHEMA)).first()
+    assert one.edited_sha256 == hashlib.sha256(b"aba").hexdigest() and one.near_next == 1.0
+
+
+def test_fingerprint_neighbours_over_many_ranges(spark):
+    ids = [7 * k % 1009 for k in range(1009)]
+    df = spark.createDataFrame([(i, f"t{i}") for i in ids], SCHEMA).repartition(5)
+    got = {r.doc_id: r.next_text for r in fingerprint.with_next(df).collect()}
+    assert got == {i: f"t{(i - 1) % 1009}" for i in ids}
+
+
+def test_fingerprint_insert_and_delete(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([("one. two.\nthree.", "four! five.", "four! five.\nthree.\none. two.")], "a string, b string, c string")
+    for c in "abc":
+        eq, sim = fingerprint.fingerprint(c)
+        df = df.withColumn(f"f{c}", F.struct(eq.alias("eq"), sim.alias("sim")))
+    for name, (eq, sim) in {"s": fingerprint.plus("fa", "fb"), "d": fingerprint.plus("fc", "fb", -1)}.items():
+        df = df.withColumn(name, F.struct(eq.alias("eq"), sim.alias("sim")))
+    r = df.first()
+    assert r.s == r.fc and r.d == r.fa
+
+
+def test_urls_equal_oracle(spark, sf):
+    for d in (sf, "/root/testdata/sf0.01"):
+        assert differences(queries.op7_url_trie(spark, d), connect(d), queries.ORACLES["op7_url_trie"]) == ""
+
+
+@pytest.mark.parametrize(
+    ("url", "want"),
+    [
+        (None, ("", "", None, "allow")),
+        ("no scheme", ("", "", None, "allow")),
+        ("http://WWW.Example.com/en/x?q#f", ("www.example.com", "/en/x", "www.example.com/en/", "allow")),
+        ("http://a.example.com/en/", ("a.example.com", "/en/", "example.com/en/", "block")),
+        ("http://a.example.com/en", ("a.example.com", "/en", "com/", "allow")),
+        ("http://notexample.com/en/x", ("notexample.com", "/en/x", "com/", "allow")),
+        ("x://b.net/fr/1#/es/", ("b.net", "/fr/1", "net/fr/", "block")),
+        ("http://b.net?/es/", ("b.net", "", None, "allow")),
+        ("http://é.com:80/", ("é.com:80", "/", None, "allow")),
+    ],
+)
+def test_url_cases(url, want):
+    host, path = urls.parts(url)
+    assert (host, path, *urls.Trie(urls.RULES).match(host, path)) == want
+
+
+def brute_kneser_ney(docs, train):
+    def words(t):
+        return re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate({c: c + 32 for c in range(65, 91)})) + ["</s>"]
+
+    uni, bi = Counter(), Counter()
+    for t in train:
+        w = words(t)
+        uni.update(w)
+        bi.update(zip(["<s>", *w], w, strict=False))
+    n, v = sum(uni.values()), len(uni)
+    context, followers, cont = Counter(), defaultdict(Counter), Counter()
+    for (a, b), c in bi.items():
+        context[a] += c
+        followers[a][min(c, 3)] += 1
+        cont[b] += 1
+    high = kneser_ney.discounts([sum(c == k for c in bi.values()) for k in (1, 2, 3, 4)])
+    low = kneser_ney.discounts([sum(c == k for c in cont.values()) for k in (1, 2, 3, 4)])
+    types = sum(cont.values())
+    spare = sum(low[min(c, 3) - 1] for c in cont.values())
+
+    def p1(w):
+        c = cont[w]
+        return (c - (low[min(c, 3) - 1] if c else 0) + spare / (v + 1)) / types if types else 1 / (v + 1)
+
+    def p(a, w):
+        if not context[a]:
+            return p1(w)
+        c = bi[a, w]
+        return (c - (high[min(c, 3) - 1] if c else 0) + sum(high[k - 1] * m for k, m in followers[a].items()) * p1(w)) / context[a]
+
+    vocabulary = [*uni, "<unknown>"]
+    for a in ["<s>", *list(uni)[:20], "<unknown>"]:
+        assert sum(p(a, w) for w in vocabulary) == pytest.approx(1)
+    out = {}
+    for i, t in docs:
+        w = words(t)
+        out[i] = (len(w), sum(uni[x] > 0 for x in w), n, sum(math.log10((uni[x] + 1) / (n + v + 1)) for x in w), sum(math.log10(p(a, b)) for a, b in zip(["<s>", *w], w, strict=False)))
+    return out
+
+
+def test_kneser_ney_equals_brute_force(spark, sf):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").filter("doc_id < 60").collect()] + [(1000, None), (1001, ""), (1002, "A a A  a\n" * 300)]
+    docs = spark.createDataFrame([(i, zlib.crc32(str(i).encode()) % 7 == 2, t) for i, t in rows], "doc_id long, held_out boolean, text string")
+    got = {r.doc_id: (r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in kneser_ney.score(docs, kneser_ney.fit(docs.filter("not held_out"))).collect()}
+    want = brute_kneser_ney(rows, [t for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2])
+    assert got.keys() == want.keys()
+    for i in want:
+        assert got[i] == pytest.approx(want[i]), i
+
+
+def test_kneser_ney_without_training(spark):
+    docs = spark.createDataFrame([(1, True, "a b")], "doc_id long, held_out boolean, text string")
+    r = kneser_ney.score(docs, kneser_ney.fit(docs.limit(0))).first()
+    assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) == (3, 0, 0, 0.0, 0.0)
+    assert kneser_ney.score(docs.limit(0), kneser_ney.fit(docs)).count() == 0
+
+
+def test_shards_law(spark):
+    rows = [(k, "é" * (k % 50)) for k in range(1000)] + [(None, None), (3, None), (3, None)]
+    df = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, shard string").repartition(7)
+    got = shards.assign(df).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.size, r.text_crc32) for r in got) == sorted((i is None, i or 0, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t in rows)
+    by = defaultdict(list)
+    for r in got:
+        by[r.shard].append(r.slot)
+    assert sorted(by) == list(range(24))
+    assert all(sorted(s) == list(range(len(s))) for s in by.values())
+    assert max(map(len, by.values())) - min(map(len, by.values())) <= 1
+    again = shards.assign(df.repartition(3)).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got))
+    ids = [r.doc_id for r in sorted(got, key=lambda r: (r.slot, r.shard)) if r.doc_id is not None]
+    assert ids != sorted(ids)
+    assert shards.assign(df.limit(0)).count() == 0
+
+
+def test_shards_written_whole(spark, tmp_path):
+    df = spark.createDataFrame([(k, f"text {k}", k * 2) for k in range(100)], "doc_id long, text string, extra long")
+    shards.write(df, str(tmp_path / "out"), shards=5)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted((r.doc_id, r.text, r.extra) for r in back.collect()) == [(k, f"text {k}", k * 2) for k in range(100)]
+    assert {r.n for r in back.groupBy("shard").count().selectExpr("count as n").collect()} == {20}
+
+
+LICENSED = [
+    (1, "Code.\nReleased under the MIT License."),
+    (2, "Licensed under the Apache License, Version 2.0. apache LICENSE"),
+    (3, "This work is licensed under the GNU General Public License, version 3."),
+    (4, "Licensed under CC BY-NC 4.0."),
+    (5, "nothing here"),
+    (6, None),
+    (7, "word " * 3000 + "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and its documentation files (the Software), to deal in the Software without any restriction " + "word " * 500),
+    (8, ""),
+    (8, ""),
+    (None, "mit\nlicense; été MIT license"),
+]
+
+
+def brute_licenses(text):
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
+    places, base = [], set()
+    for phrase, label in licenses.PHRASES.items():
+        p = phrase.split()
+        for k in range(len(w) - len(p) + 1):
+            if w[k : k + len(p)] == p:
+                places.append(k)
+                base.add(label)
+    labels, score, half = set(base), 0.0, licenses.WINDOW // 2
+    for k in range(0, max(len(w), 1), half):
+        have = set(w[k : k + licenses.WINDOW])
+        for label, t in licenses.TEMPLATES:
+            need = set(re.findall(r"[0-9a-z]+", t.lower()))
+            if len(have & need) / len(need) >= licenses.CONTAINED - 1e-12:
+                labels.add(label)
+                score = max(score, len(have & need) / len(need))
+    return (len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), round(score, 9))
+
+
+def test_licenses_equal_brute_force(spark, sf):
+    rows = LICENSED + [(r.doc_id + 100, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    got = licenses.scan(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, labels string")).collect()
+    mine = sorted((str(r.doc_id), str((r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, round(r.score, 9)))) for r in got)
+    assert mine == sorted((str(i), str(brute_licenses(t))) for i, t in rows)
+    assert licenses.scan(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_pipeline(spark, sf):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    names = docs.columns
+    sizes = []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, sf)
+        assert docs.columns == names
+        docs = docs.cache()
+        sizes.append(docs.count())
+    assert 0 < sizes[3] < sizes[0] <= 200 and sizes[1] == sizes[2]
+    out = corpus_pipeline.run(spark, sf)
+    assert out.count() == sizes[-1]
