@@ -98,10 +98,10 @@ def with_next(docs: DataFrame, *carried: str) -> DataFrame:
         rows = rows.withColumn("at", F.struct(F.col("bucket").alias("b"), F.lit(False).alias("guest")))
     from pyspark.sql import Window
 
-    w = Window.partitionBy("at.b").orderBy(F.col("at.guest"), F.col("id").desc(), F.xxhash64("text"))
-    for c in ("text", *carried):
-        rows = rows.withColumn(f"next_{c}", F.lead(c).over(w))
-    return rows.filter("not at.guest").drop("id", "bucket", "at")
+    placed = rows.select("*", F.col("at.b").alias("#b"), F.col("at.guest").alias("#guest"), F.xxhash64("text").alias("#tie")).drop("at", "bucket")
+    w = Window.partitionBy("#b").orderBy("#guest", F.col("id").desc(), "#tie")
+    led = placed.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in ("text", *carried)])
+    return led.filter("not `#guest`").drop("id", "#b", "#guest", "#tie")
 
 
 def edited(docs: DataFrame) -> DataFrame:
