@@ -97,8 +97,8 @@ def _abbreviation_steps() -> X.Steps:
 _SHORT = f"text || ' The CEO of a SaaS firm, e.g. B2B ' || {_ID} || ' vs. P&L by VP (KPI), APEX stays. It was the best. Q etc.'"
 steps_query("x20_abbreviations", _SHORT, X.spoken_abbreviations, _abbreviation_steps())
 #: What of the chain touches these inputs; the whole chain would take DuckDB minutes.
-_NORMAL_STEPS: X.Steps = [X.X11_ADDRESSES[1], _EMPHASIS_SQL, *X.X12_TAGS, X.X14_MAGNITUDES[0], X.X17_MULTIPLES[1], *X.X18_ORDINALS[2:3], *X.X19_DATES[:9], (r"\bCEO\b", "C-E-O"), *X.SPACES]
-_PLAIN_STEPS: X.Steps = [X.X11_ADDRESSES[1], _EMPHASIS_SQL, X.X17_MULTIPLES[1], *X.SPACES]
+_NORMAL_STEPS: X.Steps = [X.X11_ADDRESSES[1], _EMPHASIS_SQL, *X.X12_TAGS, X.X14_MAGNITUDES[0], X.X17_MULTIPLES[1], *X.X18_ORDINALS[2:3], *X.X19_DATES[:9], (r"(^|[^\pL\pN_])est[.](\s|$)", "$1established$2"), (r"\bCEO\b", "C-E-O"), *X.SPACES]
+_PLAIN_STEPS: X.Steps = [X.X11_ADDRESSES[1], _EMPHASIS_SQL, X.X17_MULTIPLES[1], (r"(^|[^\pL\pN_])est[.](\s|$)", "$1established$2"), *X.SPACES]
 _RAW = f"'<p>' || text || '</p> Revenue hit $' || {_ID} || '.5B on 2024-0' || CAST(1 + doc_id % 9 AS STRING) || '-15, the 3rd time, for the CEO.'"
 steps_query("x21_normalize", _RAW, X.normalize, _NORMAL_STEPS)
 
