@@ -1,10 +1,11 @@
 """Substring dedup by sliding sentence spans.
 
 A sentence ends at a line break or at ``. ! ?`` before white space; one of more than ``PIECE``
-words is cut after every ``PIECE`` words, so a long passage without stops still has several.  Every
-run of ``RUN`` consecutive sentences with ``LEAST`` words or more is hashed.  The occurrence with
-the least (doc_id, row hash, position) is the first; the sentences of all others go.  Whatever
-has ``RUN`` sentences in common with an earlier place is thus removed whole.
+words is also cut after each word whose hash divides by ``CUT``, so that a long passage without
+stops still has several parts, and the same ones behind another beginning.  Every
+run of ``RUN`` consecutive sentences, or of as many more as ``LEAST`` words take, is hashed.  The occurrence with
+the least (doc_id, row hash, position) is the first; the sentences of all others go.  So sentences that a
+text has in common with an earlier place go, if there are several of them.
 
 Each task first settles its own rows: one entry per distinct span goes on, so a span that a third
 of all rows hold adds one entry per task to its bucket.  Buckets meet on the span's hash; what is
@@ -28,7 +29,7 @@ from pyspark.sql import types as T
 
 from speechprep.llm.arrays import U, chunks, flat, mix, prose_mask, run_hash, span_hash, spans
 
-RUN, LEAST, PIECE = 3, 12, 16
+RUN, LEAST, PIECE, CUT = 3, 12, 16, 8
 #: Spans that a task holds before it sends them on, and buckets for each of them.
 HELD = 2_000_000
 
@@ -57,9 +58,10 @@ class Sentences:
         new = np.ones(start.size, dtype=bool)
         if start.size:
             new[1:] = (doc[1:] != doc[:-1]) | (ends[start[1:]] != ends[start[:-1]])
-        at = np.arange(start.size)
-        within = at - np.maximum.accumulate(np.where(new, at, 0)) if start.size else at
-        first = np.flatnonzero(within % PIECE == 0)
+        sentence = np.cumsum(new) - 1
+        long = np.bincount(sentence)[sentence] > PIECE if start.size else new
+        new[1:] |= ((words % U(CUT) == 0) & long)[:-1]
+        first = np.flatnonzero(new)
         last = np.append(first[1:], start.size)
         self.doc = doc[first]
         self.words = last - first
@@ -67,15 +69,17 @@ class Sentences:
         self.start = start[first]
         self.at = np.searchsorted(self.doc, np.arange(len(texts) + 1))
 
-    def runs(self) -> tuple[np.ndarray, np.ndarray]:
-        """First sentence and hash of every run."""
-        n = self.doc.size
-        if n < RUN:
-            return np.zeros(0, np.int64), np.zeros(0, U)
+    def ends(self, i: np.ndarray) -> np.ndarray:
+        """Where the run from each sentence ends: after RUN sentences, or the more that LEAST words take."""
         total = np.concatenate([[0], np.cumsum(self.words)])
-        i = np.arange(n - RUN + 1)
-        i = i[(self.doc[i] == self.doc[i + RUN - 1]) & (total[i + RUN] - total[i] >= LEAST)]
-        return i, run_hash(self.hash, i, i + RUN)
+        return np.maximum(i + RUN, np.searchsorted(total, total[i] + LEAST))
+
+    def runs(self) -> tuple[np.ndarray, np.ndarray]:
+        """First sentence and hash of every run that lies within its text."""
+        i = np.arange(self.doc.size)
+        j = self.ends(i)
+        inside = j <= self.at[self.doc + 1]
+        return i[inside], run_hash(self.hash, i[inside], j[inside])
 
 
 def row_keys(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -184,12 +188,12 @@ def _cut(names: list[str], text_at: int):
         for batch in batches:
             for part in chunks(batch, "text"):
                 s = Sentences(part.column(text_at))
-                gone = np.zeros(s.doc.size + RUN + 1, dtype=np.int64)
+                gone = np.zeros(s.doc.size + 1, dtype=np.int64)
                 for d, cell in enumerate(part.column("#gone").to_pylist()):
                     if cell:
                         i = s.at[d] + np.unique(np.concatenate([np.frombuffer(x, dtype="<i4") for x in cell]))
                         np.add.at(gone, i, 1)
-                        np.add.at(gone, i + RUN, -1)
+                        np.add.at(gone, s.ends(i), -1)
                 out = np.cumsum(gone)[: s.doc.size] > 0
                 keep = np.ones(s.raw.size + 1, dtype=np.int64)
                 n_out = np.bincount(s.doc[out], minlength=part.num_rows)

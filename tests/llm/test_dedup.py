@@ -5,10 +5,11 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from speechprep.llm import decontam, near_dup, substring
-from speechprep.llm.arrays import U, mix
+from speechprep.llm.arrays import U, mix, prose_words
 
 SCHEMA = "doc_id long, text string"
 WORD = re.compile(r"[^\x00-\x2f\x3a-\x60\x7b-\xbf -ⁿ　-〿]+")
@@ -89,11 +90,15 @@ def test_near_dup_edge_cases(spark):
 
 
 def sentence_parts(t):
-    """(words, raw) of each sentence, cut after every PIECE words."""
+    """The words of each sentence; a long one is cut after words whose hash divides by CUT."""
     out = []
     for s in re.split(r"\n|(?<=[.!?])(?=[\t\n\x0b\x0c\r ])", t or ""):
-        w = words(s)
-        out += [tuple(w[i : i + substring.PIECE]) for i in range(0, len(w), substring.PIECE)]
+        w, now = words(s), []
+        for i, x in enumerate(w):
+            now.append(x)
+            if i == len(w) - 1 or len(w) > substring.PIECE and int(prose_words(pa.array([x]))[0][0]) % substring.CUT == 0:
+                out.append(tuple(now))
+                now = []
     return out
 
 
@@ -102,12 +107,12 @@ def test_substring_equals_brute_force(spark, sf):
     first, removed = {}, defaultdict(set)
     for i, t in sorted(rows):
         parts = sentence_parts(t)
-        for k in range(len(parts) - substring.RUN + 1):
-            run = tuple(parts[k : k + substring.RUN])
-            if sum(map(len, run)) < substring.LEAST:
-                continue
-            if first.setdefault(run, (i, k)) != (i, k):
-                removed[i] |= set(range(k, k + substring.RUN))
+        for k in range(len(parts)):
+            j = k + substring.RUN
+            while j <= len(parts) and sum(map(len, parts[k:j])) < substring.LEAST:
+                j += 1
+            if j <= len(parts) and first.setdefault(tuple(parts[k:j]), (i, k)) != (i, k):
+                removed[i] |= set(range(k, j))
     got = {r.doc_id: r for r in substring.remove_repeats(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
     assert {i: r["#removed"] for i, r in got.items() if r["#removed"]} == {i: len(x) for i, x in removed.items()}
     for i, t in rows:
