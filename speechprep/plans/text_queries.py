@@ -222,3 +222,16 @@ def x36_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["x36_validate"] = x36_validate
 ORACLES["x36_validate"] = "SELECT doc_id, CASE WHEN n = 0 THEN true ELSE k / CAST(n AS DOUBLE) >= 0.60 END AS passed, CASE WHEN n = 0 THEN 1.0 ELSE round(k / CAST(n AS DOUBLE), 6) END AS word_ratio FROM (SELECT doc_id, n, greatest(CAST(floor(n * (doc_id % 10 + 1) / 10.0) AS INTEGER), 1) AS k FROM (SELECT doc_id, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) AS n FROM documents))"
+
+
+def x34_spoken_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities of decorated documents, with their spoken forms, missing from a rewrite that says only some of them."""
+    from speechprep.functions.spoken import spoken_forms
+
+    docs = documents(spark, sf_dir, _FACTS)
+    found = docs.select("doc_id", F.explode(X.entities(F.col("t"))).alias("e")).select("doc_id", F.col("e.value").alias("value")).distinct()
+    said = docs.select("doc_id", F.concat(F.lit("two point three billion dollars in the third quarter of twenty twenty-four, we are on track today. "), F.when(F.col("doc_id") % 2 == 0, F.col("t")).otherwise("")).alias("text"))
+    return jobs.missing_entities(found.withColumn("forms", spoken_forms("value")), said)
+
+
+QUERIES["x34_spoken_entities"] = x34_spoken_entities
