@@ -75,33 +75,33 @@ def with_next(docs: DataFrame, *carried: str) -> DataFrame:
     id counts as the least; ties go by the text's hash.
     """
     least = -(1 << 63)
-    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(least)).alias("id"))
+    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(least)).alias("#id"))
     n = 4 * max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    cuts = ids.agg(F.percentile_approx("id", [i / n for i in range(1, n)], 10 * n)).first()[0] or []
+    cuts = ids.agg(F.percentile_approx("#id", [i / n for i in range(1, n)], 10 * n)).first()[0] or []
     cuts = sorted(set(cuts))
     side = max(1, int(len(cuts) ** 0.5))
     groups = [cuts[i : i + side] for i in range(0, len(cuts), side)]
     if groups:
         text = lambda x: "array(" + ", ".join(f"cast({v} as bigint)" if v > least else "(-9223372036854775807L - 1L)" for v in x) + ")"
-        coarse = f"size(filter({text([g[0] for g in groups])}, c -> c < id))"
-        fine = f"size(filter(element_at(array({', '.join(text(g) for g in groups)}), greatest({coarse}, 1)), c -> c < id))"
+        coarse = f"size(filter({text([g[0] for g in groups])}, c -> c < `#id`))"
+        fine = f"size(filter(element_at(array({', '.join(text(g) for g in groups)}), greatest({coarse}, 1)), c -> c < `#id`))"
         bucket = F.expr(f"greatest({coarse} - 1, 0) * {side} + {fine}")
     else:
         bucket = F.lit(0)
-    tops = sorted((r.bucket, r.top) for r in ids.withColumn("bucket", bucket).groupBy("bucket").agg(F.max("id").alias("top")).collect())
+    tops = sorted((r["#bucket"], r.top) for r in ids.withColumn("#bucket", bucket).groupBy("#bucket").agg(F.max("#id").alias("top")).collect())
     above = {top: tops[(i + 1) % len(tops)][0] for i, (_, top) in enumerate(tops)}
-    rows = docs.withColumn("id", F.coalesce(F.col("doc_id").cast("long"), F.lit(least))).withColumn("bucket", bucket)
+    rows = docs.withColumn("#id", F.coalesce(F.col("doc_id").cast("long"), F.lit(least))).withColumn("#bucket", bucket)
     if above:
         to = F.create_map(*[F.lit(x) for top, b in above.items() for x in (top, b)])
-        rows = rows.withColumn("at", F.explode(F.when(F.col("id").isin(list(above)), F.array(F.struct(F.col("bucket").alias("b"), F.lit(False).alias("guest")), F.struct(to[F.col("id")].alias("b"), F.lit(True).alias("guest")))).otherwise(F.array(F.struct(F.col("bucket").alias("b"), F.lit(False).alias("guest"))))))
+        rows = rows.withColumn("#at", F.explode(F.when(F.col("#id").isin(list(above)), F.array(F.struct(F.col("#bucket").alias("b"), F.lit(False).alias("guest")), F.struct(to[F.col("#id")].alias("b"), F.lit(True).alias("guest")))).otherwise(F.array(F.struct(F.col("#bucket").alias("b"), F.lit(False).alias("guest"))))))
     else:
-        rows = rows.withColumn("at", F.struct(F.col("bucket").alias("b"), F.lit(False).alias("guest")))
+        rows = rows.withColumn("#at", F.struct(F.col("#bucket").alias("b"), F.lit(False).alias("guest")))
     from pyspark.sql import Window
 
-    placed = rows.select("*", F.col("at.b").alias("#b"), F.col("at.guest").alias("#guest"), F.xxhash64("text").alias("#tie")).drop("at", "bucket")
-    w = Window.partitionBy("#b").orderBy("#guest", F.col("id").desc(), "#tie")
+    placed = rows.select("*", F.col("#at.b").alias("#b"), F.col("#at.guest").alias("#guest"), F.xxhash64("text").alias("#tie")).drop("#at", "#bucket")
+    w = Window.partitionBy("#b").orderBy("#guest", F.col("#id").desc(), "#tie")
     led = placed.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in ("text", *carried)])
-    return led.filter("not `#guest`").drop("id", "#b", "#guest", "#tie")
+    return led.filter("not `#guest`").drop("#id", "#b", "#guest", "#tie")
 
 
 def edited(docs: DataFrame) -> DataFrame:

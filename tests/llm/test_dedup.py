@@ -80,7 +80,7 @@ def test_classes_equal_brute_force(spark, sf):
 def test_near_dup_edge_cases(spark):
     long = " ".join(f"w{i}" for i in range(30_000))
     rows = [(5, None), (4, ""), (3, " .,! "), (9, "one two"), (2, "One, two!"), (2, "One, two!"), (8, long), (7, long + " end"), (None, "three four five six seven eight"), (6, "a b c d e f")]
-    df = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, node int, class_id int")
+    df = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, node int, rows_alike int")
     got = sorted(((r.doc_id, r.class_id) for r in near_dup.near_duplicates(df).collect()), key=str)
     assert got == sorted([(5, 5), (4, 4), (3, 3), (9, 2), (2, 2), (2, 2), (8, 7), (7, 7), (None, None), (6, 6)], key=str)
     kept = near_dup.keep_one(df)

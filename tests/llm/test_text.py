@@ -101,9 +101,10 @@ def test_fingerprint_rows(spark):
 
 def test_fingerprint_neighbours_over_many_ranges(spark):
     ids = [7 * k % 1009 for k in range(1009)]
-    df = spark.createDataFrame([(i, f"t{i}") for i in ids], SCHEMA).repartition(5)
+    df = spark.createDataFrame([(i, f"t{i}", -i) for i in ids], "doc_id long, text string, id long").repartition(5)
     got = {r.doc_id: r.next_text for r in fingerprint.with_next(df).collect()}
     assert got == {i: f"t{(i - 1) % 1009}" for i in ids}
+    assert fingerprint.with_next(df).columns == ["doc_id", "text", "id", "next_text"]
 
 
 def test_fingerprint_insert_and_delete(spark):
