@@ -548,3 +548,77 @@ def g5_acoustic_gate(spark, d):
 def st3_rate_limited(spark, d):
     """The sliding-log limiter's batch form over all requests."""
     return jobs.rate_limited(table(spark, d, "events", "user_id as key", "ts"), limit=3, window_s=36_000)
+
+
+# prompts, texts and lookups
+
+
+@query("SELECT doc_id, substr('ValueError: ' || text, 1, 450) AS error FROM documents")
+def n12_error_text(spark, d):
+    return table(spark, d, "documents", "doc_id", "text").select("doc_id", V.error_text(F.lit("ValueError"), F.col("text")).alias("error"))
+
+
+@query("SELECT event_id, '{\"value\":\"' || event_type || '\"}' AS json FROM events")
+def n13_json_safe(spark, d):
+    return table(spark, d, "events", "event_id", "event_type").select("event_id", V.json_safe(F.col("event_type")).alias("json"))
+
+
+@query("SELECT doc_id, CASE WHEN r < 0.25 THEN 'Far too short (' || CAST(CAST(floor(r * 100) AS BIGINT) AS VARCHAR) || '%). Tell all of the ' || CAST(n_chars AS VARCHAR) || ' words again:' || chr(10) || chr(10) || text WHEN doc_id % 3 = 0 THEN 'Too short (' || CAST(CAST(floor(r * 100) AS BIGINT) AS VARCHAR) || '%). Tell it in full, about ' || CAST(n_chars AS VARCHAR) || ' words:' || chr(10) || chr(10) || text ELSE 'Left out:' || chr(10) || '- a' || chr(10) || '- b' || chr(10) || chr(10) || 'Tell it in full, about ' || CAST(n_chars AS VARCHAR) || ' words:' || chr(10) || chr(10) || text END AS prompt FROM (SELECT *, (doc_id % 8) / 8.0 AS r FROM documents)")
+def n11_retry_prompt(spark, d):
+    df = table(spark, d, "documents", "doc_id", "text", "n_chars", "(doc_id % 8) / 8D as r", "case when doc_id % 3 = 0 then array('[META] x') else array('a', '[WORD] y', 'b') end as missing")
+    return df.select("doc_id", V.retry_prompt(F.col("r"), F.col("missing"), F.col("text"), F.col("n_chars")).alias("prompt"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'Base.' || chr(10) || chr(10) || 'Mark breaths with [PAUSE] and changes of topic with [LONG_PAUSE].' ELSE 'Base.' END || chr(10) || chr(10) || 'SECTION 1 of 1' || CASE WHEN doc_id % 3 = 0 THEN chr(10) || chr(10) || 'Go on from: end.' ELSE '' END AS system, '/no_think' || chr(10) || text AS ask FROM documents")
+def n10_prompt(spark, d):
+    df = table(spark, d, "documents", "doc_id", "text", "case when doc_id % 2 = 0 then 'high_vram' else 'low_vram' end as tier", "case when doc_id % 3 = 0 then 'end.' else '' end as tail")
+    messages = V.prompt(F.lit("Base."), F.col("tier"), F.lit(""), F.lit("SECTION 1 of 1"), F.col("tail"), F.col("text"), direct=True)
+    return df.select("doc_id", messages.alias("m")).selectExpr("doc_id", "m[0].content as system", "m[1].content as ask")
+
+
+@query("SELECT event_id, array_to_string(list_filter(['[M] x', 'a' || CAST(event_id AS VARCHAR), 'b', 'c', 'd', 'e', 'f'], lambda x: NOT starts_with(x, '['))[1:5], '|') AS top FROM events")
+def t3_top_missing(spark, d):
+    items = F.expr("array('[M] x', concat('a', cast(event_id as string)), 'b', 'c', 'd', 'e', 'f')")
+    return table(spark, d, "events", "event_id").select("event_id", F.array_join(F.slice(F.filter(items, lambda x: ~x.startswith("[")), 1, 5), "|").alias("top"))
+
+
+@query("SELECT doc_id, CAST(CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 2 END AS INTEGER) AS n FROM documents")
+def w6_merge_short_tail(spark, d):
+    from speechprep.functions.text import merge_short_tail
+
+    df = table(spark, d, "documents", "doc_id", "array(text, repeat('w ', case when doc_id % 2 = 0 then 39 else 40 end)) as s")
+    return df.select("doc_id", F.size(merge_short_tail(F.col("s"))).alias("n"))
+
+
+@query("SELECT event_id, CASE WHEN user_id % 5 < 3 THEN CAST(100 + user_id % 5 AS DOUBLE) END AS ref_f0 FROM events")
+def j14_reference_pitch(spark, d):
+    voices = table(spark, d, "events", "user_id % 5 as voice", "cast(100.0 + user_id % 5 as double) as f0").filter("voice < 3").distinct()
+    return audio.with_reference_f0(table(spark, d, "events", "event_id", "user_id % 5 as voice"), voices).select("event_id", "ref_f0")
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS job_id, event_id AS seg_idx, CASE WHEN event_id % 4 = 0 THEN 'heard ' || event_type END AS transcript FROM events WHERE event_id % 200000 <= 120000")
+def j15_pair_transcripts(spark, d):
+    clips = table(spark, d, "events", "cast(user_id as string) as job_id", "event_id as seg_idx", "event_id % 200000 as duration_ms")
+    heard = table(spark, d, "events", "cast(user_id as string) as job_id", "event_id as seg_idx", "case when event_id % 4 = 0 then concat('heard ', event_type) else ' ' end as transcript")
+    return audio.pair_transcripts(clips, heard).select("job_id", "seg_idx", "transcript")
+
+
+@query(f"SELECT 'jobs_' || k AS metric, CAST(NULL AS DOUBLE) AS le, CAST(v AS DOUBLE) AS value FROM (SELECT 'created' AS k, count(*) FILTER (status = 'queued') AS v FROM {_EV} UNION ALL SELECT 'completed', count(*) FILTER (status = 'completed') FROM {_EV} UNION ALL SELECT 'failed', count(*) FILTER (status = 'failed') FROM {_EV} UNION ALL SELECT 'cancelled', 0 UNION ALL SELECT 'active', count(*) FILTER (status = 'queued') - count(*) FILTER (status IN ('completed', 'failed')) FROM {_EV}) UNION ALL SELECT 'job_bucket', e.le, CAST(count(*) FILTER (duration_s <= e.le) AS DOUBLE) FROM {_EV} CROSS JOIN (VALUES (1.0), (10.0), (CAST('inf' AS DOUBLE))) AS e(le) GROUP BY e.le")
+def s9_metrics_table(spark, d):
+    ev = events(spark, d)
+    return tables.metrics_table(jobs.job_counters(ev), jobs.duration_histogram(ev, "duration_s", [1, 10]), "job").drop("line")
+
+
+@query()
+def p14_verify_hmac(spark, d):
+    body = F.concat(F.lit("v"), F.col("event_id").cast("string"))
+    signed = table(spark, d, "events", "event_id").withColumn("sig", F.when(F.col("event_id") % 2 == 0, V.hmac_sha256(body, b"key")).otherwise("0"))
+    return signed.select("event_id", checks.verify_hmac(body, F.col("sig"), b"key").alias("ok"))
+
+
+@query()
+def a14_clip_features(spark, d):
+    """Pitch, flatness, loudness and true peak of tones made from each vector's number."""
+    tone = F.transform(F.sequence(F.lit(0), F.lit(3999)), lambda i: (0.4 * F.sin(i * 2 * 3.141592653589793 * (120 + 20 * (F.col("vec_id") % 4)) / 4000)).cast("float"))
+    base = sql_of(spark, d, "embeddings", "CAST(vec_id AS STRING) AS job_id, 0 AS seg_idx, 4000 AS sr, vec_id")
+    return audio.features(base.withColumn("samples", tone).withColumn("ref_f0", F.lit(120.0)).drop("vec_id").repartition(spark.sparkContext.defaultParallelism))
