@@ -388,7 +388,7 @@ def n4_segment_budget(spark, d):
     return table(spark, d, "events", "event_id", "case when event_id % 9 = 0 then null else event_id % 1000 end as free", "case when event_id % 2 = 0 then 'q-1.7B' else 'q-0.6B' end as model").select("event_id", V.segment_budget(F.col("free"), F.col("model")).alias("words"))
 
 
-@query("SELECT event_id, CASE WHEN value > user_id % 50 * 0.40 * 1.6 THEN 'too long' WHEN value < user_id % 50 * 0.40 * 0.4 THEN 'too short' ELSE 'ok' END AS verdict FROM events WHERE value IS NOT NULL")
+@query("SELECT event_id, CASE WHEN value > CAST(user_id % 50 AS DOUBLE) * CAST(0.40 AS DOUBLE) * CAST(1.6 AS DOUBLE) THEN 'too long' WHEN value < CAST(user_id % 50 AS DOUBLE) * CAST(0.40 AS DOUBLE) * CAST(0.4 AS DOUBLE) THEN 'too short' ELSE 'ok' END AS verdict FROM events WHERE value IS NOT NULL")
 def n5_length_verdict(spark, d):
     return table(spark, d, "events", "event_id", "value", "user_id").filter("value is not null").select("event_id", V.length_verdict(F.col("value"), F.col("user_id") % 50).alias("verdict"))
 
