@@ -17,6 +17,7 @@ from __future__ import annotations
 import base64
 import gc
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-STATES, PIECES = 80_000, 100_000
+STATES, PIECES = 300_000, 200_000
 INF = 1 << 60
 
 
@@ -184,7 +185,8 @@ class Encoder(dict):
     def __missing__(self, piece: str) -> bytes:
         b = piece.encode()
         whole = self.ranks.get(b)
-        ids = np.array(self.fst.encode(b) if whole is None else [whole], dtype="<u4").tobytes()
+        ids = self.fst.encode(b) if whole is None else [whole]
+        ids = struct.pack(f"<{len(ids)}I", *ids)
         if len(self) >= PIECES:
             self.clear()
         self[piece] = ids
