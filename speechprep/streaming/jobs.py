@@ -72,10 +72,14 @@ def rate_limit(df: DataFrame, limit: int = 60, window_s: int = 60) -> DataFrame:
 
 
 class Machine(StatefulProcessor):
-    """Job states with guards: no pause of an ended job, no resumption of one that isn't paused; deleted is final."""
+    """Job states with guards: no pause of an ended job, no resumption of one that isn't paused; deleted is final.  A state is forgotten ``ttl_s`` after its last change."""
+
+    def __init__(self, ttl_s: int | None = None):
+        self.ttl_s = ttl_s
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.now = handle.getValueState("now", StructType([StructField("status", StringType())]))
+        schema = StructType([StructField("status", StringType())])
+        self.now = handle.getValueState("now", schema, self.ttl_s * 1000) if self.ttl_s else handle.getValueState("now", schema)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         pdf, out = _rows(rows), []
@@ -93,8 +97,9 @@ class Machine(StatefulProcessor):
         pass
 
 
-def job_machine(df: DataFrame) -> DataFrame:
-    return df.select("job_id", "ts", "status").groupBy("job_id").transformWithStateInPandas(Machine(), "job_id string, ts timestamp, event string, status string, applied boolean", "Append", "None")
+def job_machine(df: DataFrame, ttl_s: int | None = 86_400) -> DataFrame:
+    """``df(job_id, ts, status)`` -> each event with the ``status`` after it and whether it was ``applied``."""
+    return df.select("job_id", "ts", "status").groupBy("job_id").transformWithStateInPandas(Machine(ttl_s), "job_id string, ts timestamp, event string, status string, applied boolean", "Append", "ProcessingTime" if ttl_s else "None")
 
 
 class Breaker(StatefulProcessor):

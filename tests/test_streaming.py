@@ -34,6 +34,8 @@ def test_machine_and_breaker(spark, tmp_path):
     ev = spark.createDataFrame([("j", at(k), s) for k, s in enumerate(["queued", "processing", "paused", "resumed", "completed", "paused", "deleted", "processing"])], "job_id string, ts timestamp, status string")
     got = [(r.status, r.applied) for r in sorted(drained(spark, S.job_machine(as_stream(spark, ev, tmp_path / "ev")), "machine"), key=lambda r: r.ts)]
     assert got == [("queued", True), ("processing", True), ("paused", True), ("processing", True), ("completed", True), ("completed", False), ("deleted", True), ("deleted", False)]
+    again = drained(spark, S.job_machine(as_stream(spark, ev, tmp_path / "ev2"), ttl_s=None), "machine_kept")
+    assert sorted((r.status, r.applied) for r in again) == sorted(got)
     calls = spark.createDataFrame([("e", at(t), ok) for t, ok in ((0, False), (1, False), (2, False), (3, True), (70, True), (71, True))], "endpoint string, ts timestamp, ok boolean")
     got = [(r.allowed, r.state) for r in sorted(drained(spark, S.breaker(as_stream(spark, calls, tmp_path / "calls")), "breaker"), key=lambda r: r.ts)]
     assert got == [(True, "closed"), (True, "closed"), (True, "open"), (False, "open"), (True, "closed"), (True, "closed")]
