@@ -1,30 +1,33 @@
-"""Sharding by a two-pass external shuffle, in DataFrame functions only.
+"""Sharding by a two-pass external shuffle of whole records, in DataFrame functions only.
 
-Pass one scatters records over buckets of about ``BUCKET_BYTES`` by a seeded hash of doc_id and text.
-Pass two gathers each bucket, sorts it so that its order doesn't hang on the shuffle, and
+Pass one scatters records over buckets of about ``BUCKET_BYTES`` by a seeded hash of doc_id and text;
+a task gets neighbouring buckets of about ``TASK_BYTES``.  Pass two gathers each bucket, sorts it so that its order doesn't hang on the shuffle, and
 shuffles it with Spark's seeded array ``shuffle``, which is a Fisher-Yates shuffle.  Buckets in order
 then make one random order of all records, dealt to the shards in turn: record i goes to shard
 i mod n as its slot i div n.  So shards differ by at most one row (law ``rows``), and slots
-have no gaps.
+have no gaps.  Each task writes its part of every shard, and ``assign`` describes what was written.
 
 Edge cases: a null text has no bytes and counts as empty for the checksum; rows with equal doc_id and
 text share a bucket and are told apart by nothing, so any of their orders is the same; a null
-doc_id is hashed as null; an empty table gives no rows; other columns are kept by ``shuffled``.
+doc_id is hashed as null; an empty table gives no rows; other columns are written with their records.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-SHARDS, SEED, BUCKET_BYTES, ROW_BYTES = 24, 20240613, 16 << 20, 8
+from speechprep.llm.store import new_folder
+
+SHARDS, SEED, BUCKET_BYTES, TASK_BYTES, ROW_BYTES = 24, 20240613, 16 << 20, 64 << 20, 8
 #: Buckets up to which their offsets (16 bytes each) are broadcast.
 BROADCAST_BUCKETS = 100_000
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, size, text_crc32 of each row."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_BYTES).cast("long").alias("size"), F.crc32(F.encode(F.coalesce("text", F.lit("")), "utf-8")).alias("text_crc32"))
+def measured(docs: DataFrame, *kept: Column) -> DataFrame:
+    """doc_id, size, text_crc32 of each row, and the columns ``kept``."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_BYTES).cast("long").alias("size"), F.crc32(F.encode(F.coalesce("text", F.lit("")), "utf-8")).alias("text_crc32"), *kept)
 
 
 def shuffled(rows: DataFrame, key: list[str], size: str, seed: int = SEED) -> DataFrame:
@@ -32,10 +35,12 @@ def shuffled(rows: DataFrame, key: list[str], size: str, seed: int = SEED) -> Da
     spark = rows.sparkSession
     total = rows.agg(F.sum(size)).first()[0] or 0
     buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
+    tasks = max(1, min(buckets, -(-total // TASK_BYTES)))
     names = rows.columns
     record = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(key)], F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
     scattered = rows.select(F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(buckets)).alias("#bucket"), record.alias("#record"))
-    filled = scattered.groupBy("#bucket").agg(F.sort_array(F.collect_list("#record")).alias("#all"))
+    near = scattered.withColumn("#task", F.floor(F.col("#bucket") * tasks / buckets).cast("int")).repartitionById(tasks, F.col("#task"))
+    filled = near.groupBy("#task", "#bucket").agg(F.sort_array(F.collect_list("#record")).alias("#all"))
     dealt = filled.sortWithinPartitions("#bucket").select("#bucket", F.shuffle("#all", seed).alias("#all"))
     counts = scattered.groupBy("#bucket").agg(F.count("*").alias("#n"))
     from pyspark.sql import Window
@@ -47,17 +52,19 @@ def shuffled(rows: DataFrame, key: list[str], size: str, seed: int = SEED) -> Da
 
 
 def assign(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """Every row's size, checksum, law, shard and slot."""
-    placed = shuffled(measured(docs), ["doc_id", "text_crc32"], "size", seed)
-    index = F.col("#index")
-    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), (index % shards).cast("int").alias("shard"), F.floor(index / shards).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    """Every row's size, checksum, law, shard and slot, taken from the records that ``write`` put into the shared folder."""
+    spark, path, named = docs.sparkSession, new_folder(docs.sparkSession, "shards"), ("#shard", "#slot")
+    write(docs, path, shards, seed, named)
+    fields = [T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("text", T.StringType()), T.StructField("#shard", T.IntegerType()), T.StructField("#slot", T.LongType())]
+    written = spark.read.schema(T.StructType(fields)).parquet(path)
+    return measured(written, F.lit("rows").alias("law"), F.col("#shard").alias("shard"), F.col("#slot").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
-def write(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = SEED) -> None:
-    """Whole records to ``path/shard=k`` in slot order; ``docs`` has doc_id, text and any other columns."""
-    names = docs.columns
+def write(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = SEED, named: tuple[str, str] = ("shard", "slot")) -> None:
+    """Whole records to ``path/shard=k``, whose files in order of their names are in slot order; ``docs`` has doc_id, text and any other columns."""
+    names, (shard, slot) = docs.columns, named
     sized = docs.withColumn("#size", F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_BYTES).withColumn("#crc", F.crc32(F.encode(F.coalesce("text", F.lit("")), "utf-8")))
     placed = shuffled(sized, ["doc_id", "#crc"], "#size", seed)
     index = F.col("#index")
-    out = placed.select(*[F.col(f"`{c}`") for c in names], (index % shards).cast("int").alias("shard"), F.floor(index / shards).alias("slot"))
-    out.repartition(shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    out = placed.select(*[F.col(f"`{c}`") for c in names], (index % shards).cast("int").alias(shard), F.floor(index / shards).alias(slot))
+    out.sortWithinPartitions(f"`{shard}`", f"`{slot}`").write.partitionBy(shard).parquet(path)

@@ -13,6 +13,7 @@ import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from oracle import connect, differences
+from pyspark.sql import functions as F
 
 from speechprep.llm import bpe, fingerprint, kneser_ney, langid, licenses, queries, shards, urls
 
@@ -227,6 +228,20 @@ def test_shards_written_whole(spark, tmp_path):
     assert {r.n for r in back.groupBy("shard").count().selectExpr("count as n").collect()} == {20}
 
 
+def test_assign_describes_written_records(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(shards, "TASK_BYTES", 2000)
+    monkeypatch.setattr(shards, "new_folder", lambda spark, name: str(tmp_path / name))
+    rows = [(k, f"té {k} " * (k % 9), "s", k) for k in range(500)] + [(None, None, "s", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, shard string, slot long").repartition(3)
+    got = shards.assign(df, shards=5).collect()
+    back = spark.read.parquet(str(tmp_path / "shards")).withColumn("file", F.input_file_name()).collect()
+    assert sorted(((r.doc_id, r.text, r.shard, r.slot) for r in back), key=str) == sorted(rows, key=str)
+    assert {(r.doc_id, r.shard, r.slot) for r in got} == {(r.doc_id, r["#shard"], r["#slot"]) for r in back}
+    for k in range(5):
+        own = sorted((r.file, r["#slot"]) for r in back if r["#shard"] == k)
+        assert [s for _, s in own] == list(range(len(own))) and len({f for f, _ in own}) > 2
+
+
 LICENSED = [
     (1, "Code.\nReleased under the MIT License."),
     (2, "Licensed under the Apache License, Version 2.0. apache LICENSE"),
