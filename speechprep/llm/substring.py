@@ -34,25 +34,28 @@ RUN, LEAST, PIECE, CUT = 3, 12, 16, 8
 HELD = 2_000_000
 
 
+def same_character(buf: np.ndarray, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Where the characters that begin at bytes ``at`` of the lower-cased ``buf`` begin in ``raw``: lower-casing keeps their number, not their lengths."""
+    a, b = (buf & 0xC0) != 0x80, (raw & 0xC0) != 0x80
+    if np.array_equal(a, b):
+        return at
+    return np.flatnonzero(b)[np.cumsum(a)[at] - 1]
+
+
 class Sentences:
     """Sentences of a chunk of texts: byte bounds of their words, word counts, hashes and document numbers."""
 
     def __init__(self, texts: pa.Array):
         raw, self.offsets = flat(texts)
         self.raw = raw
-        lowered = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
-        buf, offsets = flat(lowered)
-        if buf.size != raw.size or (offsets != self.offsets).any():  # lower-casing changed lengths somewhere: fold ASCII only
-            from speechprep.llm.arrays import ascii_lower
-
-            buf = ascii_lower(raw)
-        start, end, doc = spans(prose_mask(buf), self.offsets)
+        buf, offsets = flat(pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+        start, end, doc = spans(prose_mask(buf), offsets)
         words = span_hash(buf, start, end)
-        stop = np.zeros(raw.size + 1, dtype=bool)
-        if raw.size:
-            space = (raw == 32) | ((raw >= 9) & (raw <= 13))
-            mark = (raw == 46) | (raw == 33) | (raw == 63)
-            stop[:-1] = raw == 10
+        stop = np.zeros(buf.size + 1, dtype=bool)
+        if buf.size:
+            space = (buf == 32) | ((buf >= 9) & (buf <= 13))
+            mark = (buf == 46) | (buf == 33) | (buf == 63)
+            stop[:-1] = buf == 10
             stop[1:-1] |= mark[:-1] & space[1:]
         ends = np.cumsum(stop)
         new = np.ones(start.size, dtype=bool)
@@ -66,7 +69,7 @@ class Sentences:
         self.doc = doc[first]
         self.words = last - first
         self.hash = run_hash(words, first, last)
-        self.start = start[first]
+        self.start = same_character(buf, raw, start[first])
         self.at = np.searchsorted(self.doc, np.arange(len(texts) + 1))
 
     def ends(self, i: np.ndarray) -> np.ndarray:
