@@ -24,13 +24,13 @@ from speechprep.llm.arrays import U, chunks
 
 BUCKETS, GRAMS, PRIOR, MOST_LANGUAGES, BLOCK = 1 << 14, 3, 0.5, 512, 1 << 11
 UNKNOWN = "und"
-#: Letters by code point below 2**16: one table, made once in each worker.
+#: Letters by code point: one table, made once in each worker.
 _tables: dict[str, np.ndarray] = {}
 
 
 def _letters() -> np.ndarray:
     if "letters" not in _tables:
-        _tables["letters"] = np.array([chr(c).isalpha() for c in range(1 << 16)])
+        _tables["letters"] = np.array([chr(c).isalpha() for c in range(0x110000)])
     return _tables["letters"]
 
 
@@ -43,9 +43,7 @@ def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     size = pc.utf8_length(lowered).to_numpy(zero_copy_only=False).astype(np.int64)
     raw = b"".join(x.as_buffer() for x in lowered).decode("utf-8").encode("utf-32-le")
     code = np.frombuffer(raw, dtype="<u4")
-    low = code < (1 << 16)
-    letter = np.ones(code.size, dtype=bool)
-    letter[low] = _letters()[code[low]]
+    letter = _letters()[code]
     doc = np.repeat(np.arange(size.size), size)
     has = np.bincount(doc[letter], minlength=size.size) > 0
     keep = letter.copy()
