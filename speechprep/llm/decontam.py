@@ -1,14 +1,15 @@
 """Benchmark decontamination: SimHash over item-sized windows, multi-index Hamming search, exact check.
 
 Items and documents are cut into lower-cased words and runs of five (an item with fewer words is
-one run).  Every window of a document as long as an item is a candidate place.  Its fingerprint is
+one run).  Every window of a document as long as an item is a candidate place, and so is the whole of a shorter document.  Its fingerprint is
 the sign of 64 sums of +-1 over its runs, taken from prefix sums.  The fingerprints of equal-sized
 items lie in eight tables by byte; a window probes each byte and all values within two bits of it,
 so by the pigeonhole principle every item within ``RADIUS`` = 20 < 8 * 3 bits is found.  A match is
 a pair whose multiset of runs has a weighted Jaccard similarity of ``THRESHOLD`` or more.
 
 Before fingerprints, an exact bound drops windows: of m runs in window and item alike, a
-similarity s needs at least 2ms/(1+s) runs to be runs of some item of that size.
+similarity s needs at least 2ms/(1+s) runs to be runs of some item of that size; of k < m runs in a
+document cut short, (m+k)s/(1+s).
 
 The benchmark is broadcast in blocks of at most ``ITEM_WORDS`` words, one pass over the documents
 for each block, so no broadcast grows with the benchmark.
@@ -98,28 +99,29 @@ class Index:
             total = None
             for size, (members, prints, tables, own) in self.sizes.items():
                 m = size - n + 1
-                if min(WORDS, size) != n or runs.size < m:
+                if min(WORDS, size) != n or runs.size < m * THRESHOLD - 1e-9:
                     continue
+                k = min(m, runs.size)
                 hits = np.zeros(runs.size + 1, dtype=np.int64)
                 hits[1 + at[within(own, runs[at])]] = 1
                 hits = np.cumsum(hits)
-                first = np.flatnonzero(hits[m:] - hits[:-m] >= 2 * m * THRESHOLD / (1 + THRESHOLD) - 1e-9)
+                first = np.flatnonzero(hits[k:] - hits[:-k] >= (m + k) * THRESHOLD / (1 + THRESHOLD) - 1e-9)
                 if not first.size:
                     continue
                 if total is None:
                     total = np.zeros((runs.size + 1, 64), dtype=np.int32)
                     np.cumsum(lanes(runs), axis=0, out=total[1:])
-                marks = fingerprint(total[first + m] - total[first])
+                marks = fingerprint(total[first + k] - total[first])
                 for w, mark in zip(first, marks, strict=True):
                     near = np.unique(np.concatenate([tables[b][(int(mark) >> (8 * b)) & 255] for b in range(8)]))
                     if not near.size:
                         continue
                     off = _POP[(prints[near] ^ mark).view(np.uint8).reshape(-1, 8)].sum(axis=1)
-                    for k in members[near[off <= RADIUS]]:
-                        s = similarity(runs[w : w + m], self.runs[k])
+                    for item in members[near[off <= RADIUS]]:
+                        s = similarity(runs[w : w + k], self.runs[item])
                         if s >= THRESHOLD - 1e-12:
-                            best, place, many = found.get(int(k), (-1.0, 0, 0))
-                            found[int(k)] = (s, int(w), many + 1) if s > best else (best, place, many + 1)
+                            best, place, many = found.get(int(item), (-1.0, 0, 0))
+                            found[int(item)] = (s, int(w), many + 1) if s > best else (best, place, many + 1)
         return found
 
 
