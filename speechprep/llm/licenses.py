@@ -1,18 +1,19 @@
 """License scans as an exact set-similarity join of text blocks with license templates.
 
 Tokens are ordered by their frequency in the whole corpus, rarest first, counted in Spark for the
-templates' tokens.  A block is every window of ``WINDOW`` words, taken each ``WINDOW / 2`` words, so
-each stretch of half that length lies whole in one; a text's last window may be shorter.  A block
-meets a template if it holds ``CONTAINED`` or more of the template's distinct tokens.  Filters
-that lose nothing: a match must hold one of the template's first ``n - need + 1`` tokens in that
-order (prefix), have ``need`` distinct tokens (length), and from the first common token on both
-sides must have enough tokens left (position).  What passes is counted exactly.
+templates' tokens.  A template of n words meets blocks of W words, the least power of two that is
+2n or more, taken each W / 2 words, so each stretch of n words lies whole in one; a text's last
+block may be shorter.  A block meets a template if it holds ``CONTAINED`` or more of the template's
+distinct tokens.  Filters that lose nothing: a match must hold one of the template's first
+``n - need + 1`` tokens in that order (prefix; templates are found by it), have ``need`` distinct
+tokens (length), and from the first common token on both sides must have enough tokens left
+(position).  What passes is counted exactly.
 
 Phrases (label, words) are counted beside this at every place where their words stand in a row.
 
 Edge cases: null and empty texts have 0 words, no labels and score 0; texts of any length are
 scanned whole; repeated rows give equal rows; without documents all frequencies are 0 and ties in
-frequency go by the token.  Columns but doc_id and text are ignored.
+frequency go by the token; a template without words is refused.  Columns but doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -26,22 +27,51 @@ from pyspark.sql import functions as F
 
 from speechprep.llm.arrays import PROSE, ascii_lower, chunks, flat, span_hash, spans
 
-WINDOW, CONTAINED = 128, 0.8
+CONTAINED = 0.8
 #: Phrases of public licenses and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-#: Notices by which public licenses are given, label first.  None may be longer than WINDOW / 2 words.
+# Notices and whole texts of public licenses.
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution."""
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law."""
+APACHE_HEADER = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+GPL_HEADER = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."""
 TEMPLATES = [
+    ("mit", MIT),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction"),
     ("mit-notice", "Released under the MIT License"),
+    ("isc", ISC),
+    ("bsd-3-clause", BSD),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("zlib", ZLIB),
+    ("unlicense", UNLICENSE),
+    ("apache-2.0", APACHE_HEADER),
     ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
-    ("apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License"),
-    ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3"),
+    ("gpl", GPL_HEADER),
     ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3"),
     ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0"),
     ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
 ]
+# End of fixed values.
 
 
 def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -73,29 +103,34 @@ def frequencies(docs: DataFrame, tokens: np.ndarray) -> dict[int, int]:
     return {r.token & (1 << 64) - 1: r.n for r in found}
 
 
+def block_words(template_words: int) -> int:
+    return 1 << (2 * template_words - 1).bit_length()
+
+
 class Join:
-    """The templates' side: tokens in the global order, prefixes and needed overlaps."""
-
-    def __init__(self, templates: list[tuple[str, str]], freq: dict[int, int]):
-        if any(len(hashes(t)) > WINDOW // 2 for _, t in templates):
-            raise ValueError(f"a template has over {WINDOW // 2} words")
-        self.templates = []
-        for label, text in templates:
-            ordered = sorted(set(hashes(text).tolist()), key=lambda x: (freq.get(x, 0), x))
+    """The templates' side for one size of blocks: tokens in the global order, needed overlaps, templates by prefix token."""
+
+    def __init__(self, templates: list[tuple[str, np.ndarray]], freq: dict[int, int]):
+        self.templates, self.by_token = [], {}
+        for label, words in templates:
+            ordered = sorted(set(words.tolist()), key=lambda x: (freq.get(x, 0), x))
             need = int(np.ceil(CONTAINED * len(ordered) - 1e-9))
-            self.templates.append((label, ordered, need, ordered[: len(ordered) - need + 1]))
-        self.prefix = np.unique(np.array([x for t in self.templates for x in t[3]], dtype=np.uint64))
-        self.order = {x: (freq.get(x, 0), x) for t in self.templates for x in t[1]}
+            for x in ordered[: len(ordered) - need + 1]:
+                self.by_token.setdefault(x, []).append(len(self.templates))
+            self.templates.append((label, ordered, need))
+        self.prefix = np.unique(np.array(list(self.by_token), dtype=np.uint64))
+        self.order = {x: (freq.get(x, 0), x) for _, ordered, _ in self.templates for x in ordered}
 
     def block(self, words: np.ndarray) -> list[tuple[str, float]]:
         have = set(words.tolist())
         known = sorted(have & self.order.keys(), key=self.order.__getitem__)
-        out = []
-        for label, tokens, need, prefix in self.templates:
+        place, out = {x: i for i, x in enumerate(known)}, []
+        for t in {t for x in known for t in self.by_token.get(x, ())}:
+            label, tokens, need = self.templates[t]
             if len(have) < need:
                 continue
-            first = next((i for i, x in enumerate(prefix) if x in have), None)
-            if first is None or min(len(tokens) - first, len(known) - known.index(prefix[first])) < need:
+            first = next(i for i, x in enumerate(tokens) if x in have)
+            if min(len(tokens) - first, len(known) - place[tokens[first]]) < need:
                 continue
             both = sum(x in have for x in tokens)
             if both >= need:
@@ -103,14 +138,25 @@ class Join:
         return out
 
 
+def joins(templates: list[tuple[str, str]], freq: dict[int, int]) -> dict[int, Join]:
+    """By the words of a block."""
+    by_size: dict[int, list[tuple[str, np.ndarray]]] = {}
+    for label, text in templates:
+        words = hashes(text)
+        if not words.size:
+            raise ValueError(f"a template of {label} has no words")
+        by_size.setdefault(block_words(words.size), []).append((label, words))
+    return {size: Join(own, freq) for size, own in sorted(by_size.items())}
+
+
 def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
     """``docs(doc_id, text)`` -> a row each: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score (the largest containment met)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     freq = frequencies(docs, np.concatenate([hashes(t) for _, t in templates]))
-    join = docs.sparkSession.sparkContext.broadcast((Join(templates, freq), [(hashes(p), label) for p, label in phrases.items()]))
+    join = docs.sparkSession.sparkContext.broadcast((joins(templates, freq), [(hashes(p), label) for p, label in phrases.items()]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        side, sought = join.value
+        sides, sought = join.value
         for batch in batches:
             for part in chunks(batch, "text"):
                 words, at = words_of(part.column("text"))
@@ -132,16 +178,17 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: list[tup
                         p = int(w - at[d])
                         low[d] = p if low[d] < 0 else min(low[d], p)
                         high[d] = max(high[d], p)
-                rare = np.minimum(np.searchsorted(side.prefix, words), max(side.prefix.size - 1, 0))
-                hits = np.flatnonzero(side.prefix[rare] == words)
                 labels, score = [set(b) for b in base], np.zeros(n)
-                doc = np.searchsorted(at, hits, side="right") - 1
-                place, half = hits - at[doc], WINDOW // 2
-                blocks = np.concatenate([np.stack([doc, np.maximum(place // half - s, 0)], axis=1) for s in (0, 1)]) if hits.size else np.zeros((0, 2), np.int64)
-                for d, b in np.unique(blocks, axis=0):
-                    for label, s in side.block(words[at[d] + b * half : min(at[d] + b * half + WINDOW, at[d + 1])]):
-                        labels[d].add(label)
-                        score[d] = max(score[d], s)
+                for size, side in sides.items():
+                    rare = np.minimum(np.searchsorted(side.prefix, words), side.prefix.size - 1)
+                    hits = np.flatnonzero(side.prefix[rare] == words)
+                    doc, half = np.searchsorted(at, hits, side="right") - 1, size // 2
+                    place = (hits - at[doc]) // half
+                    blocks = np.concatenate([np.stack([doc, np.maximum(place - k, 0)], axis=1) for k in (0, 1)])
+                    for d, b in np.unique(blocks, axis=0):
+                        for label, s in side.block(words[at[d] + b * half : min(at[d] + b * half + size, at[d + 1])]):
+                            labels[d].add(label)
+                            score[d] = max(score[d], s)
                 none = count == 0
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(np.diff(at)), pa.array(count), pa.array(low, mask=none), pa.array(high, mask=none), pa.array([",".join(sorted(x)) for x in base]), pa.array([",".join(sorted(x)) for x in labels]), pa.array(score)],
