@@ -30,10 +30,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from speechprep.llm.arrays import U, chunks, flat, mix, prose_mask, run_hash, span_hash, spans
+from speechprep.llm.store import fresh
 
 RUN, LEAST, PIECE, CUT = 2, 24, 8, 3
-#: Spans that a task holds before it sends them on, and buckets for each of them.
-HELD = 2_000_000
+#: Spans that a task holds before it sends them on, and bytes of text whose spans make a bucket.
+HELD, BUCKET_BYTES = 2_000_000, 2 << 20
 
 
 def same_character(buf: np.ndarray, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -185,18 +186,18 @@ def _keyed(names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text"):
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(row_keys(part)[1])], names=[*names, "#row"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(row_keys(part)[1])], names=names)
 
     return run
 
 
-def _cut(names: list[str], text_at: int):
+def _cut(names: list[str], text_at: int, out_names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, "text"):
+            for part in chunks(batch, text_at):
                 s = Sentences(part.column(text_at))
                 gone = np.zeros(s.doc.size + 1, dtype=np.int64)
-                for d, cell in enumerate(part.column("#gone").to_pylist()):
+                for d, cell in enumerate(part.column(len(names)).to_pylist()):
                     if cell:
                         i = s.at[d] + np.unique(np.concatenate([np.frombuffer(x, dtype="<i4") for x in cell]))
                         np.add.at(gone, i, 1)
@@ -215,20 +216,21 @@ def _cut(names: list[str], text_at: int):
                 text = pa.array(texts, pa.string())
                 columns = [text if i == text_at else part.column(i) for i in range(len(names))]
                 counts = [pa.array(np.diff(s.at)), pa.array(n_out.astype(np.int64))]
-                yield pa.RecordBatch.from_arrays([*columns, *counts], names=[*names, "#sentences", "#removed"])
+                yield pa.RecordBatch.from_arrays([*columns, *counts], names=out_names)
 
     return run
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """All rows and columns of ``docs`` with ``text`` cut, and ``#sentences``, ``#removed``: sentences before, and removed."""
-    spark = docs.sparkSession
-    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) * 4)
+def remove_repeats(docs: DataFrame, counts: tuple[str, str] = ("n_sentences", "n_removed")) -> DataFrame:
+    """All rows and columns of ``docs`` with ``text`` cut, and two more named by ``counts``: sentences before, and removed."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    buckets = max(8, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
     sent = docs.select("doc_id", "text").mapInArrow(_gather(buckets), "bucket int, row long, data binary")
     met = sent.repartition(F.when(F.col("bucket") < 0, F.col("row")).otherwise(F.col("bucket").cast("long"))).sortWithinPartitions("bucket").mapInArrow(_meet, "bucket int, row long, data binary")
-    gone = met.groupBy("row").agg(F.collect_list("data").alias("#gone")).select(F.col("row").alias("#at"), "#gone")
     names = [f.name for f in docs.schema]
-    keyed = docs.mapInArrow(_keyed(names), T.StructType([*docs.schema.fields, T.StructField("#row", T.LongType())]))
-    joined = keyed.join(gone.hint("shuffle_hash"), F.col("#row") == F.col("#at"), "left").select(*[F.col(f"`{c}`") for c in names], "#gone")
-    schema = T.StructType([*docs.schema.fields, T.StructField("#sentences", T.LongType()), T.StructField("#removed", T.LongType())])
-    return joined.mapInArrow(_cut(names, names.index("text")), schema)
+    row, at, gone = fresh(names, "#row", "#at", "#gone")
+    found = met.groupBy("row").agg(F.collect_list("data").alias(gone)).select(F.col("row").alias(at), gone)
+    keyed = docs.mapInArrow(_keyed([*names, row]), T.StructType([*docs.schema.fields, T.StructField(row, T.LongType())]))
+    joined = keyed.join(found.hint("shuffle_hash"), F.col(row) == F.col(at), "left").select(*[F.col(f"`{c}`") for c in names], gone)
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(c, T.LongType()) for c in counts]])
+    return joined.mapInArrow(_cut(names, names.index("text"), [*names, *counts]), schema)
