@@ -5,8 +5,12 @@ neighbours, and each prefix has one such sequence.  So the merges are compiled i
 nondeterministic transducer whose states are (last token, place in the byte trie of the next one);
 an arc that ends a token is open only if the pair of tokens holds.  Determinising it lazily, a
 state is the set of live (pending tokens, last token, trie place); tokens on which all members
-agree are emitted at once, after a lookahead bounded by the longest token.  States and arcs are
-kept up to ``STATES`` and then begun anew, as is the memory of whole pieces, so memory is bounded.
+agree are emitted at once, after a lookahead bounded by the longest token.
+
+All tables are bounded by bytes, by a rough count of what Python objects take.  Past ``FST_BYTES``,
+even within a piece, the states made after the first half of that go, as the first ones are the
+most used.  Whole pieces of up to ``SHORT`` characters are remembered in two generations of
+``PIECE_BYTES``; a full one replaces the older.
 
 Edge cases: null and empty texts have no tokens and the hash of no bytes; a text of any length is
 processed whole, piece by piece; repeated rows give equal rows; other columns are kept out.
@@ -25,7 +29,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-STATES, PIECES = 300_000, 200_000
+FST_BYTES, PIECE_BYTES, SHORT, PAIRS = 128 << 20, 32 << 20, 64, 400_000
 INF = 1 << 60
 
 
@@ -106,12 +110,11 @@ class Transducer:
                 at = nxt
             self.token[at] = r
         self.pairs: dict[int, bool] = {}
-        self.restart()
-
-    def restart(self) -> None:
         self.ids: dict[tuple, int] = {}
         self.members: list[tuple] = []
-        self.arcs: list[dict[int, tuple[int, tuple[int, ...]]]] = []
+        #: state << 8 | byte -> the next state, or that and the tokens emitted
+        self.arcs: dict[int, int | tuple[int, tuple[int, ...]]] = {}
+        self.size, self.core, self.core_size = 0, 0, 0
         self.state((((), -1, 0),))
 
     def state(self, key: tuple) -> int:
@@ -119,19 +122,28 @@ class Transducer:
         if found is None:
             found = self.ids[key] = len(self.members)
             self.members.append(key)
-            self.arcs.append({})
+            self.size += 200 + 120 * len(key)
         return found
 
+    def shrink(self) -> None:
+        """Back to the states of the core."""
+        n = self.core
+        self.ids = {k: i for k, i in self.ids.items() if i < n}
+        del self.members[n:]
+        self.arcs = {k: f for k, f in self.arcs.items() if k >> 8 < n and (f if type(f) is int else f[0]) < n}
+        self.size = self.core_size
+
     def holds(self, a: int, b: int) -> bool:
         key = a << 24 | b
         found = self.pairs.get(key)
         if found is None:
-            if len(self.pairs) >= 1_000_000:
+            if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
+                self.merges.spines.clear()
             found = self.pairs[key] = a < 0 or self.merges.holds(a, b)
         return found
 
-    def arc(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
+    def arc(self, state: int, byte: int) -> int | tuple[int, tuple[int, ...]]:
         """Members stay in the order of where their last token ends, so equal sets are equal tuples."""
         out, ended, child, token, pairs = [], None, self.child, self.token, self.pairs
         for pending, last, at in self.members[state]:
@@ -157,18 +169,28 @@ class Transducer:
         if emitted:
             n = len(emitted)
             out = [(p[n:], last, at) for p, last, at in out]
-        found = self.arcs[state][byte] = (self.state(tuple(out)), emitted)
+        if self.size > FST_BYTES:
+            self.shrink()
+            to = self.state(tuple(out))
+            return (to, emitted) if emitted else to
+        to = self.state(tuple(out))
+        found = self.arcs[state << 8 | byte] = (to, emitted) if emitted else to
+        self.size += 250 if emitted else 140
+        if not self.core and self.size > FST_BYTES // 2:
+            self.core, self.core_size = len(self.members), self.size
         return found
 
     def encode(self, piece: bytes) -> list[int]:
-        if len(self.members) > STATES:
-            self.restart()
-        state, out, arcs = 0, [], self.arcs
+        state, out, known = 0, [], self.arcs.get
         for byte in piece:
-            found = arcs[state].get(byte) or self.arc(state, byte)
-            state = found[0]
-            if found[1]:
-                out += found[1]
+            found = known(state << 8 | byte)
+            if found is None:
+                found, known = self.arc(state, byte), self.arcs.get
+            if type(found) is int:
+                state = found
+            else:
+                state, emitted = found
+                out += emitted
         for pending, last, at in self.members[state]:
             if at == 0:
                 out += pending
@@ -177,19 +199,25 @@ class Transducer:
 
 
 class Encoder(dict):
-    """Piece -> its ids as little-endian 32-bit integers, remembered up to ``PIECES``."""
+    """Piece -> its ids as little-endian 32-bit integers."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.pieces, self.fst = ranks, regex.compile(pattern), Transducer(ranks)
+        self.ranks, self.pieces, self.fst, self.size = ranks, regex.compile(pattern), Transducer(ranks), 0
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        b = piece.encode()
-        whole = self.ranks.get(b)
-        ids = self.fst.encode(b) if whole is None else [whole]
-        ids = struct.pack(f"<{len(ids)}I", *ids)
-        if len(self) >= PIECES:
-            self.clear()
-        self[piece] = ids
+        ids = self.older.get(piece)
+        if ids is None:
+            b = piece.encode()
+            whole = self.ranks.get(b)
+            ids = self.fst.encode(b) if whole is None else [whole]
+            ids = struct.pack(f"<{len(ids)}I", *ids)
+        if len(piece) <= SHORT:
+            self.size += 240 + 2 * len(piece) + len(ids)
+            if self.size > PIECE_BYTES:
+                self.older, self.size = dict(self), 0
+                self.clear()
+            self[piece] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
