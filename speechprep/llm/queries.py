@@ -31,15 +31,14 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substring.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
-    return cut.select("doc_id", F.col("#sentences").alias("n_sentences"), F.col("#removed").alias("n_removed"), (F.col("#removed") > 0).alias("has_repeat"), "text")
+    return cut.select("doc_id", "n_sentences", "n_removed", (F.col("n_removed") > 0).alias("has_repeat"), "text")
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     held_out = (langid.fold(F.col("doc_id"), 5) == 0).alias("held_out")
     langs, matrix = langid.train(docs.filter(langid.fold(F.col("doc_id"), 5) != 0).select("text", "lang"))
-    out = langid.predict(docs.select("doc_id", "text"), langs, matrix, F.col("doc_id").cast("long").alias("doc_id"), held_out)
-    return out.select("doc_id", "held_out", F.col("#pred").alias("lang_pred"), F.col("#score").alias("score"))
+    return langid.predict(docs.select("doc_id", "text"), langs, matrix, F.col("doc_id").cast("long").alias("doc_id"), held_out)
 
 
 def op5_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
