@@ -89,6 +89,45 @@ def test_near_dup_edge_cases(spark):
     assert near_dup.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_null_ids_meet_their_near_copies(spark):
+    w = [f"w{i}" for i in range(100)]
+    near = " ".join(["other", *w[1:]])
+    for a, b in ((3, 7), (None, 7), (3, None), (None, None)):
+        df = spark.createDataFrame([(a, " ".join(w), 1), (b, near, 2), (9, "far from both of them", 3)], "doc_id long, text string, `#node` int")
+        got = near_dup.classes(df).collect()
+        assert len({r.root for r in got}) == 2 and len(got) == 3
+        want = min((x for x in (a, b) if x is not None), default=None)
+        assert sorted((r.class_id for r in got), key=str) == sorted([want, want, 9], key=str)
+        kept = near_dup.keep_one(df.withColumn("#key", df.doc_id).withColumn("#Rows", df.doc_id))
+        assert kept.columns == ["doc_id", "text", "#node", "#key", "#Rows"] and kept.count() == 2
+        assert {r.doc_id for r in kept.collect()} == {want, 9}
+
+
+def crowd(n, pairs, rng):
+    """``n`` texts of a common part and words of their own, about half alike, and ``pairs`` near copies of some of them."""
+    common = [f"c{i}" for i in range(130)]
+    rows = [(k, " ".join(common + [f"o{k}x{i}" for i in range(62)])) for k in range(n)]
+    for k in range(pairs):
+        v = rows[k][1].split()
+        for i in rng.sample(range(135, 190), 4):
+            v[i] = f"e{k}x{i}"
+        rows.append((10 * n + k, " ".join(v)))
+    return rows
+
+
+def test_crowded_buckets_keep_their_pairs(spark, monkeypatch):
+    """Texts half alike fill the buckets, so near copies meet in few places but the further keys."""
+    monkeypatch.setattr(near_dup, "BUCKET", 24)
+    monkeypatch.setattr(near_dup, "PIVOTS", 4)
+    monkeypatch.setattr(near_dup, "BLOCK_KEYS", 3000)
+    rows = crowd(900, 150, random.Random(8))
+    want = brute_classes(rows)
+    assert sum(want[10 * 900 + k] == want[k] for k in range(150)) > 140
+    got = {r.doc_id: r.class_id for r in near_dup.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()}
+    lost = sum(want[10 * 900 + k] == want[k] != got[10 * 900 + k] for k in range(150))
+    assert lost <= 3 and all(got[i] in (i, want[i]) for i in got)
+
+
 def sentence_parts(t):
     """The words of each sentence; a long one is cut after words whose hash divides by CUT."""
     out = []
@@ -114,10 +153,10 @@ def test_substring_equals_brute_force(spark, sf):
             if j <= len(parts) and first.setdefault(tuple(parts[k:j]), (i, k)) != (i, k):
                 removed[i] |= set(range(k, j))
     got = {r.doc_id: r for r in substring.remove_repeats(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
-    assert {i: r["#removed"] for i, r in got.items() if r["#removed"]} == {i: len(x) for i, x in removed.items()}
+    assert {i: r.n_removed for i, r in got.items() if r.n_removed} == {i: len(x) for i, x in removed.items()}
     for i, t in rows:
         parts = sentence_parts(t)
-        assert got[i]["#sentences"] == len(parts)
+        assert got[i].n_sentences == len(parts)
         if i in removed:
             assert [w for k, p in enumerate(parts) if k not in removed[i] for w in p] == words(got[i].text)
         else:
@@ -127,8 +166,13 @@ def test_substring_equals_brute_force(spark, sf):
 def test_substring_edge_cases(spark):
     passage = "Alpha beta gamma delta epsilon zeta. Eta theta iota kappa lambda mu nu. Xi omicron pi rho sigma tau. Upsilon phi chi psi omega."
     rows = [(1, f"Start here now. {passage}", "x"), (2, f"{passage} An own end.", "y"), (3, None, "z"), (4, "", "z"), (None, "Some text.", "n"), (5, passage, "a"), (5, passage, "a"), (6, "Own words only, all of them new.", "b")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, row string")
-    out = substring.remove_repeats(df)
+    df = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id long, text string, row string, `#row` int, `#gone` int, n_removed int")
+    out = substring.remove_repeats(df, ("a", "b"))
+    assert out.columns == [*df.columns, "a", "b"]
+    assert {(r["#row"], r["#gone"], r.n_removed) for r in out.collect()} == {(1, 2, 3)}
+    long = " ".join(f"v{i}" for i in range(40_000))
+    both = substring.remove_repeats(spark.createDataFrame([(1, f"{passage} {long}"), (2, long + ". Own end here.")], SCHEMA)).collect()
+    assert {r.doc_id: len(r.text) < 1000 for r in both} == {1: False, 2: True}
     got = sorted(((r.doc_id, r.text, r.row) for r in out.collect()), key=str)
     assert got == sorted([(1, rows[0][1], "x"), (2, "An own end.", "y"), (3, None, "z"), (4, "", "z"), (None, "Some text.", "n"), (5, "", "a"), (5, "", "a"), (6, rows[7][1], "b")], key=str)
     assert substring.remove_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
@@ -158,17 +202,35 @@ def test_leaks_equal_brute_force(spark, sf):
         for i in rng.sample(range(len(w)), len(w) // 3):
             far[i] = "other"
         docs += [(5000 + k, "pre " * 9 + " ".join(near) + " post"), (6000 + k, " ".join(far))]
-    items += [(900, "two words"), (901, "?!"), (902, None)]
-    docs += [(7000, "say two words now"), (7001, None), (7002, "")]
-    got = {(r.doc_id, r.item_id): r.similarity for r in decontam.leaks(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, "item_id long, text string")).collect()}
-    want = brute_leaks(docs, items)
-    assert got.keys() == want.keys()
+    items += [(900, "two words"), (901, "?!"), (902, None), (None, "of no number at all but long enough"), (903, items[0][1])]
+    docs += [(7000, "say two words now"), (7001, None), (7002, ""), (7003, "it is of no number at all but long enough, really"), (7004, "x " * 30_000 + items[3][1] + " y" * 30_000), (7005, items[5][1]), (7005, items[5][1])]
+    rows = decontam.leaks(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = {(r.doc_id, r.item_id): r.similarity for r in rows}
+    want = brute_leaks([d for d in docs if d[0] != 7004], items) | {(7004, items[3][0]): 1.0}
+    assert got.keys() == want.keys() and (7003, None) in got and sum(r.doc_id == 7005 for r in rows) == 2 * sum(d == 7005 for d, _ in want)
     assert got == pytest.approx(want)
 
 
+def test_index_reaches_few_items_and_all_near_ones():
+    rng = np.random.default_rng(3)
+    runs = [rng.integers(0, 1 << 63, 100, dtype=np.int64).astype(U) for _ in range(3000)]
+    tables = decontam.Tables(list(range(3000)), runs)
+    near = []
+    for k in range(300):  # of 100 runs 11 others: a similarity of 0.80
+        near.append(np.append(runs[k][11:], rng.integers(0, 1 << 63, 11, dtype=np.int64).astype(U)))
+    marks = np.concatenate([decontam.fingerprint(decontam.lanes(x).sum(axis=0)[None, :]) for x in near])
+    w, i = tables.near(marks)
+    assert {(k, k) for k in range(300)} <= set(zip(w.tolist(), i.tolist(), strict=True))
+    assert w.size < 0.05 * 300 * 3000
+    flipped = tables.prints[:1].copy()
+    for b in rng.permutation(256)[: decontam.RADIUS]:
+        flipped[0, b // 64] ^= U(1) << U(b % 64)
+    assert 0 in tables.near(flipped)[1]
+
+
 def test_drop_leaked(spark):
     docs = spark.createDataFrame([(1, "x one two three four five six seven y", 1), (2, "clean text", 2), (None, None, 3)], "doc_id long, text string, item_id int")
-    items = spark.createDataFrame([(1, "One two, three four five six seven.")], "item_id long, text string")
+    items = spark.createDataFrame([(None, "One two, three four five six seven.")], "item_id long, text string")
     assert sorted((r.item_id for r in decontam.drop_leaked(docs, items).collect())) == [2, 3]
     assert decontam.drop_leaked(docs, items.limit(0)).count() == 3
     assert decontam.leaks(docs.limit(0), items).count() == 0

@@ -46,6 +46,19 @@ def test_stream_decoder_replaces_what_is_no_utf8(ids):
         assert got == want
 
 
+def test_bpe_tables_are_bounded_within_a_piece(monkeypatch):
+    monkeypatch.setattr(bpe, "FST_BYTES", 60_000)
+    monkeypatch.setattr(bpe, "PIECE_BYTES", 3_000)
+    monkeypatch.setattr(bpe, "PAIRS", 200)
+    encoder, rng = bpe.Encoder(RANKS, PATTERN), __import__("random").Random(7)
+    texts = ["".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(3000)), "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5000)), " ".join("".join(rng.choice("aeinrst") for _ in range(7)) for _ in range(500))]
+    for text in texts + texts:
+        data = encoder.encode(text)
+        assert list(struct.unpack(f"<{len(data) // 4}I", data)) == LIBRARY.encode_ordinary(text)
+        assert encoder.fst.size <= 65_000 and encoder.size <= 3_000 and len(encoder.fst.pairs) <= 200
+        assert all(len(p) <= bpe.SHORT for p in encoder)
+
+
 def test_bpe_rows(spark):
     rows = [(1, "Hello  world's été 😀"), (2, None), (3, ""), (4, "x" * 50_000), (4, "x" * 50_000), (None, "a\n\n b")]
     got = bpe.encode(spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, ids int"), PATH, PATTERN).collect()
@@ -66,16 +79,73 @@ def test_language_held_out_accuracy(spark, sf):
     assert sum(r.lang == r.lang_pred for r in held) / len(held) > 0.97
 
 
+def brute_language(train, ask):
+    """Naive Bayes over hashed n-grams in plain Python: language -> score of each text."""
+    m32 = 0xFFFFFFFF
+
+    def buckets(t):
+        plain = ""
+        for c in t.lower():
+            c = c if c.isalpha() else " "
+            if c != " " or not plain or plain[-1] != " ":
+                plain += c
+        for n in (1, 2, 3):
+            for i in range(len(plain) - n + 1):
+                h = 0
+                for c in plain[i : i + n]:
+                    h = (h * 0x01000193 & m32) ^ (ord(c) * 0x9E3779B1 & m32)
+                h = ((h ^ h >> 15) * 0x85EBCA6B + n) & m32
+                yield ((h ^ h >> 13) * 0xC2B2AE35 & m32) >> 18
+
+    counts, docs = defaultdict(Counter), Counter()
+    for t, lang in train:
+        if t is not None and lang is not None and any(c.isalpha() for c in t):
+            counts[lang].update(buckets(t))
+            docs[lang] += 1
+    out = []
+    for t in ask:
+        if not any(c.isalpha() for c in t or ""):
+            out.append(("und", 0.0))
+            continue
+        score = {k: math.log(docs[k] / docs.total()) + sum(math.log((c[b] + 0.5) / (c.total() + 0.5 * langid.BUCKETS)) for b in buckets(t)) for k, c in counts.items()}
+        best = max(sorted(score), key=score.get)
+        out.append((best, 1 / sum(math.exp(x - score[best]) for x in score.values())))
+    return out
+
+
+def test_language_equals_brute_force(spark, sf, monkeypatch):
+    monkeypatch.setattr(langid, "WORKED", 3000)
+    rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{sf}/documents.parquet").filter("n_chars < 1500").collect()]
+    rows += [(-1, "Ünïcode ÉTÉ İ ẞ", "fr"), (-2, None, "en"), (-3, "1 2", "xx"), (-4, "so", None), (-5, "a" * 40_000, "en"), (-6, "ab", "zz"), (-7, "ab", "yy"), (-7, "ab", "yy"), (-8, "ab", "zz")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    train = [(t, k) for i, t, k in rows if i % 3]
+    langs, matrix = langid.train(df.filter("doc_id % 3 <> 0"))
+    assert langs == sorted({k for t, k in train if t and k and any(c.isalpha() for c in t)})
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(df, langs, matrix, df.doc_id).collect()}
+    for (i, t, _), want in zip(rows, brute_language(train, [t for _, t, _ in rows]), strict=True):
+        assert got[i][0] == want[0] and got[i][1] == pytest.approx(want[1], abs=1e-9), (i, t)
+    assert got[-7] == got[-6] == got[-8]  # equal texts, whatever their label
+
+
+def test_language_ties_empty_tables_and_clashing_names(spark):
+    rows = spark.createDataFrame([("ab", "zz"), ("ab", "yy")], "text string, lang string")
+    langs, matrix = langid.train(rows)
+    ask = spark.createDataFrame([(1, "ab", 5, 6)], "doc_id long, text string, `#text` int, `#pred` int")
+    r = langid.predict(ask, langs, matrix, *[F.col(f"`{c}`") for c in ask.columns], named=("lang", "s")).first()
+    assert (r.lang, r.s, r["#text"], r["#pred"]) == ("yy", 0.5, 5, 6)  # a tie goes to the first language
+    assert langid.predict(ask.limit(0), langs, matrix, ask.doc_id).count() == 0
+
+
 def test_language_edge_cases(spark):
     rows = spark.createDataFrame([(1, "the cat and the dog", "en"), (2, "der hund und die katze", "de"), (3, None, "en"), (4, "x", None)], "doc_id long, text string, lang string")
     langs, matrix = langid.train(rows)
     assert langs == ["de", "en"]
     ask = spark.createDataFrame([(1, None, "en"), (2, "", "en"), (3, "123 !?", "en"), (4, "THE DOG", "de"), (5, "die katze", None)], "doc_id long, text string, lang string")
-    got = {r.doc_id: (r["#pred"], r["#score"]) for r in langid.predict(ask, langs, matrix, *[ask[c] for c in ask.columns]).collect()}
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(ask, langs, matrix, *[ask[c] for c in ask.columns]).collect()}
     assert got[1] == got[2] == got[3] == ("und", 0.0)
     assert got[4][0] == "en" and got[5][0] == "de" and 0.5 < got[5][1] <= 1
     langs, matrix = langid.train(rows.limit(0))
-    assert {r["#pred"] for r in langid.predict(ask, langs, matrix, ask.doc_id).collect()} == {"und"}
+    assert {r.lang_pred for r in langid.predict(ask, langs, matrix, ask.doc_id).collect()} == {"und"}
 
 
 def test_fingerprint_rows(spark):
@@ -108,6 +178,69 @@ def test_fingerprint_neighbours_over_many_ranges(spark):
     assert fingerprint.with_next(df).columns == ["doc_id", "text", "id", "next_text"]
 
 
+def brute_fingerprint(text):
+    """Lanes of eq and sim with XXH64 from its own library."""
+    import xxhash
+
+    def h(k, b):
+        return xxhash.xxh64_intdigest(b.encode(), seed=xxhash.xxh64_intdigest(struct.pack("<i", k), seed=42))
+
+    eq = [0] * 8
+    for p in text.split("\n"):
+        for k in range(4):
+            x = h(k, p)
+            eq[2 * k] = (eq[2 * k] + (x & 0xFFFFFFFF)) % 2**32
+            eq[2 * k + 1] = (eq[2 * k + 1] + (x >> 32)) % 2**32
+    units = []
+    for sentence in re.split(r"\n|(?<=[.!?])[ \t]+|(?<=[。！？])", text):
+        if len(sentence) <= fingerprint.UNIT_WORDS * 6:
+            units += [sentence] if sentence else []
+        else:
+            units += [m[0] for m in re.finditer(rf"(?:\S{{1,{fingerprint.WORD_CHARS}}}\s*+){{1,{fingerprint.UNIT_WORDS}}}+", sentence)]
+    sums = [0] * 120
+    for u in units:
+        for k in range(2):
+            x = h(100 + k, u)
+            for i in range(20):
+                for j in range(3):
+                    sums[60 * k + 3 * i + j] += 1 if x >> (i + 20 * j) & 1 else -1
+    return eq, sums
+
+
+def test_likeness_equals_brute_force(spark, sf):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()] + [(-5, None), (-6, "a. b! c?\nd e f g"), (-6, "w " * 30_000)]
+    got = {(r.doc_id, r.n_chars): r for r in fingerprint.edited(spark.createDataFrame(rows, SCHEMA)).collect()}
+    order = sorted(((i, t or "") for i, t in rows), key=lambda r: -r[0])
+    if got[-6, 60_000].edited_sha256 != hashlib.sha256(("w " * 20_000 + (order[-1][1] if order[-1][1].startswith("a") else order[0][1])[:20_000]).encode()).hexdigest():
+        order[-1], order[-2] = order[-2], order[-1]
+
+    def like(a, b):
+        if a[0] == b[0]:
+            return 1.0
+        dot = sum(x * y for x, y in zip(a[1], b[1], strict=True))
+        size = math.sqrt(sum(x * x for x in a[1]) * sum(x * x for x in b[1]))
+        return min(max(dot / size, 0.0), 1.0) if size else 0.0
+
+    for k, (i, t) in enumerate(order):
+        nxt, n = order[(k + 1) % len(order)][1], len(t)
+        edited = t[: n - n // 3] + nxt[: n // 3]
+        r, own = got[i, n], brute_fingerprint(t)
+        assert r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        assert r.fingerprint[:64] == "".join(f"{x:08x}" for x in own[0])
+        assert (r.near_edited, r.near_next) == pytest.approx((like(own, brute_fingerprint(edited)), like(own, brute_fingerprint(nxt)))), i
+
+
+def test_crowded_ids_are_cut_by_text(spark):
+    rows = [(None, f"n{k}") for k in range(300)] + [(5, f"f{k}") for k in range(200)] + [(k, f"t{k}") for k in range(10, 60)] + [(3, "same")] * 40 + [(-(2**62) - 1, "low"), (2**62 + 1, "high"), (2**62, "high too")]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, `#id` int").repartition(5)
+    got = fingerprint.with_next(df).collect()
+    tie = {r.text: r.h for r in df.select("text", F.xxhash64("text").alias("h")).distinct().collect()}
+    order = sorted(rows, key=lambda r: (-(2**63) if r[0] is None else r[0], -tie[r[1]]), reverse=True)
+    want = Counter((i, t, order[(k + 1) % len(order)][1]) for k, (i, t) in enumerate(order))
+    assert Counter((r.doc_id, r.text, r.next_text) for r in got) == want
+    assert got[0].asDict().keys() == {"doc_id", "text", "#id", "next_text"}
+
+
 def test_fingerprint_insert_and_delete(spark):
     from pyspark.sql import functions as F
 
@@ -215,7 +348,7 @@ def test_shards_law(spark):
     assert max(map(len, by.values())) - min(map(len, by.values())) <= 1
     again = shards.assign(df.repartition(3)).collect()
     assert sorted(map(str, again)) == sorted(map(str, got))
-    ids = [r.doc_id for r in sorted(got, key=lambda r: (r.slot, r.shard)) if r.doc_id is not None]
+    ids = [r.doc_id for r in sorted(got, key=lambda r: (r.shard, r.slot)) if r.doc_id is not None]
     assert ids != sorted(ids)
     assert shards.assign(df.limit(0)).count() == 0
 
@@ -229,19 +362,35 @@ def test_shards_written_whole(spark, tmp_path):
 
 
 def test_assign_describes_written_records(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(shards, "TASK_BYTES", 2000)
+    monkeypatch.setattr(shards, "BUCKET_BYTES", 1000)
     monkeypatch.setattr(shards, "new_folder", lambda spark, name: str(tmp_path / name))
-    rows = [(k, f"té {k} " * (k % 9), "s", k) for k in range(500)] + [(None, None, "s", 1)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, shard string, slot long").repartition(3)
+    rows = [(k, f"té {k} " * (k % 9), "s", k, 5) for k in range(500)] + [(None, None, "s", 1, 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, shard string, slot long, `#index` int").repartition(3)
     got = shards.assign(df, shards=5).collect()
     back = spark.read.parquet(str(tmp_path / "shards")).withColumn("file", F.input_file_name()).collect()
-    assert sorted(((r.doc_id, r.text, r.shard, r.slot) for r in back), key=str) == sorted(rows, key=str)
-    assert {(r.doc_id, r.shard, r.slot) for r in got} == {(r.doc_id, r["#shard"], r["#slot"]) for r in back}
+    assert sorted(((r.doc_id, r.text, r.shard, r.slot, r["#index"]) for r in back), key=str) == sorted(rows, key=str)
+    assert {(r.doc_id, r.shard, r.slot) for r in got} == {(r.doc_id, r["shard-"], r["slot-"]) for r in back}
     for k in range(5):
-        own = sorted((r.file, r["#slot"]) for r in back if r["#shard"] == k)
+        own = sorted((r.file, r["slot-"]) for r in back if r["shard-"] == k)
         assert [s for _, s in own] == list(range(len(own))) and len({f for f, _ in own}) > 2
 
 
+def test_order_hangs_on_rows_and_seed_alone(spark, monkeypatch):
+    monkeypatch.setattr(shards, "BUCKET_BYTES", 2000)
+    rows = [(k, "x" * (k % 40)) for k in range(400)] + [(7, "the same again")] * 300 + [(None, "null and again")] * 200
+    df, seen = spark.createDataFrame(rows, SCHEMA), {}
+    for n in (4, 9):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        got = shards.assign(df.repartition(n)).collect()
+        seen[n] = sorted(((r.shard, r.slot, r.doc_id, r.text_crc32) for r in got), key=str)
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert seen[4] == seen[9] and len(seen[4]) == len(rows)
+    placed = [r.doc_id for r in sorted(got, key=lambda r: (r.shard, r.slot))]
+    assert max(len(list(g)) for k, g in __import__("itertools").groupby(placed) if k == 7) < 30  # copies are strewn
+    other = shards.assign(df, seed=5).collect()
+    assert sorted(((r.shard, r.slot, r.doc_id, r.text_crc32) for r in other), key=str) != seen[4]
+
+
 LICENSED = [
     (1, "Code.\nReleased under the MIT License."),
     (2, "Licensed under the Apache License, Version 2.0. apache LICENSE"),
@@ -253,6 +402,9 @@ LICENSED = [
     (8, ""),
     (8, ""),
     (None, "mit\nlicense; été MIT license"),
+    (11, "front " * 77 + licenses.MIT + " back" * 50),
+    (12, licenses.BSD.replace("Redistributions", "Copies").lower()),
+    (13, "license " * 40 + "under some words the " + "other " * 30 + "mit " + "more " * 30 + "released"),
 ]
 
 
@@ -265,14 +417,17 @@ def brute_licenses(text):
             if w[k : k + len(p)] == p:
                 places.append(k)
                 base.add(label)
-    labels, score, half = set(base), 0.0, licenses.WINDOW // 2
-    for k in range(0, max(len(w), 1), half):
-        have = set(w[k : k + licenses.WINDOW])
-        for label, t in licenses.TEMPLATES:
-            need = set(re.findall(r"[0-9a-z]+", t.lower()))
-            if len(have & need) / len(need) >= licenses.CONTAINED - 1e-12:
+    labels, score = set(base), 0.0
+    for label, t in licenses.TEMPLATES:
+        t = re.findall(r"[0-9a-z]+", t.lower())
+        size, need = 2, set(t)
+        while size < 2 * len(t):
+            size *= 2
+        for k in range(0, max(len(w), 1), size // 2):
+            both = len(set(w[k : k + size]) & need) / len(need)
+            if both >= licenses.CONTAINED - 1e-12:
                 labels.add(label)
-                score = max(score, len(have & need) / len(need))
+                score = max(score, both)
     return (len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), round(score, 9))
 
 
@@ -281,6 +436,8 @@ def test_licenses_equal_brute_force(spark, sf):
     got = licenses.scan(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, labels string")).collect()
     mine = sorted((str(r.doc_id), str((r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, round(r.score, 9)))) for r in got)
     assert mine == sorted((str(i), str(brute_licenses(t))) for i, t in rows)
+    labels = {r.doc_id: r.labels for r in got}
+    assert labels[11] == "mit" and labels[12] == "bsd,bsd-3-clause" and labels[13] == ""
     assert licenses.scan(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
