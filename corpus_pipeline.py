@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from speechprep.llm import bpe, decontam, langid, near_dup, substring
 from speechprep.llm.queries import read, vocabulary
-from speechprep.llm.store import cut
+from speechprep.llm.store import cut, fresh
 
 #: A document stays if its language's posterior reaches this; ``und`` never does.
 CONFIDENT = 0.5
@@ -20,8 +20,9 @@ CONFIDENT = 0.5
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that naive Bayes knows, learned from four fifths of the labelled rows."""
     langs, matrix = langid.train(docs.filter(langid.fold(F.col("doc_id"), 5) != 0).select("text", "lang"))
-    judged = langid.predict(docs, langs, matrix, *[F.col(f"`{c}`") for c in docs.columns])
-    return judged.filter(F.col("#score") >= CONFIDENT).filter(F.col("#pred") != langid.UNKNOWN).drop("#pred", "#score")
+    pred, score = fresh(docs.columns, "lang_pred", "score")
+    judged = langid.predict(docs, langs, matrix, *[F.col(f"`{c}`") for c in docs.columns], named=(pred, score))
+    return judged.filter((F.col(score) >= CONFIDENT) & (F.col(pred) != langid.UNKNOWN)).drop(pred, score)
 
 
 def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,8 +31,9 @@ def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def without_repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without spans that an earlier document holds; n_chars follows the text."""
-    cut_texts = substring.remove_repeats(docs)
-    return cut_texts.withColumn("n_chars", F.when(F.col("#removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).drop("#sentences", "#removed")
+    sentences, removed = fresh(docs.columns, "n_sentences", "n_removed")
+    cut_texts = substring.remove_repeats(docs, (sentences, removed))
+    return cut_texts.withColumn("n_chars", F.when(F.col(removed) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).drop(sentences, removed)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
