@@ -104,9 +104,14 @@ def prompt(base: Column, tier: Column, sections: Column, position: Column, tail:
     return F.array(F.struct(F.lit("system").alias("role"), F.concat_ws("\n\n", *kept).alias("content")), F.struct(F.lit("user").alias("role"), user.alias("content")))
 
 
+def top_missing(missing: Column, n: int = 5) -> Column:
+    """The first ``n`` missing items; markers in brackets don't count."""
+    return F.slice(F.filter(missing, lambda m: ~m.startswith("[")), 1, n)
+
+
 def retry_prompt(ratio: Column, missing: Column, source: Column, n_words: Column) -> Column:
     """By severity: far too short, short without named items, short with up to five of them."""
-    items = F.slice(F.filter(missing, lambda m: ~m.startswith("[")), 1, 5)
+    items = top_missing(missing)
     return (
         F.when(ratio < 0.25, F.format_string("Far too short (%d%%). Tell all of the %d words again:\n\n%s", F.floor(ratio * 100), n_words, source))
         .when(F.size(items) == 0, F.format_string("Too short (%d%%). Tell it in full, about %d words:\n\n%s", F.floor(ratio * 100), n_words, source))
