@@ -10,6 +10,12 @@ PARAM_RANGES = {"temperature": (0.0, 2.0), "repetition_penalty": (1.0, 2.0), "to
 SEED_STEPS = (7919, 15838, 23757)
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """``names``, made to differ from all ``columns``, whatever their case."""
+    taken = {c.lower() for c in columns}
+    return [next(n for n in (name + "-" * k for k in range(len(taken) + 1)) if n.lower() not in taken) for name in names]
+
+
 def object_path(prefix: Column, site: Column, job: Column, explicit: Column) -> Column:
     """The explicit path without outer slashes and with ``.mp3``, else ``prefix/site/job.mp3``."""
     own = F.regexp_replace(explicit, "^/+|/+$", "")

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from speechprep.functions.values import dbfs, expected_seconds, semitones
+from speechprep.functions.values import dbfs, expected_seconds, fresh, semitones
 
 CLIP = "job_id string, seg_idx int, sr int, samples array<float>"
 
@@ -91,9 +91,8 @@ def silence_gaps(fr: DataFrame, frame_s: float = 0.05, least_s: float = 2.0) ->
     """Silences of ``least_s`` or more below -40 dB, per clip."""
     _, w = _clip_frames()
     silent = fr.withColumn("silent", F.coalesce(dbfs(F.col("rms")) < -40, F.lit(True)))
-    islands = silent.withColumn("run", F.sum((~F.col("silent")).cast("int")).over(w)).filter("silent").groupBy("job_id", "seg_idx", "run").agg(F.count("*").alias("n"))
-    found = islands.groupBy("job_id", "seg_idx").agg(F.count_if(F.col("n") * frame_s >= least_s).alias("gaps"))
-    return fr.select("job_id", "seg_idx").distinct().join(found, ["job_id", "seg_idx"], "left").fillna(0, ["gaps"])
+    runs = silent.withColumn("run", F.sum((~F.col("silent")).cast("int")).over(w)).groupBy("job_id", "seg_idx", "run").agg(F.count_if("silent").alias("n"))
+    return runs.groupBy("job_id", "seg_idx").agg(F.count_if(F.col("n") * frame_s >= least_s).alias("gaps"))
 
 
 def job_median_dbfs(levels: DataFrame) -> DataFrame:
@@ -103,7 +102,7 @@ def job_median_dbfs(levels: DataFrame) -> DataFrame:
 
 
 def loudness_outliers(levels: DataFrame, most: float = 3.0) -> DataFrame:
-    return levels.join(job_median_dbfs(levels), "job_id").filter(F.abs(F.col("dbfs") - F.col("median_dbfs")) > most)
+    return levels.join(job_median_dbfs(levels).hint("merge"), "job_id").filter(F.abs(F.col("dbfs") - F.col("median_dbfs")) > most)
 
 
 def timeline(segs: DataFrame) -> DataFrame:
@@ -117,13 +116,30 @@ def tail(clips: DataFrame, ms: int = 2500) -> DataFrame:
     return clips.withColumn("samples", F.when(n > 0, F.slice("samples", F.size("samples") - n + 1, n)).otherwise(F.slice("samples", 1, 0)))
 
 
-def trim(clips: DataFrame, quiet_ms: int = 200) -> DataFrame:
-    """Silence cut at both ends; then the last 200 ms become silence if the clip is longer."""
-    bounds = trim_bounds(frame_rms(frames(clips, 10, 10)))
-    block, n = F.floor(F.col("sr") / 100).cast("int"), F.floor(F.col("sr") * quiet_ms / 1000).cast("int")
-    cut = F.when(F.col("end_block").isNull(), F.col("samples")).otherwise(F.slice("samples", F.col("first_block") * block + 1, F.greatest((F.col("end_block") - F.col("first_block")) * block, F.lit(0))))
-    out = clips.join(bounds, ["job_id", "seg_idx"], "left").withColumn("samples", cut)
-    return out.withColumn("samples", F.when(F.size("samples") > n, F.concat(F.slice("samples", 1, F.size("samples") - n), F.array_repeat(F.lit(0.0).cast("float"), n))).otherwise(F.col("samples"))).select(*clips.columns)
+def trim(clips: DataFrame, quiet_ms: int = 200, least_blocks: int = 10) -> DataFrame:
+    """Silence cut at both ends as ``trim_bounds`` says; then the last 200 ms become silence if the clip is longer.  One pass over rows."""
+    block, n = F.greatest(F.floor(F.col("sr") / 100).cast("int"), F.lit(1)), F.floor(F.col("sr") * quiet_ms / 1000).cast("int")
+    blocks = F.floor(F.size("samples") / block).cast("int")
+    every = F.when(blocks > 0, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array().cast("array<int>"))
+    loud = F.filter(every, lambda i: F.coalesce(dbfs(rms(F.slice("samples", i * block + 1, block))) > -50, F.lit(False)))
+    names = fresh(clips.columns, "#loud", "#first", "#end")
+    bounded = clips.withColumn(names[0], loud).withColumn(names[1], F.coalesce(F.try_element_at(names[0], F.lit(1)), F.lit(0))).withColumn(names[2], F.coalesce(F.try_element_at(names[0], F.lit(-1)), blocks - 1))
+    first = F.when(F.col(names[1]) > least_blocks, F.col(names[1])).otherwise(0)
+    end = F.when(blocks - 1 - F.col(names[2]) > least_blocks, F.col(names[2]) + 1).otherwise(blocks)
+    cut = bounded.withColumn("samples", F.when(blocks == 0, F.col("samples")).otherwise(F.slice("samples", first * block + 1, F.greatest((end - first) * block, F.lit(0)))))
+    quiet = F.concat(F.slice("samples", 1, F.greatest(F.size("samples") - n, F.lit(0))), F.array_repeat(F.lit(0.0).cast("float"), n))
+    return cut.withColumn("samples", F.when(F.size("samples") > n, quiet).otherwise(F.col("samples"))).select(*clips.columns)
+
+
+def trimmed(x: np.ndarray, sr: int, quiet_ms: int = 200, least_blocks: int = 10) -> np.ndarray:
+    """``trim`` for samples in memory."""
+    block, n = max(sr // 100, 1), sr * quiet_ms // 1000
+    r = levels(x, block, block)
+    if r.size:
+        loud = np.flatnonzero(r > 10 ** (-50 / 20))
+        lo, hi = (loud[0], loud[-1]) if loud.size else (0, r.size - 1)
+        x = x[(lo if lo > least_blocks else 0) * block : (hi + 1 if r.size - 1 - hi > least_blocks else r.size) * block]
+    return np.concatenate([x[: x.size - n], np.zeros(n)]) if x.size > n else x
 
 
 # signal features in numpy
@@ -150,14 +166,19 @@ def pitch(x: np.ndarray, sr: int) -> np.ndarray:
     return np.where((r[:, 0] > 1e-8) & (peak > 0.5 * r[:, 0]), sr / lag, np.nan)
 
 
-def flatness(x: np.ndarray) -> float:
-    """Mean spectral flatness of 512-sample Hann frames (hop 128) whose mean magnitude passes 0.005."""
+def flatness_of_frames(x: np.ndarray) -> np.ndarray:
+    """Spectral flatness of each 512-sample Hann frame (hop 128); NaN where the mean magnitude doesn't pass 0.005."""
     fr = _strided(np.asarray(x, np.float64), 512, 128)
-    if not len(fr):
-        return 0.0
     m = np.abs(np.fft.rfft(fr * np.hanning(512), axis=1)) + 1e-10
-    voiced = m.mean(axis=1) > 0.005
-    return float((np.exp(np.log(m[voiced]).mean(axis=1)) / m[voiced].mean(axis=1)).mean()) if voiced.any() else 0.0
+    level = m.mean(axis=1)
+    return np.where(level > 0.005, np.exp(np.log(m).mean(axis=1)) / level, np.nan)
+
+
+def flatness(x: np.ndarray) -> float:
+    """Mean over the voiced frames, 0 without one."""
+    f = flatness_of_frames(x)
+    f = f[~np.isnan(f)]
+    return float(f.mean()) if f.size else 0.0
 
 
 def median_f0(x: np.ndarray, sr: int) -> float | None:
@@ -180,6 +201,34 @@ def bad_windows(x: np.ndarray, sr: int, reference: float) -> tuple[int, int]:
     return bad, judged
 
 
+def levels(x: np.ndarray, size: int, hop: int) -> np.ndarray:
+    """RMS of each frame."""
+    total = np.concatenate([[0.0], np.cumsum(np.asarray(x, np.float64) ** 2)])
+    start = np.arange(0, max(len(x) - size + 1, 0), hop)
+    return np.sqrt(np.maximum(total[start + size] - total[start], 0) / size)
+
+
+def onsets_per_second(x: np.ndarray, sr: int) -> float:
+    """Frames of 25 ms (hop 10 ms) over 0.01 and 1.41 times the one before, for each second of frames."""
+    r = levels(x, int(0.025 * sr), max(int(0.01 * sr), 1))
+    return float(((r[1:] > 1.41 * r[:-1]) & (r[1:] > 0.01)).sum() / (r.size * 0.01)) if r.size else 0.0
+
+
+def count_drops(x: np.ndarray, sr: int) -> int:
+    """Drops as ``drops`` finds them, in one clip's 50 ms frames."""
+    size = int(0.05 * sr)
+    r = levels(x[:-1], size, max(size, 1))  # the last full frame is left out if nothing follows it
+    if r.size <= 40:
+        return 0
+    local = np.median(_strided(r, 41, 1), axis=1)
+    r = r[40:]
+    label = np.where(local < 0.01, 0, np.where(r < 0.1 * local, 1, 2))
+    edge = np.flatnonzero(np.concatenate([[True], label[1:] != label[:-1], [True]]))
+    n, kind = np.diff(edge), label[edge[:-1]]
+    after = np.append(kind[1:], -1)
+    return int(((kind == 1) & (after == 2) & (n * 0.05 >= 0.6) & (n * 0.05 <= 2.0)).sum())
+
+
 FEATURES = "job_id string, seg_idx int, f0 double, flatness double, bad_windows int, windows int, lufs double, true_peak_dbfs double"
 
 
@@ -194,6 +243,25 @@ def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in FEATURES.split(", ")])
 
 
+_GATE = "job_id string, seg_idx int, seconds double, early string, ref_f0 double, f0 double, flatness double, bad_windows int, windows int, onset_rate double, drops int"
+
+
+def _gate_features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """What the gate asks of each clip, in one pass; nothing is worked out for clips that have failed before."""
+    for pdf in batches:
+        rows = []
+        for r in pdf.itertuples():
+            if r.samples is None or isinstance(r.early, str):
+                rows.append((None, None, 0, 0, 0.0, 0))
+                continue
+            x, sr = np.asarray(r.samples, np.float64), int(r.sr)
+            ref = r.ref_f0 if r.ref_f0 is not None and not np.isnan(r.ref_f0) else None
+            rows.append((median_f0(x, sr), flatness(x), *(bad_windows(x, sr, ref) if ref else (0, 0)), onsets_per_second(x, sr), count_drops(x, sr)))
+        names = [c.split()[0] for c in _GATE.split(", ")]
+        found = pd.DataFrame(rows, columns=names[5:], index=pdf.index)
+        yield pd.concat([pdf[names[:5]], found], axis=1)
+
+
 def features(clips: DataFrame) -> DataFrame:
     """Pitch, flatness, pitch windows, loudness and true peak of each clip; ``ref_f0`` is used if there."""
     return clips.mapInPandas(_features, FEATURES)
@@ -209,6 +277,34 @@ def frame_f0(clips: DataFrame) -> DataFrame:
     return clips.mapInPandas(run, "job_id string, seg_idx int, frame_idx int, f0 double").withColumn("f0", F.when(~F.isnan("f0"), F.col("f0")))
 
 
+def frame_flatness(clips: DataFrame) -> DataFrame:
+    """A row for each spectral frame; null where it isn't voiced."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples():
+                f = flatness_of_frames(r.samples)
+                yield pd.DataFrame({"job_id": r.job_id, "seg_idx": r.seg_idx, "frame_idx": np.arange(f.size, dtype=np.int32), "flatness": f})
+
+    return clips.mapInPandas(run, "job_id string, seg_idx int, frame_idx int, flatness double").withColumn("flatness", F.when(~F.isnan("flatness"), F.col("flatness")))
+
+
+def mean_flatness(fr: DataFrame) -> DataFrame:
+    return fr.groupBy("job_id", "seg_idx").agg(F.coalesce(F.avg("flatness"), F.lit(0.0)).alias("flatness"))
+
+
+def windowed_f0(fr: DataFrame, reference: float, hop_s: float = 0.015, window_s: float = 3.0, most: float = 6.0) -> DataFrame:
+    """``fr(job_id, seg_idx, frame_idx, f0, rms)`` -> per window of 3 s, half overlapping, its median pitch and whether it is over 6 semitones off.
+
+    Windows of a level under 0.02 or with fewer than 3 voiced frames are skipped.
+    """
+    half = int(window_s / hop_s / 2)
+    last = F.floor(F.col("frame_idx") / half).cast("int")
+    placed = fr.withColumn("window", F.explode(F.filter(F.array(last - 1, last), lambda x: x >= 0)))
+    out = placed.groupBy("job_id", "seg_idx", "window").agg(F.median("f0").alias("f0"), F.count("f0").alias("voiced"), F.sqrt(F.avg(F.col("rms") * F.col("rms"))).alias("level"))
+    return out.filter("level >= 0.02 and voiced >= 3").select("job_id", "seg_idx", "window", "f0", (semitones(F.col("f0"), F.lit(reference)) > most).alias("bad"))
+
+
 def median_f0_of_frames(fr: DataFrame) -> DataFrame:
     return fr.groupBy("job_id", "seg_idx").agg(F.when(F.count("f0") >= 10, F.median("f0")).alias("f0"))
 
@@ -274,25 +370,22 @@ def apply_gain(clips: DataFrame, plan: DataFrame) -> DataFrame:
 def acoustic_gate(clips: DataFrame, dry_run: bool = False) -> DataFrame:
     """``clips`` with word_count and ref_f0 -> (job_id, seg_idx, passed, reason): the first reason in order wins.
 
-    Cheap columns come first; only clips that pass them reach pitch, spectra and drops.
+    Cheap columns come first; samples of clips that fail them aren't sent on, and one pass over the
+    others yields pitch, spectra, onsets and drops together, so there is neither join nor shuffle.
     """
     seconds = F.size("samples") / F.col("sr")
     want = expected_seconds(F.col("word_count"))
     early = F.when(F.col("samples").isNull(), "unreadable").when(seconds < 0.1, "empty").when(seconds > want * 1.6, "too long").when(seconds < want * 0.4, "too short")
-    staged = clips.withColumn("seconds", seconds).withColumn("early", early)
-    rest = staged.filter("early is null")
-    feats = features(rest.select("job_id", "seg_idx", "sr", "samples", "ref_f0"))
-    rate = onset_rate(frame_rms(frames(rest, 25, 10)))
-    dropped = drops(frame_rms(frames(rest, 50, 50, inclusive=False))).groupBy("job_id", "seg_idx").agg(F.count("*").alias("drops"))
-    both = ["job_id", "seg_idx"]
-    judged = rest.select(*both, "seconds", "ref_f0").join(feats, both).join(rate, both, "left").join(dropped, both, "left").fillna(0, ["drops", "onset_rate"])
-    late = (
-        F.when(semitones(F.col("f0"), F.col("ref_f0")) > 2.5, "speaker drift")
+    staged = clips.select("job_id", "seg_idx", "sr", "ref_f0", seconds.alias("seconds"), early.alias("early"), F.when(early.isNull(), F.col("samples")).alias("samples"))
+    judged = staged.mapInPandas(_gate_features, _GATE)
+    reason = (
+        F.when(F.col("early").isNotNull(), F.col("early"))
+        .when(semitones(F.col("f0"), F.col("ref_f0")) > 2.5, "speaker drift")
         .when((F.col("onset_rate") > 8) & (F.col("flatness") > 0.18), "noise bursts")
         .when(F.col("bad_windows") > F.greatest(F.lit(2.0), 0.05 * F.col("windows")), "windowed gate")
         .when(F.col("drops") > F.greatest(F.lit(3), F.floor(F.col("seconds") / 20)), "mid-phrase drops")
     )
-    out = staged.filter("early is not null").select(*both, F.col("early").alias("reason")).unionByName(judged.select(*both, late.alias("reason")))
+    out = judged.select("job_id", "seg_idx", reason.alias("reason"))
     return out.withColumn("passed", F.lit(True) if dry_run else F.col("reason").isNull())
 
 
@@ -336,20 +429,28 @@ def join_with_gap(parts: DataFrame, ms: int) -> DataFrame:
     return out.select("job_id", "seg_idx", "sr", spaced.alias("samples"))
 
 
-def convert(clips: DataFrame, sr: int) -> DataFrame:
-    """To another sample rate (linear interpolation), values held in 16 bits."""
+def convert(clips: DataFrame, sr: int, channels: int = 1) -> DataFrame:
+    """To another sample rate (linear interpolation) and number of channels, values held in 16 bits.
+
+    ``clips`` may have a column ``channels`` (1 without it); samples of several channels are interleaved.
+    From many to one channel is their mean, from one to many a copy each.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for r in pdf.itertuples():
-                x = np.asarray(r.samples, np.float64)
-                n = round(x.size * sr / r.sr)
-                y = np.interp(np.arange(n) * r.sr / sr, np.arange(x.size), x) if x.size else x
+                x = np.asarray(r.samples, np.float64).reshape(-1, int(r.channels))
+                if x.shape[1] != channels:
+                    x = np.repeat(x.mean(axis=1, keepdims=True), channels, axis=1)
+                n = round(len(x) * sr / r.sr)
+                at = np.arange(n) * r.sr / sr
+                y = np.stack([np.interp(at, np.arange(len(x)), c) for c in x.T], axis=1).reshape(-1) if len(x) else x.reshape(-1)
                 out.append((np.clip(np.round(y * 32768), -32768, 32767) / 32768).astype(np.float32))
-            yield pdf[["job_id", "seg_idx"]].assign(sr=np.int32(sr), samples=out)
+            yield pdf[["job_id", "seg_idx"]].assign(sr=np.int32(sr), channels=np.int32(channels), samples=out)
 
-    return clips.select("job_id", "seg_idx", "sr", "samples").mapInPandas(run, CLIP)
+    given = F.col("channels") if "channels" in clips.columns else F.lit(1)
+    return clips.select("job_id", "seg_idx", "sr", given.cast("int").alias("channels"), "samples").mapInPandas(run, "job_id string, seg_idx int, sr int, channels int, samples array<float>")
 
 
 def long_enough(clips: DataFrame, seconds: float = 10.0) -> DataFrame:
@@ -360,7 +461,7 @@ def voice_report(voices: DataFrame) -> DataFrame:
     """``voices(name, sr, samples)`` -> name, seconds, floor_dbfs, errors."""
     clips = voices.select(F.col("name").alias("job_id"), F.lit(0).alias("seg_idx"), "sr", "samples")
     floor = noise_floor(frame_rms(frames(clips, 50, 50)))
-    out = clips.select("job_id", (F.size("samples") / F.col("sr")).alias("seconds")).join(floor.select("job_id", "floor_dbfs"), "job_id", "left")
+    out = clips.select("job_id", (F.size("samples") / F.col("sr")).alias("seconds")).join(floor.select("job_id", "floor_dbfs").hint("merge"), "job_id", "left")
     errors = F.array_compact(F.array(F.when(F.col("seconds") < 5, "too short"), F.when(F.col("seconds") > 120, "too long"), F.when(F.col("floor_dbfs") > -55, "noisy")))
     return out.select(F.col("job_id").alias("name"), "seconds", "floor_dbfs", errors.alias("errors"))
 

@@ -39,8 +39,8 @@ def pair_chunks(src: DataFrame, out: DataFrame) -> DataFrame:
 
 def match_entities(entities: DataFrame, outputs: DataFrame) -> DataFrame:
     """``entities(doc_id, value, forms)`` against ``outputs(doc_id, text)``: ``found`` if any form occurs, case folded."""
-    forms = entities.withColumn("form", F.explode("forms")).join(outputs, "doc_id")
-    return forms.groupBy("doc_id", "value").agg(F.max(F.lower("text").contains(F.lower("form"))).alias("found"))
+    met = entities.join(outputs.hint("merge"), "doc_id")
+    return met.groupBy("doc_id", "value").agg(F.max(F.exists("forms", lambda f: F.lower("text").contains(F.lower(f)))).alias("found"))
 
 
 def missing_entities(entities: DataFrame, outputs: DataFrame) -> DataFrame:
@@ -58,8 +58,10 @@ def route_site(df: DataFrame, sites: DataFrame, most: int = 10_000) -> DataFrame
     return df.join(best, "url", "left").withColumn("site_slug", F.coalesce("slug", F.replace(host, F.lit("."), F.lit("-")))).drop("slug")
 
 
-def assign_tier(hosts: DataFrame, tiers: DataFrame) -> DataFrame:
-    """``hosts(vram_gb)`` to ``tiers(tier, lo_gb, hi_gb)``; a handful of tiers, so they are broadcast."""
+def assign_tier(hosts: DataFrame, tiers: DataFrame, most: int = 1000) -> DataFrame:
+    """``hosts(vram_gb)`` to ``tiers(tier, lo_gb, hi_gb)``.  Tiers above ``most`` are refused, so the broadcast is bounded."""
+    if tiers.limit(most + 1).count() > most:
+        raise ValueError(f"over {most} tiers")
     return hosts.join(F.broadcast(tiers), (F.col("vram_gb") >= F.col("lo_gb")) & (F.col("vram_gb") < F.col("hi_gb")), "left").withColumn("tier", F.coalesce("tier", F.lit("cpu_only")))
 
 
@@ -237,17 +239,17 @@ def union_sites(*dfs: DataFrame) -> DataFrame:
     return out
 
 
-def rate_limited(log: DataFrame, limit: int = 60, window_s: int = 60) -> DataFrame:
-    """Sliding-log limiter in batch: ``log(key, ts)`` -> each request with ``accepted``; only accepted ones count.
+def ordered(df: DataFrame) -> DataFrame:
+    """Chunks in the order of their documents: the index that they carry decides, never the place in a partition."""
+    return df.orderBy("doc_id", "seg_idx")
 
-    A key's times are folded in order inside the JVM, keeping the last ``limit`` accepted ones.
-    """
-    times = F.array_sort(F.collect_list(_seconds(F.col("ts"))))
-    start = F.struct(F.array().cast("array<double>").alias("kept"), F.array().cast("array<struct<ts:double,accepted:boolean>>").alias("out"))
 
-    def step(a: Column, t: Column) -> Column:
-        live = F.filter(a["kept"], lambda x: x > t - window_s)
-        ok = F.size(live) < limit
-        return F.struct(F.when(ok, F.concat(live, F.array(t))).otherwise(live).alias("kept"), F.concat(a["out"], F.array(F.struct(t.alias("ts"), ok.alias("accepted")))).alias("out"))
-
-    return log.groupBy("key").agg(F.aggregate(times, start, step, lambda a: a["out"]).alias("out")).select("key", F.inline("out"))
+def overdue(events: DataFrame, now: Column, limits: dict[str, int]) -> DataFrame:
+    """States that lasted longer than their limit in seconds, up to the next event or ``now``: (job_id, status, since, seconds)."""
+    w = Window.partitionBy("job_id").orderBy("ts")
+    until = F.coalesce(F.lead("ts").over(w), now)
+    spent = events.withColumn("seconds", _seconds(until) - _seconds(F.col("ts")))
+    late = F.lit(False)
+    for status, most in limits.items():
+        late = late | ((F.col("status") == status) & (F.col("seconds") > most))
+    return spent.filter(late).select("job_id", "status", F.col("ts").alias("since"), "seconds")

@@ -13,9 +13,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from speechprep.functions.text import sanitize, speakable, split_at_punctuation, tail_sentences, validate
-from speechprep.functions.values import job_seed, json_items, retry_prompt, retry_seeds
+from speechprep.functions.text import has_quote, sanitize, speakable, split_at_punctuation, split_quotes, tail_sentences, validate
+from speechprep.functions.values import job_seed, json_items, quote_params, retry_prompt, retry_seeds
+from speechprep.operators.audio import trimmed
 from speechprep.operators.jobs import union_sites
+from speechprep.sources.shared import shared_dir
 
 Rewrite = Callable[[list[dict]], str]
 
@@ -23,11 +25,7 @@ Rewrite = Callable[[list[dict]], str]
 def _checkpointed(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        import tempfile
-
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="speechprep-"))
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 
@@ -62,7 +60,7 @@ def rewrite_with_checks(chunks: DataFrame, fn: Rewrite, retries: int = 2) -> Dat
     key = ["doc_id", "seg_idx"]
     todo, done = chunks.select(*key, "text").withColumn("messages", chat("Tell the text for listeners.")), []
     for k in range(retries + 1):
-        called = rewrite(todo, fn).join(todo.select(*key, "text"), key)
+        called = rewrite(todo, fn).join(todo.select(*key, "text").hint("merge"), key)
         v = validate(F.col("text"), F.col("output"))
         ok = speakable(F.col("output"))["ok"]
         judged = _checkpointed(called.select(*key, "text", "output", v["word_ratio"].alias("word_ratio"), (v["passed"] & ok).alias("passed"), F.lit(k).alias("rounds")))
@@ -78,27 +76,38 @@ def completeness(chunks: DataFrame, fn: Rewrite) -> DataFrame:
     key = ["doc_id", "seg_idx"]
     asked = chunks.withColumn("ask", F.concat(F.lit("List what is missing as a JSON array.\n"), F.col("text"), F.lit("\n---\n"), F.col("output")))
     answers = _checkpointed(rewrite(asked.withColumn("messages", chat("Compare.", "ask")), fn)).select(*key, json_items(F.col("output")).alias("items"))
-    some = chunks.join(answers.filter(F.size("items") > 0), key)
+    some = chunks.join(answers.filter(F.size("items") > 0).hint("merge"), key)
     again = some.withColumn("ask", F.concat(F.lit("Add: "), F.array_join("items", "; "), F.lit("\n"), F.col("output")))
     fixed = rewrite(again.withColumn("messages", chat("Rewrite.", "ask")), fn).withColumnRenamed("output", "fixed")
-    return chunks.join(fixed, key, "left").withColumn("output", F.coalesce(F.nullif(F.trim("fixed"), F.lit("")), "output")).drop("fixed")
+    return chunks.join(fixed.hint("merge"), key, "left").withColumn("output", F.coalesce(F.nullif(F.trim("fixed"), F.lit("")), "output")).drop("fixed")
+
 
+Voice = Callable[[str, dict, int], np.ndarray]
 
-def stand_in_voice(text: str, params: dict, seed: int) -> np.ndarray:
-    """A deterministic voice for tests: 0.40 s of a sine for each word, at a pitch taken from the seed."""
-    sr, n = 8000, max(len(text.split()), 1)
-    return (0.3 * np.sin(2 * np.pi * (110 + seed % 50) * np.arange(int(0.4 * n * sr)) / sr)).astype(np.float32)
 
+def speak(df: DataFrame, fn: Voice, sr: int, breath_ms: int = 80) -> DataFrame:
+    """``df(job_id, seg_idx, text, params map, seed)`` -> clips; ``fn(text, params, seed)`` gives samples at ``sr``.
 
-def speak(df: DataFrame, fn=stand_in_voice, sr: int = 8000) -> DataFrame:
-    """``df(job_id, seg_idx, text, params map, seed)`` -> clips; the model loads once per worker through ``fn``'s closure."""
+    A text with quotes is spoken in parts: quotes with a livelier voice, silence cut at the ends of
+    each part, and a short breath between them.  The model loads once per worker through ``fn``'s closure.
+    """
+    warm = quote_params(F.try_element_at("params", F.lit("temperature")), F.try_element_at("params", F.lit("top_p")))
+    parts = F.when(has_quote(F.col("text")), split_quotes(F.col("text"))).otherwise(F.array(F.struct(F.col("text"), F.lit(False).alias("is_quote"))))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        breath = np.zeros(sr * breath_ms // 1000)
         for pdf in batches:
-            params = [dict(p) if p is not None else {} for p in pdf["params"]]
-            yield pdf[["job_id", "seg_idx"]].assign(sr=np.int32(sr), samples=[fn(t, p, int(s)) for t, p, s in zip(pdf["text"], params, pdf["seed"], strict=True)])
+            out = []
+            for r in pdf.itertuples():
+                given, said = dict(r.params) if r.params is not None else {}, []
+                for text, is_quote in ((p["text"], p["is_quote"]) for p in r.parts):
+                    x = np.asarray(fn(text, given | dict(r.warm) if is_quote else given, int(r.seed)), np.float64)
+                    said += [breath, trimmed(x, sr)] if len(r.parts) > 1 else [breath, x]
+                out.append(np.concatenate(said[1:]).astype(np.float32))
+            yield pdf[["job_id", "seg_idx"]].assign(sr=np.int32(sr), samples=out)
 
-    return df.select("job_id", "seg_idx", "text", "params", "seed").mapInPandas(run, "job_id string, seg_idx int, sr int, samples array<float>")
+    cut = df.select("job_id", "seg_idx", "params", "seed", parts.alias("parts"), F.create_map(F.lit("temperature"), warm["temperature"], F.lit("top_p"), warm["top_p"]).alias("warm"))
+    return cut.mapInPandas(run, "job_id string, seg_idx int, sr int, samples array<float>")
 
 
 def transcribe(clips: DataFrame, fn: Callable[[np.ndarray], str] | None) -> DataFrame:
@@ -114,7 +123,7 @@ def transcribe(clips: DataFrame, fn: Callable[[np.ndarray], str] | None) -> Data
     return clips.withColumn("transcript", run("samples"))
 
 
-def retry_rounds(df: DataFrame, voice, gate: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def retry_rounds(df: DataFrame, voice: Voice, gate: Callable[[DataFrame], DataFrame], sr: int = 8000) -> DataFrame:
     """``df(job_id, seg_idx, text)`` -> (job_id, seg_idx, round, passed).  ``gate(clips with word_count)`` gives passed.
 
     Rounds: as it is; with a repetition penalty of 1.2; in halves; in quarters; with hard words taken out.  All
@@ -130,11 +139,11 @@ def retry_rounds(df: DataFrame, voice, gate: Callable[[DataFrame], DataFrame]) -
         seed = seed if k < 2 else F.element_at(retry_seeds(seed), min(k - 1, 3))
         parts = todo.select(*key, F.posexplode(cut).alias("part_idx", "text")).withColumn("whole", F.col("seg_idx"))
         parts = parts.withColumn("seg_idx", (F.col("seg_idx") * 8 + F.col("part_idx")).cast("int")).withColumn("params", F.create_map(F.lit("repetition_penalty"), F.lit(1.2 if k else 1.0))).withColumn("seed", seed)
-        judged = gate(speak(parts, voice).join(parts.select(*key, F.size(F.split("text", r"\s+")).alias("word_count"), F.lit(None).cast("double").alias("ref_f0")), key)).select("job_id", F.floor(F.col("seg_idx") / 8).cast("int").alias("seg_idx"), "passed")
+        judged = gate(speak(parts, voice, sr).join(parts.select(*key, F.size(F.split("text", r"\s+")).alias("word_count"), F.lit(None).cast("double").alias("ref_f0")).hint("merge"), key)).select("job_id", F.floor(F.col("seg_idx") / 8).cast("int").alias("seg_idx"), "passed")
         result = _checkpointed(judged.groupBy(*key).agg(F.min("passed").alias("passed")).withColumn("round", F.lit(k)))
         last = k == len(cuts) - 1
         done.append(result if last else result.filter("passed"))
-        todo = todo.join(result.filter("passed").select(*key), key, "left_anti")
+        todo = todo.join(result.filter("passed").select(*key).hint("merge"), key, "left_anti")
     return union_sites(*done)
 
 

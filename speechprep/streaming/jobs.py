@@ -1,21 +1,25 @@
 """Structured Streaming forms of the job operators: event time, watermarks and keyed state.
 
-Rows later than the watermark are dropped by ``first_submissions`` and ``metrics``; the keyed
-processors see rows in the order of their batches, sorted by time within one.
+Rows later than the watermark are dropped by ``first_submissions`` and ``metrics`` (Spark counts them
+in the query's progress); the keyed processors see rows in the order of their batches, sorted by
+time within one.  Their steps are those of ``operators.folds``.  State goes when a key has been idle.
 """
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from speechprep.functions.text import embed_player, normalize, post_of_job, segment, word_count
 from speechprep.operators.checks import publishable
+from speechprep.operators.folds import CLOSED, called, limited, moved
+from speechprep.operators.jobs import TERMINAL
 from speechprep.sources.tables import extract_post
 
 
@@ -45,120 +49,193 @@ def _rows(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
 class Limiter(StatefulProcessor):
     """Sliding log per key: a request is refused if ``limit`` accepted ones lie in the window before it."""
 
-    def __init__(self, limit: int, window_s: int):
-        self.limit, self.window_s = limit, window_s
+    def __init__(self, limit: int, window_s: int, idle_s: int):
+        self.limit, self.window_s, self.idle_s = limit, window_s, idle_s
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.kept = handle.getListState("kept", StructType([StructField("t", DoubleType())]))
+        self.kept = handle.getListState("kept", StructType([StructField("t", DoubleType())]), self.idle_s * 1000)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf, kept, ok = _rows(rows), [x[0] for x in self.kept.get()], []
-        for t in pdf["ts"].map(lambda x: x.timestamp()):
-            kept = [x for x in kept if x > t - self.window_s]
-            ok.append(len(kept) < self.limit)
-            if ok[-1]:
-                kept.append(t)
-        if kept:
-            self.kept.put([(x,) for x in kept])
+        pdf, kept = _rows(rows), deque(x[0] for x in self.kept.get())
+        ok = [limited(kept, x.timestamp(), self.limit, self.window_s) for x in pdf["ts"]]
+        self.kept.put([(x,) for x in kept])
         yield pd.DataFrame({"key": key[0], "ts": pdf["ts"].to_numpy(), "accepted": ok})
 
     def close(self) -> None:
         pass
 
 
-def rate_limit(df: DataFrame, limit: int = 60, window_s: int = 60) -> DataFrame:
-    """``df(key, ts)`` -> each request with ``accepted``."""
-    return df.select("key", "ts").groupBy("key").transformWithStateInPandas(Limiter(limit, window_s), "key string, ts timestamp, accepted boolean", "Append", "None")
+def rate_limit(df: DataFrame, limit: int = 60, window_s: int = 60, idle_s: int | None = None) -> DataFrame:
+    """``df(key, ts)`` -> each request with ``accepted``.  A key's log is forgotten ``idle_s`` of processing time after its last request, by default an hour or the window if longer, so that a stream that lags doesn't lose it."""
+    return df.select("key", "ts").groupBy("key").transformWithStateInPandas(Limiter(limit, window_s, idle_s or max(window_s, 3600)), "key string, ts timestamp, accepted boolean", "Append", "ProcessingTime")
 
 
 class Machine(StatefulProcessor):
-    """Job states with guards: no pause of an ended job, no resumption of one that isn't paused; deleted is final.  A state is forgotten ``ttl_s`` after its last change."""
+    """Job states with guards.  A row older than the job's newest is late: it changes nothing.  A state is forgotten ``ttl_s`` after its last change."""
 
     def __init__(self, ttl_s: int | None = None):
         self.ttl_s = ttl_s
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        schema = StructType([StructField("status", StringType())])
+        schema = StructType([StructField("status", StringType()), StructField("at", DoubleType())])
         self.now = handle.getValueState("now", schema, self.ttl_s * 1000) if self.ttl_s else handle.getValueState("now", schema)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         pdf, out = _rows(rows), []
-        now = self.now.get()[0] if self.now.exists() else None
-        for status in pdf["status"]:
-            ok = now != "deleted" and not (status == "paused" and now in ("completed", "failed")) and not (status == "resumed" and now != "paused")
-            if ok:
-                now = "processing" if status == "resumed" else status
-            out.append((now, ok))
+        now, at = self.now.get() if self.now.exists() else (None, float("-inf"))
+        for ts, status in zip(pdf["ts"], pdf["status"], strict=True):
+            late = ts.timestamp() < at
+            ok = False
+            if not late:
+                (now, ok), at = moved(now, status), ts.timestamp()
+            out.append((now, ok, late))
         if now is not None:
-            self.now.update((now,))
-        yield pd.DataFrame({"job_id": key[0], "ts": pdf["ts"].to_numpy(), "event": pdf["status"].to_numpy(), "status": [x for x, _ in out], "applied": [x for _, x in out]})
+            self.now.update((now, at))
+        yield pd.DataFrame({"job_id": key[0], "ts": pdf["ts"].to_numpy(), "event": pdf["status"].to_numpy(), "status": [x[0] for x in out], "applied": [x[1] for x in out], "late": [x[2] for x in out]})
 
     def close(self) -> None:
         pass
 
 
 def job_machine(df: DataFrame, ttl_s: int | None = 86_400) -> DataFrame:
-    """``df(job_id, ts, status)`` -> each event with the ``status`` after it and whether it was ``applied``."""
-    return df.select("job_id", "ts", "status").groupBy("job_id").transformWithStateInPandas(Machine(ttl_s), "job_id string, ts timestamp, event string, status string, applied boolean", "Append", "ProcessingTime" if ttl_s else "None")
+    """``df(job_id, ts, status)`` -> each event with the ``status`` after it, whether it was ``applied``, and whether it came ``late``."""
+    return df.select("job_id", "ts", "status").groupBy("job_id").transformWithStateInPandas(Machine(ttl_s), "job_id string, ts timestamp, event string, status string, applied boolean, late boolean", "Append", "ProcessingTime" if ttl_s else "None")
 
 
 class Breaker(StatefulProcessor):
     """Closed; open after ``k`` failures in a row; half open once ``recovery_s`` have passed; a success closes, a failure reopens."""
 
-    def __init__(self, k: int, recovery_s: float):
-        self.k, self.recovery_s = k, recovery_s
+    def __init__(self, k: int, recovery_s: float, idle_s: int):
+        self.k, self.recovery_s, self.idle_s = k, recovery_s, idle_s
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", StructType([StructField("name", StringType()), StructField("failures", LongType()), StructField("at", DoubleType())]))
+        self.state = handle.getValueState("state", StructType([StructField("name", StringType()), StructField("failures", LongType()), StructField("at", DoubleType())]), self.idle_s * 1000)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = _rows(rows)
-        name, failures, at = self.state.get() if self.state.exists() else ("closed", 0, 0.0)
-        out = []
+        pdf, out = _rows(rows), []
+        state = tuple(self.state.get()) if self.state.exists() else CLOSED
         for ts, ok in zip(pdf["ts"], pdf["ok"], strict=True):
-            t = ts.timestamp()
-            if name == "open" and t - at >= self.recovery_s:
-                name = "half_open"
-            allowed = name != "open"
-            if allowed and ok:
-                name, failures = "closed", 0
-            elif allowed:
-                failures += 1
-                if name == "half_open" or failures >= self.k:
-                    name, at = "open", t
-            out.append((allowed, name))
-        self.state.update((name, failures, at))
+            state, allowed = called(state, ts.timestamp(), bool(ok), self.k, self.recovery_s)
+            out.append((allowed, state[0]))
+        if state == CLOSED:
+            self.state.clear()
+        else:
+            self.state.update(state)
         yield pd.DataFrame({"endpoint": key[0], "ts": pdf["ts"].to_numpy(), "allowed": [x for x, _ in out], "state": [x for _, x in out]})
 
     def close(self) -> None:
         pass
 
 
-def breaker(df: DataFrame, k: int = 3, recovery_s: float = 60.0) -> DataFrame:
-    """``df(endpoint, ts, ok)`` -> each call with ``allowed`` and the ``state`` after it."""
-    return df.select("endpoint", "ts", "ok").groupBy("endpoint").transformWithStateInPandas(Breaker(k, recovery_s), "endpoint string, ts timestamp, allowed boolean, state string", "Append", "None")
+def breaker(df: DataFrame, k: int = 3, recovery_s: float = 60.0, idle_s: int = 86_400) -> DataFrame:
+    """``df(endpoint, ts, ok)`` -> each call with ``allowed`` and the ``state`` after it; a closed breaker keeps no state, another one for ``idle_s``."""
+    return df.select("endpoint", "ts", "ok").groupBy("endpoint").transformWithStateInPandas(Breaker(k, recovery_s, idle_s), "endpoint string, ts timestamp, allowed boolean, state string", "Append", "ProcessingTime")
 
 
-def timeouts(submissions: DataFrame, statuses: DataFrame, limit_s: int = 600) -> DataFrame:
-    """Submissions without any status within ``limit_s``: a stream-stream outer join with a time bound."""
+def timeouts(submissions: DataFrame, statuses: DataFrame, first_s: int = 600, last_s: int = 1800) -> DataFrame:
+    """Submissions without any status within ``first_s``, and those with one but no end within ``last_s``: outer joins with a time bound, in batch or stream."""
     left = submissions.select("job_id", F.col("ts").alias("submitted")).withWatermark("submitted", "1 minute")
-    right = statuses.select(F.col("job_id").alias("sid"), F.col("ts").alias("at"), "status").withWatermark("at", "1 minute")
-    bound = (F.col("job_id") == F.col("sid")) & (F.col("at") >= F.col("submitted")) & (F.col("at") <= F.col("submitted") + F.expr(f"interval {limit_s} seconds"))
-    return left.join(right, bound, "leftOuter").filter("sid is null").select("job_id", "submitted")
+
+    def missed(rows: DataFrame, limit_s: int, reason: str) -> DataFrame:
+        right = rows.select(F.col("job_id").alias("sid"), F.col("ts").alias("at")).withWatermark("at", "1 minute")
+        bound = (F.col("job_id") == F.col("sid")) & (F.col("at") >= F.col("submitted")) & (F.col("at") <= F.col("submitted") + F.expr(f"interval {limit_s} seconds"))
+        return left.join(right, bound, "leftOuter").filter("sid is null").select("job_id", "submitted", F.lit(reason).alias("reason"))
+
+    return missed(statuses, first_s, "no status").unionByName(missed(statuses.filter(F.col("status").isin(*TERMINAL)), last_s, "not finished"))
+
+
+class Overdue(StatefulProcessor):
+    """An event-time timer on each state that has a limit; the next event of the job cancels it."""
+
+    def __init__(self, limits: dict[str, int]):
+        self.limits = limits
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.now = handle.getValueState("now", StructType([StructField("status", StringType()), StructField("since", LongType()), StructField("timer", LongType())]))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        pdf, out = _rows(rows), []
+        status, since, timer = self.now.get() if self.now.exists() else ("", 0, 0)
+        for ts, new in zip(pdf["ts"], pdf["status"], strict=True):
+            at = int(ts.timestamp() * 1000)
+            if timer and at > timer:  # the limit passed before this event came
+                out.append((key[0], status, pd.Timestamp(since, unit="ms")))
+            status, since = new, at
+            if timer:
+                self.handle.deleteTimer(timer)
+            timer = at + 1000 * self.limits[new] if new in self.limits else 0
+            if timer:
+                self.handle.registerTimer(timer)
+        if timer:
+            self.now.update((status, since, timer))
+        elif self.now.exists():
+            self.now.clear()
+        yield pd.DataFrame(out, columns=["job_id", "status", "since"]).astype({"since": "datetime64[ns]"})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        status, since, _ = self.now.get()
+        self.now.clear()
+        yield pd.DataFrame({"job_id": [key[0]], "status": [status], "since": [pd.Timestamp(since, unit="ms")]})
+
+    def close(self) -> None:
+        pass
+
+
+#: Seconds that a job may run or stand paused.
+LIMITS = {"processing": 28_800, "paused": 3600}
+
+
+def overdue(df: DataFrame, limits: dict[str, int] = LIMITS, late: str = "1 minute") -> DataFrame:
+    """``df(job_id, ts, status)`` -> (job_id, status, since) of states that outlast their limit."""
+    rows = df.select("job_id", "ts", "status").withWatermark("ts", late)
+    return rows.groupBy("job_id").transformWithStateInPandas(Overdue(limits), "job_id string, status string, since timestamp", "Append", "EventTime")
+
+
+PARTS = 64
+
+
+def _part(post_id: Column) -> Column:
+    return F.pmod(F.xxhash64(post_id), F.lit(PARTS)).cast("int")
+
+
+def create_posts(posts: DataFrame, table: str) -> None:
+    """``posts(post_id, html, ...)`` as a table of ``PARTS`` parts by hash, each with a version of its own."""
+    posts.withColumn("part", _part(F.col("post_id"))).repartition(PARTS, "part").write.partitionBy("part").parquet(f"{table}/v0")
+    _publish(posts.sparkSession, table, {r.part: "v0" for r in posts.select(_part(F.col("post_id")).alias("part")).distinct().collect()})
+
+
+def _publish(spark: SparkSession, table: str, versions: dict[int, str]) -> None:
+    spark.createDataFrame([(f"{k} {v}",) for k, v in sorted(versions.items())], "value string").coalesce(1).write.mode("overwrite").text(f"{table}/_current")
+
+
+def _versions(spark: SparkSession, table: str) -> dict[int, str]:
+    return {int(k): v for k, v in (r.value.split() for r in spark.read.text(f"{table}/_current").collect())}
+
+
+def read_posts(spark: SparkSession, table: str, parts: list[int] | None = None) -> DataFrame:
+    """The current version of all posts, or of some parts."""
+    return spark.read.parquet(*[f"{table}/{v}/part={k}" for k, v in _versions(spark, table).items() if parts is None or k in parts])
 
 
 def apply_callbacks(events: DataFrame, table: str, checkpoint: str, widget: str = '<div class="audio-player"><audio src="%s"></audio></div>'):
-    """Completed callbacks put the player into their posts: each batch writes a new version of the table and then moves to it."""
+    """Completed callbacks put the player into their posts: a batch rewrites the parts that it touches and then moves the table to them.
+
+    At most ``PARTS`` numbers reach the driver.  Replaced versions of a part stay for readers that have begun.
+    """
 
     def one(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        last = spark.read.text(f"{table}/_current").first()[0]
-        posts = spark.read.parquet(f"{table}/{last}")
         done = batch.filter("status = 'completed'").select(post_of_job(F.col("job_id")).alias("post_id"), F.format_string(widget, F.col("audio_uri")).alias("#w"), "ts")
         newest = done.groupBy("post_id").agg(F.max_by("#w", "ts").alias("#w"))
-        new = posts.join(newest, "post_id", "left").withColumn("html", F.when(F.col("#w").isNotNull(), embed_player(F.col("html"), F.col("#w"))).otherwise(F.col("html"))).drop("#w")
-        new.write.mode("overwrite").parquet(f"{table}/v{epoch + 1}")
-        spark.createDataFrame([(f"v{epoch + 1}",)], "value string").coalesce(1).write.mode("overwrite").text(f"{table}/_current")
+        versions = _versions(spark, table)
+        touched = [r.part for r in newest.select(_part(F.col("post_id")).alias("part")).distinct().collect() if r.part in versions]
+        if not touched:
+            return
+        posts = read_posts(spark, table, touched)
+        new = posts.join(newest.hint("merge"), "post_id", "left").withColumn("html", F.when(F.col("#w").isNotNull(), embed_player(F.col("html"), F.col("#w"))).otherwise(F.col("html"))).drop("#w")
+        new.withColumn("part", _part(F.col("post_id"))).repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{table}/v{epoch + 1}")
+        _publish(spark, table, versions | {k: f"v{epoch + 1}" for k in touched})
 
     return events.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
 

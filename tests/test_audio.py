@@ -70,6 +70,35 @@ def test_gate(spark):
     assert all(r.passed for r in audio.acoustic_gate(df.limit(1), dry_run=True).collect())
 
 
+def test_gate_counts_what_the_frame_tables_say(spark):
+    rows = [(with_drops(n, each, 20), 50, None) for n, each in ((4, 0.8), (2, 0.7), (6, 0.4), (3, 2.5))] + [(speech(120, 3), 7, None), (np.zeros(SR), 1, None)]
+    df = clips(spark, rows)
+    fr = audio.frame_rms(audio.frames(df, 50, 50, inclusive=False))
+    found = {int(r.job_id): r["count"] for r in audio.drops(fr).groupBy("job_id").count().collect()}
+    rate = {int(r.job_id): r.onset_rate for r in audio.onset_rate(audio.frame_rms(audio.frames(df, 25, 10))).collect()}
+    for k, (x, _, _) in enumerate(rows):
+        x = x.astype(np.float32)
+        assert audio.count_drops(x, SR) == found.get(k, 0) and audio.onsets_per_second(x, SR) == pytest.approx(rate[k])
+    flat = {int(r.job_id): r.flatness for r in audio.mean_flatness(audio.frame_flatness(df)).collect()}
+    assert flat == pytest.approx({k: audio.flatness(x.astype(np.float32)) for k, (x, _, _) in enumerate(rows)})
+
+
+def test_trim_in_memory_equals_trim(spark):
+    parts = [np.zeros(SR // 2), sine(200, 0.7), np.zeros(SR)]
+    rows = [(np.concatenate(x), 1, None) for x in (parts, parts[1:], parts[:2], parts[:1])] + [(sine(200, 0.1), 1, None), (np.zeros(3), 1, None)]
+    got = {int(r.job_id): r.samples for r in audio.trim(clips(spark, rows).drop("word_count", "ref_f0")).collect()}
+    for k, (x, _, _) in enumerate(rows):
+        assert got[k] == pytest.approx(list(audio.trimmed(x.astype(np.float32).astype(float), SR)), abs=1e-6)
+    assert len(got[0]) == int(0.7 * SR)
+
+
+def test_channels(spark):
+    df = spark.createDataFrame([("j", 0, 10, 2, [0.5, -0.5, 0.25, 0.75])], "job_id string, seg_idx int, sr int, channels int, samples array<float>")
+    assert audio.convert(df, 10).first().samples == [0.0, 0.5]
+    assert audio.convert(df.drop("channels"), 10, 2).first().samples == [0.5, 0.5, -0.5, -0.5, 0.25, 0.25, 0.75, 0.75]
+    assert audio.convert(df, 20, 2).first().samples[:4] == [0.5, -0.5, 0.375, 0.125]
+
+
 def test_joins(spark):
     two = spark.createDataFrame([("j", k, SR, [float(v) for v in sine(200, 1)], 250) for k in range(2)], "job_id string, seg_idx int, sr int, samples array<float>, gap_ms int")
     assert len(audio.join_clips(two).first().samples) == 2 * SR + SR // 4

@@ -6,7 +6,7 @@ import json
 import numpy as np
 from pyspark.sql import functions as F
 
-from speechprep.operators import checks, jobs, models
+from speechprep.operators import checks, folds, jobs, models
 from speechprep.sources import tables
 
 T0 = dt.datetime(2024, 1, 1)
@@ -16,9 +16,21 @@ def at(s):
     return T0 + dt.timedelta(seconds=s)
 
 
+def test_quotes_are_spoken_apart(spark):
+    def voice(text, params, seed):
+        return np.full(4000, params.get("temperature", 0.0))
+
+    rows = [("j", 0, 'He said "yes, I do" and left.', {"temperature": 0.3}, 1), ("j", 1, "No quote here.", {"temperature": 0.2}, 1), ("j", 2, '"All of it."', None, 1)]
+    df = spark.createDataFrame(rows, "job_id string, seg_idx int, text string, params map<string,double>, seed int")
+    got = {r.seg_idx: np.array(r.samples) for r in models.speak(df, voice, 8000).collect()}
+    assert got[0].size == 3 * 4000 + 2 * 640 and got[1].size == 4000 and got[2].size == 4000
+    assert got[0][0] == np.float32(0.3) and got[0][4000:4640].max() == 0 and got[0][4640] == np.float32(0.45)
+    assert got[2][0] == np.float32(0.45)
+
+
 def test_limiter_counts_only_accepted(spark):
     log = spark.createDataFrame([("a", at(t)) for t in (0, 10, 20, 30, 65, 66, 67)], "key string, ts timestamp")
-    got = [r.accepted for r in jobs.rate_limited(log, 3, 60).orderBy("ts").collect()]
+    got = [r.accepted for r in folds.rate_limited(log, 3, 60).orderBy("ts").collect()]
     assert got == [True, True, True, False, True, False, False]
 
 
@@ -89,5 +101,8 @@ def test_retry_rounds(spark):
     def gate(clips):
         return clips.select("job_id", "seg_idx", (((F.col("job_id") == "j") & (F.col("word_count") <= 4))).alias("passed"))
 
-    got = {(r.job_id, r.seg_idx): (r.passed, r["round"]) for r in models.retry_rounds(segs, models.stand_in_voice, gate).collect()}
+    def voice(text, params, seed):  # 0.40 s of a sine for each word
+        return 0.3 * np.sin(2 * np.pi * (110 + seed % 50) * np.arange(int(0.4 * max(len(text.split()), 1) * 8000)) / 8000)
+
+    got = {(r.job_id, r.seg_idx): (r.passed, r["round"]) for r in models.retry_rounds(segs, voice, gate).collect()}
     assert got == {("j", 0): (True, 2), ("j", 1): (True, 0), ("k", 0): (False, 4)}

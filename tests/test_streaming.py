@@ -2,8 +2,11 @@
 
 import datetime as dt
 import json
+import time
 
-from speechprep.operators import jobs
+from pyspark.sql import functions as F
+
+from speechprep.operators import folds, jobs
 from speechprep.streaming import jobs as S
 
 T0 = dt.datetime(2024, 1, 1)
@@ -14,8 +17,15 @@ def at(s):
 
 
 def drained(spark, df, name, mode="append"):
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    """Rows once all input is worked; a query with state that expires by the clock would go on with empty batches."""
+    q = df.writeStream.format("memory").queryName(name).outputMode(mode).start()
+    try:
+        until = time.time() + 60
+        while not (q.lastProgress and any(p["numInputRows"] for p in q.recentProgress) and not q.lastProgress["numInputRows"]) and time.time() < until and q.isActive:
+            time.sleep(0.2)
+        assert q.exception() is None, q.exception()
+    finally:
+        q.stop()
     return spark.table(name).collect()
 
 
@@ -27,7 +37,7 @@ def as_stream(spark, df, path):
 def test_limiter_equals_batch(spark, tmp_path):
     log = spark.createDataFrame([(k, at(t * (1 + ord(k) % 3))) for k in "abc" for t in (0, 10, 20, 30, 65, 66, 67)], "key string, ts timestamp")
     got = {(r.key, r.ts.timestamp()): r.accepted for r in drained(spark, S.rate_limit(as_stream(spark, log, tmp_path / "log"), 3, 60), "limited")}
-    assert got == {(r.key, r.ts): r.accepted for r in jobs.rate_limited(log, 3, 60).collect()}
+    assert got == {(r.key, r.ts.timestamp()): r.accepted for r in folds.rate_limited(log, 3, 60).collect()}
 
 
 def test_machine_and_breaker(spark, tmp_path):
@@ -58,25 +68,56 @@ def test_posts_and_segments(spark, tmp_path):
     assert got == {(1, 0): ("One two.", 2), (2, 0): ("a b c", 3)}
 
 
+def test_late_rows_change_nothing(spark, tmp_path):
+    ev = spark.createDataFrame([("j", at(100), "processing")], "job_id string, ts timestamp, status string")
+    path = str(tmp_path / "ev")
+    ev.coalesce(1).write.parquet(path)
+    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    q = S.job_machine(stream, None).writeStream.format("memory").queryName("late").outputMode("append").start()
+    q.processAllAvailable()
+    spark.createDataFrame([("j", at(50), "paused"), ("j", at(150), "completed")], ev.schema).coalesce(1).write.mode("append").parquet(path)
+    q.processAllAvailable()
+    q.stop()
+    got = [(r.event, r.status, r.applied, r.late) for r in sorted(spark.table("late").collect(), key=lambda r: r.ts)]
+    assert got == [("paused", "processing", False, True), ("processing", "processing", True, False), ("completed", "completed", True, False)]
+
+
+def test_batch_folds_equal_streams(spark, tmp_path):
+    ev = spark.createDataFrame([(j, at(17 * k), s) for j in "ab" for k, s in enumerate(["queued", "processing", "paused", "resumed", "completed", "paused", "deleted", "processing"][:: 1 if j == "a" else -1])], "job_id string, ts timestamp, status string")
+    got = {(r.job_id, r.ts, r.status, r.applied) for r in drained(spark, S.job_machine(as_stream(spark, ev, tmp_path / "ev")), "machine_too")}
+    assert got == {(r.job_id, r.ts, r.state, r.applied) for r in folds.job_states(ev).collect()}
+    calls = spark.createDataFrame([(e, at(t * 20), (t + ord(e)) % 4 == 0) for e in "ef" for t in range(30)], "endpoint string, ts timestamp, ok boolean")
+    got = {(r.endpoint, r.ts, r.allowed, r.state) for r in drained(spark, S.breaker(as_stream(spark, calls, tmp_path / "calls")), "breaker_too")}
+    assert got == {(r.endpoint, r.ts, r.allowed, r.state) for r in folds.breaker_states(calls).collect()}
+
+
 def test_callbacks_move_the_table_on(spark, tmp_path):
-    table = str(tmp_path / "posts")
-    pid = "a" * 24
-    spark.createDataFrame([(pid, "<p>x</p>"), ("b" * 24, "<p>y</p>")], "post_id string, html string").write.parquet(f"{table}/v0")
-    spark.createDataFrame([("v0",)], "value string").coalesce(1).write.text(f"{table}/_current")
-    ev = spark.createDataFrame([(f"blog-pid-{pid}-s-1", at(0), "completed", "https://a")], "job_id string, ts timestamp, status string, audio_uri string")
+    table, pids = str(tmp_path / "posts"), [f"{k:024x}" for k in range(40)]
+    S.create_posts(spark.createDataFrame([(p, f"<p>{p}</p>") for p in pids], "post_id string, html string"), table)
+    ev = spark.createDataFrame([(f"blog-pid-{p}-s-1", at(0), "completed", "https://a") for p in pids[:2]], "job_id string, ts timestamp, status string, audio_uri string")
     S.apply_callbacks(as_stream(spark, ev, tmp_path / "ev"), table, str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
-    now = spark.read.text(f"{table}/_current").first()[0]
-    got = {r.post_id: r.html for r in spark.read.parquet(f"{table}/{now}").collect()}
-    assert "https://a" in got[pid] and got["b" * 24] == "<p>y</p>"
+    got = {r.post_id: r.html for r in S.read_posts(spark, table).collect()}
+    assert got.keys() == set(pids) and all(("https://a" in got[p]) == (p in pids[:2]) for p in pids)
+    assert 1 <= sum(v != "v0" for v in S._versions(spark, table).values()) <= 2
 
 
 def test_timeouts(spark, tmp_path):
-    subs = spark.createDataFrame([("j", at(0)), ("k", at(1)), ("late", at(100_000))], "job_id string, ts timestamp")
-    st = spark.createDataFrame([("j", at(30), "processing"), ("late", at(100_000), "processing")], "job_id string, ts timestamp, status string")
+    subs = spark.createDataFrame([("j", at(0)), ("k", at(1)), ("m", at(2)), ("late", at(100_000))], "job_id string, ts timestamp")
+    st = spark.createDataFrame([("j", at(30), "processing"), ("j", at(900), "completed"), ("m", at(30), "processing"), ("late", at(100_000), "completed")], "job_id string, ts timestamp, status string")
     df = S.timeouts(as_stream(spark, subs, tmp_path / "s"), as_stream(spark, st, tmp_path / "t"))
     q = df.writeStream.format("memory").queryName("timeouts").outputMode("append").start()
     q.processAllAvailable()
     q.stop()
-    assert [r.job_id for r in spark.table("timeouts").collect()] == ["k"]
+    want = {("k", "no status"), ("k", "not finished"), ("m", "not finished")}
+    assert {(r.job_id, r.reason) for r in spark.table("timeouts").collect()} == want
+    assert {(r.job_id, r.reason) for r in S.timeouts(subs, st).collect()} == want
 
 
+def test_overdue_states(spark, tmp_path):
+    ev = spark.createDataFrame([("a", at(0), "processing"), ("a", at(40_000), "completed"), ("b", at(0), "paused"), ("b", at(100), "resumed"), ("c", at(5), "paused"), ("z", at(200_000), "queued"), ("z", at(200_001), "completed")], "job_id string, ts timestamp, status string")
+    q = S.overdue(as_stream(spark, ev, tmp_path / "ev")).writeStream.format("memory").queryName("overdue").outputMode("append").start()
+    q.processAllAvailable()
+    q.stop()
+    got = {(r.job_id, r.status, r.since) for r in spark.table("overdue").collect()}
+    assert got == {("a", "processing", at(0)), ("c", "paused", at(5))}
+    assert got == {(r.job_id, r.status, r.since) for r in jobs.overdue(ev, F.lit(at(200_001)), S.LIMITS).collect()}
