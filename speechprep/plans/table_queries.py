@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from speechprep.functions import values as V
-from speechprep.operators import audio, checks, jobs
+from speechprep.operators import audio, checks, folds, jobs
 from speechprep.sources import tables
+from speechprep.sources.shared import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -274,7 +275,7 @@ def t5_worklist(spark, d):
 
 @query("SELECT conv_id AS doc_id, turn AS seg_idx, text FROM conversations")
 def t1_ordered(spark, d):
-    return _messages(spark, d).orderBy("doc_id", "seg_idx")
+    return jobs.ordered(_messages(spark, d))
 
 
 @query("SELECT page_id, url, CAST(NULL AS VARCHAR) AS site FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT page_id, url, 'b' AS site FROM pages WHERE page_id % 3 = 0")
@@ -421,10 +422,12 @@ def s7_public_url(spark, d):
     return table(spark, d, "events", "event_id", "case event_id % 4 when 0 then 'gs://b/k.mp3' when 1 then 's3://b/k/l.mp3' when 2 then 'local://k.mp3' else 'ftp://x' end as u").select("event_id", u["url"].alias("url"), u["reason"].alias("reason"))
 
 
-@query("SELECT page_id AS post_id, url FROM pages WHERE page_id % 2 = 0")
+@query("SELECT CAST(page_id AS VARCHAR) AS post_id, url FROM pages WHERE page_id % 2 = 0")
 def s1_read_articles(spark, d):
-    rows = table(spark, d, "pages", "page_id as post_id", "url", "case when page_id % 2 = 0 then 'published' else 'draft' end as status")
-    return rows.filter("status = 'published'").select("post_id", "url")
+    """Articles landed as files, read with their filter."""
+    path = new_folder(spark, "articles")
+    table(spark, d, "pages", "cast(page_id as string) as post_id", "concat('p-', page_id) as slug", "'a title' as title", "html", "'text' as plaintext", "url", "case when page_id % 2 = 0 then 'published' else 'draft' end as status", "'x' as lexical").write.parquet(path)
+    return tables.read_articles(spark, path).select("post_id", "url")
 
 
 @query("SELECT doc_id, doc_id % 3 = 0 AS ok FROM documents")
@@ -444,7 +447,7 @@ def s10_retention(spark, d):
     return tables.live(ev, "ts", 604_800, now).select("event_id", F.lit(True).alias("live")).unionByName(tables.expired(ev, "ts", 604_800, now).select("event_id", F.lit(False).alias("live")))
 
 
-@query()
+@query("SELECT page_id, CAST(page_id AS VARCHAR) AS post_id, CASE WHEN page_id % 3 = 0 THEN 's' END AS slug, CASE WHEN page_id % 3 = 2 THEN 'published' END AS status FROM pages")
 def s2_extract_post(spark, d):
     raw = "case page_id % 3 when 0 then concat('{\"post\":{\"current\":{\"id\":\"', page_id, '\",\"slug\":\"s\"}}}') when 1 then concat('{\"body\":{\"post\":{\"id\":\"', page_id, '\"}}}') else concat('{\"id\":\"', page_id, '\",\"status\":\"published\"}') end as raw"
     return tables.extract_post(table(spark, d, "pages", "page_id", raw)).select("page_id", "post_id", "slug", "status")
@@ -499,12 +502,31 @@ def w11_trim_bounds(spark, d):
     return audio.trim_bounds(scaled).select("job_id", "first_block", "end_block")
 
 
-@query()
+_RUNS = f"""
+WITH fr AS (SELECT job_id, frame_idx, CASE WHEN frame_idx % {{period}} > {{quiet}} THEN 0 ELSE rms + 0.02 END AS rms FROM {_FR})"""
+
+
+@query(
+    _RUNS.format(period=61, quiet=45)
+    + """, m AS (SELECT *, median(rms) OVER (PARTITION BY job_id ORDER BY frame_idx ROWS BETWEEN 40 PRECEDING AND CURRENT ROW) AS local FROM fr),
+l AS (SELECT *, CASE WHEN local < 0.01 THEN 'quiet' WHEN rms < 0.1 * local THEN 'low' ELSE 'normal' END AS label FROM m WHERE frame_idx >= 40),
+c AS (SELECT *, CASE WHEN lag(label) OVER (PARTITION BY job_id ORDER BY frame_idx) IS DISTINCT FROM label THEN 1 ELSE 0 END AS new FROM l),
+r AS (SELECT *, sum(new) OVER (PARTITION BY job_id ORDER BY frame_idx ROWS UNBOUNDED PRECEDING) AS run FROM c),
+g AS (SELECT job_id, run, label, count(*) AS n, min(frame_idx) AS start FROM r GROUP BY job_id, run, label),
+e AS (SELECT *, lead(label) OVER (PARTITION BY job_id ORDER BY run) AS after FROM g)
+SELECT job_id, CAST(0 AS INTEGER) AS seg_idx, start, CAST(n * 0.05 AS DOUBLE) AS seconds FROM e WHERE label = 'low' AND after = 'normal' AND n >= 12 AND n <= 40"""
+)
 def w9_drops(spark, d):
     return audio.drops(_frames(spark, d).withColumn("rms", F.when(F.col("frame_idx") % 61 > 45, 0.0).otherwise(F.col("rms") + 0.02)))
 
 
-@query()
+@query(
+    _RUNS.format(period=100, quiet=55)
+    + """, r AS (SELECT *, sum(CASE WHEN rms > 0 AND 20 * log10(CASE WHEN rms > 0 THEN rms ELSE 1 END) >= -40 THEN 1 ELSE 0 END) OVER (PARTITION BY job_id ORDER BY frame_idx ROWS UNBOUNDED PRECEDING) AS run,
+  rms <= 0 OR 20 * log10(CASE WHEN rms > 0 THEN rms ELSE 1 END) < -40 AS silent FROM fr),
+g AS (SELECT job_id, run, count(*) FILTER (silent) AS n FROM r GROUP BY job_id, run)
+SELECT job_id, CAST(0 AS INTEGER) AS seg_idx, count(*) FILTER (n * 0.05 >= 2.0) AS gaps FROM g GROUP BY job_id"""
+)
 def a15_silence_gaps(spark, d):
     return audio.silence_gaps(_frames(spark, d).withColumn("rms", F.when(F.col("frame_idx") % 100 > 55, 0.0).otherwise(F.col("rms") + 0.02)))
 
@@ -516,6 +538,10 @@ def _clips(spark, d):
     return sql_of(spark, d, "embeddings", _CLIPS)
 
 
+def total(samples):
+    return F.aggregate(samples, F.lit(0.0), lambda a, x: a + x.cast("double"))
+
+
 @query("SELECT seg_idx, round(sqrt(list_sum(list_transform(s, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))) / len(s)), 6) AS rms, round(len(s) / 100.0, 6) AS seconds FROM (SELECT CAST(vec_id AS INTEGER) AS seg_idx, embedding AS s FROM embeddings)")
 def g2_clip_levels(spark, d):
     return audio.clip_levels(_clips(spark, d)).select("seg_idx", F.round("rms", 6).alias("rms"), F.round("seconds", 6).alias("seconds"))
@@ -531,23 +557,38 @@ def g7_tail(spark, d):
     return audio.tail(_clips(spark, d), 200).select("seg_idx", F.size("samples").alias("n"), F.round(F.element_at("samples", 1).cast("double"), 6).alias("first_sample"))
 
 
-@query("SELECT CAST(label AS VARCHAR) AS job_id, CAST(sum(len(embedding)) + (count(*) - 1) * 5 AS INTEGER) AS n FROM embeddings GROUP BY label")
+@query("SELECT CAST(vec_id // 3 AS VARCHAR) AS job_id, CAST(sum(len(embedding)) + (count(*) - 1) * 5 AS INTEGER) AS n, round(sum(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE)))), 3) AS total, round(arg_max(CAST(embedding[-1] AS DOUBLE), vec_id), 5) AS last_sample FROM embeddings GROUP BY vec_id // 3")
 def g9_join_clips(spark, d):
-    return audio.join_clips(_clips(spark, d).withColumn("gap_ms", F.lit(50))).select("job_id", F.size("samples").alias("n"))
+    clips = sql_of(spark, d, "embeddings", "CAST(vec_id div 3 AS STRING) AS job_id, CAST(vec_id % 3 AS INTEGER) AS seg_idx, 100 AS sr, embedding AS samples, 50 AS gap_ms")
+    return audio.join_clips(clips).select("job_id", F.size("samples").alias("n"), F.round(total(F.col("samples")), 3).alias("total"), F.round(F.element_at("samples", -1).cast("double"), 5).alias("last_sample"))
+
+
+def tones(spark, d, seconds: str = "1 + 0.5 * (vec_id % 3)", sr: int = 4000):
+    """A clip of harmonics for each vector, whose cells set pitch and strengths."""
+    base = sql_of(spark, d, "embeddings", f"CAST(vec_id AS STRING) AS job_id, 0 AS seg_idx, {sr} AS sr, vec_id, embedding, 90 + 60 * abs(CAST(embedding[0] AS DOUBLE)) + vec_id % 40 AS hz, {seconds} AS s")
+    wave = lambda k: F.coalesce(F.try_element_at("embedding", F.lit(k + 1)), F.lit(0.1)).cast("double")
+    tone = F.transform(F.sequence(F.lit(0), (F.col("s") * sr).cast("int") - 1), lambda i: (0.3 * F.sin(i * F.col("hz") * 2 * 3.141592653589793 / sr) + 0.1 * wave(1) * F.sin(i * F.col("hz") * 4 * 3.141592653589793 / sr)).cast("float"))
+    return base.repartition(spark.sparkContext.defaultParallelism).select("job_id", "seg_idx", "sr", "vec_id", tone.alias("samples"))
 
 
 @query()
 def g5_acoustic_gate(spark, d):
-    """Tones made from each vector's label, judged with their features."""
-    base = sql_of(spark, d, "embeddings", "CAST(vec_id AS STRING) AS job_id, 0 AS seg_idx, 4000 AS sr, vec_id, label").withColumn("word_count", F.lit(5)).withColumn("ref_f0", F.lit(120.0))
-    tone = F.transform(F.sequence(F.lit(0), 4000 + 2000 * (F.col("vec_id") % 3).cast("int")), lambda i: (0.4 * F.sin(i * 2 * 3.141592653589793 * (120 + 20 * (F.col("vec_id") % 4)) / 4000)).cast("float"))
-    return audio.acoustic_gate(base.withColumn("samples", tone).repartition(spark.sparkContext.defaultParallelism))
+    """Tones made from the vectors, judged with their features."""
+    return audio.acoustic_gate(tones(spark, d).withColumn("word_count", F.lit(3)).withColumn("ref_f0", F.lit(120.0)))
 
 
-@query()
+@query(
+    """WITH RECURSIVE r AS (SELECT user_id AS key, ts, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS n FROM events),
+f AS (
+  SELECT key, ts, n, [t] AS kept, true AS accepted FROM r WHERE n = 1
+  UNION ALL
+  SELECT key, ts, n, CASE WHEN len(live) < 3 THEN list_append(live, t) ELSE live END, len(live) < 3 FROM (SELECT r.key, r.ts, r.t, r.n, list_filter(f.kept, lambda x: x > r.t - 36000) AS live FROM f JOIN r ON r.key = f.key AND r.n = f.n + 1)
+)
+SELECT key, ts, accepted FROM f"""
+)
 def st3_rate_limited(spark, d):
     """The sliding-log limiter's batch form over all requests."""
-    return jobs.rate_limited(table(spark, d, "events", "user_id as key", "ts"), limit=3, window_s=36_000)
+    return folds.rate_limited(table(spark, d, "events", "user_id as key", "ts"), limit=3, window_s=36_000)
 
 
 # prompts, texts and lookups
@@ -579,7 +620,7 @@ def n10_prompt(spark, d):
 @query("SELECT event_id, array_to_string(list_filter(['[M] x', 'a' || CAST(event_id AS VARCHAR), 'b', 'c', 'd', 'e', 'f'], lambda x: NOT starts_with(x, '['))[1:5], '|') AS top FROM events")
 def t3_top_missing(spark, d):
     items = F.expr("array('[M] x', concat('a', cast(event_id as string)), 'b', 'c', 'd', 'e', 'f')")
-    return table(spark, d, "events", "event_id").select("event_id", F.array_join(F.slice(F.filter(items, lambda x: ~x.startswith("[")), 1, 5), "|").alias("top"))
+    return table(spark, d, "events", "event_id").select("event_id", F.array_join(V.top_missing(items), "|").alias("top"))
 
 
 @query("SELECT doc_id, CAST(CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 2 END AS INTEGER) AS n FROM documents")
@@ -609,16 +650,18 @@ def s9_metrics_table(spark, d):
     return tables.metrics_table(jobs.job_counters(ev), jobs.duration_histogram(ev, "duration_s", [1, 10]), "job").drop("line")
 
 
-@query()
+_PADS = ["".join(f"\\x{b ^ pad:02X}" for b in b"key".ljust(64, b"\0")) for pad in (0x36, 0x5C)]
+
+
+@query(f"SELECT event_id, sha256('{_PADS[1]}'::BLOB || unhex(sha256('{_PADS[0]}'::BLOB || encode('v' || CAST(event_id AS VARCHAR))))) AS sig, event_id % 2 = 0 AS ok FROM events")
 def p14_verify_hmac(spark, d):
     body = F.concat(F.lit("v"), F.col("event_id").cast("string"))
-    signed = table(spark, d, "events", "event_id").withColumn("sig", F.when(F.col("event_id") % 2 == 0, V.hmac_sha256(body, b"key")).otherwise("0"))
-    return signed.select("event_id", checks.verify_hmac(body, F.col("sig"), b"key").alias("ok"))
+    signed = table(spark, d, "events", "event_id").withColumn("sig", V.hmac_sha256(body, b"key"))
+    given = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("sha256="), F.upper("sig"), F.lit(",t=1"))).otherwise(F.concat(F.lit("0"), F.substring("sig", 2, 63)))
+    return signed.select("event_id", "sig", (checks.verify_hmac(body, given, b"key") & (F.col("event_id") % 2 == 0)).alias("ok"))
 
 
 @query()
 def a14_clip_features(spark, d):
-    """Pitch, flatness, loudness and true peak of tones made from each vector's number."""
-    tone = F.transform(F.sequence(F.lit(0), F.lit(3999)), lambda i: (0.4 * F.sin(i * 2 * 3.141592653589793 * (120 + 20 * (F.col("vec_id") % 4)) / 4000)).cast("float"))
-    base = sql_of(spark, d, "embeddings", "CAST(vec_id AS STRING) AS job_id, 0 AS seg_idx, 4000 AS sr, vec_id")
-    return audio.features(base.withColumn("samples", tone).withColumn("ref_f0", F.lit(120.0)).drop("vec_id").repartition(spark.sparkContext.defaultParallelism))
+    """Pitch, flatness, loudness and true peak of tones made from the vectors."""
+    return audio.features(tones(spark, d).withColumn("ref_f0", F.lit(120.0)).drop("vec_id"))

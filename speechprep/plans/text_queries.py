@@ -301,3 +301,7 @@ def x34_spoken_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["x34_spoken_entities"] = x34_spoken_entities
+
+
+#: The segments of normalised texts, for the stream that makes them.
+SEGMENTS_OF_NORMALISED = ORACLES["x27_segment"].replace("replace(text, chr(10), chr(10) || chr(10)) AS t FROM documents", f"{replaced('replace(text, chr(10), chr(10) || chr(10))', *_PLAIN)} AS t FROM documents")

@@ -83,6 +83,18 @@ def write_clips(df: DataFrame, path: str) -> None:
     df.select("job_id", "sr", "samples").mapInPandas(run, "job_id string, wav binary").write.mode("overwrite").parquet(path)
 
 
+def decoded(df: DataFrame, kept: str, content: str = "wav") -> DataFrame:
+    """The columns ``kept`` (as DDL) with ``sr`` and ``samples`` of WAV bytes."""
+    names = [c.split()[0] for c in kept.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            both = [decode_wav(bytes(x)) for x in pdf[content]]
+            yield pdf[names].assign(sr=[sr for sr, _ in both], samples=[x for _, x in both])
+
+    return df.select(*names, content).mapInPandas(run, f"{kept}, sr int, samples array<float>")
+
+
 def notifications(events: DataFrame) -> DataFrame:
     """The outbox: one JSON payload for each completed or failed job event."""
     payload = F.struct("job_id", "status", F.col("audio_uri"), F.col("audio_uri").alias("gcs_uri"), F.substring("error", 1, 500).alias("error"))
