@@ -11,7 +11,7 @@ text has in common with an earlier place go, if there are several of them.
 
 Each task first settles its own rows: one entry per distinct span goes on, so a span that a third
 of all rows hold adds one entry per task to its bucket.  Buckets meet on the span's hash; what is
-removed comes back as positions by row and is joined to the texts.
+removed goes on in packs by the hash of its row, is put together row by row, and is joined to the texts.
 
 Edge cases: null text stays null; a text without words is unchanged; repeated rows (same doc_id and text)
 count as one row and get the same result; a null doc_id sorts first; removal may leave an empty
@@ -95,17 +95,28 @@ def row_keys(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return ids, mix(span_hash(buf, at[:-1], at[1:]) + mix(ids.astype(U), 11)).astype(np.int64)
 
 
-_SENT = pa.schema([("bucket", pa.int32()), ("row", pa.int64()), ("data", pa.binary())])
+_SENT = pa.schema([("bucket", pa.int32()), ("data", pa.binary())])
 _ENTRY = np.dtype([("hash", "<u8"), ("id", "<i8"), ("row", "<i8"), ("at", "<i4")])
 
 
-def _removed(row: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-    """Bucket -1: positions of removed runs, by row."""
-    order = np.lexsort((at, row))
-    row, at = row[order], at[order].astype("<i4")
-    first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if row.size else np.zeros(0, np.int64)
-    cells = [x.tobytes() for x in np.split(at, first[1:])] if row.size else []
-    return pa.RecordBatch.from_arrays([pa.array(np.full(first.size, -1, np.int32)), pa.array(row[first]), pa.array(cells, pa.binary())], schema=_SENT)
+def _packed(row: np.ndarray, at: np.ndarray, packs: int) -> pa.RecordBatch:
+    """Positions of removed runs in one cell for each of ``packs`` hash ranges of rows, numbered -1, -2, ...: rows, how many each, positions."""
+    to = (mix(row.astype(U), 61) % U(packs)).astype(np.int64)
+    order = np.lexsort((at, row, to))
+    row, at, to = row[order], at[order].astype("<i4"), to[order]
+    new = np.concatenate([[True], row[1:] != row[:-1]])
+    first = np.flatnonzero(new)
+    many = np.diff(np.append(first, row.size)).astype("<i4")
+    edge, ends = np.searchsorted(to[first], np.arange(packs + 1)), np.append(first, row.size)
+    some = np.flatnonzero(np.diff(edge))
+    cells = [np.int64(edge[k + 1] - edge[k]).tobytes() + row[first[edge[k] : edge[k + 1]]].tobytes() + many[edge[k] : edge[k + 1]].tobytes() + at[ends[edge[k]] : ends[edge[k + 1]]].tobytes() for k in some]
+    return pa.RecordBatch.from_arrays([pa.array((-1 - some).astype(np.int32)), pa.array(cells, pa.binary())], schema=_SENT)
+
+
+def _unpacked(cell: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = int(np.frombuffer(cell[:8], "<i8")[0])
+    row, many = np.frombuffer(cell[8 : 8 + 8 * n], "<i8"), np.frombuffer(cell[8 + 8 * n : 8 + 12 * n], "<i4")
+    return np.repeat(row, many), np.frombuffer(cell[8 + 12 * n :], "<i4")
 
 
 def _settle(e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -121,7 +132,7 @@ def _settle(e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return first, e["row"][other], e["at"][other]
 
 
-def _gather(buckets: int):
+def _gather(buckets: int, packs: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
@@ -129,14 +140,14 @@ def _gather(buckets: int):
             first, row, at = _settle(np.concatenate(held))
             held.clear()
             if row.size:
-                yield _removed(row, at)
+                yield _packed(row, at, packs)
             to = (first["hash"] % U(buckets)).astype(np.int64)
             order = np.argsort(to, kind="stable")
             first, to = first[order], to[order]
             edge = np.searchsorted(to, np.arange(buckets + 1))
             some = np.flatnonzero(np.diff(edge))
             cells = [first[edge[b] : edge[b + 1]].tobytes() for b in some]
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.zeros(some.size, np.int64)), pa.array(cells, pa.binary())], schema=_SENT)
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(cells, pa.binary())], schema=_SENT)
 
         size = 0
         for batch in batches:
@@ -157,29 +168,59 @@ def _gather(buckets: int):
     return run
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All entries of each bucket together; removed runs pass through.  Rows come sorted by bucket."""
+def _meet(packs: int):
+    """All entries of each bucket together; packs pass through.  Rows come sorted by bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = [], None
+        gone: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def out(last: bool = False) -> Iterator[pa.RecordBatch]:
+            if held:
+                gone.append(_settle(np.concatenate(held))[1:])
+                held.clear()
+            if last or sum(row.size for row, _ in gone) >= HELD:
+                row, at = (np.concatenate([np.zeros(0, "<i8"), *x]) for x in zip(*gone, strict=True)) if gone else (np.zeros(0, "<i8"),) * 2
+                if row.size:
+                    yield _packed(row, at, packs)
+                gone.clear()
+
+        for batch in batches:
+            bucket = batch.column("bucket").to_numpy()
+            if (passed := bucket < 0).any():
+                yield batch.filter(pa.array(passed)).cast(_SENT)
+            for i in np.flatnonzero(~passed):
+                if bucket[i] != now:
+                    yield from out()
+                    now = bucket[i]
+                held.append(np.frombuffer(batch.column("data")[int(i)].as_py(), dtype=_ENTRY))
+        yield from out(True)
+
+    return run
+
+
+def _by_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packs of each number together: one row for each text, with all its positions."""
     held, now = [], None
-    gone: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def out(last: bool = False) -> Iterator[pa.RecordBatch]:
-        if held:
-            gone.append(_settle(np.concatenate(held))[1:])
-            held.clear()
-        if gone and (last or sum(row.size for row, _ in gone) >= HELD):  # one cell for a row, whatever its number of buckets
-            yield _removed(*(np.concatenate(x) for x in zip(*gone, strict=True)))
-            gone.clear()
+    def out() -> Iterator[pa.RecordBatch]:
+        row, at = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        order = np.lexsort((at, row))
+        row, at = row[order], at[order]
+        keep = np.concatenate([[True], (row[1:] != row[:-1]) | (at[1:] != at[:-1])])
+        row, at = row[keep], at[keep]
+        first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+        yield pa.RecordBatch.from_arrays([pa.array(row[first]), pa.array([x.tobytes() for x in np.split(at, first[1:])], pa.binary())], names=["row", "gone"])
 
     for batch in batches:
-        bucket = batch.column("bucket").to_numpy()
-        if (passed := bucket < 0).any():
-            yield batch.filter(pa.array(passed)).cast(_SENT)
-        for i in np.flatnonzero(~passed):
-            if bucket[i] != now:
+        for bucket, cell in zip(batch.column("bucket").to_pylist(), batch.column("data").to_pylist(), strict=True):
+            if bucket != now and held:
                 yield from out()
-                now = bucket[i]
-            held.append(np.frombuffer(batch.column("data")[int(i)].as_py(), dtype=_ENTRY))
-    yield from out(True)
+            now = bucket
+            held.append(_unpacked(cell))
+    if held:
+        yield from out()
 
 
 def _keyed(names: list[str]):
@@ -199,7 +240,7 @@ def _cut(names: list[str], text_at: int, out_names: list[str]):
                 gone = np.zeros(s.doc.size + 1, dtype=np.int64)
                 for d, cell in enumerate(part.column(len(names)).to_pylist()):
                     if cell:
-                        i = s.at[d] + np.unique(np.concatenate([np.frombuffer(x, dtype="<i4") for x in cell]))
+                        i = s.at[d] + np.frombuffer(cell, dtype="<i4")
                         np.add.at(gone, i, 1)
                         np.add.at(gone, s.ends(i), -1)
                 out = np.cumsum(gone)[: s.doc.size] > 0
@@ -225,11 +266,12 @@ def remove_repeats(docs: DataFrame, counts: tuple[str, str] = ("n_sentences", "n
     """All rows and columns of ``docs`` with ``text`` cut, and two more named by ``counts``: sentences before, and removed."""
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(8, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
-    sent = docs.select("doc_id", "text").mapInArrow(_gather(buckets), "bucket int, row long, data binary")
-    met = sent.repartition(F.when(F.col("bucket") < 0, F.col("row")).otherwise(F.col("bucket").cast("long"))).sortWithinPartitions("bucket").mapInArrow(_meet, "bucket int, row long, data binary")
+    packs = max(8, buckets // 4)
+    sent = docs.select("doc_id", "text").mapInArrow(_gather(buckets, packs), "bucket int, data binary")
+    met = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meet(packs), "bucket int, data binary")
     names = [f.name for f in docs.schema]
     row, at, gone = fresh(names, "#row", "#at", "#gone")
-    found = met.groupBy("row").agg(F.collect_list("data").alias(gone)).select(F.col("row").alias(at), gone)
+    found = met.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_by_row, "row long, gone binary").select(F.col("row").alias(at), F.col("gone").alias(gone))
     keyed = docs.mapInArrow(_keyed([*names, row]), T.StructType([*docs.schema.fields, T.StructField(row, T.LongType())]))
     joined = keyed.join(found.hint("shuffle_hash"), F.col(row) == F.col(at), "left").select(*[F.col(f"`{c}`") for c in names], gone)
     schema = T.StructType([*docs.schema.fields, *[T.StructField(c, T.LongType()) for c in counts]])
