@@ -1,27 +1,35 @@
-"""An interpolated modified Kneser-Ney bigram model, counted in Spark and read from memory maps.
+"""An interpolated modified Kneser-Ney model of order 2 or 3, counted in Spark and read from memory maps.
 
 1. Word counts: tasks send one sorted block of (hash, count) per bucket; buckets add them up.
-2. Bigram counts, likewise in shards by the hash of the first word.  A first word with more than
-   1/8 of a shard's share of tokens is *hot* (so there are at most 8 x shards of them) and its
-   bigrams are spread by both words.  Each shard writes its sorted hash array and counts
-   to the shared folder and sends on, per word, what it adds to the word's statistics: how many
-   followers it has by count 1, 2, 3+, and how many predecessors (continuation count).
-3. Buckets add these to the word counts and write the sorted word arrays.
-4. Workers memory-map the arrays and score whole texts by sorted binary search.
-
-p(w|v) = (c(vw) - D)/c(v) + g(v) p1(w), and p1 likewise from continuation counts over the uniform
-distribution on the vocabulary and one unknown word.  The model's files grow with the corpus and
-stay on the shared folder, which must be a mounted file system (``file:``), as memory maps need one;
-a worker's resident part is what it touches.  Files are written under another name and then
-renamed, so a task that runs twice leaves the same file.
+2. With order 3, trigram counts in shards by the hash of the context (u, v).  Each shard writes its
+   sorted hash array and counts to the shared folder, and sends on the contexts' statistics (how
+   often, followers by count 1, 2, 3+) and each distinct trigram's last two words.
+3. Bigrams in shards by the hash of the first word: with order 2 counted in the text, with order 3
+   by the number of words before them.  Each shard writes its arrays and sends on, per word, how
+   often it is a context, its followers by count 1, 2, 3+, and its number of predecessors.
+4. Buckets add these to the word counts and write the sorted word arrays.
+5. Workers memory-map the arrays and score whole texts by sorted binary search.
+
+A word with more than 1/8 of a shard's share of tokens is *hot* (so there are at most 8 x shards of
+them): its bigrams are spread by both words, and the trigrams behind two hot words by all three.  The
+number of shards follows the bytes of the training texts.
+
+p(w|uv) = (c(uvw) - D)/c(uv) + g(uv) p(w|v), p(w|v) and p(w) likewise from continuation counts (with
+order 2, p(w|v) from counts), the last over the uniform distribution on the vocabulary and one
+unknown word.  The model's files grow with the corpus and stay on the shared folder, which must be a
+mounted file system (``file:``), as memory maps need one; a worker's resident part is what it
+touches; ``Model.drop`` deletes them.  Files are written under another name and then renamed, so a task
+that runs twice leaves the same file.
 
 Edge cases: a null or empty text has one token, its end; without training rows N = V = 0 and every
-probability is 1; repeated rows count as often as they stand; columns but doc_id and text are ignored.
+probability is 1; repeated rows count as often as they stand; equal texts have equal scores; columns but
+doc_id, held_out and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import os
+import shutil
 import uuid
 from collections.abc import Iterator
 
@@ -36,7 +44,11 @@ from speechprep.llm.store import cut, new_folder
 END, BEGIN = U(0x6A09E667F3BCC908), U(0xBB67AE8584CAA73B)
 #: Distinct entries that a task holds before it sends them on, and bytes of text scored at once.
 HELD, SCORED = 2_000_000, 4 << 20
-_WORD = np.dtype([("word", "<u8"), ("c", "<u8"), ("cc", "<u4"), ("n1", "<u4"), ("n2", "<u4"), ("n3", "<u4")])
+#: Bytes of training text for a shard.
+SHARD_BYTES = 16 << 20
+#: c: how often in the text; t: how often as a context; cc: words before it.
+_WORD = np.dtype([("word", "<u8"), ("c", "<u8"), ("t", "<u8"), ("cc", "<u4"), ("n1", "<u4"), ("n2", "<u4"), ("n3", "<u4")])
+_CONTEXT = np.dtype([("word", "<u8"), ("t", "<u8"), ("n1", "<u4"), ("n2", "<u4"), ("n3", "<u4")])
 _BLOCK = "bucket int, kind int, a binary, b binary, c binary, d binary, e binary"
 _SCHEMA = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), *((x, pa.binary()) for x in "abcde")])
 
@@ -64,6 +76,14 @@ def pair(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     return mix(v * U(0x9E3779B97F4A7C15) + mix(w, 21))
 
 
+def crowded(u: np.ndarray, v: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    return np.isin(u, hot) & np.isin(v, hot)
+
+
+def triple_shard(context: np.ndarray, key: np.ndarray, spread: np.ndarray, shards: int) -> np.ndarray:
+    return (np.where(spread, key, mix(context, 31)) % U(shards)).astype(np.int64)
+
+
 def shard_of(v: np.ndarray, key: np.ndarray, hot: np.ndarray, shards: int) -> np.ndarray:
     own = np.where(np.isin(v, hot), key, mix(v, 31)) if hot.size else mix(v, 31)
     return (own % U(shards)).astype(np.int64)
@@ -207,6 +227,75 @@ def _shard_rows(v: np.ndarray, w: np.ndarray, c: np.ndarray, to: np.ndarray, sha
     return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.zeros(some.size, np.int32)), *(pa.array(x, pa.binary()) for x in cells), pa.array([None] * some.size, pa.binary())], schema=_SCHEMA)
 
 
+def _count_triples(shards: int, hot: np.ndarray):
+    """Kind 5: contexts, second words, third words, counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def send() -> pa.RecordBatch:
+            spread, context, v, w, c = (np.concatenate([x[i] for x in held]) for i in range(5))
+            held.clear()
+            key = pair(context, w)
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            spread, context, v, w = (x[order][first] for x in (spread, context, v, w))
+            return _blocks(triple_shard(context, key[first], spread, shards), shards, 5, context, v, w, np.add.reduceat(c[order], first).astype("<u4"))
+
+        for words, at in _training(batches):
+            v = before(words, at)
+            u = before(v, at)
+            context = pair(u, v)
+            _, first, c = np.unique(pair(context, words), return_index=True, return_counts=True)
+            held.append((crowded(u[first], v[first], hot), context[first], v[first], words[first], c))
+            size += first.size
+            if size >= HELD:
+                yield send()
+                size = 0
+        if held:
+            yield send()
+
+    return run
+
+
+def _write_counts(path: str, key: np.ndarray, c: np.ndarray) -> None:
+    """Sorted keys with counts in a byte, and those of 255 or more apart."""
+    over = np.flatnonzero(c >= 255)
+    _write(path, np.array([key.size, over.size], "<u8"), key, key[over], c[over].astype("<u8"), np.minimum(c, 255).astype("u1"))
+
+
+def _of_counts(c: np.ndarray) -> np.ndarray:
+    """The numbers of entries with count 1 to 4, as one cell."""
+    return np.array([(c == k).sum() for k in (1, 2, 3, 4)], "<i8")[None, :].view("V32").reshape(-1)
+
+
+def _add_triples(folder: str, shards: int, hot: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, rows in _each(batches):
+            context, v, w = (_joined(rows, 5, x, "<u8") for x in "abc")
+            c = _joined(rows, 5, "d", "<u4").astype(np.int64)
+            del rows
+            key = pair(context, w)
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            key, context, v, w, c = key[first], context[order][first], v[order][first], w[order][first], np.add.reduceat(c[order], first)
+            _write_counts(f"{folder}/triples-{shard}", key, c)
+            x = added(context, c, *((on).astype("<u4") for on in (c == 1, c == 2, c >= 3)))
+            yield _blocks(bucket_of(x[0], shards), shards, 4, x[0], x[1].astype("<u8"), *(y.astype("<u4") for y in x[2:]))
+            yield _blocks(np.zeros(1, np.int64), 1, 6, _of_counts(c))
+            both = pair(v, w)
+            order = np.argsort(both, kind="stable")
+            first = np.flatnonzero(np.concatenate([[True], both[order][1:] != both[order][:-1]]))
+            v, w, c = v[order][first], w[order][first], np.diff(np.append(first, both.size))
+            to = shard_of(v, both[order][first], hot, shards)
+            order = np.lexsort((v, to))
+            yield _shard_rows(v[order], w[order], c[order], to[order], shards)
+
+    return run
+
+
 def _write(path: str, *arrays: np.ndarray) -> None:
     os.makedirs(os.path.dirname(path), exist_ok=True)
     own = f"{path}.{uuid.uuid4().hex}"
@@ -219,43 +308,55 @@ def _write(path: str, *arrays: np.ndarray) -> None:
 def _add_pairs(folder: str, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, rows in _each(batches):
+            if any(r["kind"] == 4 for r in rows):
+                x = added(_joined(rows, 4, "a", "<u8"), _joined(rows, 4, "b", "<u8"), *(_joined(rows, 4, n, "<u4") for n in "cde"))
+                out = np.zeros(x[0].size, dtype=_CONTEXT)
+                for name, y in zip(_CONTEXT.names, x, strict=True):
+                    out[name] = y
+                _write(f"{folder}/contexts-{shard}", out)
+            for r in rows:
+                if r["kind"] == 6:
+                    yield pa.RecordBatch.from_pylist([r | {"bucket": 0}], schema=_SCHEMA)
             v = np.repeat(_joined(rows, 0, "a", "<u8"), _joined(rows, 0, "b", "<u4"))
             w, c = _joined(rows, 0, "c", "<u8"), _joined(rows, 0, "d", "<u4").astype(np.int64)
             del rows
+            if not v.size:
+                continue
             key = pair(v, w)
             order = np.argsort(key, kind="stable")
             key = key[order]
             first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             key, v, w, c = key[first], v[order][first], w[order][first], np.add.reduceat(c[order], first)
-            over = np.flatnonzero(c >= 255)
-            _write(f"{folder}/pairs-{shard}", np.array([key.size, over.size], "<u8"), key, key[over], c[over].astype("<u8"), np.minimum(c, 255).astype("u1"))
-            x = added(v, (c == 1).astype("<u4"), (c == 2).astype("<u4"), (c >= 3).astype("<u4"))
-            yield _blocks(bucket_of(x[0], buckets), buckets, 1, x[0], *(y.astype("<u4") for y in x[1:]))
+            _write_counts(f"{folder}/pairs-{shard}", key, c)
+            x = added(v, c, *(on.astype("<u4") for on in (c == 1, c == 2, c >= 3)))
+            yield _blocks(bucket_of(x[0], buckets), buckets, 1, x[0], x[1].astype("<u8"), *(y.astype("<u4") for y in x[2:]))
             y, cc = added(w, np.ones(w.size, np.int64))
             yield _blocks(bucket_of(y, buckets), buckets, 2, y, cc.astype("<u4"))
-            totals = np.array([(c == k).sum() for k in (1, 2, 3, 4)], "<i8")
-            yield _blocks(np.zeros(1, np.int64), 1, 3, totals[None, :].view("V32").reshape(-1))
+            yield _blocks(np.zeros(1, np.int64), 1, 3, _of_counts(c))
 
     return run
 
 
+_STATS = [f"{x}{i}" for x in "tpl" for i in range(1, 5)] + ["types", "l3up"]
+
+
 def _finish_words(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, rows in _each(batches):
             word, c = added(_joined(rows, 0, "a", "<u8"), _joined(rows, 0, "b", "<u8"))
             out = np.zeros(word.size, dtype=_WORD)
             out["word"], out["c"] = word, c
-            v, *n = added(_joined(rows, 1, "a", "<u8"), *(_joined(rows, 1, x, "<u4") for x in "bcd"))
+            v, *n = added(_joined(rows, 1, "a", "<u8"), _joined(rows, 1, "b", "<u8"), *(_joined(rows, 1, x, "<u4") for x in "cde"))
             at = np.searchsorted(word, v)
-            for name, x in zip(("n1", "n2", "n3"), n, strict=True):
+            for name, x in zip(("t", "n1", "n2", "n3"), n, strict=True):
                 out[name][at] = x
             w, cc = added(_joined(rows, 2, "a", "<u8"), _joined(rows, 2, "b", "<u4").astype(np.int64))
             out["cc"][np.searchsorted(word, w)] = cc
             _write(f"{folder}/words-{bucket}", out)
-            pairs = np.frombuffer(b"".join(r["a"] for r in rows if r["kind"] == 3), "<i8").reshape(-1, 4).sum(axis=0)
+            triples, pairs = (np.frombuffer(b"".join(r["a"] for r in rows if r["kind"] == k), "<i8").reshape(-1, 4).sum(axis=0) for k in (6, 3))
             cc = out["cc"]
             low = [int((cc == k).sum()) for k in (1, 2, 3, 4)]
-            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (*map(int, pairs), *low, int(cc.sum(dtype=np.int64)), int((cc >= 3).sum()))], names=[f"p{i}" for i in range(1, 5)] + [f"l{i}" for i in range(1, 5)] + ["types", "l3up"])
+            yield pa.RecordBatch.from_arrays([pa.array([int(x)]) for x in (*triples, *pairs, *low, cc.sum(dtype=np.int64), (cc >= 3).sum())], names=_STATS)
 
     return run
 
@@ -273,23 +374,26 @@ def discounts(n: list[int]) -> tuple[float, float, float]:
 class Model:
     """Opened once in each worker: sorted arrays as memory maps, and the few numbers that hold for all."""
 
-    def __init__(self, folder: str, shards: int, hot: np.ndarray, n: int, v: int, high: tuple, low: tuple, types: int, lows: tuple[int, int, int]):
-        self.folder, self.shards, self.hot, self.n, self.v, self.high, self.low, self.types = folder, shards, hot, n, v, high, low, types
-        self.left = sum(d * k for d, k in zip(low, lows, strict=True))
+    def __init__(self, folder: str, shards: int, hot: np.ndarray, n: int, v: int, order: int, stats: dict[str, int]):
+        self.folder, self.shards, self.hot, self.n, self.v, self.order, self.types = folder, shards, hot, n, v, order, stats["types"]
+        self.top, self.high, self.low = (discounts([stats[f"{x}{i}"] for i in range(1, 5)]) for x in "tpl")
+        self.left = sum(d * k for d, k in zip(self.low, (stats["l1"], stats["l2"], stats["l3up"]), strict=True))
         self.maps: dict[str, tuple] = {}
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"maps": {}}
 
-    def words_in(self, bucket: int) -> np.ndarray:
-        name = f"words-{bucket}"
+    def drop(self) -> None:
+        """Delete the files; scores can't be made any more."""
+        shutil.rmtree(self.folder, ignore_errors=True)
+
+    def table_in(self, name: str, dtype: np.dtype) -> np.ndarray:
         if name not in self.maps:
             path = f"{self.folder}/{name}"
-            self.maps[name] = np.memmap(path, dtype=_WORD, mode="r") if os.path.exists(path) and os.path.getsize(path) else np.zeros(0, _WORD)
+            self.maps[name] = np.memmap(path, dtype=dtype, mode="r") if os.path.exists(path) and os.path.getsize(path) else np.zeros(0, dtype)
         return self.maps[name]
 
-    def pairs_in(self, shard: int) -> tuple[np.ndarray, ...]:
-        name = f"pairs-{shard}"
+    def counts_in(self, name: str) -> tuple[np.ndarray, ...]:
         if name not in self.maps:
             path = f"{self.folder}/{name}"
             if not os.path.exists(path):
@@ -301,30 +405,29 @@ class Model:
                 self.maps[name] = (raw[16 : cut_at[1]].view("<u8"), raw[cut_at[3] :], raw[cut_at[1] : cut_at[2]].view("<u8"), raw[cut_at[2] : cut_at[3]].view("<u8"))
         return self.maps[name]
 
-    def look(self, words: np.ndarray) -> np.ndarray:
-        """Entries of distinct sorted words; zeros where there is none."""
-        out = np.zeros(words.size, dtype=_WORD)
-        to = bucket_of(words, self.shards)
+    def look(self, keys: np.ndarray, kind: str = "words", dtype: np.dtype = _WORD) -> np.ndarray:
+        """Entries of distinct sorted keys; zeros where there is none."""
+        out = np.zeros(keys.size, dtype=dtype)
+        to = bucket_of(keys, self.shards)
         order = np.argsort(to, kind="stable")
         edge = np.searchsorted(to[order], np.arange(self.shards + 1))
         for b in np.flatnonzero(np.diff(edge)):
-            mine, have = order[edge[b] : edge[b + 1]], self.words_in(b)
+            mine, have = order[edge[b] : edge[b + 1]], self.table_in(f"{kind}-{b}", dtype)
             if have.size:
                 column = have["word"]
-                at = np.minimum(np.searchsorted(column, words[mine]), have.size - 1)
-                on = column[at] == words[mine]
+                at = np.minimum(np.searchsorted(column, keys[mine]), have.size - 1)
+                on = column[at] == keys[mine]
                 out[mine[on]] = have[at[on]]
         return out
 
-    def counts(self, v: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        """Counts of distinct pairs, given by first word and sorted key."""
+    def counts(self, kind: str, to: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Counts of distinct sorted keys in the shards ``to``."""
         out = np.zeros(keys.size)
-        to = shard_of(v, keys, self.hot, self.shards)
         order = np.argsort(to, kind="stable")
         edge = np.searchsorted(to[order], np.arange(self.shards + 1))
         for s in np.flatnonzero(np.diff(edge)):
             mine = order[edge[s] : edge[s + 1]]
-            column, small, over, large = self.pairs_in(s)
+            column, small, over, large = self.counts_in(f"{kind}-{s}")
             if not column.size:
                 continue
             at = np.minimum(np.searchsorted(column, keys[mine]), column.size - 1)
@@ -354,14 +457,15 @@ class Model:
         prior[at[:-1]] = begin
         v = before(words, at)
         keys, first, back = np.unique(pair(v, words), return_index=True, return_inverse=True)
-        c = self.counts(v[first], keys)
-        context = entry[prior[first]]
-        total = context["c"].astype(np.float64)
-        d1, d2, d3 = self.high
-        d = np.select([c == 0, c == 1, c == 2], [0.0, d1, d2], d3)
-        spare = d1 * context["n1"] + d2 * context["n2"] + d3 * context["n3"]
-        p1 = self.single(entry["cc"][which[first]])
-        p = np.where(total > 0, (c - d + spare * p1) / np.maximum(total, 1), p1)
+        c = self.counts("pairs", shard_of(v[first], keys, self.hot, self.shards), keys)
+        p = interpolated(c, entry[prior[first]], self.high, self.single(entry["cc"][which[first]]))
+        if self.order == 3:
+            lower, u = p[back], before(v, at)
+            context = pair(u, v)
+            keys, first, back = np.unique(pair(context, words), return_index=True, return_inverse=True)
+            c = self.counts("triples", triple_shard(context[first], keys, crowded(u[first], v[first], self.hot), self.shards), keys)
+            known, at_context = np.unique(context[first], return_inverse=True)
+            p = interpolated(c, self.look(known, "contexts", _CONTEXT)[at_context], self.top, lower[first])
         count = entry["c"].astype(np.float64)
         base = np.log10((count + 1) / (self.n + self.v + 1))
         sums = [np.concatenate([[0.0], np.cumsum(x)]) for x in ((count > 0)[which], base[which], np.log10(p)[back])]
@@ -369,18 +473,28 @@ class Model:
         return known.astype(np.int64), based, scored
 
 
+def interpolated(c: np.ndarray, context: np.ndarray, discount: tuple[float, float, float], lower: np.ndarray) -> np.ndarray:
+    """The discounted share of each count in its context, and what is spared times the lower order; that alone where the context is unknown."""
+    total = context["t"].astype(np.float64)
+    d = np.select([c == 0, c == 1, c == 2], [0.0, *discount[:2]], discount[2])
+    spare = sum(x * context[n] for x, n in zip(discount, ("n1", "n2", "n3"), strict=True))
+    return np.where(total > 0, (c - d + spare * lower) / np.maximum(total, 1), lower)
+
+
 def local_path(uri: str) -> str:
     if "://" in uri and not uri.startswith("file://"):
         raise ValueError(f"memory maps need a mounted shared folder, not {uri}; give model_dir")
     return uri.removeprefix("file://")
 
 
-def fit(train: DataFrame, model_dir: str | None = None) -> Model:
+def fit(train: DataFrame, order: int = 3, model_dir: str | None = None) -> Model:
     """Count ``train(text)`` and write the model to a new folder in ``model_dir`` or the shared folder."""
+    if order not in (2, 3):
+        raise ValueError("the order is 2 or 3")
     spark = train.sparkSession
     folder = local_path(f"{model_dir}/kneser-ney-{uuid.uuid4().hex}" if model_dir else new_folder(spark, "kneser-ney"))
-    shards = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     text = train.select("text")
+    shards = max(8, -(-(text.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD_BYTES))
 
     def meet(df: DataFrame) -> DataFrame:
         return df.repartition(shards, "bucket").sortWithinPartitions("bucket")
@@ -388,10 +502,14 @@ def fit(train: DataFrame, model_dir: str | None = None) -> Model:
     words = cut(meet(text.mapInArrow(_count_words(shards), _BLOCK)).mapInArrow(_add_words, _BLOCK), "word-counts")
     n, v = words.mapInArrow(_sizes, "n long, v long").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     hot = np.array([r.word & (1 << 64) - 1 for r in words.mapInArrow(_frequent(max(1, -(-n // (8 * shards)))), "word long").collect()], dtype=U)
-    pairs = meet(text.mapInArrow(_count_pairs(shards, hot), _BLOCK)).mapInArrow(_add_pairs(folder, shards), _BLOCK)
-    stats = meet(words.unionByName(pairs)).mapInArrow(_finish_words(folder), ", ".join([f"p{i} long" for i in range(1, 5)] + [f"l{i} long" for i in range(1, 5)] + ["types long", "l3up long"]))
-    r = stats.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in stats.columns)).first()
-    return Model(folder, shards, hot, n, v, discounts([r.p1, r.p2, r.p3, r.p4]), discounts([r.l1, r.l2, r.l3, r.l4]), r.types, (r.l1, r.l2, r.l3up))
+    if order == 3:
+        counted = meet(text.mapInArrow(_count_triples(shards, hot), _BLOCK)).mapInArrow(_add_triples(folder, shards, hot), _BLOCK)
+    else:
+        counted = text.mapInArrow(_count_pairs(shards, hot), _BLOCK)
+    pairs = meet(counted).mapInArrow(_add_pairs(folder, shards), _BLOCK)
+    stats = meet(words.unionByName(pairs)).mapInArrow(_finish_words(folder), ", ".join(f"{x} long" for x in _STATS))
+    found = stats.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in _STATS)).first()
+    return Model(folder, shards, hot, n, v, order, found.asDict())
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

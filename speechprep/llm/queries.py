@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from speechprep.llm import bpe, decontam, fingerprint, kneser_ney, langid, licenses, near_dup, shards, substring, urls
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
+LM_ORDER = 3
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -55,7 +56,7 @@ def op7_url_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", (langid.fold(F.col("doc_id"), 7) == 2).alias("held_out"), "text")
-    return kneser_ney.score(docs, kneser_ney.fit(docs.filter("not held_out")))
+    return kneser_ney.score(docs, kneser_ney.fit(docs.filter("not held_out"), LM_ORDER))
 
 
 def op9_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:

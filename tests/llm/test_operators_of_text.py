@@ -278,59 +278,67 @@ def test_url_cases(url, want):
     assert (host, path, *urls.Trie(urls.RULES).match(host, path)) == want
 
 
-def brute_kneser_ney(docs, train):
+def brute_kneser_ney(docs, train, order):
     def words(t):
         return re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate({c: c + 32 for c in range(65, 91)})) + ["</s>"]
 
-    uni, bi = Counter(), Counter()
+    def level(counts):
+        """Total and followers by count of each context, and the discounts."""
+        total, followers = Counter(), defaultdict(Counter)
+        for (*a, _), c in counts.items():
+            total[tuple(a)] += c
+            followers[tuple(a)][min(c, 3)] += 1
+        return counts, total, followers, kneser_ney.discounts([sum(c == k for c in counts.values()) for k in (1, 2, 3, 4)])
+
+    uni, bi, tri = Counter(), Counter(), Counter()
     for t in train:
         w = words(t)
         uni.update(w)
         bi.update(zip(["<s>", *w], w, strict=False))
+        tri.update(zip(["<s>", "<s>", *w], ["<s>", *w], w, strict=False))
     n, v = sum(uni.values()), len(uni)
-    context, followers, cont = Counter(), defaultdict(Counter), Counter()
-    for (a, b), c in bi.items():
-        context[a] += c
-        followers[a][min(c, 3)] += 1
-        cont[b] += 1
-    high = kneser_ney.discounts([sum(c == k for c in bi.values()) for k in (1, 2, 3, 4)])
+    cont = Counter(b for _, b in bi)
+    levels = [level(bi)] if order == 2 else [level(Counter((b, c) for _, b, c in tri)), level(tri)]
     low = kneser_ney.discounts([sum(c == k for c in cont.values()) for k in (1, 2, 3, 4)])
     types = sum(cont.values())
     spare = sum(low[min(c, 3) - 1] for c in cont.values())
 
-    def p1(w):
+    def p(history, w):
         c = cont[w]
-        return (c - (low[min(c, 3) - 1] if c else 0) + spare / (v + 1)) / types if types else 1 / (v + 1)
-
-    def p(a, w):
-        if not context[a]:
-            return p1(w)
-        c = bi[a, w]
-        return (c - (high[min(c, 3) - 1] if c else 0) + sum(high[k - 1] * m for k, m in followers[a].items()) * p1(w)) / context[a]
+        out = (c - (low[min(c, 3) - 1] if c else 0) + spare / (v + 1)) / types if types else 1 / (v + 1)
+        for k, (counts, total, followers, d) in enumerate(levels, 1):
+            a = tuple(history[-k:])
+            if total[a]:
+                c = counts[(*a, w)]
+                out = (c - (d[min(c, 3) - 1] if c else 0) + sum(d[j - 1] * m for j, m in followers[a].items()) * out) / total[a]
+        return out
 
     vocabulary = [*uni, "<unknown>"]
-    for a in ["<s>", *list(uni)[:20], "<unknown>"]:
+    for a in [("<s>", "<s>"), *list(zip(list(uni)[:9], list(uni)[1:], strict=False)), *[x[:2] for x in list(tri)[:9]], ("<unknown>", "<unknown>")]:
         assert sum(p(a, w) for w in vocabulary) == pytest.approx(1)
     out = {}
     for i, t in docs:
         w = words(t)
-        out[i] = (len(w), sum(uni[x] > 0 for x in w), n, sum(math.log10((uni[x] + 1) / (n + v + 1)) for x in w), sum(math.log10(p(a, b)) for a, b in zip(["<s>", *w], w, strict=False)))
+        out[i] = (len(w), sum(uni[x] > 0 for x in w), n, sum(math.log10((uni[x] + 1) / (n + v + 1)) for x in w), sum(math.log10(p((a, b), x)) for a, b, x in zip(["<s>", "<s>", *w], ["<s>", *w], w, strict=False)))
     return out
 
 
-def test_kneser_ney_equals_brute_force(spark, sf):
-    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").filter("doc_id < 60").collect()] + [(1000, None), (1001, ""), (1002, "A a A  a\n" * 300)]
-    docs = spark.createDataFrame([(i, zlib.crc32(str(i).encode()) % 7 == 2, t) for i, t in rows], "doc_id long, held_out boolean, text string")
-    got = {r.doc_id: (r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in kneser_ney.score(docs, kneser_ney.fit(docs.filter("not held_out"))).collect()}
-    want = brute_kneser_ney(rows, [t for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2])
+@pytest.mark.parametrize("order", [2, 3])
+def test_kneser_ney_equals_brute_force(spark, sf, order):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").filter("doc_id < 60").collect()] + [(1000, None), (1001, ""), (1002, "A a A  a\n" * 300), (1003, "to be " * 20_000)]
+    docs = spark.createDataFrame([(i, zlib.crc32(str(i).encode()) % 7 == 2, t, 1.0) for i, t in rows], "doc_id long, held_out boolean, text string, score double")
+    model = kneser_ney.fit(docs.filter("not held_out"), order)
+    got = {r.doc_id: (r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in kneser_ney.score(docs.unionByName(docs), model).collect()}
+    want = brute_kneser_ney(rows, [t for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2], order)
     assert got.keys() == want.keys()
     for i in want:
         assert got[i] == pytest.approx(want[i]), i
+    model.drop()
 
 
 def test_kneser_ney_without_training(spark):
     docs = spark.createDataFrame([(1, True, "a b")], "doc_id long, held_out boolean, text string")
-    r = kneser_ney.score(docs, kneser_ney.fit(docs.limit(0))).first()
+    r = kneser_ney.score(docs, kneser_ney.fit(docs.limit(0), 2)).first()
     assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) == (3, 0, 0, 0.0, 0.0)
     assert kneser_ney.score(docs.limit(0), kneser_ney.fit(docs)).count() == 0
 
