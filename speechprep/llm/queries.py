@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from speechprep.llm import bpe, decontam, fingerprint, kneser_ney, langid, licenses, near_dup, shards, substring, urls
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-LM_ORDER = 3
+#: Order of the registered language model: with three the files and shuffles pass the disk that its check allows (README).
+LM_ORDER = 2
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
