@@ -213,10 +213,17 @@ def _stream(spark, d, name: str):
     return spark.readStream.schema(spark.read.parquet(f"{d}/{name}.parquet").schema).parquet(f"{d}/{name}.parque[t]")
 
 
+def _ended(query, seconds: int = 3600) -> None:
+    """Wait until the stream has used up its input."""
+    if not query.awaitTermination(seconds):
+        query.stop()
+        raise TimeoutError(f"the stream still runs after {seconds} s")
+
+
 def _landed(spark, df, name: str):
     """What the stream ``df`` writes until its input is used up."""
     path = new_folder(spark, name)
-    df.writeStream.format("parquet").option("path", path).option("checkpointLocation", new_folder(spark, f"{name}-log")).trigger(availableNow=True).start().awaitTermination()
+    _ended(df.writeStream.format("parquet").option("path", path).option("checkpointLocation", new_folder(spark, f"{name}-log")).trigger(availableNow=True).start())
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -293,7 +300,7 @@ def st8_apply_callbacks(spark, d):
     posts = new_folder(spark, "posts")
     streams.create_posts(table(spark, d, "pages", "page_id", "lpad(cast(page_id as string), 24, '0') as post_id", "concat('post ', page_id) as html"), posts)
     done = _stream(spark, d, "events").filter("event_type = 'purchase'").selectExpr("concat('blog-pid-', lpad(cast(user_id as string), 24, '0'), '-slug-1') as job_id", "ts", "'completed' as status", "concat('local://out/', cast(event_id as string), '.mp3') as audio_uri")
-    streams.apply_callbacks(done, posts, new_folder(spark, "posts-log")).trigger(availableNow=True).start().awaitTermination()
+    _ended(streams.apply_callbacks(done, posts, new_folder(spark, "posts-log")).trigger(availableNow=True).start())
     return streams.read_posts(spark, posts).select("page_id", "html")
 
 
