@@ -344,7 +344,7 @@ def test_kneser_ney_without_training(spark):
 
 
 def test_shards_law(spark):
-    rows = [(k, "é" * (k % 50)) for k in range(1000)] + [(None, None), (3, None), (3, None)]
+    rows = [(k, "é" * (k % 50)) for k in range(1000)] + [(None, None), (3, None), (3, None), (4, "a very long text " * 60_000)]
     df = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, shard string").repartition(7)
     got = shards.assign(df).collect()
     assert sorted((r.doc_id is None, r.doc_id or 0, r.size, r.text_crc32) for r in got) == sorted((i is None, i or 0, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t in rows)
