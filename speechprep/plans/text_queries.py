@@ -144,9 +144,14 @@ def x33_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[F.expr(f"array_join(transform(filter(e, x -> x.kind = '{k}'), x -> x.value), '|')").alias(k) for k in _ENTITIES])
 
 
+def _own_entities(kind: str) -> str:
+    own, pattern = "left(t, instr(t, ' sales grew'))", _ENTITIES[kind][0]
+    own = f"replace({own}, ' ', '  ')" if kind == "single" else own
+    return f"list_transform(regexp_extract_all({own}, {quoted(pattern)}, 1), lambda x: trim(x))"
+
+
 def _entities_sql() -> str:
-    own = "left(t, instr(t, ' sales grew'))"
-    cells = [f"array_to_string(list_concat(list_transform(regexp_extract_all({f"replace({own}, ' ', '  ')" if k == 'single' else own}, {quoted(p)}, 1), lambda x: trim(x)), [{more}]), '|') AS {k}" for k, (p, more) in _ENTITIES.items()]
+    cells = [f"array_to_string(list_concat({_own_entities(k)}, [{more}]), '|') AS {k}" for k, (_, more) in _ENTITIES.items()]
     return f"SELECT doc_id, {', '.join(cells)} FROM (SELECT doc_id, {_FACTS} AS t FROM documents)"
 
 
@@ -301,6 +306,11 @@ def x34_spoken_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["x34_spoken_entities"] = x34_spoken_entities
+#: The rewrites of odd documents say the sum, the quarter, the year, the quote and "today", nothing else.
+ORACLES["x34_spoken_entities"] = f"""
+SELECT doc_id, unnest(list_distinct(flatten([{', '.join(_own_entities(k) for k in _ENTITIES)}, [{_ID} || '%', '12 million', '3/4/2024', 'last week', 'Tuesday', 'Jane Smith Doe', 'Acme', 'Spain']]))) AS value
+FROM (SELECT doc_id, {_FACTS} AS t FROM documents WHERE doc_id % 2 = 1)
+"""
 
 
 #: The segments of normalised texts, for the stream that makes them.
