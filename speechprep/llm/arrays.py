@@ -20,6 +20,16 @@ _P_INV = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _powers: dict[str, np.ndarray] = {}
 
 
+_tables: dict[str, dict] = {}
+
+
+def tables(owner: str) -> dict:
+    """This worker's tables of one operator; what it has kept for others is let go, so a worker that serves several holds one's at a time."""
+    for other in [k for k in _tables if k != owner]:
+        del _tables[other]
+    return _tables.setdefault(owner, {})
+
+
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """A bijective 64-bit finaliser (splitmix64)."""
     x = x + U((seed * 0xD1342543DE82EF95 + 0x632BE59BD9B4E019) & 0xFFFFFFFFFFFFFFFF)

@@ -29,6 +29,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from speechprep.llm.arrays import tables
+
 FST_BYTES, PIECE_BYTES, SHORT, PAIRS = 128 << 20, 32 << 20, 64, 400_000
 INF = 1 << 60
 
@@ -288,15 +290,13 @@ class StreamDecoder:
         return out
 
 
-_ready: dict[tuple[str, str], tuple[Encoder, StreamDecoder]] = {}
-
-
 def ready(path: str, pattern: str) -> tuple[Encoder, StreamDecoder]:
-    """Compiled once in each Python worker."""
-    if (path, pattern) not in _ready:
+    """Compiled once in each Python worker, which keeps it until it serves another operator."""
+    mine = tables("bpe")
+    if (path, pattern) not in mine:
         ranks = read_ranks(path)
-        _ready[path, pattern] = (Encoder(ranks, pattern), StreamDecoder(ranks))
-    return _ready[path, pattern]
+        mine[path, pattern] = (Encoder(ranks, pattern), StreamDecoder(ranks))
+    return mine[path, pattern]
 
 
 def encode(docs: DataFrame, path: str, pattern: str, keep_ids: bool = True) -> DataFrame:

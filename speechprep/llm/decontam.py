@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from speechprep.llm.arrays import U, chunks, mix, occurrence, prose_words, run_hash
+from speechprep.llm.arrays import U, chunks, mix, occurrence, prose_words, run_hash, tables
 
 WORDS, THRESHOLD, BITS, BLOCK_BITS, NEAR = 5, 0.8, 256, 16, 2
 RADIUS = BITS // BLOCK_BITS * (NEAR + 1) - 1
@@ -133,18 +133,18 @@ class Index:
             at = at[self.knows(runs[at])]
             if not at.size:
                 continue
-            for size, tables in self.sizes.items():
+            for size, own in self.sizes.items():
                 m = size - n + 1
                 if min(WORDS, size) != n or runs.size < m * THRESHOLD - 1e-9:
                     continue
                 k = min(m, runs.size)
                 hits = np.zeros(runs.size + 1, dtype=np.int64)
-                hits[1 + at[within(tables.own, runs[at])]] = 1
+                hits[1 + at[within(own.own, runs[at])]] = 1
                 hits = np.cumsum(hits)
                 first = np.flatnonzero(hits[k:] - hits[:-k] >= (m + k) * THRESHOLD / (1 + THRESHOLD) - 1e-9)
                 for here, marks in window_prints(runs, first, k):
-                    for w, i in zip(*tables.near(marks), strict=True):
-                        item, place = int(tables.members[i]), int(here[w])
+                    for w, i in zip(*own.near(marks), strict=True):
+                        item, place = int(own.members[i]), int(here[w])
                         s = similarity(runs[place : place + k], self.runs[item])
                         if s >= THRESHOLD - 1e-12:
                             best, at_word, many = found.get(item, (-1.0, 0, 0))
@@ -172,15 +172,13 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
     yield block
 
 
-_made: dict[str, Index] = {}
-
-
 def made(key: str, items: list[tuple[int | None, str]]) -> Index:
     """Made once in each worker, which keeps the tables of its last block."""
-    if key not in _made:
-        _made.clear()
-        _made[key] = Index(items)
-    return _made[key]
+    mine = tables("decontam")
+    if key not in mine:
+        mine.clear()
+        mine[key] = Index(items)
+    return mine[key]
 
 
 def _shared(docs: DataFrame, block: list[tuple[int | None, str]]):

@@ -24,21 +24,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from speechprep.llm.arrays import chunks
+from speechprep.llm.arrays import chunks, tables
 from speechprep.llm.store import fresh
 
 BUCKETS, GRAMS, PRIOR, MOST_LANGUAGES, BLOCK = 1 << 14, 3, 0.5, 512, 1 << 11
 UNKNOWN = "und"
 #: First-level groups of each count block, and bytes of text worked at once.
 SALTS, WORKED = 64, 1 << 18
-#: Letters by code point: one table, made once in each worker.
-_tables: dict[str, np.ndarray] = {}
 
 
 def _letters() -> np.ndarray:
-    if "letters" not in _tables:
-        _tables["letters"] = np.array([chr(c).isalpha() for c in range(0x110000)])
-    return _tables["letters"]
+    """Letters by code point: one table, made once in each worker."""
+    mine = tables("langid")
+    if "letters" not in mine:
+        mine["letters"] = np.array([chr(c).isalpha() for c in range(0x110000)])
+    return mine["letters"]
 
 
 def grams(texts: pa.Array) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:

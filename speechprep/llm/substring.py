@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from speechprep.llm.arrays import U, chunks, flat, mix, prose_mask, run_hash, span_hash, spans
+from speechprep.llm.arrays import U, chunks, flat, mix, prose_mask, run_hash, span_hash, spans, tables
 from speechprep.llm.store import fresh
 
 RUN, LEAST, PIECE, CUT = 2, 24, 8, 3
@@ -134,6 +134,7 @@ def _settle(e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _gather(buckets: int, packs: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables("substring")  # lets those of other operators go
         held: list[np.ndarray] = []
 
         def send() -> Iterator[pa.RecordBatch]:
