@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 
 from speechprep.llm.arrays import tables
 
-FST_BYTES, PIECE_BYTES, SHORT, PAIRS = 128 << 20, 32 << 20, 64, 400_000
+FST_BYTES, PIECE_BYTES, SHORT, PAIRS = 96 << 20, 24 << 20, 64, 400_000
 INF = 1 << 60
 
 
