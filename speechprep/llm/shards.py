@@ -36,7 +36,7 @@ def measured(docs: DataFrame, *kept: Column) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_BYTES).cast("long").alias("size"), F.crc32(F.encode(F.coalesce("text", F.lit("")), "utf-8")).alias("text_crc32"), *kept)
 
 
-def _small(df: DataFrame) -> DataFrame:
+def small(df: DataFrame) -> DataFrame:
     """``df`` under a join hint: broadcast behind a check of its size."""
     return F.broadcast(df) if df.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else df.hint("merge")
 
@@ -48,7 +48,7 @@ def _spread(rows: DataFrame, key: list[str], size: str, copy: str) -> DataFrame:
     if crowded.isEmpty():
         return rows.withColumn(copy, F.lit(0).cast("long"))
     names = fresh(rows.columns, *[f"#crowded{i}" for i in range(len(key))])
-    side = _small(crowded.select(*[F.col(f"`{k}`").alias(c) for k, c in zip(key, names, strict=True)]))
+    side = small(crowded.select(*[F.col(f"`{k}`").alias(c) for k, c in zip(key, names, strict=True)]))
     on = [F.col(f"`{k}`").eqNullSafe(F.col(f"`{c}`")) for k, c in zip(key, names, strict=True)]
     many, few = rows.join(side, on, "left_semi"), rows.join(side, on, "left_anti")
     n = fresh([*rows.columns, copy], "#n")[0]
