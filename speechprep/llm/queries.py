@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from speechprep.llm import bpe, decontam, divergence, fingerprint, kneser_ney, langid, licenses, near_dup, shards, substring, urls
+from speechprep.llm import bpe, decontam, divergence, fingerprint, kneser_ney, langid, licenses, near_dup, packing, shards, substring, urls
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
+#: Vocabulary of the packed ids, and the id after each document.
+WORD_VOCABULARY, END_ID = "word_bpe_49k.json", 2
 #: Order of the registered language model: with three the files and shuffles pass the disk that its check allows (README).
 LM_ORDER = 2
 
@@ -72,13 +74,19 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(read(spark, sf_dir, "documents"))
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path(WORD_VOCABULARY), END_ID, keep_ids=False)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_bag_minhash, op2_byte_bpe, op3_sentence_spans, op4_language_id, op5_multiset_hash, op6_simhash_windows, op7_url_trie, op8_kneser_ney, op9_external_shuffle, op10_license_join, op11_source_divergence, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_bag_minhash, op2_byte_bpe, op3_sentence_spans, op4_language_id, op5_multiset_hash, op6_simhash_windows, op7_url_trie, op8_kneser_ney, op9_external_shuffle, op10_license_join, op11_source_divergence, op12_packing, pipeline)}
 
 ORACLES = {
     "op7_url_trie": r"""
