@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from speechprep.llm import bpe, decontam, divergence, fingerprint, kneser_ney, langid, licenses, near_dup, packing, shards, substring, urls
+from speechprep.llm import bpe, decontam, divergence, fingerprint, kneser_ney, langid, licenses, near_dup, packing, repair, shards, substring, urls
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Vocabulary of the packed ids, and the id after each document.
@@ -80,13 +80,17 @@ def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path(WORD_VOCABULARY), END_ID, keep_ids=False)
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.summary(repair.damaged(read(spark, sf_dir, "conversations")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_bag_minhash, op2_byte_bpe, op3_sentence_spans, op4_language_id, op5_multiset_hash, op6_simhash_windows, op7_url_trie, op8_kneser_ney, op9_external_shuffle, op10_license_join, op11_source_divergence, op12_packing, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_bag_minhash, op2_byte_bpe, op3_sentence_spans, op4_language_id, op5_multiset_hash, op6_simhash_windows, op7_url_trie, op8_kneser_ney, op9_external_shuffle, op10_license_join, op11_source_divergence, op12_packing, op13_conversation_repair, pipeline)}
 
 ORACLES = {
     "op7_url_trie": r"""
