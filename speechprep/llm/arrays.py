@@ -118,6 +118,23 @@ def spans(mask: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return start, end, np.searchsorted(offsets, start, side="right") - 1
 
 
+def runs(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """All indices of the given ranges, one after the other."""
+    n = end - start
+    to = np.cumsum(n)
+    return np.arange(to[-1] if n.size else 0) + np.repeat(start - (to - n), n)
+
+
+def strings(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.LargeStringArray:
+    """The given spans of ``buf``, in order and without overlap, as an Arrow array."""
+    at = np.concatenate([[0], np.cumsum(end - start)]).astype(np.int64)
+    inside = np.zeros(buf.size + 1, dtype=np.int8)
+    np.add.at(inside, start, 1)
+    np.add.at(inside, end, -1)
+    kept = np.cumsum(inside[:-1], dtype=np.int8).view(bool)
+    return pa.Array.from_buffers(pa.large_string(), start.size, [None, pa.py_buffer(at), pa.py_buffer(buf[kept])])
+
+
 def span_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     power, inverse = _power(buf.size + 1)
     total = np.zeros(buf.size + 1, dtype=U)

@@ -1,17 +1,20 @@
 """Source divergence audit by chunk factorization.
 
 A document is cut into chunks between ASCII white space, and chunks are counted in place: a task
-sends one row for each distinct chunk, language and source of about ``SLICE_BYTES`` of text, with
-the chunk's occurrences and the numbers of the documents that hold it.  Each globally distinct chunk
-is tokenised once, its terms are joined back by chunk, and rows are summed up to terms.  Several
-chunks of a document can hold one term ("The", "the,"), so documents are counted as the union of
-their numbers within a slice; slices share no documents, so their counts add up.  White space is no
-part of a term, so the terms of a document are those of its chunks.
-
-Rows of a frequent term are dealt out by slices of ``TASKS_TOGETHER`` tasks before they meet, the
-join by chunk is left to adaptive execution to split, and sources of a language are compared in
-blocks of ``SIDE`` of them: a task holds two blocks' sums, whatever the number of terms, and
-works only on terms that one of the two sources has; the others all have the same value.
+sends one row for each distinct chunk and source of about ``SLICE_BYTES`` of text, with the chunk's
+occurrences.  Rows of a chunk meet in one task, sorted, so each globally distinct chunk is tokenised
+once; its terms take over its rows and are summed up by term and source.  Chunks go to tasks by
+their letters and digits, so that "The", "the," and "the" meet and what the second shuffle carries is nearly summed up.  White space
+is no part of a term, so the terms of a document are those of its chunks.
+
+Several chunks of a document can hold one term, so distinct documents are followed by their numbers:
+with each row go the documents that it stands for, until they are as many as a kept term needs,
+which nothing takes back.  A document has one source, so those of a term add up over sources.
+
+However frequent a chunk or a term, at most one row for a slice and source of it reaches a task, and
+tasks hold a stretch of sorted rows at a time.  Sources of a language are compared in blocks of
+``SIDE`` of them: a task holds two blocks' sums, whatever the number of terms, and works only on terms
+that one of two sources has; the others all have the same value.
 
 Edge cases: null text, lang and source count as ''; a row is a document, so repeated rows are
 documents of their own and doc_id isn't read; texts without terms leave their group with counts of zero; a language without kept
@@ -20,7 +23,7 @@ terms has pairs of value 0; ties go by the item's UTF-8 bytes; an empty table gi
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,82 +31,166 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from speechprep.llm.arrays import SPACED, chunks, flat, spans
+from speechprep.llm.arrays import SPACED, ascii_lower, chunks, flat, runs, span_hash, spans, strings, table
 from speechprep.llm.shards import small
 from speechprep.llm.store import cut
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: Bytes of terms: those of A-Z, a-z and of whatever is not ASCII.
+TERM = table(lambda b: 65 <= b <= 90 or 97 <= b <= 122 or b >= 128)
+_DIGIT = table(lambda b: 48 <= b <= 57)
 LEAST_DOCS, TOP, UNIT = 3, 200, 1_000_000_000
-SLICE_BYTES, TASKS_TOGETHER, SIDE, ROWS = 6 << 20, 64, 256, 1 << 15
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Bytes of text counted at once, rows of a batch sent, sorted rows summed up at once, and sources compared at once.
+SLICE_BYTES, ROWS, UNITED, SIDE = 10 << 20, 1 << 15, 1 << 17, 256
+
+_ROW = "home int, key string, lang string, number int, n long, docs array<long>"
+_KEPT = "lang string, number int, term string, n long, of_lang long, first boolean"
 
 
 def _coded(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
     """The chunks of all texts as codes of a dictionary, and each one's text."""
     buf, offsets = flat(texts)
-    mask = SPACED[buf]
-    start, end, doc = spans(mask, offsets)
-    at = np.concatenate([[0], np.cumsum(end - start)]).astype(np.int64)
-    words = pa.Array.from_buffers(pa.large_string(), start.size, [None, pa.py_buffer(at), pa.py_buffer(buf[mask])])
-    return words.dictionary_encode(), doc
-
-
-def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in chunks(batch, "text", SLICE_BYTES):
-            yield pa.RecordBatch.from_arrays([_coded(part.column("text"))[0].dictionary.cast(pa.string())], names=["chunk"])
-
-
-_POSTING = "lang string, source string, chunk string, task int, slice long, n long, docs array<int>"
-
-
-def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    task, serial = TaskContext.get().partitionId(), 0
-    for batch in batches:
-        for part in chunks(batch, "text", SLICE_BYTES):
-            serial += 1
-            coded, doc = _coded(part.column("text"))
-            if not len(coded):
+    start, end, doc = spans(SPACED[buf], offsets)
+    return strings(buf, start, end).dictionary_encode(), doc
+
+
+def _homes(chunk: pa.Array) -> np.ndarray:
+    """A number for each chunk that hangs on its letters and digits alone; -1 without a letter."""
+    buf, at = flat(chunk)
+    kept, letters = TERM[buf] | _DIGIT[buf], np.concatenate([[0], np.cumsum(TERM[buf])])[at]
+    inside = np.concatenate([[0], np.cumsum(kept)])[at]
+    home = (span_hash(ascii_lower(buf[kept]), inside[:-1], inside[1:]) >> np.uint64(33)).astype(np.int32)
+    return np.where(letters[1:] > letters[:-1], home, np.int32(-1))
+
+
+def _lists(values: np.ndarray, sizes: np.ndarray, null: np.ndarray) -> pa.ListArray:
+    at = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(values, pa.int64()), mask=pa.array(null))
+
+
+def _counted(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        serial = TaskContext.get().partitionId() << 40  # numbers of documents
+        for batch in batches:
+            for part in chunks(batch, "text", SLICE_BYTES):
+                coded, doc = _coded(part.column("text"))
+                lang, number = part.column("lang").dictionary_encode(), part.column("number").to_numpy()
+                by = int(number.max()) + 1
+                group = lang.indices.to_numpy().astype(np.int64) * by + number
+                order = np.argsort(group, kind="stable")  # documents are numbered group by group
+                rank = np.empty(order.size, dtype=np.int64)
+                rank[order] = np.arange(order.size)
+                group = group[order]
+                pair, n = np.unique(coded.indices.to_numpy().astype(np.int64) * order.size + rank[doc], return_counts=True)
+                code, doc = pair // order.size, pair % order.size
+                new = np.ones(code.size, dtype=bool)
+                new[1:] = (code[1:] != code[:-1]) | (group[doc[1:]] != group[doc[:-1]])
+                first = np.flatnonzero(new)
+                total, many = (np.add.reduceat(n, first), np.diff(np.append(first, code.size))) if first.size else (n, n)
+                own, code = group[doc[first]], code[first]
+                home = _homes(coded.dictionary)[code]
+                some = np.flatnonzero(home >= 0)
+                own, code, home, total, many, first = (x[some] for x in (own, code, home, total, many, first))
+                listed = np.where(many < least, many, 0)
+                for i in range(0, first.size, ROWS):
+                    j = min(i + ROWS, first.size)
+                    docs = _lists(serial + doc[runs(first[i:j], first[i:j] + listed[i:j])], listed[i:j], many[i:j] >= least)
+                    columns = [pa.array(home[i:j]), coded.dictionary.take(pa.array(code[i:j])).cast(pa.string()), lang.dictionary.take(pa.array(own[i:j] // by)), pa.array((own[i:j] % by).astype(np.int32)), pa.array(total[i:j]), docs]
+                    yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _ROW.split(", ")])
+                serial += part.num_rows
+
+    return run
+
+
+def _terms(coded: pa.DictionaryArray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Of chunks: the distinct terms, and for each row and term of its chunk the row and the term."""
+    buf, at = flat(coded.dictionary)
+    start, end, owner = spans(TERM[buf], at)
+    terms = strings(ascii_lower(buf), start, end).dictionary_encode()
+    first = np.searchsorted(owner, np.arange(len(coded.dictionary) + 1))
+    code = coded.indices.to_numpy()
+    a, b = first[code], first[code + 1]
+    return terms.dictionary, np.repeat(np.arange(code.size), b - a), terms.indices.to_numpy()[runs(a, b)]
+
+
+def _summed(rows: pa.Table, least: int, split: bool, final: bool) -> pa.RecordBatch:
+    """Rows of whole keys, summed up by key, language and source; keys are tokenised if ``split``, and terms with too few documents go if ``final``."""
+    coded = rows.column("key").combine_chunks().cast(pa.large_string()).dictionary_encode()
+    lang, number, n = rows.column("lang").combine_chunks().dictionary_encode(), rows.column("number").to_numpy(), rows.column("n").to_numpy()
+    keys, row, key = _terms(coded) if split else (coded.dictionary, np.arange(len(coded)), coded.indices.to_numpy())
+    by, langs = int(number.max()) + 1, len(lang.dictionary)
+    spot = (key.astype(np.int64) * langs + lang.indices.to_numpy()[row]) * by + number[row]
+    found, unit = np.unique(spot, return_inverse=True)
+    order = np.argsort(unit, kind="stable")
+    total = np.add.reduceat(n[row][order], np.flatnonzero(np.diff(unit[order], prepend=-1))) if found.size else n[:0]
+    docs = rows.column("docs").combine_chunks()
+    at, enough = docs.offsets.to_numpy().astype(np.int64), np.zeros(found.size, dtype=bool)
+    null = docs.is_null().to_numpy(zero_copy_only=False)
+    enough[unit[null[row]]] = True
+    doc, of = docs.values.to_numpy()[runs(at[row], at[row + 1])], np.repeat(unit, at[row + 1] - at[row])
+    order = np.lexsort((doc, of))
+    doc, of = doc[order], of[order]
+    new = np.ones(of.size, dtype=bool)
+    new[1:] = (of[1:] != of[:-1]) | (doc[1:] != doc[:-1])
+    doc, of = doc[new], of[new]
+    many = np.bincount(of, minlength=found.size)
+    enough |= many >= least
+    key, own, number = found // by // langs, (found // by % langs).astype(np.int32), (found % by).astype(np.int32)
+    if final:
+        mine, unit = np.unique(found // by, return_inverse=True)  # a term in a language
+        held, of_lang = (np.bincount(unit, np.where(enough, least, many)), np.zeros(mine.size, np.int64))
+        np.add.at(of_lang, unit, total)
+        kept = held[unit] >= least
+        first = np.diff(unit, prepend=-1) != 0
+        columns = [lang.dictionary.take(pa.array(own[kept])), pa.array(number[kept]), keys.take(pa.array(key[kept])).cast(pa.string()), pa.array(total[kept]), pa.array(of_lang[unit][kept]), pa.array(first[kept])]
+        return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _KEPT.split(", ")])
+    lists = _lists(doc[~enough[of]], np.where(enough, 0, many), enough)
+    columns = [pa.array(np.zeros(key.size, np.int32)), keys.take(pa.array(key)).cast(pa.string()), lang.dictionary.take(pa.array(own)), pa.array(number), pa.array(total), lists]
+    return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _ROW.split(", ")])
+
+
+def _sorted_sums(least: int, split: bool, final: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Sorted rows in stretches of whole keys, or of one long key that is summed up as it comes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        for batch in batches:
+            held.append(pa.Table.from_batches([batch]))
+            if sum(x.num_rows for x in held) < UNITED:
                 continue
-            lang, source = (part.column(c).dictionary_encode() for c in ("lang", "source"))
-            group = lang.indices.to_numpy().astype(np.int64) * len(source.dictionary) + source.indices.to_numpy()
-            order = np.argsort(group, kind="stable")  # documents are numbered group by group
-            rank = np.empty(order.size, dtype=np.int64)
-            rank[order] = np.arange(order.size)
-            group = group[order]
-            pair, n = np.unique(coded.indices.to_numpy().astype(np.int64) * order.size + rank[doc], return_counts=True)
-            code, doc = pair // order.size, (pair % order.size).astype(np.int32)
-            new = np.ones(code.size, dtype=bool)
-            new[1:] = (code[1:] != code[:-1]) | (group[doc[1:]] != group[doc[:-1]])
-            first = np.flatnonzero(new)
-            total, at, own = np.add.reduceat(n, first), np.append(first, code.size), group[doc[first]]
-            for i in range(0, first.size, ROWS):
-                j = min(i + ROWS, first.size)
-                columns = [
-                    lang.dictionary.take(pa.array(own[i:j] // len(source.dictionary))),
-                    source.dictionary.take(pa.array(own[i:j] % len(source.dictionary))),
-                    coded.dictionary.take(pa.array(code[first[i:j]])).cast(pa.string()),
-                    pa.array(np.full(j - i, task, np.int32)),
-                    pa.array(np.full(j - i, serial, np.int64)),
-                    pa.array(total[i:j]),
-                    pa.ListArray.from_arrays(pa.array((at[i : j + 1] - at[i]).astype(np.int32)), pa.array(doc[at[i] : at[j]])),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _POSTING.split(", ")])
+            rows = pa.concat_tables(held)
+            key = rows.column("key").combine_chunks().dictionary_encode().indices.to_numpy()
+            whole = int(np.flatnonzero(key != key[-1])[-1]) + 1 if key[0] != key[-1] else 0
+            if whole:
+                yield _summed(rows.slice(0, whole), least, split, final)
+                held = [rows.slice(whole)]
+            elif not split:
+                held = [pa.Table.from_batches([_summed(rows, least, False, False)])]
+            else:  # one chunk only: its sum is as good as whole
+                yield _summed(rows, least, split, final)
+                held = []
+        if held:
+            yield _summed(pa.concat_tables(held), least, split, final)
+
+    return run
 
 
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
 
 
-def term_counts(docs: DataFrame) -> DataFrame:
-    """``docs(text, lang, source)`` -> (lang, source, term, n, docs): occurrences of each term and distinct documents with it."""
-    texts = _texts(docs)
-    found = F.regexp_extract_all(F.col("chunk"), F.lit(TERM), F.lit(0))
-    terms = texts.select("text").mapInArrow(_distinct, "chunk string").distinct().select("chunk", F.transform(found, lambda t: F.translate(t, _UPPER, _LOWER)).alias("terms")).filter(F.size("terms") > 0)
-    joined = texts.mapInArrow(_postings, _POSTING).join(terms.hint("merge"), "chunk").select("lang", "source", F.explode("terms").alias("term"), F.floor(F.col("task") / TASKS_TOGETHER).alias("salt"), "task", "slice", "n", "docs")
-    slices = joined.repartition("lang", "source", "term", "salt").groupBy("lang", "source", "term", "salt", "task", "slice").agg(F.sum("n").alias("n"), F.collect_list("docs").alias("docs"))
-    union = F.when(F.size("docs") == 1, F.size(F.col("docs")[0])).otherwise(F.size(F.array_distinct(F.flatten("docs"))))
-    return slices.select("lang", "source", "term", "n", union.cast("long").alias("docs")).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+def numbered_sources(docs: DataFrame) -> DataFrame:
+    """(lang, source, number, blocks): the sources of each language in order, and how many blocks of ``SIDE`` they make."""
+    by_lang = Window.partitionBy("lang")
+    number, blocks = F.row_number().over(by_lang.orderBy("source")) - 1, F.ceil(F.count("*").over(by_lang) / SIDE)
+    return _texts(docs).select("lang", "source").distinct().select("lang", "source", number.cast("int").alias("number"), blocks.cast("int").alias("blocks"))
+
+
+def kept_terms(docs: DataFrame, sources: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
+    """(lang, number, term, n, of_lang, first) of all terms in at least ``least_docs`` documents of a language: occurrences in a source and in the language; ``first`` marks a row of each term."""
+    texts = _texts(docs).join(small(sources.select("lang", "source", "number")), ["lang", "source"]).select("lang", "number", "text")
+    by_chunk = texts.mapInArrow(_counted(least_docs), _ROW).repartition("home").sortWithinPartitions("home", "key")
+    by_term = by_chunk.mapInArrow(_sorted_sums(least_docs, True, False), _ROW).repartition("key").sortWithinPartitions("key")
+    return by_term.mapInArrow(_sorted_sums(least_docs, False, True), _KEPT)
 
 
 def likely(n: Column, total: Column, terms: Column) -> Column:
@@ -184,18 +271,15 @@ _NO_ROWS = pa.table({"place": pa.array([], pa.int32()), "term": pa.array([], pa.
 
 def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP) -> DataFrame:
     """(lang, source, part, item, value, rank): divergence of each source from each other one, and its ``top`` terms over the language's share."""
-    counts = cut(term_counts(docs), "terms")
-    kept = cut(counts.groupBy("lang", "term").agg(F.sum("n").alias("of_lang"), F.sum("docs").alias("docs")).filter(F.col("docs") >= least_docs).drop("docs"), "kept")
-    rows = cut(counts.drop("docs").join(kept.hint("merge"), ["lang", "term"]), "rows")
-    langs = kept.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("of_lang").alias("lang_total"))
-    totals = rows.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    by_lang = Window.partitionBy("lang")
-    numbered, blocks = F.row_number().over(by_lang.orderBy("source")) - 1, F.ceil(F.count("*").over(by_lang) / SIDE)
-    groups = _texts(docs).select("lang", "source").distinct().join(totals.hint("merge"), ["lang", "source"], "left").join(langs.hint("merge"), "lang", "left")
-    groups = groups.select("lang", "source", numbered.alias("number"), blocks.cast("int").alias("blocks"), *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("total", "terms", "lang_total")])
+    sources = cut(numbered_sources(docs), "sources")
+    rows = cut(kept_terms(docs, sources, least_docs), "terms")
+    langs = rows.groupBy("lang").agg(F.count_if("first").alias("terms"), F.sum("n").alias("lang_total"))
+    totals = rows.groupBy("lang", "number").agg(F.sum("n").alias("total"))
+    groups = sources.join(totals.hint("merge"), ["lang", "number"], "left").join(langs.hint("merge"), "lang", "left")
+    groups = groups.select("lang", "source", "number", "blocks", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("total", "terms", "lang_total")])
     unseen = F.when(F.col("terms") > 0, likely(F.lit(0).cast("long"), F.col("total"), F.col("terms"))).otherwise(1)
     groups = cut(groups.withColumn("unseen", unseen), "groups")
-    shares = rows.join(small(groups), ["lang", "source"]).withColumn("p", likely(F.col("n"), F.col("total"), F.col("terms")))
+    shares = rows.join(small(groups), ["lang", "number"]).withColumn("p", likely(F.col("n"), F.col("total"), F.col("terms")))
     q = likely(F.col("of_lang"), F.col("lang_total"), F.col("terms"))
     over = shares.withColumn("q", q).filter(F.col("p") > F.col("q")).select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), apart(F.col("p"), F.col("q")).alias("value"))
     ranked = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))

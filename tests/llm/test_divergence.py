@@ -1,8 +1,10 @@
 """Divergence of sources against brute force and the oracle."""
 
+import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from oracle import connect, differences
 
@@ -58,17 +60,45 @@ def test_equals_brute_force(spark, odd):
     assert rows_of(divergence.audit(spark.createDataFrame(odd, SCHEMA).repartition(5))) == brute(odd)
 
 
-def test_many_sources_and_small_blocks(spark, odd, monkeypatch):
-    for name, value in (("SIDE", 2), ("CELLS", 7), ("SLICE_BYTES", 40), ("TASKS_TOGETHER", 1), ("ROWS", 3)):
-        monkeypatch.setattr(divergence, name, value)
+def test_many_sources_in_small_blocks(spark, odd, monkeypatch):
+    monkeypatch.setattr(divergence, "SIDE", 2)
     got = rows_of(divergence.audit(spark.createDataFrame(odd, SCHEMA).repartition(6), top=2))
     assert got == brute(odd, top=2)
 
 
+def test_short_stretches_of_sorted_rows(monkeypatch):
+    """Sums and pairs don't hang on how many rows are worked at once."""
+    rng = random.Random(3)
+    chunk = [rng.choice(["the", "The,", "cat", "cat-dog", "12", "dog" * 9]) for _ in range(400)]
+    rows = sorted(((0, c, rng.choice(["en", "de"]), rng.randrange(3), 1, rng.choice([None, [rng.randrange(9)], [3, rng.randrange(4, 9)]])) for c in chunk), key=lambda r: r[1])
+    schema = pa.schema([("home", pa.int32()), ("key", pa.string()), ("lang", pa.string()), ("number", pa.int32()), ("n", pa.int64()), ("docs", pa.list_(pa.int64()))])
+    table = pa.Table.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema=schema)
+
+    def run(size, united):
+        monkeypatch.setattr(divergence, "UNITED", united)
+        out = pa.Table.from_batches(divergence._sorted_sums(3, True, False)(iter(table.to_batches(size))))
+        out = out.sort_by("key")
+        return pa.Table.from_batches(divergence._sorted_sums(3, False, True)(iter(out.to_batches(size)))).sort_by([(c, "ascending") for c in ("term", "lang", "number")]).to_pylist()
+
+    whole = run(1000, 10**6)
+    assert whole and all(run(size, united) == whole for size, united in ((7, 1), (50, 20), (3, 30)))
+    kinds = [("lang", pa.string()), ("left", pa.int32()), ("right", pa.int32()), ("term", pa.string()), ("place", pa.int32()), ("p", pa.int64()), ("unseen", pa.list_(pa.int64()))]
+    paired = [("en", 0, 0, None, 0, 0, [5, 6, 7])] + [("en", 0, 0, f"t{k:03}", i, rng.randrange(1, 99), None) for k in range(60) for i in range(3) if rng.random() < 0.6]
+    table = pa.Table.from_pylist([dict(zip([k for k, _ in kinds], r, strict=True)) for r in paired], schema=pa.schema(kinds))
+
+    def sums(size, cells):
+        monkeypatch.setattr(divergence, "CELLS", cells)
+        return pa.Table.from_batches(divergence._pairs(iter(table.to_batches(size)))).to_pylist()
+
+    assert all(sums(size, cells) == sums(1000, 10**6) for size, cells in ((7, 1), (50, 20), (4, 40)))
+
+
 def test_documents_of_a_term_are_distinct(spark):
-    docs = spark.createDataFrame([("The the, THE the.", "en", "a"), ("the", "en", "a"), ("the-the", "en", "b")], "text string, lang string, source string").coalesce(1)
-    got = {(r.source, r.term): (r.n, r.docs) for r in divergence.term_counts(docs).collect()}
-    assert got == {("a", "the"): (5, 2), ("b", "the"): (2, 1)}
+    docs = spark.createDataFrame([("The the, THE the. a a", "en", "a"), ("the A,", "en", "a"), ("the-the a", "en", "b"), ("a", "de", "a"), ("a", "de", "a")], "text string, lang string, source string")
+    sources = divergence.numbered_sources(docs)
+    got = {(r.lang, r.number, r.term): (r.n, r.of_lang) for r in divergence.kept_terms(docs, sources).collect()}
+    assert got == {("en", 0, "the"): (5, 7), ("en", 1, "the"): (2, 7), ("en", 0, "a"): (3, 4), ("en", 1, "a"): (1, 4)}
+    assert {(r.lang, r.term) for r in divergence.kept_terms(docs, sources, 4).collect()} == set()
 
 
 def test_empty_table(spark):
