@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from speechprep.llm.arrays import SPACED, chunks, flat, spans, tables
+from speechprep.llm.arrays import SPACED, chunks, flat, runs, spans, strings, tables
 from speechprep.llm.shards import small
 from speechprep.llm.store import cut
 
@@ -82,13 +82,6 @@ class Known:
         return self.ids, self.at[k], self.at[k + 1]
 
 
-def _runs(start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """All indices of the given ranges, one after the other."""
-    n = end - start
-    to = np.cumsum(n)
-    return np.arange(to[-1] if n.size else 0) + np.repeat(start - (to - n), n)
-
-
 def _by_words(path: str, words: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all distinct words side by side, and each one's n+1 offsets."""
     buf, at = flat(words)
@@ -108,8 +101,8 @@ def _by_words(path: str, words: pa.LargeStringArray) -> tuple[np.ndarray, np.nda
     plain = (n_core + n_stop == size) & (n_core > 0) & (inside[np.minimum(ends, at[1:])] - inside[at[:-1]] == n_core)
     folded = np.where(letter, _FOLD[buf], np.where(second & (buf <= 0x9E), buf + np.uint8(32), buf))
     k = np.flatnonzero(plain)
-    cores = _strings(folded, at[k], ends[k]).dictionary_encode()
-    tails = _strings(buf, ends[k], at[k + 1]).dictionary_encode()
+    cores = strings(folded, at[k], ends[k]).dictionary_encode()
+    tails = strings(buf, ends[k], at[k + 1]).dictionary_encode()
     others = np.flatnonzero(~plain)
     mine = tables("packing")
     store, a, b = mine.setdefault(f"{path} words", Known()).of(path, cores.dictionary.cast(pa.large_binary()).to_pylist())
@@ -122,12 +115,7 @@ def _by_words(path: str, words: pa.LargeStringArray) -> tuple[np.ndarray, np.nda
     own = len(tails.dictionary) + np.arange(others.size)
     first[others, 0], last[others, 0] = more[own], more[own + 1]
     n = (last - first).sum(axis=1)
-    return store[_runs(first.ravel(), last.ravel())], np.concatenate([[0], np.cumsum(n)])
-
-
-def _strings(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.LargeStringArray:
-    at = np.concatenate([[0], np.cumsum(end - start)]).astype(np.int64)
-    return pa.Array.from_buffers(pa.large_string(), start.size, [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(buf[_runs(start, end)]))])
+    return store[runs(first.ravel(), last.ravel())], np.concatenate([[0], np.cumsum(n)])
 
 
 def ids_of(path: str, texts: pa.Array, by_words: bool = True) -> tuple[np.ndarray, np.ndarray]:
@@ -136,14 +124,12 @@ def ids_of(path: str, texts: pa.Array, by_words: bool = True) -> tuple[np.ndarra
         found = _library(path, [x or "" for x in texts.to_pylist()])
         return np.concatenate([np.zeros(0, np.uint32), *found]), np.concatenate([[0], np.cumsum([x.size for x in found])]).astype(np.int64)
     buf, offsets = flat(texts)
-    mask = SPACED[buf]
-    start, end, doc = spans(mask, offsets)
-    at = np.concatenate([[0], np.cumsum(end - start)]).astype(np.int64)
-    words = pa.Array.from_buffers(pa.large_string(), start.size, [None, pa.py_buffer(at), pa.py_buffer(buf[mask])]).dictionary_encode()
+    start, end, doc = spans(SPACED[buf], offsets)
+    words = strings(buf, start, end).dictionary_encode()
     ids, own = _by_words(path, words.dictionary)
     code = words.indices.to_numpy()
     n = np.concatenate([[0], np.cumsum(own[code + 1] - own[code])])
-    return ids[_runs(own[code], own[code + 1])], n[np.searchsorted(doc, np.arange(len(texts) + 1))]
+    return ids[runs(own[code], own[code + 1])], n[np.searchsorted(doc, np.arange(len(texts) + 1))]
 
 
 def tokenised(docs: DataFrame, path: str, end_id: int, by_words: bool = True) -> DataFrame:

@@ -195,6 +195,17 @@ def matrices(rules: list[str]) -> dict:
     return {x: [[c and (c[0], text_of(c[1])) for c in row] for row in m] for x, m in out.items()}
 
 
+def remembered(parts: list[str], table: dict, rules: list[str], known: dict, most: int = 50_000) -> tuple[int, list[str]]:
+    """``cheapest``, whose results for short conversations are kept, as many have the same symbols."""
+    if len(parts) != 1 or len(parts[0]) > 32:
+        return cheapest(parts, table, rules)
+    if parts[0] not in known:
+        if len(known) >= most:
+            known.clear()
+        known[parts[0]] = cheapest(parts, table, rules)
+    return known[parts[0]]
+
+
 def cheapest(parts: list[str], found: dict, rules: list[str]) -> tuple[int, list[str]]:
     """The least cost of all ``parts`` (blocks of symbols) together, and each one's share of the audit."""
     state, steps = {_START: (0, 0)}, []  # by state: cost, and place in the order of the audits so far
@@ -233,12 +244,12 @@ def audits(found: DataFrame, rules: list[str]) -> DataFrame:
     kinds = dict(found.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = matrices(rules)
+        table, known = matrices(rules), {}
         rows: list[dict] = []
 
         def out() -> pa.RecordBatch:
             real = [r for r in rows if r["block"] >= 0]
-            cost, parts = cheapest([r["symbols"] for r in real], table, rules)
+            cost, parts = remembered([r["symbols"] for r in real], table, rules, known)
             total = {c: sum(r[c] for r in rows) for c in _COUNTED}
             low, high = [r["low"] for r in real if r["low"] is not None], [r["high"] for r in real if r["high"] is not None]
             gaps = max(high) - min(low) + 1 - total["turns"] if low else 0
