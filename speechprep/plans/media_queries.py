@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from speechprep.operators import audio, folds, jobs, models
 from speechprep.plans.table_queries import ORACLES, QUERIES, _EV, _STATUS, events, query, sql_of, table, tones, total
 from speechprep.plans.text_queries import SEGMENTS_OF_NORMALISED
-from speechprep.sources import tables
+from speechprep.sources import posts, tables
 from speechprep.sources.shared import new_folder
 from speechprep.streaming import jobs as streams
 
@@ -297,11 +297,11 @@ def st7_breaker(spark, d):
 
 @query(f"SELECT page_id, CASE WHEN uri IS NOT NULL THEN '<div class=\"audio-player\"><audio src=\"' || uri || '\"></audio></div>' ELSE '' END || html AS html FROM (SELECT p.page_id, 'post ' || p.page_id AS html, e.uri FROM pages p LEFT JOIN (SELECT job_id, arg_max(audio_uri, ts) AS uri FROM {_EV} WHERE status = 'completed' GROUP BY job_id) e ON e.job_id = CAST(p.page_id AS VARCHAR))")
 def st8_apply_callbacks(spark, d):
-    posts = new_folder(spark, "posts")
-    streams.create_posts(table(spark, d, "pages", "page_id", "lpad(cast(page_id as string), 24, '0') as post_id", "concat('post ', page_id) as html"), posts)
+    folder = new_folder(spark, "posts")
+    posts.create(table(spark, d, "pages", "page_id", "lpad(cast(page_id as string), 24, '0') as post_id", "concat('post ', page_id) as html"), folder)
     done = _stream(spark, d, "events").filter("event_type = 'purchase'").selectExpr("concat('blog-pid-', lpad(cast(user_id as string), 24, '0'), '-slug-1') as job_id", "ts", "'completed' as status", "concat('local://out/', cast(event_id as string), '.mp3') as audio_uri")
-    _ended(streams.apply_callbacks(done, posts, new_folder(spark, "posts-log")).trigger(availableNow=True).start())
-    return streams.read_posts(spark, posts).select("page_id", "html")
+    _ended(streams.apply_callbacks(done, folder, new_folder(spark, "posts-log")).trigger(availableNow=True).start())
+    return posts.read(spark, folder).select("page_id", "html")
 
 
 @query(SEGMENTS_OF_NORMALISED)

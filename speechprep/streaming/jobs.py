@@ -11,7 +11,7 @@ from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
@@ -20,6 +20,7 @@ from speechprep.functions.text import embed_player, normalize, post_of_job, segm
 from speechprep.operators.checks import publishable
 from speechprep.operators.folds import CLOSED, called, limited, moved
 from speechprep.operators.jobs import TERMINAL
+from speechprep.sources import posts
 from speechprep.sources.tables import extract_post
 
 
@@ -192,50 +193,24 @@ def overdue(df: DataFrame, limits: dict[str, int] = LIMITS, late: str = "1 minut
     return rows.groupBy("job_id").transformWithStateInPandas(Overdue(limits), "job_id string, status string, since timestamp", "Append", "EventTime")
 
 
-PARTS = 64
-
-
-def _part(post_id: Column) -> Column:
-    return F.pmod(F.xxhash64(post_id), F.lit(PARTS)).cast("int")
-
-
-def create_posts(posts: DataFrame, table: str) -> None:
-    """``posts(post_id, html, ...)`` as a table of ``PARTS`` parts by hash, each with a version of its own."""
-    posts.withColumn("part", _part(F.col("post_id"))).repartition(PARTS, "part").write.partitionBy("part").parquet(f"{table}/v0")
-    _publish(posts.sparkSession, table, {r.part: "v0" for r in posts.select(_part(F.col("post_id")).alias("part")).distinct().collect()})
-
-
-def _publish(spark: SparkSession, table: str, versions: dict[int, str]) -> None:
-    spark.createDataFrame([(f"{k} {v}",) for k, v in sorted(versions.items())], "value string").coalesce(1).write.mode("overwrite").text(f"{table}/_current")
-
-
-def _versions(spark: SparkSession, table: str) -> dict[int, str]:
-    return {int(k): v for k, v in (r.value.split() for r in spark.read.text(f"{table}/_current").collect())}
-
-
-def read_posts(spark: SparkSession, table: str, parts: list[int] | None = None) -> DataFrame:
-    """The current version of all posts, or of some parts."""
-    return spark.read.parquet(*[f"{table}/{v}/part={k}" for k, v in _versions(spark, table).items() if parts is None or k in parts])
-
-
 def apply_callbacks(events: DataFrame, table: str, checkpoint: str, widget: str = '<div class="audio-player"><audio src="%s"></audio></div>'):
-    """Completed callbacks put the player into their posts: a batch rewrites the parts that it touches and then moves the table to them.
+    """Completed callbacks put the player into their posts, a table of ``sources.posts``: a batch rewrites the parts that it touches and commits them with its epoch.
 
-    At most ``PARTS`` numbers reach the driver.  Replaced versions of a part stay for readers that have begun.
+    A batch that comes again changes nothing, and other streams may write the same table.  At most ``PARTS`` numbers reach the driver.
     """
 
     def one(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         done = batch.filter("status = 'completed'").select(post_of_job(F.col("job_id")).alias("post_id"), F.format_string(widget, F.col("audio_uri")).alias("#w"), "ts")
-        newest = done.groupBy("post_id").agg(F.max_by("#w", "ts").alias("#w"))
-        versions = _versions(spark, table)
-        touched = [r.part for r in newest.select(_part(F.col("post_id")).alias("part")).distinct().collect() if r.part in versions]
-        if not touched:
-            return
-        posts = read_posts(spark, table, touched)
-        new = posts.join(newest.hint("merge"), "post_id", "left").withColumn("html", F.when(F.col("#w").isNotNull(), embed_player(F.col("html"), F.col("#w"))).otherwise(F.col("html"))).drop("#w")
-        new.withColumn("part", _part(F.col("post_id"))).repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{table}/v{epoch + 1}")
-        _publish(spark, table, versions | {k: f"v{epoch + 1}" for k in touched})
+        newest = done.filter("post_id is not null").groupBy("post_id").agg(F.max_by("#w", "ts").alias("#w"))
+        touched = [r.part for r in newest.select(posts.part_of(F.col("post_id")).alias("part")).distinct().collect()]
+
+        def embedded(old: DataFrame) -> DataFrame:
+            new = old.join(newest.hint("merge"), "post_id", "left")
+            return new.withColumn("html", F.when(F.col("#w").isNotNull(), embed_player(F.col("html"), F.col("#w"))).otherwise(F.col("html"))).drop("#w")
+
+        if touched:
+            posts.update(spark, table, embedded, touched, posts.stream_name(spark, checkpoint), epoch)
 
     return events.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
 

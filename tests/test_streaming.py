@@ -2,11 +2,15 @@
 
 import datetime as dt
 import json
+import re
+import shutil
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from speechprep.operators import folds, jobs
+from speechprep.sources import posts
 from speechprep.streaming import jobs as S
 
 T0 = dt.datetime(2024, 1, 1)
@@ -91,14 +95,110 @@ def test_batch_folds_equal_streams(spark, tmp_path):
     assert got == {(r.endpoint, r.ts, r.allowed, r.state) for r in folds.breaker_states(calls).collect()}
 
 
-def test_callbacks_move_the_table_on(spark, tmp_path):
-    table, pids = str(tmp_path / "posts"), [f"{k:024x}" for k in range(40)]
-    S.create_posts(spark.createDataFrame([(p, f"<p>{p}</p>") for p in pids], "post_id string, html string"), table)
-    ev = spark.createDataFrame([(f"blog-pid-{p}-s-1", at(0), "completed", "https://a") for p in pids[:2]], "job_id string, ts timestamp, status string, audio_uri string")
-    S.apply_callbacks(as_stream(spark, ev, tmp_path / "ev"), table, str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
-    got = {r.post_id: r.html for r in S.read_posts(spark, table).collect()}
-    assert got.keys() == set(pids) and all(("https://a" in got[p]) == (p in pids[:2]) for p in pids)
-    assert 1 <= sum(v != "v0" for v in S._versions(spark, table).values()) <= 2
+POSTS = [f"{k:024x}" for k in range(40)]
+
+
+@pytest.fixture
+def blog(spark, tmp_path):
+    table = str(tmp_path / "posts")
+    posts.create(spark.createDataFrame([(p, f"<p>{p}</p>") for p in POSTS], "post_id string, html string"), table)
+    return table
+
+
+def called_back(spark, tmp_path, table, name, uris, checkpoint=None):
+    """A stream of callbacks: post number -> address of its audio."""
+    ev = spark.createDataFrame([(f"blog-pid-{POSTS[k]}-s-1", at(0), "completed", uri) for k, uri in uris.items()], "job_id string, ts timestamp, status string, audio_uri string")
+    q = S.apply_callbacks(as_stream(spark, ev, tmp_path / name), table, checkpoint or str(tmp_path / f"{name}-cp")).trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
+
+
+def players(spark, table, number=None):
+    rows = posts.read(spark, table, number).collect()
+    assert sorted(r.post_id for r in rows) == POSTS
+    return {POSTS.index(r.post_id): re.findall('src="([^"]*)"', r.html) for r in rows if "src=" in r.html}
+
+
+def test_callbacks_move_the_table_on(spark, tmp_path, blog):
+    called_back(spark, tmp_path, blog, "a", {0: "https://a", 1: "https://b"})
+    assert players(spark, blog) == {0: ["https://a"], 1: ["https://b"]}
+    old, new = posts.version(spark, blog, 0), posts.version(spark, blog)
+    assert new.number == 1 and 1 <= sum(old.parts[k] != new.parts[k] for k in old.parts) <= 2
+    assert players(spark, blog, 0) == {}
+
+
+def test_a_second_stream_with_its_own_checkpoint(spark, tmp_path, blog):
+    called_back(spark, tmp_path, blog, "a", {0: "https://a"})
+    called_back(spark, tmp_path, blog, "b", {0: "https://c", 2: "https://b"})
+    assert players(spark, blog) == {0: ["https://c"], 2: ["https://b"]}
+    # the same place, but a checkpoint that begins anew
+    shutil.rmtree(tmp_path / "b-cp")
+    called_back(spark, tmp_path, blog, "c", {3: "https://d"}, str(tmp_path / "b-cp"))
+    assert players(spark, blog) == {0: ["https://c"], 2: ["https://b"], 3: ["https://d"]}
+    assert len(posts.version(spark, blog).epochs) == 3
+
+
+def test_a_replayed_epoch_changes_nothing(spark, tmp_path, blog):
+    called_back(spark, tmp_path, blog, "a", {0: "https://a"})
+    before = posts.version(spark, blog)
+    (tmp_path / "a-cp/commits/0").unlink()  # as if the driver had died between the table's commit and the stream's
+    (tmp_path / "a-cp/commits/.0.crc").unlink(missing_ok=True)
+    called_back(spark, tmp_path, blog, "a2", {})
+    ev = spark.readStream.schema("job_id string, ts timestamp, status string, audio_uri string").parquet(str(tmp_path / "a"))
+    assert S.apply_callbacks(ev, blog, str(tmp_path / "a-cp")).trigger(availableNow=True).start().awaitTermination(120)
+    assert (tmp_path / "a-cp/commits/0").exists()
+    after = posts.version(spark, blog)
+    assert after == before and players(spark, blog) == {0: ["https://a"]}
+
+
+def test_a_crash_before_the_commit(spark, tmp_path, blog, monkeypatch):
+    def dies(*_):
+        raise OSError("gone")
+
+    real = posts.commit
+    monkeypatch.setattr(posts, "commit", dies)
+    with pytest.raises(Exception, match="gone"):
+        called_back(spark, tmp_path, blog, "a", {0: "https://a"})
+    assert posts.version(spark, blog).number == 0 and players(spark, blog) == {}
+    monkeypatch.setattr(posts, "commit", real)
+    ev = spark.readStream.schema("job_id string, ts timestamp, status string, audio_uri string").parquet(str(tmp_path / "a"))
+    assert S.apply_callbacks(ev, blog, str(tmp_path / "a-cp")).trigger(availableNow=True).start().awaitTermination(120)
+    assert players(spark, blog) == {0: ["https://a"]}
+
+
+def test_writers_that_meet(spark, blog, monkeypatch):
+    def stamped(word):
+        return lambda df: df.withColumn("html", F.concat("html", F.lit(f' src="{word}"')))
+
+    part = {k: r for k, r in enumerate(r.part for r in spark.createDataFrame([(p,) for p in POSTS], "post_id string").select(posts.part_of(F.col("post_id")).alias("part")).collect())}
+    other = next(k for k in part if part[k] != part[0])
+    real, met = posts.commit, []
+
+    def late(spark, table, new):
+        if not met:  # another writer comes first, to another part and then to the same one
+            met.append(1)
+            assert posts.update(spark, table, stamped("other"), [part[other]])
+            assert posts.update(spark, table, stamped("first"), [part[0]])
+        return real(spark, table, new)
+
+    monkeypatch.setattr(posts, "commit", late)
+    assert posts.update(spark, blog, stamped("second"), [part[0]])
+    got = players(spark, blog)
+    assert got[0] == ["first", "second"] and got[other] == ["other"]
+    assert not posts.commit(spark, blog, posts.Version(1))  # a taken number
+    assert not posts.update(spark, blog, stamped("x"), [posts.PARTS])
+
+
+def test_vacuum_keeps_what_versions_name(spark, tmp_path, blog):
+    for k in range(3):
+        called_back(spark, tmp_path, blog, f"v{k}", {0: f"https://{k}"})
+    posts._written(posts.read(spark, blog), blog)  # of a writer that died
+    assert posts.vacuum(spark, blog) == []  # all too young
+    gone = posts.vacuum(spark, blog, 1, -1, dry_run=True)
+    assert len([x for x in gone if x.startswith("data/")]) == 3 and len([x for x in gone if x.startswith("commits/")]) == 3
+    assert posts.vacuum(spark, blog, 1, -1) == gone
+    assert players(spark, blog) == {0: ["https://2"]} and posts.vacuum(spark, blog, 1, -1) == []
+    with pytest.raises(Exception):
+        posts.read(spark, blog, 0)
 
 
 def test_timeouts(spark, tmp_path):
