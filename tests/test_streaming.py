@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import random
 import re
 import shutil
 import time
@@ -38,21 +39,65 @@ def as_stream(spark, df, path):
     return spark.readStream.schema(df.schema).parquet(str(path))
 
 
+def in_batches(spark, path, df, make, name, late_rows=(), n=6, seed=1):
+    """``make(stream)``'s rows when the rows of ``df`` come shuffled over ``n`` files, one a batch; a row far ahead comes last, and then ``late_rows``.  Also how many rows were dropped as late."""
+    rows = df.collect()
+    random.Random(seed).shuffle(rows)
+    parts = [rows[k::n] for k in range(n)]
+    key, end = rows[0][0], max(r.ts for r in rows) + dt.timedelta(days=30)
+    path.mkdir()
+    stream = make(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(path)))
+    q = stream.writeStream.format("memory").queryName(name).outputMode("append").start()
+    sentinel = tuple(end if f == "ts" else ("end" if f == df.columns[0] else rows[0][f]) for f in df.columns)
+    try:
+        for part in [*parts, [sentinel], list(late_rows), [sentinel]]:
+            if part:
+                spark.createDataFrame(part, df.schema).coalesce(1).write.mode("append").parquet(str(path))
+                q.processAllAvailable()
+        dropped = sum(int(s["numRowsDroppedByWatermark"]) for p in q.recentProgress for s in p["stateOperators"])
+    finally:
+        q.stop()
+    assert key != "end"
+    return [r for r in spark.table(name).collect() if r[0] != "end"], dropped
+
+
 def test_limiter_equals_batch(spark, tmp_path):
-    log = spark.createDataFrame([(k, at(t * (1 + ord(k) % 3))) for k in "abc" for t in (0, 10, 20, 30, 65, 66, 67)], "key string, ts timestamp")
-    got = {(r.key, r.ts.timestamp()): r.accepted for r in drained(spark, S.rate_limit(as_stream(spark, log, tmp_path / "log"), 3, 60), "limited")}
-    assert got == {(r.key, r.ts.timestamp()): r.accepted for r in folds.rate_limited(log, 3, 60).collect()}
+    log = spark.createDataFrame([(k, at(t * (1 + ord(k) % 3))) for k in "abc" for t in (0, 10, 20, 30, 65, 66, 67, 130, 131, 190)], "key string, ts timestamp")
+    got, dropped = in_batches(spark, tmp_path / "log", log, lambda s: S.rate_limit(s, 3, 60, "20 minutes"), "limited", [("a", at(5)), ("b", at(6))])
+    assert {(r.key, r.ts): r.accepted for r in got} == {(r.key, r.ts): r.accepted for r in folds.rate_limited(log, 3, 60).collect()}
+    assert len(got) == log.count() and dropped == 2
+
+
+def test_machine_equals_batch(spark, tmp_path):
+    kinds = ["queued", "processing", "paused", "resumed", "completed", "paused", "deleted", "processing"]
+    ev = spark.createDataFrame([(j, at(17 * k), s) for j in "ab" for k, s in enumerate(kinds[:: 1 if j == "a" else -1])] + [("c", at(1), None)], "job_id string, ts timestamp, status string")
+    want = {(r.job_id, r.ts, r.status, r.state, r.applied) for r in folds.job_states(ev).collect()}
+    for k, ttl in enumerate((86_400, None)):
+        got, dropped = in_batches(spark, tmp_path / f"ev{k}", ev, lambda s: S.job_machine(s, ttl, "10 minutes"), f"machine{k}", [("a", at(3), "paused")], seed=k)
+        assert {tuple(r) for r in got} == want and len(got) == len(want) and dropped == 1
+    assert [(r[3], r[4]) for r in sorted((x for x in want if x[0] == "a"), key=lambda x: x[1])] == [("queued", True), ("processing", True), ("paused", True), ("processing", True), ("completed", True), ("completed", False), ("deleted", True), ("deleted", False)]
+
+
+def test_machine_forgets_in_event_time(spark, tmp_path):
+    ev = spark.createDataFrame([("j", at(0), "deleted"), ("j", at(5000), "queued")], "job_id string, ts timestamp, status string")
+    got, _ = in_batches(spark, tmp_path / "ev", ev, lambda s: S.job_machine(s, 600, "2 hours"), "forgot", n=1)
+    assert [r.applied for r in sorted(got, key=lambda r: r.ts)] == [True, False]  # both came before the state could go
+    path = tmp_path / "apart"
+    path.mkdir()
+    q = S.job_machine(spark.readStream.schema(ev.schema).parquet(str(path)), 600, "1 minute").writeStream.format("memory").queryName("apart").outputMode("append").start()
+    for row in [("j", at(0), "deleted"), ("x", at(4000), "queued"), ("j", at(5000), "queued"), ("x", at(9000), "queued")]:
+        spark.createDataFrame([row], ev.schema).coalesce(1).write.mode("append").parquet(str(path))
+        q.processAllAvailable()
+    q.stop()
+    assert [(r.status, r.applied) for r in sorted(spark.table("apart").filter("job_id = 'j'").collect(), key=lambda r: r.ts)] == [("deleted", True), ("queued", True)]
 
 
-def test_machine_and_breaker(spark, tmp_path):
-    ev = spark.createDataFrame([("j", at(k), s) for k, s in enumerate(["queued", "processing", "paused", "resumed", "completed", "paused", "deleted", "processing"])], "job_id string, ts timestamp, status string")
-    got = [(r.status, r.applied) for r in sorted(drained(spark, S.job_machine(as_stream(spark, ev, tmp_path / "ev")), "machine"), key=lambda r: r.ts)]
-    assert got == [("queued", True), ("processing", True), ("paused", True), ("processing", True), ("completed", True), ("completed", False), ("deleted", True), ("deleted", False)]
-    again = drained(spark, S.job_machine(as_stream(spark, ev, tmp_path / "ev2"), ttl_s=None), "machine_kept")
-    assert sorted((r.status, r.applied) for r in again) == sorted(got)
-    calls = spark.createDataFrame([("e", at(t), ok) for t, ok in ((0, False), (1, False), (2, False), (3, True), (70, True), (71, True))], "endpoint string, ts timestamp, ok boolean")
-    got = [(r.allowed, r.state) for r in sorted(drained(spark, S.breaker(as_stream(spark, calls, tmp_path / "calls")), "breaker"), key=lambda r: r.ts)]
-    assert got == [(True, "closed"), (True, "closed"), (True, "open"), (False, "open"), (True, "closed"), (True, "closed")]
+def test_breaker_equals_batch(spark, tmp_path):
+    calls = [(e, at(t * 20), (t + ord(e)) % 4 == 0) for e in "ef" for t in range(30)] + [("g", at(t), ok) for t, ok in ((0, False), (1, False), (2, False), (3, True), (70, True), (71, True))]
+    calls = spark.createDataFrame(calls, "endpoint string, ts timestamp, ok boolean")
+    got, dropped = in_batches(spark, tmp_path / "calls", calls, lambda s: S.breaker(s, late="1 hour"), "breaker", [("e", at(7), True)])
+    assert {tuple(r) for r in got} == {tuple(r) for r in folds.breaker_states(calls).collect()} and len(got) == calls.count() and dropped == 1
+    assert [(r.allowed, r.state) for r in sorted((r for r in got if r.endpoint == "g"), key=lambda r: r.ts)] == [(True, "closed"), (True, "closed"), (True, "open"), (False, "open"), (True, "closed"), (True, "closed")]
 
 
 def test_first_submission_and_metrics(spark, tmp_path):
@@ -72,29 +117,6 @@ def test_posts_and_segments(spark, tmp_path):
     assert got == {(1, 0): ("One two.", 2), (2, 0): ("a b c", 3)}
 
 
-def test_late_rows_change_nothing(spark, tmp_path):
-    ev = spark.createDataFrame([("j", at(100), "processing")], "job_id string, ts timestamp, status string")
-    path = str(tmp_path / "ev")
-    ev.coalesce(1).write.parquet(path)
-    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    q = S.job_machine(stream, None).writeStream.format("memory").queryName("late").outputMode("append").start()
-    q.processAllAvailable()
-    spark.createDataFrame([("j", at(50), "paused"), ("j", at(150), "completed")], ev.schema).coalesce(1).write.mode("append").parquet(path)
-    q.processAllAvailable()
-    q.stop()
-    got = [(r.event, r.status, r.applied, r.late) for r in sorted(spark.table("late").collect(), key=lambda r: r.ts)]
-    assert got == [("paused", "processing", False, True), ("processing", "processing", True, False), ("completed", "completed", True, False)]
-
-
-def test_batch_folds_equal_streams(spark, tmp_path):
-    ev = spark.createDataFrame([(j, at(17 * k), s) for j in "ab" for k, s in enumerate(["queued", "processing", "paused", "resumed", "completed", "paused", "deleted", "processing"][:: 1 if j == "a" else -1])], "job_id string, ts timestamp, status string")
-    got = {(r.job_id, r.ts, r.status, r.applied) for r in drained(spark, S.job_machine(as_stream(spark, ev, tmp_path / "ev")), "machine_too")}
-    assert got == {(r.job_id, r.ts, r.state, r.applied) for r in folds.job_states(ev).collect()}
-    calls = spark.createDataFrame([(e, at(t * 20), (t + ord(e)) % 4 == 0) for e in "ef" for t in range(30)], "endpoint string, ts timestamp, ok boolean")
-    got = {(r.endpoint, r.ts, r.allowed, r.state) for r in drained(spark, S.breaker(as_stream(spark, calls, tmp_path / "calls")), "breaker_too")}
-    assert got == {(r.endpoint, r.ts, r.allowed, r.state) for r in folds.breaker_states(calls).collect()}
-
-
 POSTS = [f"{k:024x}" for k in range(40)]
 
 
@@ -214,10 +236,19 @@ def test_timeouts(spark, tmp_path):
 
 
 def test_overdue_states(spark, tmp_path):
-    ev = spark.createDataFrame([("a", at(0), "processing"), ("a", at(40_000), "completed"), ("b", at(0), "paused"), ("b", at(100), "resumed"), ("c", at(5), "paused"), ("z", at(200_000), "queued"), ("z", at(200_001), "completed")], "job_id string, ts timestamp, status string")
-    q = S.overdue(as_stream(spark, ev, tmp_path / "ev")).writeStream.format("memory").queryName("overdue").outputMode("append").start()
-    q.processAllAvailable()
+    ev = [("a", at(0), "processing"), ("a", at(40_000), "completed"), ("b", at(0), "paused"), ("b", at(100), "resumed"), ("c", at(5), "paused"), ("d", at(0), "paused"), ("d", at(3599), "processing"), ("d", at(3700), "completed"), ("z", at(200_000), "queued"), ("z", at(200_001), "completed")]
+    ev = spark.createDataFrame(ev, "job_id string, ts timestamp, status string")
+    want = {("a", "processing", at(0)), ("c", "paused", at(5))}
+    for k in range(3):
+        got, _ = in_batches(spark, tmp_path / f"ev{k}", ev, lambda s: S.overdue(s, late="3 days"), f"overdue{k}", seed=k, n=4)
+        assert sorted(tuple(r) for r in got) == sorted(want)
+    # the limit passes before the next event is there
+    path = tmp_path / "apart"
+    path.mkdir()
+    q = S.overdue(spark.readStream.schema(ev.schema).parquet(str(path))).writeStream.format("memory").queryName("overdue_apart").outputMode("append").start()
+    for row in [("a", at(0), "paused"), ("x", at(5000), "queued"), ("x", at(5100), "queued"), ("a", at(6000), "completed"), ("x", at(9000), "queued")]:
+        spark.createDataFrame([row], ev.schema).coalesce(1).write.mode("append").parquet(str(path))
+        q.processAllAvailable()
     q.stop()
-    got = {(r.job_id, r.status, r.since) for r in spark.table("overdue").collect()}
-    assert got == {("a", "processing", at(0)), ("c", "paused", at(5))}
-    assert got == {(r.job_id, r.status, r.since) for r in jobs.overdue(ev, F.lit(at(200_001)), S.LIMITS).collect()}
+    assert [tuple(r) for r in spark.table("overdue_apart").collect()] == [("a", "paused", at(0))]
+    assert want == {(r.job_id, r.status, r.since) for r in jobs.overdue(ev, F.lit(at(200_001)), S.LIMITS).collect()}
