@@ -1,8 +1,8 @@
 """Clip tables: ``clips(job_id, seg_idx, sr, samples array<float>)`` and frames of them.
 
 What SQL can say stays native; spectra, pitch and filters run in numpy on Arrow batches, one clip
-at a time, so a task never holds more than a batch of clips.  Joining needs a job's clips together
-and works by group.
+at a time, so a task never holds more than a batch of clips.  Joining and what is measured on joined
+audio take a job's clips one after the other and hold what the next one needs.
 """
 
 from __future__ import annotations
@@ -332,7 +332,8 @@ def _k_weighted(x: np.ndarray, sr: int) -> np.ndarray:
 
 def integrated_lufs(x: np.ndarray, sr: int) -> float | None:
     """400 ms blocks with 75 % overlap, gated at -70 LUFS and 10 LU below the mean of what passes."""
-    blocks = _strided(_k_weighted(np.asarray(x, np.float64), sr), int(0.4 * sr), max(int(0.1 * sr), 1))
+    hop = max(int(0.1 * sr), 1)
+    blocks = _strided(_k_weighted(np.asarray(x, np.float64), sr), 4 * hop, hop)
     if not len(blocks):
         return None
     power = (blocks**2).mean(axis=1)
@@ -342,14 +343,17 @@ def integrated_lufs(x: np.ndarray, sr: int) -> float | None:
     return float(-0.691 + 10 * np.log10(loud[loud > loud.mean() / 10].mean()))
 
 
+def oversampled(x: np.ndarray) -> np.ndarray:
+    """``x`` at four times its rate."""
+    spectrum = np.zeros(2 * x.size + 1, dtype=complex)
+    spectrum[: x.size // 2 + 1] = np.fft.rfft(x)
+    return np.fft.irfft(spectrum, 4 * x.size) * 4
+
+
 def true_peak(x: np.ndarray) -> float | None:
     """dB of the peak after four-fold oversampling."""
     x = np.asarray(x, np.float64)
-    if not x.size:
-        return None
-    spectrum = np.zeros(2 * x.size + 1, dtype=complex)
-    spectrum[: x.size // 2 + 1] = np.fft.rfft(x)
-    peak = np.abs(np.fft.irfft(spectrum, 4 * x.size) * 4).max()
+    peak = np.abs(oversampled(x)).max() if x.size else 0
     return float(20 * np.log10(peak)) if peak > 0 else None
 
 
@@ -361,7 +365,7 @@ def gain_plan(metrics: DataFrame, target: float = -16.0) -> DataFrame:
 
 
 def apply_gain(clips: DataFrame, plan: DataFrame) -> DataFrame:
-    return clips.join(plan.select("job_id", "seg_idx", "gain"), ["job_id", "seg_idx"]).withColumn("samples", F.transform("samples", lambda x: (x * F.col("gain")).cast("float"))).drop("gain")
+    return clips.join(plan.select("job_id", "seg_idx", "gain").hint("merge"), ["job_id", "seg_idx"]).withColumn("samples", F.transform("samples", lambda x: (x * F.col("gain")).cast("float"))).drop("gain")
 
 
 # the gate
@@ -401,23 +405,160 @@ def crossfade(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate([a[:-n], mid, b[n:]])
 
 
+class Joiner:
+    """One job's audio as it grows: what no later clip can change is handed on, and only the end that the next fade needs stays."""
+
+    def __init__(self, fade: int):
+        self.fade, self.total, self.tail = fade, 0, np.zeros(0)
+
+    def add(self, x: np.ndarray, quiet: int = 0) -> np.ndarray:
+        """``x`` after ``quiet`` samples of silence, or faded in if both sides are as long as the fade; returns what is settled."""
+        if self.fade and self.total >= self.fade and x.size >= self.fade:
+            x, self.total, self.tail = crossfade(self.tail, x, self.fade), self.total - self.fade, np.zeros(0)
+        whole = np.concatenate([self.tail, np.zeros(quiet), x])
+        self.total += whole.size - self.tail.size
+        at = max(whole.size - self.fade, 0)
+        self.tail = whole[at:].copy()
+        return whole[:at]
+
+
+JOINED = "job_id string, part_idx int, sr int, samples array<float>"
+
+
+def _joined(clips: Iterator[tuple], mode: str, overlap_ms: int) -> Iterator[tuple]:
+    """(job_id, sr, samples, gap_ms) in order -> (job_id, part_idx, sr, samples)."""
+    now, joiner, sr, part, gap, begun = None, None, 0, 0, 0, False
+
+    def ended() -> Iterator[tuple]:
+        if begun and (joiner.tail.size or not part):
+            yield now, part, sr, joiner.tail.astype(np.float32)
+
+    for job, rate, samples, gap_after in clips:
+        if not begun or job != now:
+            yield from ended()
+            now, sr, part, gap, begun = job, int(rate), 0, 0, True
+            joiner = Joiner(int(overlap_ms * sr / 1000) if mode == "overlap" else 0)
+        settled = joiner.add(np.asarray(samples if samples is not None else [], np.float64), int(gap * sr / 1000) if mode != "overlap" else 0)
+        gap = 0 if gap_after is None or gap_after != gap_after else gap_after
+        if settled.size:
+            yield now, part, sr, settled.astype(np.float32)
+            part += 1
+    yield from ended()
+
+
 def join_clips(clips: DataFrame, mode: str = "gap", overlap_ms: int = 500) -> DataFrame:
-    """A job's clips in order, with ``gap_ms`` of silence after each or a crossfade; one job is one group."""
+    """A job's clips in order, with ``gap_ms`` of silence after each or a crossfade -> (job_id, part_idx, sr, samples).
+
+    Clips go through a task one by one in order; a part is what a clip has settled, so memory holds one clip and the fade's tail,
+    however long the job.  Spark hands clips over in batches: bound these by ``spark.sql.execution.arrow.maxRecordsPerBatch`` where clips are long.
+    """
+    gap = F.col("gap_ms") if "gap_ms" in clips.columns else F.lit(0)
+    rows = clips.select("job_id", "sr", "samples", gap.cast("double").alias("gap_ms"), "seg_idx").repartition("job_id").sortWithinPartitions("job_id", "seg_idx")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = (r[:4] for pdf in batches for r in pdf.itertuples(index=False, name=None))
+        for part in _joined(rows, mode, overlap_ms):
+            yield pd.DataFrame([part], columns=["job_id", "part_idx", "sr", "samples"])
+
+    return rows.mapInPandas(run, JOINED)
+
+
+def whole_jobs(parts: DataFrame) -> DataFrame:
+    """Parts of ``join_clips`` put together: (job_id, sr, samples), for jobs that fit into a row."""
+    ordered = F.array_sort(F.collect_list(F.struct("part_idx", "samples")))
+    return parts.groupBy("job_id").agg(F.first("sr").alias("sr"), ordered.alias("o")).select("job_id", "sr", F.flatten(F.transform("o", lambda x: x["samples"])).alias("samples"))
+
+
+# loudness, peak and gaps of joined audio
+
+_MEASURES = "job_id string, kind string, idx int, value double"
+#: Seconds of audio before a part that its filter is given, by when it has forgotten what came earlier; samples around a part for its peaks.
+_CONTEXT_S, _AROUND = 1.0, 256
+
+
+def _measured(parts: Iterator[tuple]) -> Iterator[tuple]:
+    """(job_id, sr, samples) in order -> (job_id, kind, idx, value): powers of 400 ms blocks (hop 100 ms), levels of 50 ms frames, and peaks, across the borders of parts."""
+    now, sr, begun = None, 0, False
+
+    def start():
+        return {"before": np.zeros(0), "k": np.zeros(0), "steps": [], "block": 0, "frame": 0, "raw": np.zeros(0), "end": np.zeros(2 * _AROUND)}
+
+    def peaks(s: dict, x: np.ndarray) -> Iterator[tuple]:
+        """The peak between the samples around ``x``, which are faded so that their ends don't ring."""
+        whole = np.concatenate([s["end"], x])
+        s["end"] = whole[-2 * _AROUND :].copy()
+        ramp = np.sin(np.linspace(0, np.pi / 2, _AROUND // 2)) ** 2
+        whole[: ramp.size] *= ramp
+        whole[-ramp.size :] *= ramp[::-1]
+        peak = np.abs(oversampled(whole)[4 * _AROUND : -4 * _AROUND]).max()
+        if peak > 0:
+            yield "peak", 0, float(20 * np.log10(peak))
+
+    def work(s: dict, x: np.ndarray) -> Iterator[tuple]:
+        hop, size = max(int(0.1 * sr), 1), int(0.05 * sr)
+        context = s["before"].size
+        s["k"] = np.concatenate([s["k"], _k_weighted(np.concatenate([s["before"], x]), sr)[context:]])
+        s["before"] = np.concatenate([s["before"], x])[-int(_CONTEXT_S * sr) :]
+        n = s["k"].size // hop
+        s["steps"] += (s["k"][: n * hop].reshape(n, hop) ** 2).sum(axis=1).tolist()
+        s["k"] = s["k"][n * hop :]
+        while len(s["steps"]) >= 4:
+            yield "block", s["block"], sum(s["steps"][:4]) / (4 * hop)
+            s["steps"].pop(0)
+            s["block"] += 1
+        s["raw"] = np.concatenate([s["raw"], x])
+        n = s["raw"].size // size if size else 0
+        for level in np.sqrt((s["raw"][: n * size].reshape(n, size) ** 2).mean(axis=1)).tolist() if n else []:
+            yield "frame", s["frame"], level
+            s["frame"] += 1
+        s["raw"] = s["raw"][n * size :]
+        yield from peaks(s, x)
+
+    state = start()
+    for job, rate, samples in parts:
+        if not begun or job != now:
+            if begun:
+                yield from ((now, *m) for m in peaks(state, np.zeros(2 * _AROUND)))
+            now, sr, state, begun = job, int(rate), start(), True
+        for a in range(0, len(samples), 30 * sr):  # a long part in pieces
+            yield from ((now, *m) for m in work(state, np.asarray(samples[a : a + 30 * sr], np.float64)))
+    if begun:
+        yield from ((now, *m) for m in peaks(state, np.zeros(2 * _AROUND)))
+
+
+def measures(parts: DataFrame) -> DataFrame:
+    """Parts of ``join_clips`` -> rows (job_id, kind, idx, value) of kind block, frame or peak."""
+    rows = parts.select("job_id", "sr", "samples", "part_idx").repartition("job_id").sortWithinPartitions("job_id", "part_idx")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = []
+        for m in _measured(r[:3] for pdf in batches for r in pdf.itertuples(index=False, name=None)):
+            held.append(m)
+            if len(held) == 5000:
+                yield pd.DataFrame(held, columns=["job_id", "kind", "idx", "value"])
+                held = []
+        if held:
+            yield pd.DataFrame(held, columns=["job_id", "kind", "idx", "value"])
+
+    return rows.mapInPandas(run, _MEASURES)
+
+
+def gated_loudness(blocks: DataFrame) -> DataFrame:
+    """``blocks(job_id, power)`` -> (job_id, integrated_lufs): the mean power of blocks above -70 LUFS and above 10 LU below these blocks' mean; null without any."""
+    loud = F.col("power") > 10 ** ((-70 + 0.691) / 10)
+    first = blocks.groupBy("job_id").agg(F.avg(F.when(loud, F.col("power"))).alias("mean"))
+    both = blocks.filter(loud).join(first.hint("merge"), "job_id").filter(F.col("power") > F.col("mean") / 10).groupBy("job_id").agg(F.avg("power").alias("kept"))
+    return first.join(both.hint("merge"), "job_id", "left").select("job_id", (F.lit(-0.691) + 10 * F.log10("kept")).alias("integrated_lufs"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, sr = None, int(pdf["sr"].iloc[0])
-        for r in pdf.sort_values("seg_idx").itertuples():
-            x = np.asarray(r.samples, np.float64)
-            if out is None:
-                out = x
-            elif mode == "overlap":
-                out = crossfade(out, x, int(overlap_ms * sr / 1000))
-            else:
-                out = np.concatenate([out, np.zeros(int(gap * sr / 1000)), x])
-            gap = getattr(r, "gap_ms", 0) or 0
-        return pd.DataFrame({"job_id": [pdf["job_id"].iloc[0]], "sr": [sr], "samples": [out.astype(np.float32)]})
 
-    return clips.groupBy("job_id").applyInPandas(run, "job_id string, sr int, samples array<float>")
+def final_metrics(parts: DataFrame) -> DataFrame:
+    """Joined audio -> (job_id, integrated_lufs, true_peak_dbfs, long_silence_gaps) of each whole job, as ``checks.final_gate`` asks."""
+    found = measures(parts)
+    loud = gated_loudness(found.filter("kind = 'block'").select("job_id", F.col("value").alias("power")))
+    peaks = found.groupBy("job_id").agg(F.max(F.when(F.col("kind") == "peak", F.col("value"))).alias("true_peak_dbfs"))
+    frames = found.filter("kind = 'frame'").select("job_id", F.lit(0).alias("seg_idx"), F.col("idx").alias("frame_idx"), F.col("value").alias("rms"))
+    gaps = silence_gaps(frames).select("job_id", F.col("gaps").cast("int").alias("long_silence_gaps"))
+    return peaks.join(loud.hint("merge"), "job_id", "left").join(gaps.hint("merge"), "job_id", "left")
 
 
 def join_with_gap(parts: DataFrame, ms: int) -> DataFrame:
@@ -467,9 +608,9 @@ def voice_report(voices: DataFrame) -> DataFrame:
 
 
 def with_reference_f0(clips: DataFrame, voices: DataFrame) -> DataFrame:
-    """Per-voice reference pitch; the join strategy is left to the optimiser, as voices may be many."""
-    return clips.join(voices.select("voice", F.col("f0").alias("ref_f0")), "voice", "left")
+    """Per-voice reference pitch; voices may be many, and their pitches come from Python."""
+    return clips.join(voices.select("voice", F.col("f0").alias("ref_f0")).hint("merge"), "voice", "left")
 
 
 def pair_transcripts(clips: DataFrame, transcripts: DataFrame, most_ms: int = 120_000) -> DataFrame:
-    return clips.filter(F.col("duration_ms") <= most_ms).join(transcripts.filter(F.trim("transcript") != ""), ["job_id", "seg_idx"], "left")
+    return clips.filter(F.col("duration_ms") <= most_ms).join(transcripts.filter(F.trim("transcript") != "").hint("merge"), ["job_id", "seg_idx"], "left")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,7 +38,7 @@ def submit(new: DataFrame, existing: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def pair_chunks(src: DataFrame, out: DataFrame) -> DataFrame:
-    return src.join(out.withColumnRenamed("text", "out_text"), ["doc_id", "seg_idx"])
+    return src.join(out.withColumnRenamed("text", "out_text").hint("merge"), ["doc_id", "seg_idx"])
 
 
 def match_entities(entities: DataFrame, outputs: DataFrame) -> DataFrame:
@@ -47,15 +51,69 @@ def missing_entities(entities: DataFrame, outputs: DataFrame) -> DataFrame:
     return match_entities(entities, outputs).filter("not found").select("doc_id", "value")
 
 
+class Hostnames:
+    """An automaton of all hostnames (Aho and Corasick): each state knows the best site that ends there or in one of its suffixes."""
+
+    def __init__(self, sites: list[tuple]):
+        self.next: list[dict[str, int]] = [{}]
+        self.best: list[tuple | None] = [None]
+        for rank, slug, hostname in sites:
+            state = 0
+            for c in hostname:
+                if c not in self.next[state]:
+                    self.next[state][c] = len(self.next)
+                    self.next.append({})
+                    self.best.append(None)
+                state = self.next[state][c]
+            self.best[state] = min(filter(None, (self.best[state], (rank, slug))))
+        self.fail = [0] * len(self.next)
+        waiting = deque(self.next[0].values())
+        while waiting:
+            state = waiting.popleft()
+            for c, to in self.next[state].items():
+                self.fail[to] = self._step(self.fail[state], c)
+                waiting.append(to)
+            self.best[state] = min(filter(None, (self.best[state], self.best[self.fail[state]])), default=None)
+        if self.best[0]:  # an empty hostname is part of any
+            self.best = [min(filter(None, (b, self.best[0]))) for b in self.best]
+
+    def _step(self, state: int, c: str) -> int:
+        while state and c not in self.next[state]:
+            state = self.fail[state]
+        return self.next[state].get(c, 0)
+
+    def slug(self, host: str) -> str | None:
+        """The slug of the least rank among hostnames in ``host``, in one pass over it."""
+        state, found = 0, self.best[0]
+        for c in host:
+            state = self._step(state, c)
+            b = self.best[state]
+            if b and (found is None or b < found):
+                found = b
+        return found and found[1]
+
+
 def route_site(df: DataFrame, sites: DataFrame, most: int = 10_000) -> DataFrame:
-    """The first site whose hostname is part of the url's, else the hostname with dashes.  Sites above ``most`` are refused, so the broadcast is bounded."""
-    n = sites.limit(most + 1).count()
-    if n > most:
+    """The first site, by rank and then slug, whose hostname is part of the url's, else the hostname with dashes.
+
+    ``sites(rank, slug, hostname)`` above ``most`` are refused, so the table that each worker makes its automaton of is bounded; only hostnames go to it.
+    """
+    listed = [tuple(r) for r in sites.filter("hostname is not null").select("rank", "slug", "hostname").limit(most + 1).collect()]
+    if len(listed) > most:
         raise ValueError(f"over {most} sites")
+    table = df.sparkSession.sparkContext.broadcast(listed)
+
+    @F.pandas_udf("string")
+    def routed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        names, known = Hostnames(table.value), {}
+        for hosts in batches:
+            if len(known) > 100_000:
+                known.clear()
+            known.update({h: names.slug(h) for h in hosts.unique() if h not in known})
+            yield hosts.map(known)
+
     host = F.coalesce(F.regexp_extract("url", r"^[a-z]+://([^/:?#]+)", 1), F.lit(""))
-    named = df.select("url").distinct().withColumn("host", host)
-    best = named.join(F.broadcast(sites), F.col("host").contains(F.col("hostname"))).groupBy("url").agg(F.min_by("slug", "rank").alias("slug"))
-    return df.join(best, "url", "left").withColumn("site_slug", F.coalesce("slug", F.replace(host, F.lit("."), F.lit("-")))).drop("slug")
+    return df.withColumn("site_slug", F.coalesce(routed(host), F.replace(host, F.lit("."), F.lit("-"))))
 
 
 def assign_tier(hosts: DataFrame, tiers: DataFrame, most: int = 1000) -> DataFrame:
@@ -66,10 +124,11 @@ def assign_tier(hosts: DataFrame, tiers: DataFrame, most: int = 1000) -> DataFra
 
 
 def effective_params(defaults: DataFrame, overrides: DataFrame, columns: list[str]) -> DataFrame:
-    """One row of defaults under each row of overrides; an omitted value keeps the default."""
-    base = defaults.limit(1).select(*[F.col(c).alias(f"d_{c}") for c in columns])
+    """One row of defaults under each row of overrides; an omitted value keeps the default, or null without defaults."""
+    row = defaults.select(*columns).first()  # one row at most
+    types = {f.name: f.dataType for f in defaults.schema}
     others = [c for c in overrides.columns if c not in columns]
-    return overrides.join(F.broadcast(base)).select(*others, *[F.coalesce(c, f"d_{c}").alias(c) for c in columns])
+    return overrides.select(*others, *[F.coalesce(F.col(c), F.lit(row[c] if row else None).cast(types[c])).alias(c) for c in columns])
 
 
 def resolve_voice(df: DataFrame, voices: DataFrame) -> DataFrame:
@@ -106,7 +165,7 @@ def memoize(df: DataFrame, keys: list[str], compute, cache: DataFrame, now: Colu
     keyed, live = df.withColumn("cache_key", key), cache.filter(F.col("stored_at") >= now - F.make_interval(secs=F.lit(ttl_s)))
     miss = keyed.select("cache_key", *keys).join(live, "cache_key", "left_anti").dropDuplicates(["cache_key"])
     fresh = compute(miss).select("cache_key", "value")
-    return keyed.join(live.select("cache_key", "value").unionByName(fresh), "cache_key", "left"), fresh.filter("value is not null").withColumn("stored_at", now)
+    return keyed.join(live.select("cache_key", "value").unionByName(fresh).hint("merge"), "cache_key", "left"), fresh.filter("value is not null").withColumn("stored_at", now)
 
 
 # aggregates

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from speechprep.operators import audio, folds, jobs, models
+from speechprep.operators import audio, checks, folds, jobs, models
 from speechprep.plans.table_queries import ORACLES, QUERIES, _EV, _STATUS, events, query, sql_of, table, tones, total
 from speechprep.plans.text_queries import SEGMENTS_OF_NORMALISED
 from speechprep.sources import posts, tables
@@ -48,19 +48,61 @@ def a8_median_f0(spark, d):
     return audio.median_f0_of_frames(fr).select("job_id", F.round("f0", 6).alias("f0"))
 
 
-@query()
+_SHORT = "0.14 + 0.04 * (vec_id % 3)"
+#: The clips of ``tones`` with ``_SHORT`` seconds at 4,000 samples a second.
+_TONES_SQL = """SELECT CAST(vec_id AS VARCHAR) AS job_id, list_transform(range(CAST(floor((0.14 + 0.04 * (vec_id % 3)) * 4000 + 1e-6) AS INTEGER)), lambda i: CAST(CAST(0.3 * sin(i * hz * 2 * 3.141592653589793 / 4000) + 0.1 * w * sin(i * hz * 4 * 3.141592653589793 / 4000) AS FLOAT) AS DOUBLE)) AS s
+FROM (SELECT vec_id, 90 + 60 * abs(CAST(embedding[1] AS DOUBLE)) + vec_id % 40 AS hz, coalesce(CAST(embedding[2] AS DOUBLE), 0.1) AS w FROM embeddings)"""
+#: Magnitudes of the discrete Fourier transform of 512 samples under a Hann window, bin by bin.
+_FLATNESS_SQL = f"""WITH c AS ({_TONES_SQL}),
+fr AS (SELECT job_id, CAST(i AS INTEGER) AS frame_idx, list_transform(range(512), lambda n: s[i * 128 + n + 1] * (0.5 - 0.5 * cos(2 * pi() * n / 511))) AS x FROM (SELECT job_id, s, unnest(range(greatest((len(s) - 512) // 128 + 1, 0))) AS i FROM c)),
+m AS (SELECT job_id, frame_idx, sqrt(power(list_sum(list_transform(range(512), lambda n: x[n + 1] * cos(2 * pi() * (n * k % 512) / 512))), 2) + power(list_sum(list_transform(range(512), lambda n: x[n + 1] * sin(2 * pi() * (n * k % 512) / 512))), 2)) + 1e-10 AS m FROM fr, range(257) AS b(k)),
+f AS (SELECT job_id, frame_idx, CASE WHEN avg(m) > 0.005 THEN exp(avg(ln(m))) / avg(m) END AS flatness FROM m GROUP BY job_id, frame_idx)"""
+
+
+def _short_tones(spark, d):
+    return tones(spark, d, _SHORT).drop("vec_id")
+
+
+@query(f"{_FLATNESS_SQL} SELECT job_id, CAST(0 AS INTEGER) AS seg_idx, round(coalesce(avg(flatness), 0), 5) AS flatness FROM f GROUP BY job_id")
 def a10_spectral_flatness(spark, d):
-    return audio.mean_flatness(audio.frame_flatness(tones(spark, d).drop("vec_id")))
+    return audio.mean_flatness(audio.frame_flatness(_short_tones(spark, d))).withColumn("flatness", F.round("flatness", 5))
 
 
-@query()
+@query(f"{_FLATNESS_SQL} SELECT job_id, CAST(0 AS INTEGER) AS seg_idx, frame_idx, round(flatness, 5) AS flatness FROM f")
 def g4_frame_flatness(spark, d):
-    return audio.frame_flatness(tones(spark, d).drop("vec_id"))
+    return audio.frame_flatness(_short_tones(spark, d)).withColumn("flatness", F.round("flatness", 5))
 
 
-@query()
+@query(
+    f"""WITH c AS ({_TONES_SQL}),
+fr AS (SELECT job_id, CAST(i AS INTEGER) AS frame_idx, s[i * 60 + 1:i * 60 + 120] AS x FROM (SELECT job_id, s, unnest(range(greatest((len(s) - 120) // 60 + 1, 0))) AS i FROM c)),
+z AS (SELECT job_id, frame_idx, list_transform(x, lambda v: v - list_avg(x)) AS x FROM fr),
+r AS (SELECT job_id, frame_idx, list_sum(list_transform(x, lambda v: v * v)) AS r0, list_transform(range(8, 67), lambda g: list_sum(list_transform(range(120 - g), lambda n: x[n + 1] * x[n + 1 + g]))) AS r FROM z),
+p AS (SELECT *, list_max(r) AS peak, list_position(r, list_max(r)) + 7 AS lag FROM r),
+o AS (SELECT *, CASE WHEN lag // 2 >= 8 AND r[lag // 2 - 7] >= 0.9 * peak THEN lag // 2 ELSE lag END AS best FROM p)
+SELECT job_id, CAST(0 AS INTEGER) AS seg_idx, frame_idx, round(CASE WHEN r0 > 1e-8 AND peak > 0.5 * r0 THEN 4000.0::DOUBLE / best END, 6) AS f0 FROM o"""
+)
 def g3_frame_f0(spark, d):
-    return audio.frame_f0(tones(spark, d).drop("vec_id"))
+    return audio.frame_f0(_short_tones(spark, d)).withColumn("f0", F.round("f0", 6))
+
+
+_POWERS = "CAST(user_id AS STRING) AS job_id, CASE WHEN event_id % 5 = 0 THEN value * 1e-10 WHEN event_id % 3 = 0 THEN value * 1e-6 ELSE value * 1e-4 END AS power"
+
+
+@query(
+    f"""WITH b AS (SELECT {_POWERS} FROM events), a AS (SELECT job_id, avg(power) FILTER (power > power_floor) AS mean FROM (SELECT *, power(10, -6.9309) AS power_floor FROM b) GROUP BY job_id)
+SELECT a.job_id, round(-0.691 + 10 * log10(avg(b.power)), 6) AS integrated_lufs FROM a LEFT JOIN b ON b.job_id = a.job_id AND b.power > power(10, -6.9309) AND b.power > a.mean / 10 GROUP BY a.job_id"""
+)
+def a14_integrated_lufs(spark, d):
+    return audio.gated_loudness(sql_of(spark, d, "events", _POWERS)).withColumn("integrated_lufs", F.round("integrated_lufs", 6))
+
+
+@query()
+def a14_final_metrics(spark, d):
+    """Tones joined to jobs of five, measured across their borders and put through the final gate."""
+    clips = tones(spark, d).withColumn("job_id", F.floor(F.col("vec_id") / 5).cast("string")).withColumn("seg_idx", (F.col("vec_id") % 5).cast("int")).withColumn("gap_ms", F.lit(250))
+    found = audio.final_metrics(audio.join_clips(clips.drop("vec_id"))).withColumn("target_lufs", F.lit(-16.0))
+    return checks.final_gate(found)
 
 
 _PITCHED = "CAST(user_id AS STRING) AS job_id, 0 AS seg_idx, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts) - 1 AS INTEGER) AS frame_idx, CASE WHEN event_type <> 'error' THEN value + 100 END AS f0, CASE WHEN user_id % 7 = 0 THEN 0.01 ELSE 0.05 END AS rms"
@@ -95,7 +137,8 @@ _FADED = "list_sum(list_transform(range(0, 16), lambda i: greatest(-32768, least
 def g8_crossfade(spark, d):
     clips = _vectors(spark, d, "CAST(vec_id div 2 AS STRING)", "CAST(vec_id % 2 AS INTEGER)")
     both = clips.groupBy("job_id").agg(F.count("*").alias("m")).filter("m = 2").select("job_id")
-    return audio.join_clips(clips.join(both.hint("merge"), "job_id"), "overlap", 160).select("job_id", F.size("samples").alias("n"), F.round(total(F.col("samples")), 3).alias("total"))
+    parts = audio.join_clips(clips.join(both.hint("merge"), "job_id"), "overlap", 160).select("job_id", F.size("samples").alias("n"), total(F.col("samples")).alias("total"))
+    return parts.groupBy("job_id").agg(F.sum("n").cast("int").alias("n"), F.round(F.sum("total"), 3).alias("total"))
 
 
 @query(f"SELECT CAST(job AS VARCHAR) AS job_id, CAST(len(a) + len(b) + 5 AS INTEGER) AS n, round(b[1], 5) AS second_part, 0.0::DOUBLE AS gap FROM {_PAIR}")

@@ -560,7 +560,8 @@ def g7_tail(spark, d):
 @query("SELECT CAST(vec_id // 3 AS VARCHAR) AS job_id, CAST(sum(len(embedding)) + (count(*) - 1) * 5 AS INTEGER) AS n, round(sum(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE)))), 3) AS total, round(arg_max(CAST(embedding[-1] AS DOUBLE), vec_id), 5) AS last_sample FROM embeddings GROUP BY vec_id // 3")
 def g9_join_clips(spark, d):
     clips = sql_of(spark, d, "embeddings", "CAST(vec_id div 3 AS STRING) AS job_id, CAST(vec_id % 3 AS INTEGER) AS seg_idx, 100 AS sr, embedding AS samples, 50 AS gap_ms")
-    return audio.join_clips(clips).select("job_id", F.size("samples").alias("n"), F.round(total(F.col("samples")), 3).alias("total"), F.round(F.element_at("samples", -1).cast("double"), 5).alias("last_sample"))
+    parts = audio.join_clips(clips).select("job_id", "part_idx", F.size("samples").alias("n"), total(F.col("samples")).alias("total"), F.element_at("samples", -1).cast("double").alias("end"))
+    return parts.groupBy("job_id").agg(F.sum("n").cast("int").alias("n"), F.round(F.sum("total"), 3).alias("total"), F.round(F.max_by("end", "part_idx"), 5).alias("last_sample"))
 
 
 def tones(spark, d, seconds: str = "1 + 0.5 * (vec_id % 3)", sr: int = 4000):

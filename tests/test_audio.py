@@ -101,8 +101,8 @@ def test_channels(spark):
 
 def test_joins(spark):
     two = spark.createDataFrame([("j", k, SR, [float(v) for v in sine(200, 1)], 250) for k in range(2)], "job_id string, seg_idx int, sr int, samples array<float>, gap_ms int")
-    assert len(audio.join_clips(two).first().samples) == 2 * SR + SR // 4
-    assert len(audio.join_clips(two, "overlap").first().samples) == 2 * SR - SR // 2
+    assert [len(r.samples) for r in audio.join_clips(two).orderBy("part_idx").collect()] == [SR, SR + SR // 4]
+    assert len(audio.whole_jobs(audio.join_clips(two, "overlap")).first().samples) == 2 * SR - SR // 2
     a, b = sine(200, 1), sine(200, 1)
     mid = audio.crossfade(a, b, SR // 2)[SR // 2 : SR]
     assert np.sqrt((mid**2).mean()) > 0.25
@@ -136,3 +136,73 @@ def test_frames_need_order_not_partitions(spark):
     assert a.filter("onset").count() == b.filter("onset").count()
     assert audio.frames(x, 25, 10, inclusive=False).count() <= audio.frames(x, 25, 10).count()
     assert a.select(F.max("frame_idx")).first()[0] == 97
+
+
+def at_once(parts, mode, overlap_ms, sr):
+    """All clips of a job joined in memory."""
+    out, gap = None, 0
+    for x, after in parts:
+        x = np.asarray(x, np.float64)
+        if out is None:
+            out = x
+        elif mode == "overlap":
+            out = audio.crossfade(out, x, int(overlap_ms * sr / 1000))
+        else:
+            out = np.concatenate([out, np.zeros(int(gap * sr / 1000)), x])
+        gap = after or 0
+    return out.astype(np.float32)
+
+
+@pytest.mark.parametrize(("mode", "overlap_ms"), [("gap", 0), ("overlap", 100), ("overlap", 7)])
+def test_parts_make_the_whole(spark, mode, overlap_ms):
+    rng = np.random.default_rng(4)
+    jobs = {j: [(rng.uniform(-1, 1, rng.choice([0, 3, 40, 99, 100, 101, 500])).astype(np.float32), int(rng.choice([0, 20, 250]))) for _ in range(n)] for j, n in (("a", 30), ("b", 1), ("c", 7), ("d", 2))}
+    rows = [(j, k, 1000, [float(v) for v in x], gap) for j, clips in jobs.items() for k, (x, gap) in enumerate(clips)]
+    df = spark.createDataFrame(rows, "job_id string, seg_idx int, sr int, samples array<float>, gap_ms int").repartition(4)
+    parts = audio.join_clips(df, mode, overlap_ms)
+    for r in audio.whole_jobs(parts).collect():
+        assert np.array_equal(np.array(r.samples, np.float32), at_once(jobs[r.job_id], mode, overlap_ms, 1000))
+    for j in jobs:
+        idx = sorted(r.part_idx for r in parts.filter(F.col("job_id") == j).collect())
+        assert idx == list(range(len(idx))) and idx
+
+
+@pytest.mark.parametrize("mode", ["gap", "overlap"])
+def test_a_long_job_never_holds_more_than_two_clips(mode):
+    import gc
+    import weakref
+
+    alive, most = [], 0
+
+    class Clip(np.ndarray):
+        pass
+
+    def clips():
+        nonlocal alive
+        for _ in range(500):
+            x = sine(200, 1).view(Clip)
+            alive.append(weakref.ref(x))
+            yield "j", SR, x, 100
+            del x
+
+    longest = 0
+    for part in audio._joined(clips(), mode, 500):
+        gc.collect(0)
+        alive = [r for r in alive if r() is not None]
+        most, longest = max(most, len(alive)), max(longest, part[3].size)
+    assert 0 < most <= 2 and longest <= 2 * SR
+
+
+def test_loudness_of_a_job_is_that_of_the_uncut_clip(spark):
+    sr = 8000
+    x = np.concatenate([speech(130, 7.3, sr), 0.001 * sine(90, 3, 1.0, sr), speech(180, 4.1, sr), np.zeros(2 * sr + sr // 3), speech(110, 2, sr)]).astype(np.float32)
+    for cuts in ([], [sr, sr + 77, 5 * sr, 9 * sr + 1], list(range(333, x.size, 3001))):
+        edges = [0, *cuts, x.size]
+        rows = [("j", k, sr, [float(v) for v in x[a:b]]) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
+        parts = spark.createDataFrame(rows, "job_id string, part_idx int, sr int, samples array<float>").repartition(3)
+        got = audio.final_metrics(parts).first()
+        assert got.integrated_lufs == pytest.approx(audio.integrated_lufs(x, sr), abs=1e-4)
+        assert got.true_peak_dbfs == pytest.approx(audio.true_peak(x), abs=0.05)
+        assert got.long_silence_gaps == 2
+    quiet = spark.createDataFrame([("q", 0, sr, [0.0] * sr)], "job_id string, part_idx int, sr int, samples array<float>")
+    assert audio.final_metrics(quiet).first().integrated_lufs is None

@@ -1,9 +1,11 @@
 """Job, model and source operators on small tables."""
 
+import random
 import datetime as dt
 import json
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from speechprep.operators import checks, folds, jobs, models
@@ -53,6 +55,29 @@ def test_overlay_and_checks(spark):
     assert [r.ip for r in ip.select(checks.client_ip(F.col("xff"), F.lit("p"), 1).alias("ip")).collect()] == ["2.2.2.2", "9.9.9.9", "p"]
 
 
+def test_defaults_may_be_missing(spark):
+    d = spark.createDataFrame([], "temperature double, top_k int")
+    o = spark.createDataFrame([("a", None, 10), ("b", 0.5, None)], "voice string, temperature double, top_k int")
+    assert [tuple(r) for r in jobs.effective_params(d, o, ["temperature", "top_k"]).orderBy("voice").collect()] == [("a", None, 10), ("b", 0.5, None)]
+
+
+def test_sites_by_automaton(spark):
+    rng = random.Random(5)
+    names = ["".join(rng.choice("ab.") for _ in range(rng.randrange(1, 6))) for _ in range(60)]
+    sites = [(rng.randrange(20), f"s{k}", n) for k, n in enumerate(names)]
+    found = jobs.Hostnames(sites)
+    for _ in range(3000):
+        host = "".join(rng.choice("abc.") for _ in range(rng.randrange(9)))
+        assert found.slug(host) == min(((r, s) for r, s, n in sites if n in host), default=(0, None))[1]
+    urls = spark.createDataFrame([("http://x.aa.b/p",), (None,), ("nothing",), ("https://zz.zz:80/x",), ("https://m4999.com?q",)], "url string")
+    many = spark.createDataFrame([(k, f"slug{k}", f"m{k}.com") for k in range(9_990)] + [(0, "first", "aa.b")], "rank int, slug string, hostname string")
+    out = jobs.route_site(urls, many)
+    assert [r.site_slug for r in out.collect()] == ["first", "", "", "zz-zz", "slug4999"]
+    assert "NestedLoop" not in out._jdf.queryExecution().toString()
+    with pytest.raises(ValueError, match="over 5 sites"):
+        jobs.route_site(urls, many, 5)
+
+
 def test_payload_shapes(spark):
     post = {"id": "1", "slug": "s"}
     shapes = [{"post": {"current": post}}, {"current": post}, {"post": post}, {"body": {"post": {"current": post}}}, {"body": {"post": post}}, post]
