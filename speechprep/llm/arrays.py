@@ -128,10 +128,10 @@ def runs(start: np.ndarray, end: np.ndarray) -> np.ndarray:
 def strings(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.LargeStringArray:
     """The given spans of ``buf``, in order and without overlap, as an Arrow array."""
     at = np.concatenate([[0], np.cumsum(end - start)]).astype(np.int64)
-    inside = np.zeros(buf.size + 1, dtype=np.int8)
-    np.add.at(inside, start, 1)
-    np.add.at(inside, end, -1)
-    kept = np.cumsum(inside[:-1], dtype=np.int8).view(bool)
+    some, edge = end > start, np.zeros(buf.size + 1, dtype=np.int8)
+    edge[start[some]] += 1
+    edge[end[some]] -= 1
+    kept = np.cumsum(edge[:-1], dtype=np.int8).view(bool)
     return pa.Array.from_buffers(pa.large_string(), start.size, [None, pa.py_buffer(at), pa.py_buffer(buf[kept])])
 
 

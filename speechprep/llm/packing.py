@@ -32,7 +32,7 @@ from speechprep.llm.arrays import SPACED, chunks, flat, runs, spans, strings, ta
 from speechprep.llm.shards import small
 from speechprep.llm.store import cut
 
-WINDOW, SLICE_BYTES, WORDS, SUMMED = 4096, 6 << 20, 400_000, 1024
+WINDOW, SLICE_BYTES, WORDS, SUMMED = 4096, 6 << 20, 800_000, 1024
 _STOPS = np.isin(np.arange(256), list(b".,;:!?"))
 _LETTER = np.array([65 <= b <= 90 or 97 <= b <= 122 for b in range(256)])
 _TWO = np.array([0x80 <= b <= 0xBF and b not in (0x97, 0xB7) for b in range(256)])  # after 0xC3: U+00C0 to U+00FF without the signs of multiplication and division
@@ -49,9 +49,14 @@ def _tokenizer(path: str):
     return mine[path]
 
 
-def _library(path: str, texts: list[str]) -> list[np.ndarray]:
-    found = _tokenizer(path).encode_batch_fast(texts, add_special_tokens=False)
-    return [np.array(e.ids, dtype=np.uint32) for e in found]
+def _library(path: str, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts side by side, and each one's number of them."""
+    ids, n = [], []
+    for e in _tokenizer(path).encode_batch_fast(texts, add_special_tokens=False):
+        own = e.ids
+        ids += own
+        n.append(len(own))
+    return np.array(ids, dtype=np.uint32), np.array(n, dtype=np.int64)
 
 
 class Known:
@@ -67,14 +72,14 @@ class Known:
             self.__init__()
         new = [w for w in words if w not in self.place]
         for a in range(0, len(new), 20_000):
-            got = _library(path, [w.decode() for w in new[a : a + 20_000]])
-            n, first = np.array([x.size for x in got]), len(self.place)
+            got, n = _library(path, [w.decode() for w in new[a : a + 20_000]])
+            first = len(self.place)
             total = self.size + int(n.sum())
             if total > self.ids.size:
                 self.ids = np.concatenate([self.ids, np.zeros(max(total - self.ids.size, self.ids.size), np.uint32)])
             if first + n.size + 1 > self.at.size:
                 self.at = np.concatenate([self.at, np.zeros(max(n.size + 1, self.at.size), np.int64)])
-            self.ids[self.size : total] = np.concatenate(got)
+            self.ids[self.size : total] = got
             self.at[first + 1 : first + n.size + 1] = self.size + np.cumsum(n)
             self.place.update(zip(new[a : a + 20_000], range(first, first + n.size), strict=True))
             self.size = total
@@ -106,9 +111,9 @@ def _by_words(path: str, words: pa.LargeStringArray) -> tuple[np.ndarray, np.nda
     others = np.flatnonzero(~plain)
     mine = tables("packing")
     store, a, b = mine.setdefault(f"{path} words", Known()).of(path, cores.dictionary.cast(pa.large_binary()).to_pylist())
-    rest = _library(path, [*tails.dictionary.to_pylist(), *words.take(pa.array(others)).to_pylist()])
-    more = np.concatenate([[0], np.cumsum([x.size for x in rest])]).astype(np.int64) + store.size
-    store = np.concatenate([store, *rest]) if rest else store
+    rest, n = _library(path, [*tails.dictionary.to_pylist(), *words.take(pa.array(others)).to_pylist()])
+    more = np.concatenate([[0], np.cumsum(n)]) + store.size
+    store = np.concatenate([store, rest])
     c, t = cores.indices.to_numpy(), tails.indices.to_numpy()
     first, last = np.zeros((len(words), 2), np.int64), np.zeros((len(words), 2), np.int64)  # two ranges of the store a word
     first[k, 0], last[k, 0], first[k, 1], last[k, 1] = a[c], b[c], more[t], more[t + 1]
@@ -121,8 +126,8 @@ def _by_words(path: str, words: pa.LargeStringArray) -> tuple[np.ndarray, np.nda
 def ids_of(path: str, texts: pa.Array, by_words: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts side by side, and the n+1 offsets of each text's."""
     if not by_words:
-        found = _library(path, [x or "" for x in texts.to_pylist()])
-        return np.concatenate([np.zeros(0, np.uint32), *found]), np.concatenate([[0], np.cumsum([x.size for x in found])]).astype(np.int64)
+        ids, n = _library(path, [x or "" for x in texts.to_pylist()])
+        return ids, np.concatenate([[0], np.cumsum(n)])
     buf, offsets = flat(texts)
     start, end, doc = spans(SPACED[buf], offsets)
     words = strings(buf, start, end).dictionary_encode()
