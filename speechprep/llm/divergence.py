@@ -1,8 +1,8 @@
 """Source divergence audit by chunk factorization.
 
 A document is cut into chunks between ASCII white space, and chunks are counted in place: a task
-sends one row for each distinct chunk and source of about ``SLICE_BYTES`` of text, with the chunk's
-occurrences.  Rows of a chunk meet in one task, sorted, so each globally distinct chunk is tokenised
+sends one row for each distinct chunk and language of about ``SLICE_BYTES`` of text, with the chunk's
+occurrences in each source.  Rows of a chunk meet in one task, sorted, so each globally distinct chunk is tokenised
 once; its terms take over its rows and are summed up by term and source.  Chunks go to tasks by
 their letters and digits, so that "The", "the," and "the" meet and what the second shuffle carries is nearly summed up.  White space
 is no part of a term, so the terms of a document are those of its chunks.
@@ -11,7 +11,7 @@ Several chunks of a document can hold one term, so distinct documents are follow
 with each row go the documents that it stands for, until they are as many as a kept term needs,
 which nothing takes back.  A document has one source, so those of a term add up over sources.
 
-However frequent a chunk or a term, at most one row for a slice and source of it reaches a task, and
+However frequent a chunk or a term, at most one row for a slice and language of it reaches a task, and
 tasks hold a stretch of sorted rows at a time.  Sources of a language are compared in blocks of
 ``SIDE`` of them: a task holds two blocks' sums, whatever the number of terms, and works only on terms
 that one of two sources has; the others all have the same value.
@@ -39,10 +39,12 @@ from speechprep.llm.store import cut
 TERM = table(lambda b: 65 <= b <= 90 or 97 <= b <= 122 or b >= 128)
 _DIGIT = table(lambda b: 48 <= b <= 57)
 LEAST_DOCS, TOP, UNIT = 3, 200, 1_000_000_000
+#: Counts under this stay longs when multiplied by UNIT; larger ones are worked out in decimals.
+_FITS = (1 << 63) // UNIT - 1
 #: Bytes of text counted at once, rows of a batch sent, sorted rows summed up at once, and sources compared at once.
-SLICE_BYTES, ROWS, UNITED, SIDE = 10 << 20, 1 << 15, 1 << 17, 256
+SLICE_BYTES, ROWS, UNITED, SIDE = 20 << 20, 1 << 15, 1 << 16, 256
 
-_ROW = "home int, key string, lang string, number int, n long, docs array<long>"
+_ROW = "home int, key string, lang string, numbers array<int>, n array<long>, docs array<long>"
 _KEPT = "lang string, number int, term string, n long, of_lang long, first boolean"
 
 
@@ -62,9 +64,20 @@ def _homes(chunk: pa.Array) -> np.ndarray:
     return np.where(letters[1:] > letters[:-1], home, np.int32(-1))
 
 
-def _lists(values: np.ndarray, sizes: np.ndarray, null: np.ndarray) -> pa.ListArray:
+def _lists(values: np.ndarray, sizes: np.ndarray, null: np.ndarray | None = None) -> pa.ListArray:
     at = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(at), pa.array(values, pa.int64()), mask=pa.array(null))
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(values), mask=None if null is None else pa.array(null))
+
+
+def _firsts(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    new = np.ones(keys[0].size, dtype=bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return np.flatnonzero(new)
+
+
+def _sums(x: np.ndarray, first: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(x, first) if first.size else np.zeros(0, np.int64)
 
 
 def _counted(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -82,19 +95,19 @@ def _counted(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
                 group = group[order]
                 pair, n = np.unique(coded.indices.to_numpy().astype(np.int64) * order.size + rank[doc], return_counts=True)
                 code, doc = pair // order.size, pair % order.size
-                new = np.ones(code.size, dtype=bool)
-                new[1:] = (code[1:] != code[:-1]) | (group[doc[1:]] != group[doc[:-1]])
-                first = np.flatnonzero(new)
-                total, many = (np.add.reduceat(n, first), np.diff(np.append(first, code.size))) if first.size else (n, n)
-                own, code = group[doc[first]], code[first]
-                home = _homes(coded.dictionary)[code]
-                some = np.flatnonzero(home >= 0)
-                own, code, home, total, many, first = (x[some] for x in (own, code, home, total, many, first))
-                listed = np.where(many < least, many, 0)
-                for i in range(0, first.size, ROWS):
-                    j = min(i + ROWS, first.size)
-                    docs = _lists(serial + doc[runs(first[i:j], first[i:j] + listed[i:j])], listed[i:j], many[i:j] >= least)
-                    columns = [pa.array(home[i:j]), coded.dictionary.take(pa.array(code[i:j])).cast(pa.string()), lang.dictionary.take(pa.array(own[i:j] // by)), pa.array((own[i:j] % by).astype(np.int32)), pa.array(total[i:j]), docs]
+                some = np.flatnonzero(_homes(coded.dictionary)[code] >= 0)
+                code, doc, n = code[some], doc[some], n[some]
+                own = group[doc]
+                units = _firsts(code, own)  # a chunk in a source
+                total, own = _sums(n, units), own[units]
+                rows = _firsts(code[units], own // by)  # and in a language
+                numbers, sources, many = (own % by).astype(np.int32), np.diff(np.append(rows, units.size)), np.diff(np.append(units[rows], code.size))
+                code, lang_of, home = code[units[rows]], own[rows] // by, _homes(coded.dictionary)[code[units[rows]]]
+                listed, at, docs_at = np.where(many < least, many, 0), np.append(rows, units.size), np.append(units[rows], doc.size)
+                for i in range(0, rows.size, ROWS):
+                    j = min(i + ROWS, rows.size)
+                    docs = _lists(serial + doc[runs(docs_at[i:j], docs_at[i:j] + listed[i:j])], listed[i:j], many[i:j] >= least)
+                    columns = [pa.array(home[i:j]), coded.dictionary.take(pa.array(code[i:j])).cast(pa.string()), lang.dictionary.take(pa.array(lang_of[i:j])), *[_lists(x[at[i] : at[j]], sources[i:j]) for x in (numbers, total)], docs]
                     yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _ROW.split(", ")])
                 serial += part.num_rows
 
@@ -113,38 +126,42 @@ def _terms(coded: pa.DictionaryArray) -> tuple[pa.Array, np.ndarray, np.ndarray]
 
 
 def _summed(rows: pa.Table, least: int, split: bool, final: bool) -> pa.RecordBatch:
-    """Rows of whole keys, summed up by key, language and source; keys are tokenised if ``split``, and terms with too few documents go if ``final``."""
+    """Rows of whole keys, summed up by key and language; keys are tokenised if ``split``, and terms with too few documents go if ``final``."""
     coded = rows.column("key").combine_chunks().cast(pa.large_string()).dictionary_encode()
-    lang, number, n = rows.column("lang").combine_chunks().dictionary_encode(), rows.column("number").to_numpy(), rows.column("n").to_numpy()
+    lang = rows.column("lang").combine_chunks().dictionary_encode()
     keys, row, key = _terms(coded) if split else (coded.dictionary, np.arange(len(coded)), coded.indices.to_numpy())
-    by, langs = int(number.max()) + 1, len(lang.dictionary)
-    spot = (key.astype(np.int64) * langs + lang.indices.to_numpy()[row]) * by + number[row]
-    found, unit = np.unique(spot, return_inverse=True)
-    order = np.argsort(unit, kind="stable")
-    total = np.add.reduceat(n[row][order], np.flatnonzero(np.diff(unit[order], prepend=-1))) if found.size else n[:0]
-    docs = rows.column("docs").combine_chunks()
-    at, enough = docs.offsets.to_numpy().astype(np.int64), np.zeros(found.size, dtype=bool)
-    null = docs.is_null().to_numpy(zero_copy_only=False)
+    spot, unit = np.unique(key.astype(np.int64) * len(lang.dictionary) + lang.indices.to_numpy()[row], return_inverse=True)
+    key, own = spot // len(lang.dictionary), spot % len(lang.dictionary)
+
+    def cells(name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Values of the lists of all rows and terms, each one's unit, and which rows' lists are null."""
+        x = rows.column(name).combine_chunks()
+        at = x.offsets.to_numpy().astype(np.int64)
+        return x.values.to_numpy()[runs(at[row], at[row + 1])], np.repeat(unit, at[row + 1] - at[row]), x.is_null().to_numpy(zero_copy_only=False)
+
+    number, of, _ = cells("numbers")
+    order = np.lexsort((number, of))
+    number, of = number[order], of[order]
+    first = _firsts(of, number)
+    total, number, of = _sums(cells("n")[0][order], first), number[first], of[first]
+    doc, held, null = cells("docs")
+    enough = np.zeros(spot.size, dtype=bool)
     enough[unit[null[row]]] = True
-    doc, of = docs.values.to_numpy()[runs(at[row], at[row + 1])], np.repeat(unit, at[row + 1] - at[row])
-    order = np.lexsort((doc, of))
-    doc, of = doc[order], of[order]
-    new = np.ones(of.size, dtype=bool)
-    new[1:] = (of[1:] != of[:-1]) | (doc[1:] != doc[:-1])
-    doc, of = doc[new], of[new]
-    many = np.bincount(of, minlength=found.size)
+    order = np.lexsort((doc, held))
+    doc, held = doc[order], held[order]
+    first = _firsts(held, doc)
+    doc, held = doc[first], held[first]
+    many = np.bincount(held, minlength=spot.size)
     enough |= many >= least
-    key, own, number = found // by // langs, (found // by % langs).astype(np.int32), (found % by).astype(np.int32)
     if final:
-        mine, unit = np.unique(found // by, return_inverse=True)  # a term in a language
-        held, of_lang = (np.bincount(unit, np.where(enough, least, many)), np.zeros(mine.size, np.int64))
-        np.add.at(of_lang, unit, total)
-        kept = held[unit] >= least
-        first = np.diff(unit, prepend=-1) != 0
-        columns = [lang.dictionary.take(pa.array(own[kept])), pa.array(number[kept]), keys.take(pa.array(key[kept])).cast(pa.string()), pa.array(total[kept]), pa.array(of_lang[unit][kept]), pa.array(first[kept])]
+        first = _firsts(of)
+        of_lang, kept = _sums(total, first)[of], enough[of]
+        is_first = np.zeros(of.size, dtype=bool)
+        is_first[first] = True
+        columns = [lang.dictionary.take(pa.array(own[of][kept])), pa.array(number[kept]), keys.take(pa.array(key[of][kept])).cast(pa.string()), *[pa.array(x[kept]) for x in (total, of_lang, is_first)]]
         return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _KEPT.split(", ")])
-    lists = _lists(doc[~enough[of]], np.where(enough, 0, many), enough)
-    columns = [pa.array(np.zeros(key.size, np.int32)), keys.take(pa.array(key)).cast(pa.string()), lang.dictionary.take(pa.array(own)), pa.array(number), pa.array(total), lists]
+    sources = np.bincount(of, minlength=spot.size)
+    columns = [pa.array(np.zeros(spot.size, np.int32)), keys.take(pa.array(key)).cast(pa.string()), lang.dictionary.take(pa.array(own)), _lists(number, sources), _lists(total, sources), _lists(doc[~enough[held]], np.where(enough, 0, many), enough)]
     return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _ROW.split(", ")])
 
 
@@ -195,8 +212,8 @@ def kept_terms(docs: DataFrame, sources: DataFrame, least_docs: int = LEAST_DOCS
 
 def likely(n: Column, total: Column, terms: Column) -> Column:
     """1 + floor(10^9 * (n + 1) / (total + terms)), exactly."""
-    big = (n + 1).cast("decimal(20,0)") * F.lit(UNIT).cast("decimal(10,0)")
-    return F.lit(1).cast("long") + F.call_function("div", big, (total + terms).cast("decimal(20,0)"))
+    big = F.call_function("div", (n + 1).cast("decimal(20,0)") * F.lit(UNIT).cast("decimal(10,0)"), (total + terms).cast("decimal(20,0)"))
+    return F.when(n < _FITS, F.call_function("div", (n + 1) * UNIT, total + terms)).otherwise(big) + 1
 
 
 def apart(p: Column, q: Column) -> Column:

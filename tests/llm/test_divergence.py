@@ -7,6 +7,7 @@ from collections import Counter
 import pyarrow as pa
 import pytest
 from oracle import connect, differences
+from pyspark.sql import functions as F
 
 from speechprep.llm import divergence, queries
 
@@ -70,8 +71,8 @@ def test_short_stretches_of_sorted_rows(monkeypatch):
     """Sums and pairs don't hang on how many rows are worked at once."""
     rng = random.Random(3)
     chunk = [rng.choice(["the", "The,", "cat", "cat-dog", "12", "dog" * 9]) for _ in range(400)]
-    rows = sorted(((0, c, rng.choice(["en", "de"]), rng.randrange(3), 1, rng.choice([None, [rng.randrange(9)], [3, rng.randrange(4, 9)]])) for c in chunk), key=lambda r: r[1])
-    schema = pa.schema([("home", pa.int32()), ("key", pa.string()), ("lang", pa.string()), ("number", pa.int32()), ("n", pa.int64()), ("docs", pa.list_(pa.int64()))])
+    rows = sorted(((0, c, rng.choice(["en", "de"]), [rng.randrange(3), 5], [1, 2], rng.choice([None, [rng.randrange(9)], [3, rng.randrange(4, 9)]])) for c in chunk), key=lambda r: r[1])
+    schema = pa.schema([("home", pa.int32()), ("key", pa.string()), ("lang", pa.string()), ("numbers", pa.list_(pa.int32())), ("n", pa.list_(pa.int64())), ("docs", pa.list_(pa.int64()))])
     table = pa.Table.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema=schema)
 
     def run(size, united):
@@ -101,6 +102,12 @@ def test_documents_of_a_term_are_distinct(spark):
     assert {(r.lang, r.term) for r in divergence.kept_terms(docs, sources, 4).collect()} == set()
 
 
+def test_large_counts_stay_exact(spark):
+    n, total, terms = 10**13 + 7, 3 * 10**14 + 1, 12345
+    got = spark.range(1).select(*[divergence.likely(F.lit(x), F.lit(total), F.lit(terms)).alias(str(k)) for k, x in enumerate((n, 0, divergence._FITS, divergence._FITS - 1))]).first()
+    assert list(got) == [1 + 10**9 * (x + 1) // (total + terms) for x in (n, 0, divergence._FITS, divergence._FITS - 1)]
+
+
 def test_empty_table(spark):
     assert divergence.audit(spark.createDataFrame([], SCHEMA)).count() == 0
 
