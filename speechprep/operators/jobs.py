@@ -255,10 +255,30 @@ def choose_gap(df: DataFrame) -> DataFrame:
     return df.withColumn("gap_ms", F.coalesce(F.when(F.col("explicit_ms") > 0, F.col("explicit_ms")), F.col("gap_ms"), F.lit(450)))
 
 
+def job_snapshot(events: DataFrame, fields: list[str]) -> DataFrame:
+    """(job_id, one struct (at, value) for each field, updated_at): the last non-null value of each field and when it came.
+
+    Structs are compared by time, so snapshots of any parts of the events, repeated ones included, merge to that of all.
+    """
+    at = F.struct("ts", "event_id") if "event_id" in events.columns else F.struct("ts")
+    last = [F.max(F.when(F.col(c).isNotNull(), F.struct(at.alias("at"), F.col(c).alias("value")))).alias(c) for c in fields]
+    return events.groupBy("job_id").agg(*last, F.max("ts").alias("updated_at"))
+
+
+def merge_snapshots(old: DataFrame, new: DataFrame) -> DataFrame:
+    """A kept snapshot and that of newer (or late) events; the history isn't read again."""
+    both = old.unionByName(new)
+    return both.groupBy("job_id").agg(*[F.max(c).alias(c) for c in old.columns if c != "job_id"])
+
+
+def state_of(snapshot: DataFrame) -> DataFrame:
+    fields = [c for c in snapshot.columns if c not in ("job_id", "updated_at")]
+    return snapshot.select("job_id", *[F.col(f"{c}.value").alias(c) for c in fields], "updated_at")
+
+
 def job_state(events: DataFrame, fields: list[str]) -> DataFrame:
     """Later events overlay earlier ones field by field: the last non-null value of each."""
-    at = F.struct("ts", "event_id") if "event_id" in events.columns else F.col("ts")
-    return events.groupBy("job_id").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(c) for c in fields], F.max("ts").alias("updated_at"))
+    return state_of(job_snapshot(events, fields))
 
 
 def failure_streaks(events: DataFrame, k: int = 3) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from speechprep.operators import audio, checks, folds, jobs, models
@@ -35,10 +37,19 @@ def s4_read_clips(spark, d):
     """Clips written and read back as WAV bytes."""
     path = new_folder(spark, "clips")
     tables.write_clips(_vectors(spark, d), path)
-    back = tables.decoded(spark.read.parquet(path), "job_id string", "wav")
+    back = tables.decoded(spark.read.parquet(path), "job_id string", "wav").filter("error is null")
     return back.select("job_id", "sr", F.size("samples").alias("n"), (F.element_at("samples", 1) > 0).alias("positive"))
 
 
+@query("SELECT event_id, ts FROM events WHERE ts >= TIMESTAMP '2024-01-24 00:00:00'")
+def s10_drop_days(spark, d):
+    """Events in folders by day, of which those past their time are removed whole."""
+    path = new_folder(spark, "dated")
+    tables.write_dated(table(spark, d, "events", "event_id", "ts"), path, "ts")
+    tables.drop_expired(spark, path, 604_800, dt.datetime(2024, 1, 31), dry_run=False)
+    return spark.read.parquet(path).select("event_id", "ts")
+
+
 # clips
 
 
@@ -149,7 +160,13 @@ def g10_join_with_gap(spark, d):
     return whole.select("job_id", "n", F.round(F.element_at("samples", F.col("k") + 6).cast("double"), 5).alias("second_part"), F.element_at("samples", F.col("k") + 3).cast("double").alias("gap"))
 
 
-@query(f"SELECT CAST(vec_id AS VARCHAR) AS job_id, CAST(len(embedding) // 2 * 2 AS INTEGER) AS n, round(2 * list_sum(list_transform(range(1, len(embedding), 2), lambda i: greatest(-32768, least(32767, round(({_CELLS})[i] * 32768))) / 32768)), 3) AS total FROM embeddings")
+@query(
+    f"""WITH t AS (SELECT k, CASE WHEN k = 0 THEN 1.0 ELSE sin(pi() * 0.475 * k) / (pi() * 0.475 * k) END * CASE WHEN abs(k) < 135 THEN 0.42 + 0.5 * cos(pi() * k / 135) + 0.08 * cos(2 * pi() * k / 135) ELSE 0 END AS h FROM range(-134, 136) AS r(k)),
+w AS (SELECT list(h ORDER BY k) AS w, sum(h) AS total FROM t),
+c AS (SELECT vec_id, {_CELLS} AS x FROM embeddings),
+y AS (SELECT vec_id, len(x) AS n, list_transform(range(CAST(round(len(x) / 2.0) AS INTEGER)), lambda i: list_sum(list_transform(range(-134, 136), lambda k: x[greatest(1, least(len(x), 2 * i + k + 1))] * w[k + 135])) / total) AS y FROM c, w)
+SELECT CAST(vec_id AS VARCHAR) AS job_id, CAST(len(y) * 2 AS INTEGER) AS n, round(2 * list_sum(list_transform(y, lambda v: greatest(-32768, least(32767, round(v * 32768))) / 32768)), 3) AS total FROM y"""
+)
 def g11_convert(spark, d):
     """To half the rate and two channels."""
     return audio.convert(_vectors(spark, d), 50, 2).select("job_id", F.size("samples").alias("n"), F.round(total(F.col("samples")), 3).alias("total"))

@@ -61,6 +61,14 @@ def w12_job_state(spark, d):
     return jobs.job_state(events(spark, d).drop("event_id"), ["status", "audio_uri", "error"])
 
 
+@query(ORACLES["w12_job_state"])
+def w12_job_snapshots(spark, d):
+    """The same from a kept snapshot of some events and the others, part of which it has seen."""
+    ev, fields, path = events(spark, d), ["status", "audio_uri", "error"], new_folder(spark, "snapshot")
+    jobs.job_snapshot(ev.filter("event_id % 3 <> 0").drop("event_id"), fields).write.parquet(path)
+    return jobs.state_of(jobs.merge_snapshots(spark.read.parquet(path), jobs.job_snapshot(ev.filter("event_id % 3 <> 1").drop("event_id"), fields)))
+
+
 @query(f"SELECT status, count(*) AS jobs FROM (SELECT job_id, arg_max(status, ts) AS status FROM {_EV} GROUP BY job_id) GROUP BY status")
 def a1_job_counts(spark, d):
     return jobs.job_counts(jobs.job_state(events(spark, d).drop("event_id"), ["status"]))

@@ -20,6 +20,8 @@ from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from speechprep.sources.shared import hadoop, listed, removed
+
 PARTS = 64
 
 
@@ -36,20 +38,8 @@ def part_of(post_id: Column) -> Column:
     return F.pmod(F.xxhash64(post_id), F.lit(PARTS)).cast("int")
 
 
-def _hadoop(spark: SparkSession, path: str):
-    """The path, and the file system that it is on, as Hadoop's API gives them."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def _listed(spark: SparkSession, path: str) -> list[tuple[str, int]]:
-    """Names and times (milliseconds) of what lies in a folder."""
-    where, files = _hadoop(spark, path)
-    return [(x.getPath().getName(), x.getModificationTime()) for x in files.listStatus(where)] if files.exists(where) else []
-
-
 def _numbers(spark: SparkSession, table: str) -> list[int]:
-    return sorted(int(name) for name, _ in _listed(spark, f"{table}/commits") if name.isdigit())
+    return sorted(int(name) for name, _ in listed(spark, f"{table}/commits") if name.isdigit())
 
 
 def version(spark: SparkSession, table: str, number: int | None = None) -> Version:
@@ -65,7 +55,7 @@ def version(spark: SparkSession, table: str, number: int | None = None) -> Versi
 
 def commit(spark: SparkSession, table: str, new: Version) -> bool:
     """Publish ``new`` under its number; false if another writer has taken that."""
-    draft, files = _hadoop(spark, f"{table}/commits/_{uuid.uuid4().hex}")
+    draft, files = hadoop(spark, f"{table}/commits/_{uuid.uuid4().hex}")
     out = files.create(draft, False)
     out.write(bytearray(json.dumps({"parts": new.parts, "epochs": new.epochs}).encode()))
     out.close()
@@ -134,11 +124,10 @@ def vacuum(spark: SparkSession, table: str, versions: int = 2, older_s: float =
     kept = numbers[-versions:]
     named = {name for n in kept for name in version(spark, table, n).parts.values()}
     before = (time.time() - older_s) * 1000
-    gone = [f"data/{name}" for name, at in _listed(spark, f"{table}/data") if name not in named and at <= before]
-    gone += [f"commits/{name}" for name, at in _listed(spark, f"{table}/commits") if (name.startswith("_") or name.isdigit() and int(name) not in kept) and at <= before]
+    gone = [f"data/{name}" for name, at in listed(spark, f"{table}/data") if name not in named and at <= before]
+    gone += [f"commits/{name}" for name, at in listed(spark, f"{table}/commits") if (name.startswith("_") or name.isdigit() and int(name) not in kept) and at <= before]
     for name in [] if dry_run else gone:
-        where, files = _hadoop(spark, f"{table}/{name}")
-        files.delete(where, True)
+        removed(spark, f"{table}/{name}")
     return sorted(gone)
 
 

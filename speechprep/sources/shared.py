@@ -21,3 +21,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def hadoop(spark: SparkSession, path: str):
+    """The path, and the file system that it is on, as Hadoop's API gives them."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def listed(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """Names and times (milliseconds) of what lies in a folder."""
+    where, files = hadoop(spark, path)
+    return [(x.getPath().getName(), x.getModificationTime()) for x in files.listStatus(where)] if files.exists(where) else []
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    where, files = hadoop(spark, path)
+    files.delete(where, True)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import io
+import re
 import wave
 from collections.abc import Iterator
 
@@ -11,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from speechprep.sources.shared import listed, removed
+
 ARTICLE = "post_id string, slug string, title string, html string, plaintext string, url string, status string"
 POST_PLACES = ["$.post.current", "$.current", "$.post", "$.body.post.current", "$.body.post", "$"]
 
@@ -42,6 +46,10 @@ def decode_wav(content: bytes) -> tuple[int, np.ndarray]:
     with wave.open(io.BytesIO(content)) as w:
         width, ch, sr = w.getsampwidth(), w.getnchannels(), w.getframerate()
         raw = w.readframes(w.getnframes())
+    if width == 3:  # the upper three bytes of 32-bit values
+        wide = np.zeros((len(raw) // 3, 4), np.uint8)
+        wide[:, 1:] = np.frombuffer(raw, np.uint8).reshape(-1, 3)
+        raw, width = wide.tobytes(), 4
     x = np.frombuffer(raw, dtype={1: np.uint8, 2: np.dtype("<i2"), 4: np.dtype("<i4")}[width]).astype(np.float32)
     x = (x - 128) / 128 if width == 1 else x / float(1 << (8 * width - 1))
     return sr, x.reshape(-1, ch).mean(axis=1)
@@ -58,19 +66,8 @@ def encode_wav(samples: np.ndarray, sr: int) -> bytes:
 
 
 def read_clips(spark: SparkSession, glob: str) -> DataFrame:
-    """WAV files as mono float vectors; a file that can't be read has null samples."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for r in pdf.itertuples():
-                try:
-                    rows.append((r.path, *decode_wav(r.content)))
-                except (wave.Error, EOFError, KeyError):
-                    rows.append((r.path, None, None))
-            yield pd.DataFrame(rows, columns=["path", "sr", "samples"])
-
-    return spark.read.format("binaryFile").load(glob).select("path", "content").mapInPandas(run, "path string, sr int, samples array<float>")
+    """WAV files (PCM of 8, 16, 24 or 32 bits) as mono float vectors; a file that can't be read has null samples and an ``error``."""
+    return decoded(spark.read.format("binaryFile").load(glob), "path string", "content")
 
 
 def write_clips(df: DataFrame, path: str) -> None:
@@ -84,15 +81,21 @@ def write_clips(df: DataFrame, path: str) -> None:
 
 
 def decoded(df: DataFrame, kept: str, content: str = "wav") -> DataFrame:
-    """The columns ``kept`` (as DDL) with ``sr`` and ``samples`` of WAV bytes."""
+    """The columns ``kept`` (as DDL) with ``sr`` and ``samples`` of WAV bytes, or else an ``error``."""
     names = [c.split()[0] for c in kept.split(", ")]
 
+    def read(x) -> tuple:
+        try:
+            return (*decode_wav(bytes(x)), None)
+        except (wave.Error, EOFError, KeyError, ValueError, TypeError) as e:
+            return None, None, f"{type(e).__name__}: {e}"
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            both = [decode_wav(bytes(x)) for x in pdf[content]]
-            yield pdf[names].assign(sr=[sr for sr, _ in both], samples=[x for _, x in both])
+            found = pd.DataFrame([read(x) for x in pdf[content]], columns=["sr", "samples", "error"], index=pdf.index, dtype=object)
+            yield pd.concat([pdf[names], found], axis=1)
 
-    return df.select(*names, content).mapInPandas(run, f"{kept}, sr int, samples array<float>")
+    return df.select(*names, content).mapInPandas(run, f"{kept}, sr int, samples array<float>, error string")
 
 
 def notifications(events: DataFrame) -> DataFrame:
@@ -117,3 +120,29 @@ def expired(df: DataFrame, ts: str, ttl_s: int, now: Column) -> DataFrame:
 
 def live(df: DataFrame, ts: str, ttl_s: int, now: Column) -> DataFrame:
     return df.filter(F.col(ts) >= now - F.make_interval(secs=F.lit(ttl_s)))
+
+
+# retention by partition: a folder a day
+
+
+def write_dated(df: DataFrame, path: str, ts: str, mode: str = "append") -> None:
+    """``df`` in folders ``date=...`` by the day of ``ts``; a day with many rows is written by several tasks."""
+    df.withColumn("date", F.to_date(ts)).hint("rebalance", "date").write.mode(mode).partitionBy("date").parquet(path)
+
+
+def expired_days(spark: SparkSession, path: str, ttl_s: int, now: dt.datetime) -> list[str]:
+    """Folders of days that ended ``ttl_s`` or longer before ``now`` (UTC), from the folder's listing alone; rows without a time never expire."""
+    out = []
+    for name, _ in listed(spark, path):
+        day = re.fullmatch(r"date=(\d{4}-\d{2}-\d{2})", name)
+        if day and dt.datetime.fromisoformat(day[1]) + dt.timedelta(days=1, seconds=ttl_s) <= now:
+            out.append(name)
+    return sorted(out)
+
+
+def drop_expired(spark: SparkSession, path: str, ttl_s: int, now: dt.datetime, dry_run: bool = True) -> list[str]:
+    """Remove whole days past their time; what lives isn't rewritten.  With ``dry_run`` it only says which."""
+    days = expired_days(spark, path, ttl_s, now)
+    for name in [] if dry_run else days:
+        removed(spark, f"{path}/{name}")
+    return days

@@ -78,6 +78,55 @@ def test_sites_by_automaton(spark):
         jobs.route_site(urls, many, 5)
 
 
+def test_snapshots_of_any_split_merge_to_the_whole(spark):
+    rng = random.Random(6)
+    rows = [(k, f"j{rng.randrange(6)}", T0 + dt.timedelta(seconds=rng.randrange(40)), rng.choice(["a", "b", None]), rng.choice(["x", "y", None])) for k in range(200)]
+    schema, fields = "event_id long, job_id string, ts timestamp, status string, error string", ["status", "error"]
+    whole = sorted(map(tuple, jobs.job_state(spark.createDataFrame(rows, schema), fields).collect()))
+    for n in (1, 2, 5):
+        rng.shuffle(rows)
+        snapshot = jobs.job_snapshot(spark.createDataFrame(rows[:0], schema), fields)
+        for k in range(n):  # with some events twice
+            snapshot = jobs.merge_snapshots(snapshot, jobs.job_snapshot(spark.createDataFrame(rows[k::n] + rows[:7], schema), fields))
+        assert sorted(map(tuple, jobs.state_of(snapshot).collect())) == whole
+
+
+def test_days_are_dropped_whole(spark, tmp_path):
+    path, day = str(tmp_path / "dated"), dt.timedelta(days=1)
+    rows = [(k, T0 + k * day / 2) for k in range(8)] + [(99, None)]
+    tables.write_dated(spark.createDataFrame(rows, "id long, ts timestamp"), path, "ts")
+    files = {p: p.stat().st_mtime_ns for p in (tmp_path / "dated").rglob("*.parquet")}
+    assert tables.drop_expired(spark, path, 86_400, T0 + 3 * day) == ["date=2024-01-01", "date=2024-01-02"]
+    assert spark.read.parquet(path).count() == 9  # nothing but said
+    assert tables.drop_expired(spark, path, 86_400, T0 + 3 * day, dry_run=False) == ["date=2024-01-01", "date=2024-01-02"]
+    assert {r.id for r in spark.read.parquet(path).collect()} == {4, 5, 6, 7, 99}
+    left = {p: p.stat().st_mtime_ns for p in (tmp_path / "dated").rglob("*.parquet")}
+    assert left.items() <= files.items() and tables.drop_expired(spark, path, 86_400, T0 + 3 * day, dry_run=False) == []
+
+
+def test_wide_and_broken_wav(spark, tmp_path):
+    import io
+    import wave
+
+    def wav(width, raw):
+        out = io.BytesIO()
+        with wave.open(out, "wb") as w:
+            w.setnchannels(1)
+            w.setsampwidth(width)
+            w.setframerate(8000)
+            w.writeframes(raw)
+        return out.getvalue()
+
+    (tmp_path / "a24.wav").write_bytes(wav(3, b"".join(int(v).to_bytes(3, "little", signed=True) for v in (0, 1 << 22, -(1 << 23), (1 << 23) - 1))))
+    (tmp_path / "b.wav").write_bytes(b"RIFF")
+    (tmp_path / "c8.wav").write_bytes(wav(1, bytes([128, 192, 0])))
+    got = {r.path[-7:]: r for r in tables.read_clips(spark, str(tmp_path / "*.wav")).collect()}
+    assert got["a24.wav"].samples == pytest.approx([0, 0.5, -1, 1], abs=1e-6) and got["a24.wav"].error is None
+    assert got["/c8.wav"[-7:]].samples == [0, 0.5, -1]
+    broken = next(r for p, r in got.items() if p.endswith("b.wav"))
+    assert broken.samples is None and broken.error
+
+
 def test_payload_shapes(spark):
     post = {"id": "1", "slug": "s"}
     shapes = [{"post": {"current": post}}, {"current": post}, {"post": post}, {"body": {"post": {"current": post}}}, {"body": {"post": post}}, post]
