@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from speechprep.functions.values import dbfs, expected_seconds, fresh, semitones
+from speechprep.operators.quantiles import percentiles
 
 CLIP = "job_id string, seg_idx int, sr int, samples array<float>"
 
@@ -62,7 +63,7 @@ def onset_rate(fr: DataFrame, hop_s: float = 0.01) -> DataFrame:
 
 def noise_floor(fr: DataFrame) -> DataFrame:
     """5th percentile of the levels above zero, in dBFS; ``quiet`` at -55 or less."""
-    out = fr.filter("rms > 0").groupBy("job_id", "seg_idx").agg(dbfs(F.percentile("rms", 0.05)).alias("floor_dbfs"))
+    out = percentiles(fr.filter("rms > 0"), ["job_id", "seg_idx"], "rms", 0.05).select("job_id", "seg_idx", dbfs(F.col("value")).alias("floor_dbfs"))
     return out.withColumn("quiet", F.col("floor_dbfs") <= -55)
 
 
@@ -99,8 +100,7 @@ def silence_gaps(fr: DataFrame, frame_s: float = 0.05, least_s: float = 2.0) ->
 
 def job_median_dbfs(levels: DataFrame) -> DataFrame:
     """Median level per job over readable clips, with two or more of them."""
-    level = F.when(~F.isnan("dbfs"), F.col("dbfs"))
-    return levels.groupBy("job_id").agg(F.median(level).alias("median_dbfs"), F.count(level).alias("n")).filter("n >= 2").drop("n")
+    return percentiles(levels, ["job_id"], "dbfs", 0.5).filter("n >= 2").select("job_id", F.col("value").alias("median_dbfs"))
 
 
 def loudness_outliers(levels: DataFrame, most: float = 3.0) -> DataFrame:
@@ -308,7 +308,8 @@ def windowed_f0(fr: DataFrame, reference: float, hop_s: float = 0.015, window_s:
 
 
 def median_f0_of_frames(fr: DataFrame) -> DataFrame:
-    return fr.groupBy("job_id", "seg_idx").agg(F.when(F.count("f0") >= 10, F.median("f0")).alias("f0"))
+    found = percentiles(fr, ["job_id", "seg_idx"], "f0", 0.5).select("job_id", "seg_idx", F.when(F.col("n") >= 10, F.col("value")).alias("f0"))
+    return fr.select("job_id", "seg_idx").distinct().join(found.hint("merge"), ["job_id", "seg_idx"], "left")
 
 
 # loudness after the public ITU-R BS.1770 and EBU R128 documents
