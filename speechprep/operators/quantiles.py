@@ -1,7 +1,7 @@
 """Exact percentiles of groups, of which one may hold most rows.
 
 Small groups are sorted where they meet.  A larger one is narrowed down first: its values are counted in ``BINS`` equal
-ranges, and only the ranges that hold the wanted ranks are kept, with how many values lie below; this is repeated until
+ranges, and for each wanted rank only the range that holds it is kept, with how many values lie below; this is repeated until
 few enough values are left, or equal ones only.  Counts are made before rows are shuffled, so no task holds
 a large group's values, and no value is left out or rounded.
 """
@@ -40,8 +40,9 @@ def percentiles(df: DataFrame, keys: list[str], value: str, p: float, most: int
     """
     rows = df.select(*keys, F.col(value).cast("double").alias("value")).filter("value is not null and not isnan(value)")
     sizes = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
-    at = F.lit(p) * (F.col("n") - 1)
-    large = _kept(sizes.filter(F.col("n") > most).select("*", F.floor(at).alias("first"), F.ceil(at).alias("last"), F.lit(0).cast("long").alias("below"), F.col("n").alias("left")), "quantiles")
+    at = F.lit(float(p)) * (F.col("n") - 1)
+    ranks = F.explode(F.array_distinct(F.array(F.floor(at), F.ceil(at))))
+    large = _kept(sizes.filter(F.col("n") > most).select("*", ranks.alias("rank"), F.lit(0).cast("long").alias("below"), F.col("n").alias("left")), "quantiles")
     if large.isEmpty():
         return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile("value", p).alias("value"))
     mine = [F.col(k).eqNullSafe(F.col(f"#{k}")) for k in keys]
@@ -51,10 +52,11 @@ def percentiles(df: DataFrame, keys: list[str], value: str, p: float, most: int
         if large.filter(F.col("left") > most).filter("low < high").isEmpty():
             break
         large = _kept(_narrowed(rows, large, keys), "quantiles")
-    many = _inside(rows, large, keys).groupBy(*keys).agg(F.sort_array(F.collect_list(F.when(F.col("low") < F.col("high"), F.col("value")))).alias("values"), *[F.first(c).alias(c) for c in ("n", "low", "first", "last", "below")])
-    pick = lambda rank: F.coalesce(F.get("values", (F.col(rank) - F.col("below")).cast("int")), F.col("low"))
-    between = pick("first") + (pick("last") - pick("first")) * (at - F.col("first"))
-    return few.unionByName(many.select(*keys, "n", between.alias("value")))
+    many = _inside(rows, large, keys).groupBy(*keys, "rank").agg(F.sort_array(F.collect_list(F.when(F.col("low") < F.col("high"), F.col("value")))).alias("values"), *[F.first(c).alias(c) for c in ("n", "low", "below")])
+    found = many.select(*keys, "n", "rank", F.coalesce(F.get("values", (F.col("rank") - F.col("below")).cast("int")), F.col("low")).alias("x"))
+    ends = found.groupBy(*keys).agg(F.first("n").alias("n"), F.min("rank").alias("rank"), F.min_by("x", "rank").alias("a"), F.max_by("x", "rank").alias("b"))
+    between = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("a") + (F.col("b") - F.col("a")) * (at - F.col("rank")))
+    return few.unionByName(ends.select(*keys, "n", between.alias("value")))
 
 
 def _inside(rows: DataFrame, large: DataFrame, keys: list[str]) -> DataFrame:
@@ -65,8 +67,7 @@ def _inside(rows: DataFrame, large: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _narrowed(rows: DataFrame, large: DataFrame, keys: list[str]) -> DataFrame:
-    fixed = ["n", "first", "last", "below"]
-    counts = _inside(rows, large, keys).groupBy(*keys, *fixed, _place().alias("bin")).agg(F.count("*").alias("c"), F.min("value").alias("low"), F.max("value").alias("high"))
-    end = F.col("below") + F.sum("c").over(Window.partitionBy(*keys).orderBy("bin"))  # of a range; BINS rows a group
-    held = counts.withColumn("end", end).filter((F.col("end") > F.col("first")) & (F.col("end") - F.col("c") <= F.col("last")))
-    return held.groupBy(*keys).agg(*[F.first(c).alias(c) for c in ("n", "first", "last")], F.min(F.col("end") - F.col("c")).alias("below"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("c").alias("left")).select(*large.columns)
+    counts = _inside(rows, large, keys).groupBy(*keys, "n", "rank", "below", _place().alias("bin")).agg(F.count("*").alias("c"), F.min("value").alias("low"), F.max("value").alias("high"))
+    end = F.col("below") + F.sum("c").over(Window.partitionBy(*keys, "rank").orderBy("bin"))  # of a range; BINS rows a rank
+    held = counts.withColumn("end", end).filter((F.col("end") > F.col("rank")) & (F.col("end") - F.col("c") <= F.col("rank")))
+    return held.withColumn("below", F.col("end") - F.col("c")).withColumnRenamed("c", "left").select(*large.columns)
