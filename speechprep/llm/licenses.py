@@ -4,16 +4,18 @@ Tokens are ordered by their frequency in the whole corpus, rarest first, counted
 templates' tokens.  A template of n words meets blocks of W words, the least power of two that is
 2n or more, taken each W / 2 words, so each stretch of n words lies whole in one; a text's last
 block may be shorter.  A block meets a template if it holds ``CONTAINED`` or more of the template's
-distinct tokens.  Filters that lose nothing: a match must hold one of the template's first
-``n - need + 1`` tokens in that order (prefix; templates are found by it), have ``need`` distinct
-tokens (length), and from the first common token on both sides must have enough tokens left
-(position).  What passes is counted exactly.
+distinct tokens and all of its naming words: in a notice of a few words four fifths are common to
+all licenses, and the name is what is left.  Filters that lose nothing: a match must hold one of the
+template's first ``n - need + 1`` tokens in that order, or its rarest naming word (prefix; templates
+are found by it), have ``need`` distinct tokens (length), and from the first common token on both
+sides must have enough tokens left (position).  What passes is counted exactly.
 
 Phrases (label, words) are counted beside this at every place where their words stand in a row.
 
 Edge cases: null and empty texts have 0 words, no labels and score 0; texts of any length are
 scanned whole; repeated rows give equal rows; without documents all frequencies are 0 and ties in
-frequency go by the token; a template without words is refused.  Columns but doc_id and text are ignored.
+frequency go by the token; a template without words, or
+without one of its naming words, is refused.  Columns but doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -53,23 +55,24 @@ APACHE_HEADER = """Licensed under the Apache License, Version 2.0 (the "License"
 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
 GPL_HEADER = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
 This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."""
+# Label, text, and the words without which a short text is not this license.
 TEMPLATES = [
-    ("mit", MIT),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction"),
-    ("mit-notice", "Released under the MIT License"),
-    ("isc", ISC),
-    ("bsd-3-clause", BSD),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("zlib", ZLIB),
-    ("unlicense", UNLICENSE),
-    ("apache-2.0", APACHE_HEADER),
-    ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
-    ("gpl", GPL_HEADER),
-    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
-    ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3"),
-    ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0"),
-    ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("mit", MIT, ""),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction", ""),
+    ("mit-notice", "Released under the MIT License", "mit license"),
+    ("isc", ISC, ""),
+    ("bsd-3-clause", BSD, ""),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", ""),
+    ("zlib", ZLIB, ""),
+    ("unlicense", UNLICENSE, ""),
+    ("apache-2.0", APACHE_HEADER, ""),
+    ("apache-2.0", "Licensed under the Apache License, Version 2.0", "apache 2"),
+    ("gpl", GPL_HEADER, ""),
+    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "gnu general public"),
+    ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3", "gnu general public 3"),
+    ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0", "cc by nc 4"),
+    ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License", "creative commons attribution 4"),
+    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "mozilla 2"),
 ]
 # End of fixed values.
 
@@ -110,24 +113,25 @@ def block_words(template_words: int) -> int:
 class Join:
     """The templates' side for one size of blocks: tokens in the global order, needed overlaps, templates by prefix token."""
 
-    def __init__(self, templates: list[tuple[str, np.ndarray]], freq: dict[int, int]):
+    def __init__(self, templates: list[tuple[str, np.ndarray, np.ndarray]], freq: dict[int, int]):
         self.templates, self.by_token = [], {}
-        for label, words in templates:
+        for label, words, naming in templates:
             ordered = sorted(set(words.tolist()), key=lambda x: (freq.get(x, 0), x))
             need = int(np.ceil(CONTAINED * len(ordered) - 1e-9))
-            for x in ordered[: len(ordered) - need + 1]:
+            named = [x for x in ordered if x in set(naming.tolist())]
+            for x in named[:1] or ordered[: len(ordered) - need + 1]:
                 self.by_token.setdefault(x, []).append(len(self.templates))
-            self.templates.append((label, ordered, need))
+            self.templates.append((label, ordered, need, named))
         self.prefix = np.unique(np.array(list(self.by_token), dtype=np.uint64))
-        self.order = {x: (freq.get(x, 0), x) for _, ordered, _ in self.templates for x in ordered}
+        self.order = {x: (freq.get(x, 0), x) for _, ordered, _, _ in self.templates for x in ordered}
 
     def block(self, words: np.ndarray) -> list[tuple[str, float]]:
         have = set(words.tolist())
         known = sorted(have & self.order.keys(), key=self.order.__getitem__)
         place, out = {x: i for i, x in enumerate(known)}, []
         for t in {t for x in known for t in self.by_token.get(x, ())}:
-            label, tokens, need = self.templates[t]
-            if len(have) < need:
+            label, tokens, need, named = self.templates[t]
+            if len(have) < need or not have.issuperset(named):
                 continue
             first = next(i for i, x in enumerate(tokens) if x in have)
             if min(len(tokens) - first, len(known) - place[tokens[first]]) < need:
@@ -138,21 +142,21 @@ class Join:
         return out
 
 
-def joins(templates: list[tuple[str, str]], freq: dict[int, int]) -> dict[int, Join]:
+def joins(templates: list[tuple[str, str, str]], freq: dict[int, int]) -> dict[int, Join]:
     """By the words of a block."""
-    by_size: dict[int, list[tuple[str, np.ndarray]]] = {}
-    for label, text in templates:
-        words = hashes(text)
-        if not words.size:
-            raise ValueError(f"a template of {label} has no words")
-        by_size.setdefault(block_words(words.size), []).append((label, words))
+    by_size: dict[int, list[tuple[str, np.ndarray, np.ndarray]]] = {}
+    for label, text, naming in templates:
+        words, names = hashes(text), hashes(naming)
+        if not words.size or not np.isin(names, words).all():
+            raise ValueError(f"a template of {label} has no words, or lacks naming ones")
+        by_size.setdefault(block_words(words.size), []).append((label, words, names))
     return {size: Join(own, freq) for size, own in sorted(by_size.items())}
 
 
-def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
+def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: list[tuple[str, str, str]] = TEMPLATES) -> DataFrame:
     """``docs(doc_id, text)`` -> a row each: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score (the largest containment met)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    freq = frequencies(docs, np.concatenate([hashes(t) for _, t in templates]))
+    freq = frequencies(docs, np.concatenate([hashes(t) for _, t, _ in templates]))
     join = docs.sparkSession.sparkContext.broadcast((joins(templates, freq), [(hashes(p), label) for p, label in phrases.items()]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

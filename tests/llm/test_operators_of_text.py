@@ -426,14 +426,15 @@ def brute_licenses(text):
                 places.append(k)
                 base.add(label)
     labels, score = set(base), 0.0
-    for label, t in licenses.TEMPLATES:
+    for label, t, naming in licenses.TEMPLATES:
         t = re.findall(r"[0-9a-z]+", t.lower())
         size, need = 2, set(t)
         while size < 2 * len(t):
             size *= 2
         for k in range(0, max(len(w), 1), size // 2):
-            both = len(set(w[k : k + size]) & need) / len(need)
-            if both >= licenses.CONTAINED - 1e-12:
+            have = set(w[k : k + size])
+            both = len(have & need) / len(need)
+            if both >= licenses.CONTAINED - 1e-12 and have >= set(naming.split()):
                 labels.add(label)
                 score = max(score, both)
     return (len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), round(score, 9))
@@ -449,6 +450,28 @@ def test_licenses_equal_brute_force(spark, sf):
     assert licenses.scan(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_texts_near_a_short_notice_are_not_named_by_it(spark):
+    want = {
+        "Released under the Apache License": "apache",
+        "released under the terms of a license granted by court": "",
+        "licensed under CC BY 4.0": "",
+        "Licensed under the MIT License, Version 2.0": "mit,mit-notice",
+        "This work is licensed under the terms of the Public License, version 3": "",
+        "Released under the MIT License": "mit,mit-notice",
+        "licensed under CC BY-NC 4.0": "cc-by-nc-4.0",
+        "Licensed under the Apache License, Version 2.0": "apache,apache-2.0",
+        "Source Code Form is subject to the terms of the Mozilla Public License, version 2.0": "mpl-2.0",
+    }
+    rows = list(enumerate(want))
+    got = {r.doc_id: r.labels for r in licenses.scan(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert {t: got[i] for i, t in rows} == want
+    with pytest.raises(ValueError):
+        licenses.joins([("x", "some license", "other")], {})
+    tied = [("a", "one two three four five", ""), ("b", "six one two three four", ""), ("c", "one two three four seven", "seven")]  # equal frequencies: the order goes by token
+    docs = spark.createDataFrame([(1, "one two three four five six seven"), (2, "one two three four"), (3, "five six seven")], SCHEMA)
+    assert {r.doc_id: r.labels for r in licenses.scan(docs, {}, tied).collect()} == {1: "a,b,c", 2: "a,b", 3: ""}
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 
