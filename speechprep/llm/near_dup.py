@@ -3,20 +3,19 @@
 A document is the multiset of its runs of five lower-cased words.  Steps:
 
 1. one pass hashes every whole text, makes its weighted-Jaccard signature and band keys;
-2. texts with equal words fall together on one *node*, so copies are never paired;
-3. in each band bucket, signatures link nodes that may reach the threshold; only a spanning
-   star of each linked set leaves the task.  A bucket above ``BUCKET`` nodes is dealt into
-   chunks that all share the same pivots, and each of its nodes gets ``BANDS`` further keys of
-   ``MORE_ROWS`` registers, whose buckets are smaller;
+2. texts with equal words fall together on one *node*, so copies are never paired, and all later
+   work is on one row a node;
+3. in each band bucket, the signatures of all its nodes are compared, those of a bucket above
+   ``BUCKET`` nodes in pairs of blocks, each pair of blocks a group of its own; only a spanning
+   star of each linked set leaves a group;
 4. linked sets are closed to candidate classes, and the texts of each class are compared
    exactly, all against all, by blocked matrix products inside tasks; large classes are cut
    into block pairs by texts and by shingles, so a task holds about two bounded blocks.  Spanning
-   stars leave again;
+   stars leave again, and each node's number of links;
 5. components of the verified links are the classes, named by their least doc_id.
 
 Misses: at a similarity of 0.8 a pair escapes all 24 bands of 5 with probability below 1e-4, and
-the signature test with about 1e-4; both fall fast above.  If all buckets that a pair shares are above ``BUCKET`` and no pivot links it, the
-further keys miss it with about 1e-2 at 0.8 and 5e-4 at 0.85.
+the signature test with about 1e-4; both fall fast above.  No bucket's size changes that.
 
 Edge cases: a null text counts as empty; a text without words is a class of its own; repeated
 rows share a class; a null doc_id never names a class unless all of the class's ids are null, and
@@ -30,6 +29,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,11 +43,8 @@ BANDS, ROWS = 24, 5
 REGISTERS = BANDS * ROWS
 #: Share of equal registers (low bytes) at which two nodes become candidates: four deviations below 0.8.
 LOOSE = 0.65
-#: Nodes of a bucket compared at once, pivots that each chunk of a larger bucket shares, nodes and shingles of a block.
-BUCKET, PIVOTS, BLOCK, BLOCK_KEYS = 512, 128, 512, 500_000
-#: Registers in a further key, and which of them: a fixed choice for each key.
-MORE_ROWS = 8
-_MORE = np.stack([np.random.default_rng(7 + b).permutation(REGISTERS)[:MORE_ROWS] for b in range(BANDS)])
+#: Nodes of a bucket's block, nodes and shingles of a class's block.
+BUCKET, BLOCK, BLOCK_KEYS = 512, 512, 500_000
 
 
 def _uniform(x: np.ndarray) -> np.ndarray:
@@ -102,6 +99,11 @@ def _weighted(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return k[first], np.diff(np.append(first, k.size)), d[first], to
 
 
+def node_of(words: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each text's words in order, not a polynomial: such sums agree on texts like the Thue-Morse word and its complement."""
+    return np.array([xxhash.xxh3_64_intdigest(words[a:b].data) for a, b in zip(at[:-1], at[1:], strict=True)], dtype=U).astype(np.int64)
+
+
 def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     tables("near_dup")  # lets those of other operators go
     for batch in batches:
@@ -109,7 +111,7 @@ def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words, at = prose_words(part.column("text"))
             keys, weights, doc, to = _weighted(words, at)
             some = np.diff(at) > 0
-            node = run_hash(words, at[:-1], at[1:]).astype(np.int64)
+            node = node_of(words, at)
             ids = bag_signatures(keys, weights, doc, part.num_rows)
             flat = ids.reshape(-1)
             start = np.arange(0, flat.size, ROWS)
@@ -128,16 +130,6 @@ def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def further_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``(node, sig)`` -> ``BANDS`` rows ``(h, node)`` each."""
-    for batch in batches:
-        if batch.num_rows:
-            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), dtype=np.uint8).reshape(-1, REGISTERS)
-            keys = np.ascontiguousarray(sig[:, _MORE]).view(U).reshape(-1, BANDS)
-            h = mix(mix(keys, 77) + np.arange(BANDS, dtype=U), 78).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(h.reshape(-1)), pa.array(np.repeat(batch.column("node").to_numpy(), BANDS))], names=["h", "node"])
-
-
 def labels(linked: np.ndarray) -> np.ndarray:
     """Least member reached from each member of a symmetric boolean matrix."""
     n = len(linked)
@@ -151,16 +143,16 @@ def labels(linked: np.ndarray) -> np.ndarray:
         out = new
 
 
-def grouped(names: list[str], work: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray]]]):
+def grouped(names: list[str], work: Callable[[pa.Table], tuple[np.ndarray, np.ndarray, np.ndarray]]):
     """A ``mapInArrow`` function over rows sorted by the columns ``names``: ``work`` gets each whole group's table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
 
         def out(group: pa.Table) -> Iterator[pa.RecordBatch]:
-            u, v = work(group)
+            u, v, n = work(group)
             if u.size:
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(n)], names=["u", "v", "n"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -187,12 +179,13 @@ def grouped(names: list[str], work: Callable[[pa.RecordBatch], Iterator[tuple[np
     return run
 
 
-def star(node: np.ndarray, lab: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    off = lab != np.arange(lab.size)
-    return node[off], node[lab[off]]
+def star(node: np.ndarray, lab: np.ndarray, links: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An edge ``(u, v, 0)`` to each linked set's least member, and ``(u, u, n)`` for a node with ``n`` links."""
+    off, some = lab != np.arange(lab.size), links > 0
+    return np.concatenate([node[off], node[some]]), np.concatenate([node[lab[off]], node[some]]), np.concatenate([np.zeros(off.sum(), np.int64), links[some]])
 
 
-def _alike(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+def _alike(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     node = group.column("node").to_numpy()
     sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), dtype=np.uint8).reshape(len(node), REGISTERS)
     if len(node) == 2:
@@ -202,7 +195,7 @@ def _alike(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         for r in range(REGISTERS):
             same += sig[:, r][:, None] == sig[:, r][None, :]
         lab = labels(same >= LOOSE * REGISTERS)
-    return star(node, lab)
+    return star(node, lab, np.zeros(lab.size, np.int64))
 
 
 def overlap(keys: list[np.ndarray]) -> np.ndarray:
@@ -222,13 +215,18 @@ def overlap(keys: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _verified(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+def _verified(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A block with itself counts its own links, two blocks those between them."""
     node, first = np.unique(group.column("node").to_numpy(), return_index=True)
     column = group.column("keys")
     keys = [np.frombuffer(column[int(i)].as_py(), dtype=U) for i in first]
     size = np.array([k.size for k in keys])
     both = overlap(keys)
-    return star(node, labels(both >= THRESHOLD * (size[:, None] + size[None, :] - both) - 1e-9))
+    near = both >= THRESHOLD * (size[:, None] + size[None, :] - both) - 1e-9
+    np.fill_diagonal(near, False)
+    block = group.column("b").to_numpy()[first]
+    counted = near & (block[:, None] != block[None, :]) if block.min() != block.max() else near
+    return star(node, labels(near), counted.sum(axis=1))
 
 
 def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,7 +235,7 @@ def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, one = np.unique(batch.column("node").to_numpy(), return_index=True)  # a repeated row's text once in a batch
         for part in chunks(batch.take(pa.array(np.sort(one))), "text"):
             words, at = prose_words(part.column("text"))
-            node = run_hash(words, at[:-1], at[1:]).astype(np.int64)
+            node = node_of(words, at)
             keys, to = shingles(words, at, WORDS)
             doc = np.repeat(np.arange(to.size - 1), np.diff(to))
             keys = mix(keys + occurrence(keys, doc).astype(U) * U(0xA24BAED4963EE407))
@@ -246,60 +244,58 @@ def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("node", "root", "k", "b")), pa.array(cells, pa.binary())], names=["node", "root", "k", "b", "keys"]).filter(pa.array(right))
 
 
-def _dealt(members: DataFrame, counted: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Nodes of each bucket with their signatures, those of an oversized one in chunks, and its pivots in each of them."""
-    own, every = F.array(F.pmod(F.xxhash64("node", "h"), "c")), F.sequence(F.lit(0).cast("long"), F.col("c") - 1)
-    pivot = (F.col("c") > 1) & (F.pmod(F.xxhash64("h", "node"), "n") < PIVOTS)
-    # on ~h, so that both sides are exchanged for the join and a crowded bucket's rows can be split
-    sizes = counted.select(F.bitwise_not("h").alias("w"), "n", F.ceil(F.col("n") / BUCKET).alias("c"))
-    placed = members.join(sizes.hint("merge"), F.bitwise_not(members["h"]) == F.col("w")).withColumn("chunk", F.explode(F.when(pivot, every).otherwise(own)))
-    return placed.select("h", "chunk", "node").join(sigs.hint("merge"), "node")
+def in_pairs(rows: DataFrame) -> DataFrame:
+    """Rows of block ``b`` of ``k`` once for each block they are compared with: ``pair`` names the two blocks."""
+    i, j = F.least("b", "o"), F.greatest("b", "o")
+    return rows.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))).withColumn("pair", i * F.col("k") + j).drop("o")
+
+
+def _with(rows: DataFrame, key: str, each: DataFrame) -> DataFrame:
+    """``rows`` with the columns of ``each``, one row a ``key``: joined on ~key, so that both sides are exchanged for the join and a crowded key's rows can be split."""
+    side = each.withColumn("#w", F.bitwise_not(key)).drop(key)
+    return rows.join(side.hint("merge"), F.bitwise_not(rows[key]) == F.col("`#w`")).drop("#w")
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """``docs(doc_id, text)`` -> ``(doc_id, node, root, class_id)``, one row per row of ``docs``.
+    """``docs(doc_id, text)`` -> ``(doc_id, node, root, class_id, n_links)``, one row per row of ``docs``.
 
     ``node`` stands for the text's words, ``root`` for its class, whatever the ids; both are null without words.
+    ``n_links`` counts the other texts, copies once, that are at ``THRESHOLD`` or more.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("key"))
     made = cut(docs.mapInArrow(signed, "doc_id long, node long, bands array<long>, sig binary, key long, keys long"), "signatures")
     worded = made.filter("node is not null")
-    rows = worded.select("node", F.explode("bands").alias("h"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
+    nodes = cut(worded.groupBy("node").agg(least.alias("r"), F.max("keys").alias("keys"), F.any_value(F.struct("sig", "bands")).alias("s")), "nodes")
+    rows = nodes.select("node", F.explode("s.bands").alias("h"))
     shared = rows.groupBy("h").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a <> z").select("h")
-    members = cut(rows.join(shared.hint("merge"), "h").distinct(), "buckets")
-    counted = members.groupBy("h").agg(F.count("*").alias("n"))
-    sigs = worded.groupBy("node").agg(F.max("sig").alias("sig"))
-    dealt = _dealt(members, counted, sigs)
-    oversized = counted.filter(F.col("n") > BUCKET)
-    if not oversized.isEmpty():
-        crowded = members.join(oversized.select("h").hint("merge"), "h").select("node").distinct()
-        more = cut(crowded.join(sigs.hint("merge"), "node").mapInArrow(further_keys, "h long, node long"), "further-keys")
-        dealt = dealt.unionByName(_dealt(more, more.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), sigs))
-    loose = dealt.repartition("h", "chunk").sortWithinPartitions("h", "chunk").mapInArrow(grouped(["h", "chunk"], _alike), "u long, v long")
-    candidates = cut(components(loose.distinct()), "candidates")
+    members = cut(_with(rows, "h", shared), "buckets")
+    dealt = _with(members, "h", members.groupBy("h").agg(F.ceil(F.count("*") / BUCKET).alias("k")))
+    dealt = dealt.join(nodes.select("node", "s.sig").hint("merge"), "node").select("h", "node", "sig", "k", F.pmod(F.xxhash64("node"), "k").alias("b"))
+    loose = in_pairs(dealt).select("h", "pair", "node", "sig").repartition("h", "pair").sortWithinPartitions("h", "pair").mapInArrow(grouped(["h", "pair"], _alike), "u long, v long, n long")
+    candidates = cut(components(loose.select("u", "v").distinct()), "candidates")
 
     # the text of a node is looked up by the id and the text's hash, so null ids meet as well
-    first = worded.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("r"), F.max("keys").alias("keys"))
-    listed = candidates.join(first.hint("merge"), "node")
-    sizes = candidates.join(first.hint("merge"), "node").groupBy("root").agg(F.count("*").alias("n"), F.sum("keys").alias("all"))
-    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("all") / BLOCK_KEYS))
-    listed = listed.join(sizes.hint("merge"), "root").withColumn("k", blocks).select(F.col("r.doc_id").alias("id"), F.col("r.key").alias("of"), "node", "root", "k", F.pmod(F.xxhash64("node"), "k").alias("b"))
+    listed = candidates.join(nodes.select("node", "r", "keys").hint("merge"), "node")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("keys") / BLOCK_KEYS))
+    listed = _with(listed, "root", listed.groupBy("root").agg(blocks.alias("k"))).select(F.col("r.doc_id").alias("id"), F.col("r.key").alias("of"), "node", "root", "k", F.pmod(F.xxhash64("node"), "k").alias("b"))
     texts = docs.join(listed.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("of"))).select("text", "node", "root", "k", "b")
     texts = texts.mapInArrow(sets_of, "node long, root long, k long, b long, keys binary")
-    i, j = F.least("b", "o"), F.greatest("b", "o")
-    pairs = texts.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))).select("root", (i * F.col("k") + j).alias("pair"), "node", "keys")
-    links = pairs.repartition("root", "pair").sortWithinPartitions("root", "pair").mapInArrow(grouped(["root", "pair"], _verified), "u long, v long")
-    joined = components(links)
-    ids = worded.groupBy("node").agg(F.min("doc_id").alias("least"))
-    placed = ids.join(joined.hint("merge"), "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
-    named = placed.join(placed.groupBy("root").agg(F.min("least").alias("class_id")).hint("merge"), "root").select("node", "root", "class_id")
-    out = worded.select("doc_id", "node").join(named.hint("merge"), "node").select("doc_id", "node", "root", "class_id")
-    return out.unionByName(made.filter("node is null").select("doc_id", "node", F.lit(None).cast("long").alias("root"), F.col("doc_id").alias("class_id")))
+    pairs = in_pairs(texts).select("root", "pair", "node", "b", "keys")
+    links = cut(pairs.repartition("root", "pair").sortWithinPartitions("root", "pair").mapInArrow(grouped(["root", "pair"], _verified), "u long, v long, n long"), "links")
+    joined = components(links.select("u", "v"))
+    numbers = links.filter("u = v").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("n_links"))
+    placed = nodes.select("node", F.col("r.doc_id").alias("least")).join(joined.hint("merge"), "node", "left").join(numbers.hint("merge"), "node", "left")
+    placed = placed.select("node", F.coalesce("root", "node").alias("root"), "least", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    named = _with(placed, "root", placed.groupBy("root").agg(F.min("least").alias("class_id")))
+    out = worded.select("doc_id", "node").join(named.hint("merge"), "node").select("doc_id", "node", "root", "class_id", "n_links")
+    alone = made.filter("node is null").select("doc_id", "node", F.lit(None).cast("long").alias("root"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    return out.unionByName(alone)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs(doc_id, text)`` -> ``(doc_id, node, class_id)``, one row per row of ``docs``; ``node`` is null without words."""
-    return classes(docs).select("doc_id", "node", "class_id")
+    """``docs(doc_id, text)`` -> ``(doc_id, node, class_id, n_links)``, one row per row of ``docs``; ``node`` is null without words."""
+    return classes(docs).select("doc_id", "node", "class_id", "n_links")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -327,7 +323,7 @@ def _with_node(names: list[str]):
         for batch in batches:
             for part in chunks(batch, "text"):
                 words, at = prose_words(part.column("text"))
-                node = pa.array(run_hash(words, at[:-1], at[1:]).astype(np.int64), mask=np.diff(at) == 0)
+                node = pa.array(node_of(words, at), mask=np.diff(at) == 0)
                 yield pa.RecordBatch.from_arrays([*part.columns, node], names=names)
 
     return run

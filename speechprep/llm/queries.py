@@ -26,7 +26,7 @@ def vocabulary() -> tuple[str, str]:
 
 def op1_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = near_dup.near_duplicates(read(spark, sf_dir, "documents"))
-    return named.select("doc_id", "class_id", (F.coalesce(F.col("class_id") != F.col("doc_id"), F.lit(False))).alias("is_copy"))
+    return named.select("doc_id", "class_id", (F.coalesce(F.col("class_id") != F.col("doc_id"), F.lit(False))).alias("is_copy"), "n_links")
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,6 +51,23 @@ def brute_classes(rows):
     return {i: find(i) for i, _ in rows}
 
 
+def brute_links(rows):
+    """For each id the number of other word sequences at 0.8 or more."""
+    texts = {}
+    for i, t in rows:
+        texts.setdefault(tuple(words(t)), []).append(i)
+    bags = {w: bag(" ".join(w)) for w in texts if w}
+    seen = defaultdict(set)
+    for w, b in bags.items():
+        for g in b:
+            seen[g].add(w)
+    out = {i: 0 for i, _ in rows}
+    for w, b in bags.items():
+        n = sum(likeness(b, bags[v]) >= 0.8 for v in set().union(*(seen[g] for g in b)) - {w})
+        out.update(dict.fromkeys(texts[w], n))
+    return out
+
+
 def test_signature_is_unbiased():
     rng = random.Random(3)
     a = Counter(rng.randrange(40) for _ in range(300))
@@ -73,8 +90,9 @@ def test_classes_equal_brute_force(spark, sf):
         for i in rng.sample(range(len(w)), rng.randrange(1, 12)):
             w[i] = f"edit{k}x{i}"
         rows.append((10_000 + k, " ".join(w)))
-    got = {r.doc_id: r.class_id for r in near_dup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
-    assert got == brute_classes(rows)
+    found = near_dup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {r.doc_id: r.class_id for r in found} == brute_classes(rows)
+    assert {r.doc_id: r.n_links for r in found} == brute_links(rows)
 
 
 def test_near_dup_edge_cases(spark):
@@ -116,16 +134,28 @@ def crowd(n, pairs, rng):
 
 
 def test_crowded_buckets_keep_their_pairs(spark, monkeypatch):
-    """Texts half alike fill the buckets, so near copies meet in few places but the further keys."""
+    """Texts half alike fill the buckets, which are compared whole, in pairs of blocks."""
     monkeypatch.setattr(near_dup, "BUCKET", 24)
-    monkeypatch.setattr(near_dup, "PIVOTS", 4)
     monkeypatch.setattr(near_dup, "BLOCK_KEYS", 3000)
     rows = crowd(900, 150, random.Random(8))
     want = brute_classes(rows)
     assert sum(want[10 * 900 + k] == want[k] for k in range(150)) > 140
     got = {r.doc_id: r.class_id for r in near_dup.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()}
-    lost = sum(want[10 * 900 + k] == want[k] != got[10 * 900 + k] for k in range(150))
-    assert lost <= 3 and all(got[i] in (i, want[i]) for i in got)
+    assert got == want
+
+
+def test_links_between_blocks_are_counted_once(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "BLOCK", 8)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(k, " ".join([f"s{k}", *base])) for k in range(40)] + [(100 + k, " ".join(["s1", *base])) for k in range(30)] + [(300, None), (301, "alone in the world")]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in near_dup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {i: (0, 39) for i, _ in rows[:70]} | {300: (300, 0), 301: (301, 0)}
+
+
+def test_structured_texts_are_nodes_of_their_own(spark):
+    one = ["ab"[bin(i).count("1") % 2] for i in range(1024)]
+    rows = [(1, " ".join(one)), (2, " ".join("ba"["ab".index(x)] for x in one))]
+    assert len({r.node for r in near_dup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}) == 2
 
 
 def sentence_parts(t):
