@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from speechprep.sources.shared import listed, removed
 
@@ -130,6 +131,16 @@ def write_dated(df: DataFrame, path: str, ts: str, mode: str = "append") -> None
     df.withColumn("date", F.to_date(ts)).hint("rebalance", "date").write.mode(mode).partitionBy("date").parquet(path)
 
 
+def write_by_site(df: DataFrame, path: str, mode: str = "append") -> None:
+    """``df`` in folders ``site_slug=...``; a site with many rows is written by several tasks."""
+    df.hint("rebalance", "site_slug").write.mode(mode).partitionBy("site_slug").parquet(path)
+
+
+def read_by_site(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The rows of ``write_by_site`` in their ``schema``, so that a slug like ``007`` stays text; a filter on ``site_slug`` reads its folder alone."""
+    return spark.read.schema(schema).parquet(path).select(schema.names)
+
+
 def expired_days(spark: SparkSession, path: str, ttl_s: int, now: dt.datetime) -> list[str]:
     """Folders of days that ended ``ttl_s`` or longer before ``now`` (UTC), from the folder's listing alone; rows without a time never expire."""
     out = []

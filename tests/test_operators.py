@@ -203,3 +203,16 @@ def test_retry_rounds(spark):
 
     got = {(r.job_id, r.seg_idx): (r.passed, r["round"]) for r in models.retry_rounds(segs, voice, gate).collect()}
     assert got == {("j", 0): (True, 2), ("j", 1): (True, 0), ("k", 0): (False, 4)}
+
+
+def test_objects_are_written_by_site(spark, tmp_path):
+    df = spark.createDataFrame([("007", "a", "x/007/a.mp3"), ("press", "b", "x/press/b.mp3"), ("press", "c", "x/press/c.mp3"), (None, "d", "d.mp3")], "site_slug string, job string, object string")
+    path = str(tmp_path / "objects")
+    tables.write_by_site(df, path)
+    tables.write_by_site(df.filter("job = 'b'"), path)
+    back = tables.read_by_site(spark, path, df.schema)
+    assert back.schema == df.schema and sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, [*df.collect(), *df.filter("job = 'b'").collect()]), key=str)
+    assert {f.split("/")[-2] for f in back.filter("site_slug = '007'").inputFiles()} >= {"site_slug=007"}
+    assert [r.job for r in back.filter("site_slug = '007'").collect()] == ["a"]
+    plan = back.filter("site_slug = '007'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(site_slug" in plan
