@@ -5,7 +5,9 @@ words is also cut after each word whose hash divides by ``CUT``, so that a passa
 parts behind another beginning, too.  At 51 words the first and last such cut inside a passage leave
 less than ``LEAST`` words between them in about one of 10,000 cases; one word over and over has no
 cut, and a repeat of less than ``LEAST`` words stays.  Every
-run of ``RUN`` consecutive sentences, or of as many more as ``LEAST`` words take, is hashed.  The occurrence with
+run of ``RUN`` consecutive sentences, or of as many more as ``LEAST`` words take, is hashed: 96 bits of XXH3 over its
+lower-cased words, with sentences told apart, so equal hashes stand for equal words (1e13 spans make fewer
+than 0.001 equal pairs by chance).  The occurrence with
 the least (doc_id, row hash, position) is the first; the sentences of all others go.  So sentences that a
 text has in common with an earlier place go, if there are several of them.
 
@@ -25,14 +27,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from speechprep.llm.arrays import U, chunks, flat, mix, prose_mask, run_hash, span_hash, spans, tables
+from speechprep.llm.arrays import U, chunks, flat, mix, prose_mask, span_hash, spans, tables
 from speechprep.llm.store import fresh
 
 RUN, LEAST, PIECE, CUT = 2, 24, 8, 3
+_DIGEST = np.dtype([("hash", "<u8"), ("more", "<u4")])
 #: Spans that a task holds before it sends them on, and bytes of text whose spans make a bucket.
 HELD, BUCKET_BYTES = 2_000_000, 2 << 20
 
@@ -46,13 +50,14 @@ def same_character(buf: np.ndarray, raw: np.ndarray, at: np.ndarray) -> np.ndarr
 
 
 class Sentences:
-    """Sentences of a chunk of texts: byte bounds of their words, word counts, hashes and document numbers."""
+    """Sentences of a chunk of texts: byte bounds of their words, word counts, plain words and document numbers."""
 
     def __init__(self, texts: pa.Array):
         raw, self.offsets = flat(texts)
         self.raw = raw
         buf, offsets = flat(pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
-        start, end, doc = spans(prose_mask(buf), offsets)
+        mask = prose_mask(buf)
+        start, end, doc = spans(mask, offsets)
         words = span_hash(buf, start, end)
         stop = np.zeros(buf.size + 1, dtype=bool)
         if buf.size:
@@ -68,10 +73,16 @@ class Sentences:
         long = np.bincount(sentence)[sentence] > PIECE if start.size else new
         new[1:] |= ((words % U(CUT) == 0) & long)[:-1]
         first = np.flatnonzero(new)
-        last = np.append(first[1:], start.size)
+        last = np.append(first, start.size)[1:]
         self.doc = doc[first]
         self.words = last - first
-        self.hash = run_hash(words, first, last)
+        # all words one after the other, each with a blank behind it, a sentence's last one with a line break
+        size = end - start
+        to = np.concatenate([[0], np.cumsum(size + 1)])
+        plain = np.full(to[-1], 32, dtype=np.uint8)
+        plain[np.arange(to[-1] - size.size) + np.repeat(np.arange(size.size), size)] = buf[mask]
+        plain[to[last] - 1] = 10
+        self.plain, self.plain_at = plain.tobytes(), to[np.append(first, start.size)]
         self.start = same_character(buf, raw, start[first])
         self.at = np.searchsorted(self.doc, np.arange(len(texts) + 1))
 
@@ -80,23 +91,41 @@ class Sentences:
         total = np.concatenate([[0], np.cumsum(self.words)])
         return np.maximum(i + RUN, np.searchsorted(total, total[i] + LEAST))
 
+    def digests(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """96-bit hashes of the sentences from each of ``i`` up to ``j``."""
+        view = memoryview(self.plain)
+        both = b"".join([xxhash.xxh3_128_digest(view[a:b]) for a, b in zip(self.plain_at[i].tolist(), self.plain_at[j].tolist(), strict=True)])
+        wide = np.frombuffer(both, dtype="<u8").reshape(-1, 2)
+        out = np.empty(i.size, dtype=_DIGEST)
+        out["hash"], out["more"] = wide[:, 0], wide[:, 1] & U(0xFFFFFFFF)
+        return out
+
     def runs(self) -> tuple[np.ndarray, np.ndarray]:
         """First sentence and hash of every run that lies within its text."""
         i = np.arange(self.doc.size)
         j = self.ends(i)
         inside = j <= self.at[self.doc + 1]
-        return i[inside], run_hash(self.hash, i[inside], j[inside])
+        return i[inside], self.digests(i[inside], j[inside])
 
 
 def row_keys(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """doc_id with null as the least value, and a hash of doc_id and text."""
     ids = pc.fill_null(part.column("doc_id").cast(pa.int64()), -(1 << 63)).to_numpy(zero_copy_only=False)
     buf, at = flat(part.column("text"))
-    return ids, mix(span_hash(buf, at[:-1], at[1:]) + mix(ids.astype(U), 11)).astype(np.int64)
+    view = memoryview(buf)
+    texts = np.array([xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], dtype=U)
+    return ids, mix(texts + mix(ids.astype(U), 11)).astype(np.int64)
 
 
 _SENT = pa.schema([("bucket", pa.int32()), ("data", pa.binary())])
-_ENTRY = np.dtype([("hash", "<u8"), ("id", "<i8"), ("row", "<i8"), ("at", "<i4")])
+_ENTRY = np.dtype([*((name, _DIGEST[name]) for name in _DIGEST.names), ("id", "<i8"), ("row", "<i8"), ("at", "<i4")])
+
+
+def _ranges(to: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """The numbers in the sorted ``to`` and where each begins and ends, in memory that hangs on ``to`` alone."""
+    first = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))[: to.size]
+    edge = np.append(first, to.size).tolist()
+    return to[first], list(zip(edge[:-1], edge[1:], strict=True))
 
 
 def _packed(row: np.ndarray, at: np.ndarray, packs: int) -> pa.RecordBatch:
@@ -107,9 +136,9 @@ def _packed(row: np.ndarray, at: np.ndarray, packs: int) -> pa.RecordBatch:
     new = np.concatenate([[True], row[1:] != row[:-1]])
     first = np.flatnonzero(new)
     many = np.diff(np.append(first, row.size)).astype("<i4")
-    edge, ends = np.searchsorted(to[first], np.arange(packs + 1)), np.append(first, row.size)
-    some = np.flatnonzero(np.diff(edge))
-    cells = [np.int64(edge[k + 1] - edge[k]).tobytes() + row[first[edge[k] : edge[k + 1]]].tobytes() + many[edge[k] : edge[k + 1]].tobytes() + at[ends[edge[k]] : ends[edge[k + 1]]].tobytes() for k in some]
+    ends = np.append(first, row.size)
+    some, edge = _ranges(to[first])
+    cells = [np.int64(b - a).tobytes() + row[first[a:b]].tobytes() + many[a:b].tobytes() + at[ends[a] : ends[b]].tobytes() for a, b in edge]
     return pa.RecordBatch.from_arrays([pa.array((-1 - some).astype(np.int32)), pa.array(cells, pa.binary())], schema=_SENT)
 
 
@@ -121,9 +150,9 @@ def _unpacked(cell: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def _settle(e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First occurrence of each hash, and the rows and positions of all others."""
-    e = e[np.lexsort((e["at"], e["row"], e["id"], e["hash"]))]
+    e = e[np.lexsort((e["at"], e["row"], e["id"], e["more"], e["hash"]))]
     new = np.ones(e.size, dtype=bool)
-    new[1:] = e["hash"][1:] != e["hash"][:-1]
+    new[1:] = (e["hash"][1:] != e["hash"][:-1]) | (e["more"][1:] != e["more"][:-1])
     first = e[new]
     other = ~new
     if e.size:  # an identical row's run is the same place, not another one
@@ -145,9 +174,8 @@ def _gather(buckets: int, packs: int):
             to = (first["hash"] % U(buckets)).astype(np.int64)
             order = np.argsort(to, kind="stable")
             first, to = first[order], to[order]
-            edge = np.searchsorted(to, np.arange(buckets + 1))
-            some = np.flatnonzero(np.diff(edge))
-            cells = [first[edge[b] : edge[b + 1]].tobytes() for b in some]
+            some, edge = _ranges(to)
+            cells = [first[a:b].tobytes() for a, b in edge]
             yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(cells, pa.binary())], schema=_SENT)
 
         size = 0
@@ -157,7 +185,7 @@ def _gather(buckets: int, packs: int):
                 s = Sentences(part.column("text"))
                 i, h = s.runs()
                 e = np.empty(i.size, dtype=_ENTRY)
-                e["hash"], e["id"], e["row"], e["at"] = h, ids[s.doc[i]], rows[s.doc[i]], i - s.at[s.doc[i]]
+                e["hash"], e["more"], e["id"], e["row"], e["at"] = h["hash"], h["more"], ids[s.doc[i]], rows[s.doc[i]], i - s.at[s.doc[i]]
                 held.append(e)
                 size += i.size
                 if size >= HELD:
