@@ -407,7 +407,7 @@ def n6_backoff(spark, d):
     return table(spark, d, "events", "event_id").select("event_id", F.array_join(F.transform(V.backoff(F.lit(1.0), F.lit(10.0), (F.col("event_id") % 7).cast("int")), lambda x: x.cast("long").cast("string")), ",").alias("delays"))
 
 
-@query("SELECT event_id, round(least(CASE WHEN event_id % 3 = 0 THEN 0.3 ELSE value / 100 END + 0.15, 0.55), 9) AS temperature, CAST(0.9 AS DOUBLE) AS top_p FROM events")
+@query("SELECT event_id, round(least(coalesce(nullif(CASE WHEN event_id % 3 = 0 THEN 0 ELSE value / 100 END, 0), 0.3) + 0.15, 0.55), 9) AS temperature, CAST(0.9 AS DOUBLE) AS top_p FROM events")
 def n7_quote_params(spark, d):
     p = V.quote_params(F.col("t"), F.lit(0.0))
     return table(spark, d, "events", "event_id", "case when event_id % 3 = 0 then 0.0D else value / 100 end as t").select("event_id", F.round(p["temperature"], 9).alias("temperature"), F.round(p["top_p"], 9).alias("top_p"))
