@@ -17,3 +17,13 @@ def agree(spark, path, table, rows, schema, *names):
 def test_no_temperature(spark, tmp_path):
     rows = [(1, 0.0), (2, None), (3, 0.0), (4, 12.5), (5, 90.0)]
     agree(spark, tmp_path, "events", rows, "event_id long, value double", "n7_quote_params")
+
+
+def documents(*texts):
+    """Each text under an even and an odd number."""
+    return [(i, texts[i // 2], f"s{i % 2}") for i in range(2 * len(texts))], "doc_id long, text string, source string"
+
+
+def test_abbreviations(spark, tmp_path):
+    rows = documents("est. est. vs. etc.", "An API-PE of a KPI, e.g. B2B", "éest. _est. (est.", "P&L's aP&L éCEO HR_x UI/UX")
+    agree(spark, tmp_path, "documents", *rows, "x20_abbreviations")
