@@ -27,3 +27,14 @@ def documents(*texts):
 def test_abbreviations(spark, tmp_path):
     rows = documents("est. est. vs. etc.", "An API-PE of a KPI, e.g. B2B", "éest. _est. (est.", "P&L's aP&L éCEO HR_x UI/UX")
     agree(spark, tmp_path, "documents", *rows, "x20_abbreviations")
+
+
+def test_normalize(spark, tmp_path):
+    rows = documents(
+        "a5% 1.2.3% éa@b.co a@b.co.c@d.ee $5B $12.345 $1,2345 $5$6 3xé 2.5X 02nd 101st 24/7",
+        "1 a day/Day 0987-14-30 &notit; &#128; R&amp;D <b>x</b> <pre>y</pre> **a* _it_ `c` [3] est. est.",
+        "\n|a|\n• item\nSubscribe to it\n## Head\n> q\nhttps://a.b/c www.x.y",
+        '<div class="kg-card">z</div>---\na: b\n---\n',
+        "",
+    )
+    agree(spark, tmp_path, "documents", *rows, "x21_normalize")
