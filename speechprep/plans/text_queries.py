@@ -184,9 +184,16 @@ def a13_segment_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.segment_plan(chunked(spark, sf_dir), "source")
 
 
-_NORM_SQL = replaced("t", *_PLAIN)
+_NORM_SQL = S.normalized("t")
+
+
+def _blanks(sql: str) -> str:
+    """``sql`` with the white space of Java's patterns: any between words, that of ASCII elsewhere."""
+    return sql.replace("'\\s+'", f"'[{S.WS_U}]+'").replace("\\s", f"[{S.WS}]")
+
+
 QUERIES |= {"x28_chunk_paragraphs": x28_chunk_paragraphs, "a13_segment_plan": a13_segment_plan}
-ORACLES["x28_chunk_paragraphs"] = _CHUNKS.replace("{norm}", _NORM_SQL) + "SELECT doc_id, source, seg_idx, word_count FROM segs"
+ORACLES["x28_chunk_paragraphs"] = _blanks(_CHUNKS).replace("{norm}", _NORM_SQL) + "SELECT doc_id, source, seg_idx, word_count FROM segs"
 ORACLES["a13_segment_plan"] = _CHUNKS.replace("{norm}", _NORM_SQL) + "SELECT source, count(*) AS segments, CAST(sum(word_count) AS BIGINT) AS words, max(word_count) AS longest FROM segs GROUP BY source"
 
 

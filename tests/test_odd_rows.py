@@ -38,3 +38,10 @@ def test_normalize(spark, tmp_path):
         "",
     )
     agree(spark, tmp_path, "documents", *rows, "x21_normalize")
+
+
+WORDS = documents("one two　three\x0bfour " * 150 + "\n" + "a5% est. est. <p>x</p> `c` the API " * 40, "", "\n\x0b\n", "Word. " * 500 + "\nA b? “No.\x0bYes” " * 30)
+
+
+def test_chunks(spark, tmp_path):
+    agree(spark, tmp_path, "documents", *WORDS, "x28_chunk_paragraphs")
