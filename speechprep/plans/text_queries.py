@@ -194,7 +194,7 @@ def _blanks(sql: str) -> str:
 
 QUERIES |= {"x28_chunk_paragraphs": x28_chunk_paragraphs, "a13_segment_plan": a13_segment_plan}
 ORACLES["x28_chunk_paragraphs"] = _blanks(_CHUNKS).replace("{norm}", _NORM_SQL) + "SELECT doc_id, source, seg_idx, word_count FROM segs"
-ORACLES["a13_segment_plan"] = _CHUNKS.replace("{norm}", _NORM_SQL) + "SELECT source, count(*) AS segments, CAST(sum(word_count) AS BIGINT) AS words, max(word_count) AS longest FROM segs GROUP BY source"
+ORACLES["a13_segment_plan"] = _blanks(_CHUNKS).replace("{norm}", _NORM_SQL) + "SELECT source, count(*) AS segments, CAST(sum(word_count) AS BIGINT) AS words, max(word_count) AS longest FROM segs GROUP BY source"
 
 
 def x27_segment(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,3 +45,7 @@ WORDS = documents("one two　three\x0bfour " * 150 + "\n" + "a5% est. est. <p>x
 
 def test_chunks(spark, tmp_path):
     agree(spark, tmp_path, "documents", *WORDS, "x28_chunk_paragraphs")
+
+
+def test_segment_plan(spark, tmp_path):
+    agree(spark, tmp_path, "documents", *WORDS, "a13_segment_plan")
