@@ -63,7 +63,6 @@ expect(
     f"CASE doc_id % 3 WHEN 0 THEN 'Sections: Part ' || {_ID} || ' | Two' WHEN 1 THEN 'Sections: Part ' || {_ID} || ' | More' ELSE '' END",
 )
 _EMPHASIS = [(r"\*\*(.*?)\*\*|__(.*?)__|\*(.*?)\*|_(.*?)_", r"\1\2\3\4")]
-_EST = (r"(^|[^\pL\pN_])est[.](\s|$)", r"\1established\2")
 _MARKED = f"'---' || {_NL} || 'a: b' || {_NL} || '---' || {_NL} || '# Head ' || {_ID} || {_NL} || '> quote **bold** and *thin* ![i](p.png) [link](u/v)' || {_NL} || '***' || {_NL} || text"
 expect("x10_strip_markdown", _MARKED, X.strip_markdown, f"'Head ' || {_ID} || {_NL} || 'quote bold and thin  link' || {_NL} || {_NL} || {replaced("substr(t, instr(t, '***') + 4)", *_EMPHASIS)}")
 expect("x11_strip_addresses", f"text || ' see https://a.example/p?q=' || {_ID} || ' or www.b.example and me' || {_ID} || '@mail.example.org now'", X.strip_addresses, f"{replaced("left(t, instr(t, ' see https'))", _MAIL)} || 'see  or  and  now'")
@@ -80,8 +79,6 @@ expect("x18_ordinals", f"text || ' the ' || {_ID} || 'th and 1st, 02ND, 20th, 10
 expect("x19_iso_dates", "text || ' on 2024-0' || CAST(1 + doc_id % 9 AS STRING) || '-15, 2023-11-07 and 0987-14-30.'", X.spoken_dates, f"left(t, length(t) - 42) || ' on ' || {_MONTH} || ' 15, 2024, November 7, 2023 and 14 30, 987.'")
 _SHORT = f"text || ' The CEO of a SaaS firm, e.g. B2B ' || {_ID} || ' vs. P&L by VP (KPI), APEX stays. It was the best. Q etc.'"
 expect("x20_abbreviations", _SHORT, X.spoken_abbreviations, S.abbreviated("t"))
-#: What of the chain touches the texts themselves: emphasis marks, mail addresses, percentages, blanks.
-_PLAIN = [_MAIL, *_EMPHASIS, _PERCENT, _EST, (r"[ \t]+", " "), (r"\n{3,}", "\n\n"), (r"^\s+|\s+$", "")]
 _RAW = f"'<p>' || text || '</p> Revenue hit $' || {_ID} || '.5B on 2024-0' || CAST(1 + doc_id % 9 AS STRING) || '-15, the 3rd time, for the CEO.'"
 expect("x21_normalize", _RAW, X.normalize, S.normalized("t"))
 _SPOKEN = f"'<think>no</think>Dr. Who and Prof. X' || {_ID} || ' said “it’s → 5°” [PAUSE] yes [LONG_PAUSE] ' || text || ' #end () wait... now'"
@@ -311,5 +308,6 @@ FROM (SELECT doc_id, {_FACTS} AS t FROM documents WHERE doc_id % 2 = 1)
 """
 
 
+ORACLES["x27_segment"] = _blanks(ORACLES["x27_segment"])
 #: The segments of normalised texts, for the stream that makes them.
-SEGMENTS_OF_NORMALISED = ORACLES["x27_segment"].replace("replace(text, chr(10), chr(10) || chr(10)) AS t FROM documents", f"{replaced('replace(text, chr(10), chr(10) || chr(10))', *_PLAIN)} AS t FROM documents")
+SEGMENTS_OF_NORMALISED = ORACLES["x27_segment"].replace("replace(text, chr(10), chr(10) || chr(10)) AS t FROM documents", f"{S.normalized('replace(text, chr(10), chr(10) || chr(10))')} AS t FROM documents")

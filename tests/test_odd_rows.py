@@ -49,3 +49,7 @@ def test_chunks(spark, tmp_path):
 
 def test_segment_plan(spark, tmp_path):
     agree(spark, tmp_path, "documents", *WORDS, "a13_segment_plan")
+
+
+def test_stream_of_segments(spark, tmp_path):
+    agree(spark, tmp_path, "documents", *WORDS, "x27_segment", "st9_stream_segments")
