@@ -82,7 +82,7 @@ expect("x20_abbreviations", _SHORT, X.spoken_abbreviations, S.abbreviated("t"))
 _RAW = f"'<p>' || text || '</p> Revenue hit $' || {_ID} || '.5B on 2024-0' || CAST(1 + doc_id % 9 AS STRING) || '-15, the 3rd time, for the CEO.'"
 expect("x21_normalize", _RAW, X.normalize, S.normalized("t"))
 _SPOKEN = f"'<think>no</think>Dr. Who and Prof. X' || {_ID} || ' said “it’s → 5°” [PAUSE] yes [LONG_PAUSE] ' || text || ' #end () wait... now'"
-expect("x22_clean_for_speech", _SPOKEN, X.clean_for_speech, f"'Doctor Who and Professor X' || {_ID} || ' said \"it''s to 5 degrees \", yes' || {_NL} || {_NL} || {replaced("substr(left(t, instr(t, ' #end ()')), instr(t, '[LONG_PAUSE] ') + 13)", ("[#*_~>`]+", ""), (r"(^|[^\pL\pN_])St[.](\s|$)", r"\1Saint\2"), (r"(^|[^\pL\pN_])Co[.](\s|$)", r"\1Company\2"), (r"([.!?]){3,}", r"\1"), (r"\(\s*\)|\[\s*\]|\{\s*\}", ""), (r"[ \t]+", " "))} || 'end wait. now'")
+expect("x22_clean_for_speech", _SPOKEN, X.clean_for_speech, S.cleaned("t"))
 expect("x23_strip_artifacts", f"'<think>hm ' || {_ID} || '</think>Sure, here it is:' || {_NL} || {_NL} || text || {_NL} || 'I hope it helps ' || {_ID}", X.strip_artifacts, f"{replaced(f"substr(left(t, instr(t, {_NL} || 'I hope it') - 1), instr(t, 'here it is:') + 13)", (r"(?im)^(?:here|sure|okay|of\s+course|certainly|absolutely|alright|got\s+it)\b[^\n]{0,150}\n\n?", ""))}")
 _PAUSED = f"'A. [PAUSE] ' || replace(text, {_NL}, ' [pause] ') || ' [LONG_PAUSE] C ' || {_ID} || '.'"
 _PARTS_SQL = "list_filter(list_transform(string_split(regexp_replace(t, '(?i)\\[(?:LONG_PAUSE|PAUSE)\\]', chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '')"

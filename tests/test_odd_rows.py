@@ -53,3 +53,8 @@ def test_segment_plan(spark, tmp_path):
 
 def test_stream_of_segments(spark, tmp_path):
     agree(spark, tmp_path, "documents", *WORDS, "x27_segment", "st9_stream_segments")
+
+
+def test_clean_for_speech(spark, tmp_path):
+    rows = documents("St. St. Co.X Dr.Mr. Sr. Jr.", "Etc. vs.é e.g.i.e. <think>a\nb</THINK>c", "a\x0b\x0b( \x0b)[LONG_PAUSE]x[pause] https://a.b ½ • …")
+    agree(spark, tmp_path, "documents", *rows, "x22_clean_for_speech")
