@@ -83,7 +83,7 @@ _RAW = f"'<p>' || text || '</p> Revenue hit $' || {_ID} || '.5B on 2024-0' || CA
 expect("x21_normalize", _RAW, X.normalize, S.normalized("t"))
 _SPOKEN = f"'<think>no</think>Dr. Who and Prof. X' || {_ID} || ' said “it’s → 5°” [PAUSE] yes [LONG_PAUSE] ' || text || ' #end () wait... now'"
 expect("x22_clean_for_speech", _SPOKEN, X.clean_for_speech, S.cleaned("t"))
-expect("x23_strip_artifacts", f"'<think>hm ' || {_ID} || '</think>Sure, here it is:' || {_NL} || {_NL} || text || {_NL} || 'I hope it helps ' || {_ID}", X.strip_artifacts, f"{replaced(f"substr(left(t, instr(t, {_NL} || 'I hope it') - 1), instr(t, 'here it is:') + 13)", (r"(?im)^(?:here|sure|okay|of\s+course|certainly|absolutely|alright|got\s+it)\b[^\n]{0,150}\n\n?", ""))}")
+expect("x23_strip_artifacts", f"'<think>hm ' || {_ID} || '</think>Sure, here it is:' || {_NL} || {_NL} || text || {_NL} || 'I hope it helps ' || {_ID}", X.strip_artifacts, S.stripped("t"))
 _PAUSED = f"'A. [PAUSE] ' || replace(text, {_NL}, ' [pause] ') || ' [LONG_PAUSE] C ' || {_ID} || '.'"
 _PARTS_SQL = "list_filter(list_transform(string_split(regexp_replace(t, '(?i)\\[(?:LONG_PAUSE|PAUSE)\\]', chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '')"
 text_query("x24_split_pauses", _PAUSED, {"parts": (lambda t: F.array_join(X.split_pauses(t)["text"], "|"), f"array_to_string({_PARTS_SQL}, '|')"), "last_ms": (lambda t: F.element_at(X.split_pauses(t)["pause_ms"], -1), "CAST(0 AS INTEGER)"), "n": (lambda t: F.size(X.split_pauses(t)), f"CAST(len({_PARTS_SQL}) AS INTEGER)")})

@@ -58,3 +58,8 @@ def test_stream_of_segments(spark, tmp_path):
 def test_clean_for_speech(spark, tmp_path):
     rows = documents("St. St. Co.X Dr.Mr. Sr. Jr.", "Etc. vs.é e.g.i.e. <think>a\nb</THINK>c", "a\x0b\x0b( \x0b)[LONG_PAUSE]x[pause] https://a.b ½ • …")
     agree(spark, tmp_path, "documents", *rows, "x22_clean_for_speech")
+
+
+def test_artifacts(spark, tmp_path):
+    rows = documents("Prose.\nHere. It is.", "  A\nThis passage explores x\nSure, ok\n\n\nb\nI hope it", "Surely\nof  course\nGot it\n\nHereafter\nNote that x", "")
+    agree(spark, tmp_path, "documents", *rows, "x23_strip_artifacts")
