@@ -296,15 +296,18 @@ def x34_spoken_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = documents(spark, sf_dir, _FACTS)
     found = docs.select("doc_id", F.explode(F.array_distinct(F.transform(X.entities(F.col("t")), lambda e: e["value"]))).alias("value"))
-    said = docs.select("doc_id", F.concat(F.lit("two point three billion dollars in the third quarter of twenty twenty-four, we are on track today. "), F.when(F.col("doc_id") % 2 == 0, F.col("t")).otherwise("")).alias("text"))
+    said = docs.select("doc_id", F.concat(F.lit(_SAID), F.when(F.col("doc_id") % 2 == 0, F.col("t")).otherwise("")).alias("text"))
     return jobs.missing_entities(found.withColumn("forms", spoken_forms("value")), said)
 
 
 QUERIES["x34_spoken_entities"] = x34_spoken_entities
-#: The rewrites of odd documents say the sum, the quarter, the year, the quote and "today", nothing else.
+#: What odd documents' rewrites say.  A figure counts as said if its words stand there, also inside others: 2, 3, 4, 20, 24 and 2.3.
+_SAID = "two point three billion dollars in the third quarter of twenty twenty-four, we are on track today. "
+_SAID_SQL = f"""(contains({quoted(_SAID)}, lower(v)) OR v IN ('0002', '0003', '0004', '0020', '0024', '2020', '2024')
+  OR (regexp_full_match(v, '[$][0-9][0-9,]*([.][0-9]+)?[.,]*') AND regexp_full_match(replace(v, ',', ''), '[$]0*(2|3|4|20|24|2[.]3)[.]*'))
+  OR regexp_full_match(lower(v), '0*(2[.]3|3)[{S.WS}]*billion') OR regexp_full_match(lower(v), 'q3[{S.WS}]*([0-9]{{2,4}})?'))"""
 ORACLES["x34_spoken_entities"] = f"""
-SELECT doc_id, unnest(list_distinct(flatten([{', '.join(_own_entities(k) for k in _ENTITIES)}, [{_ID} || '%', '12 million', '3/4/2024', 'last week', 'Tuesday', 'Jane Smith Doe', 'Acme', 'Spain']]))) AS value
-FROM (SELECT doc_id, {_FACTS} AS t FROM documents WHERE doc_id % 2 = 1)
+SELECT doc_id, v AS value FROM (SELECT doc_id, unnest(list_distinct({S.entities("t")})) AS v FROM (SELECT doc_id, {_FACTS} AS t FROM documents WHERE doc_id % 2 = 1)) WHERE NOT {_SAID_SQL}
 """
 
 

@@ -63,3 +63,8 @@ def test_clean_for_speech(spark, tmp_path):
 def test_artifacts(spark, tmp_path):
     rows = documents("Prose.\nHere. It is.", "  A\nThis passage explores x\nSure, ok\n\n\nb\nI hope it", "Surely\nof  course\nGot it\n\nHereafter\nNote that x", "")
     agree(spark, tmp_path, "documents", *rows, "x23_strip_artifacts")
+
+
+def test_missing_entities(spark, tmp_path):
+    rows = documents("0024 and 2020, 5.2024 or x15% and 2024.5", "$3 $2,0 $2.3 3 billion 4 million Q3 2019", "last week by Bob. On Tue, May 3 2020 of Spain, at 1-2-24", 'to Jane Smith and "quoted text" FY24 12million')
+    agree(spark, tmp_path, "documents", *rows, "x34_spoken_entities")
