@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from speechprep.functions.values import dbfs, expected_seconds, fresh, semitones
 from speechprep.operators.quantiles import percentiles
+from speechprep.sources.shared import checkpointed
 
 CLIP = "job_id string, seg_idx int, sr int, samples array<float>"
 
@@ -426,6 +427,8 @@ class Joiner:
 
 
 JOINED = "job_id string, part_idx int, sr int, samples array<float>"
+#: How many samples are joined before they leave the worker.
+_HANDED_ON = 1 << 20
 
 
 def _joined(clips: Iterator[tuple], mode: str, overlap_ms: int) -> Iterator[tuple]:
@@ -460,8 +463,15 @@ def join_clips(clips: DataFrame, mode: str = "gap", overlap_ms: int = 500) -> Da
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = (r[:4] for pdf in batches for r in pdf.itertuples(index=False, name=None))
+        out, held = [], 0
         for part in _joined(rows, mode, overlap_ms):
-            yield pd.DataFrame([part], columns=["job_id", "part_idx", "sr", "samples"])
+            out.append(part)
+            held += part[3].size
+            if held >= _HANDED_ON:
+                yield pd.DataFrame(out, columns=["job_id", "part_idx", "sr", "samples"])
+                out, held = [], 0
+        if out:
+            yield pd.DataFrame(out, columns=["job_id", "part_idx", "sr", "samples"])
 
     return rows.mapInPandas(run, JOINED)
 
@@ -555,8 +565,11 @@ def gated_loudness(blocks: DataFrame) -> DataFrame:
 
 
 def final_metrics(parts: DataFrame) -> DataFrame:
-    """Joined audio -> (job_id, integrated_lufs, true_peak_dbfs, long_silence_gaps) of each whole job, as ``checks.final_gate`` asks."""
-    found = measures(parts)
+    """Joined audio -> (job_id, integrated_lufs, true_peak_dbfs, long_silence_gaps) of each whole job, as ``checks.final_gate`` asks.
+
+    Signals are worked once: their measures, numbers only, are kept for the four aggregates over them.
+    """
+    found = checkpointed(measures(parts))
     loud = gated_loudness(found.filter("kind = 'block'").select("job_id", F.col("value").alias("power")))
     peaks = found.groupBy("job_id").agg(F.max(F.when(F.col("kind") == "peak", F.col("value"))).alias("true_peak_dbfs"))
     frames = found.filter("kind = 'frame'").select("job_id", F.lit(0).alias("seg_idx"), F.col("idx").alias("frame_idx"), F.col("value").alias("rms"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,3 +38,11 @@ def listed(spark: SparkSession, path: str) -> list[tuple[str, int]]:
 def removed(spark: SparkSession, path: str) -> None:
     where, files = hadoop(spark, path)
     files.delete(where, True)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` computed now and once, in the shared folder."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint()

@@ -223,3 +223,9 @@ def test_rates_change_without_aliases(spark, old, new):
     y = level(440)[1]
     assert np.abs(y - sine(440, 0.5, 0.5, new))[200:-200].max() < 2e-3
     assert np.array_equal(audio.resampled(np.ones(50), old, new), np.ones(round(50 * new / old))) or np.allclose(audio.resampled(np.ones(50), old, new), 1)
+
+
+def test_signals_are_measured_once(spark):
+    clips = spark.createDataFrame([("j", 0, 8000, sine(200, 1).tolist())], "job_id string, seg_idx int, sr int, samples array<float>")
+    found = audio.final_metrics(audio.join_clips(clips))
+    assert found._jdf.queryExecution().toString().count("MapInPandas") == 0 and found.count() == 1
