@@ -228,3 +228,18 @@ def test_clips_leave_the_worker_as_they_are_made(spark):
     df = spark.range(0, 60, 1, 1).selectExpr("cast(id as string) as job_id", "0 as seg_idx", "'a word' as text", "map('temperature', 0.3D) as params", "1 as seed")
     held = [r.mb for r in models.speak(df, voice, 8000).select(F.array_max("samples").alias("mb")).collect()]
     assert len(held) == 60 and max(held) - held[0] < 120
+
+
+def test_clips_of_retries_are_not_shuffled(spark):
+    """Each round deals its texts over the session's partitions; their clips meet no join, and no round works on those before it."""
+    plans = []
+
+    def gate(clips):
+        plans.append((clips._jdf.queryExecution().toString(), clips.rdd.getNumPartitions()))
+        return clips.select("job_id", "seg_idx", (F.col("word_count") <= 5).alias("passed"))
+
+    df = spark.range(0, 40, 1, 1).selectExpr("cast(id as string) as job_id", "0 as seg_idx", "trim(repeat('word ', cast(1 + id % 30 as int))) as text")
+    got = {int(r.job_id): (r.round, r.passed) for r in models.retry_rounds(df, lambda text, params, seed: [0.1] * 9, gate).collect()}
+    want = {i: (0 if n <= 5 else 2 if n <= 10 else 3 if n <= 20 else 4, n <= 20) for i in range(40) for n in (1 + i % 30,)}
+    assert got == want
+    assert len(plans) == 5 and all("Join" not in p and n == 4 for p, n in plans)
