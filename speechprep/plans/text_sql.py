@@ -91,9 +91,9 @@ def filtered(t: str) -> str:
 def abbreviated(t: str) -> str:
     """``spoken_abbreviations``."""
     t = before_blanks(t, X.ABBREVIATIONS, f"(?:{Z}|$)")
-    t = at_words(t, ("‖P~&~L‖", "profit and loss"))
+    t = when(t, "P&L", lambda g: at_words(g, ("‖P~&~L‖", "profit and loss")))
     cases = " ".join(f"WHEN {quoted(a)} THEN {quoted(s)}" for a, s in X.ACRONYMS.items())
-    return when(t, r"[A-Z]", lambda g: f"array_to_string(list_transform(regexp_extract_all({g}, {quoted(f'[{WORD_U}]+|[^{WORD_U}]+')}), lambda x: CASE x {cases} ELSE x END), '')")
+    return when(t, "|".join(X.ACRONYMS), lambda g: f"array_to_string(list_transform(regexp_extract_all({g}, {quoted(f'[{WORD_U}]+|[^{WORD_U}]+')}), lambda x: CASE WHEN x >= 'A' AND x < '[' THEN CASE x {cases} ELSE x END ELSE x END), '')")
 
 
 def before_blanks(t: str, words: dict[str, str], after: str) -> str:
@@ -103,11 +103,12 @@ def before_blanks(t: str, words: dict[str, str], after: str) -> str:
 
 
 def _numbers(t: str) -> str:
-    t = at_words(t, *[(rf"/~{ci(u)}‖", f" per {u}") for u in X.UNITS])
-    t = at_words(t, (rf"‖{_NUMBER}[xX]‖", r"\1 times"), (rf"‖{_NUMBER}~%", r"\1 percent"))
+    t = when(t, f"/{any_of(X.UNITS)}", lambda g: at_words(g, *[(rf"/~{ci(u)}‖", f" per {u}") for u in X.UNITS]))
+    t = when(t, "[0-9][xX%]", lambda g: at_words(g, (rf"‖{_NUMBER}[xX]‖", r"\1 times"), (rf"‖{_NUMBER}~%", r"\1 percent")))
     ordinal = "(?:" + "|".join(ci(e) for e in ("st", "nd", "rd", "th")) + ")"
     ordinals = [(rf"‖0*{n}{ordinal}‖", w) for n, w in enumerate(X.ORDINALS, 1)] + [(rf"‖([0-9]+){ordinal}‖", r"\1")]
-    t = at_words(when(t, f"[0-9]{ordinal}", lambda g: at_words(g, *ordinals)), ("‖24~/~7‖", "twenty-four seven"))
+    t = when(t, f"[0-9]{ordinal}", lambda g: at_words(g, *ordinals))
+    t = when(t, "24/7", lambda g: at_words(g, ("‖24~/~7‖", "twenty-four seven")))
     months = "[" + ", ".join(quoted(m) for m in X.MONTHS) + "]"
     part = lambda k: f"string_split(replace(m, '{Z}', ''), '-')[{k}]"
     date = f"coalesce({months}[CAST({part(2)} AS INTEGER)], {part(2)}) || ' ' || regexp_replace({part(3)}, '^0([0-9])', '\\1') || ', ' || regexp_replace({part(1)}, '^0+([0-9])', '\\1')"
